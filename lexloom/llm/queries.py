@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexloom.llm import token_store
+from lexloom.llm import mixing, piece_codec, token_store
 from lexloom.llm.common import table
 
 
+def op1_piece_codec(spark, sf_dir):
+    return piece_codec.piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_mixing(spark, sf_dir):
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark, sf_dir):
     return token_store.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_token_store": op3_token_store}
+QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op7_mixing": op7_mixing}
 ORACLE_SQL = {}
