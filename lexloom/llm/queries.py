@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexloom.llm import mixing, piece_codec, token_store
+from lexloom.llm import mixing, piece_codec, token_store, url_reputation
 from lexloom.llm.common import table
 
 
@@ -20,5 +20,11 @@ def op3_token_store(spark, sf_dir):
     return token_store.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op7_mixing": op7_mixing}
-ORACLE_SQL = {}
+def op8_url_reputation(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    keyed = pages.select("page_id", "url", url_reputation.label_key_of(pages["url"]).alias("label_key"))
+    return url_reputation.judge_urls(keyed, url_reputation.bad_outcomes(table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation}
+ORACLE_SQL = {"op8_url_reputation": url_reputation.ORACLE}
