@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexloom.llm import mixing, piece_codec, token_store, url_reputation
+from lexloom.llm import graph_search, mixing, near_vectors, piece_codec, token_store, url_reputation
 from lexloom.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_near_vectors(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_graph_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return graph_search.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op3_token_store(spark, sf_dir):
     return token_store.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,5 +35,5 @@ def op8_url_reputation(spark, sf_dir):
     return url_reputation.judge_urls(keyed, url_reputation.bad_outcomes(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation}
+QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op2_near_vectors": op2_near_vectors, "op4_graph_search": op4_graph_search, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation}
 ORACLE_SQL = {"op8_url_reputation": url_reputation.ORACLE}
