@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexloom.llm import graph_search, language_id, mixing, near_vectors, piece_codec, token_store, url_reputation
+from lexloom.llm import graph_search, language_id, mixing, near_vectors, personal_data, piece_codec, token_store, url_reputation
 from lexloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_piece_codec(spark, sf_dir):
     return piece_codec.piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_personal_data(spark, sf_dir):
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op8_url_reputation(spark, sf_dir):
     return url_reputation.judge_urls(keyed, url_reputation.bad_outcomes(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op2_near_vectors": op2_near_vectors, "op4_graph_search": op4_graph_search, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation}
+QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op2_near_vectors": op2_near_vectors, "op4_graph_search": op4_graph_search, "op5_personal_data": op5_personal_data, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation}
 ORACLE_SQL = {"op8_url_reputation": url_reputation.ORACLE}
