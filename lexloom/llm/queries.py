@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexloom.llm import graph_search, jaccard_join, language_id, mixing, near_vectors, personal_data, piece_codec, token_store, url_reputation
+from lexloom.llm import graph_search, jaccard_join, language_id, mixing, near_vectors, personal_data, piece_codec, token_store, url_reputation, weak_quality
 from lexloom.llm.common import table
 
 
@@ -47,5 +47,9 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op2_near_vectors": op2_near_vectors, "op4_graph_search": op4_graph_search, "op5_personal_data": op5_personal_data, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation, "op10_jaccard_join": op10_jaccard_join}
+def op9_weak_quality(spark, sf_dir):
+    return weak_quality.quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op2_near_vectors": op2_near_vectors, "op4_graph_search": op4_graph_search, "op5_personal_data": op5_personal_data, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation, "op9_weak_quality": op9_weak_quality, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL = {"op8_url_reputation": url_reputation.ORACLE}
