@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,18 +87,19 @@ class Numbered(dict):
 
 
 class ChunkCoder:
-    """Encodes texts chunk by chunk and remembers the ids of chunks already seen.
+    """Encodes texts chunk by chunk and remembers the ids of the chunks first seen.
 
-    split gives a text's chunks; encode(chunks) gives the ids of new chunks as (flat ids, counts).  At most
-    `limit` chunks are remembered, so memory is bounded whatever the input holds.
+    split gives a text's chunks; encode(chunks) gives the ids of new chunks as (flat ids, counts).  At most `limit`
+    chunks are remembered, the early and so mostly the frequent ones; others live as long as their portion.  After
+    `renew` portions the memory starts anew, so that it follows a change of the input.
     """
 
-    def __init__(self, split, encode, limit: int = 300_000, portion: int = 4_000_000):
-        self.split, self.encode_new, self.limit, self.portion = split, encode, limit, portion
+    def __init__(self, split, encode, limit: int = 400_000, portion: int = 4_000_000, renew: int = 400):
+        self.split, self.encode_new, self.limit, self.portion, self.renew = split, encode, limit, portion, renew
         self.clear()
 
     def clear(self):
-        self.index = Numbered()
+        self.index, self.portions = Numbered(), 0
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
@@ -105,14 +107,16 @@ class ChunkCoder:
     def encode(self, texts: list[str]):
         """(ids, number of ids) for each portion of consecutive texts."""
         for a, b in in_portions(texts, self.portion):
+            if self.portions >= self.renew:
+                self.clear()
+            self.portions += 1
             known = len(self.index)
-            get, split = self.index.__getitem__, self.split
-            chunks = [split(t) for t in texts[a:b]]
+            chunks = list(map(self.split, texts[a:b]))
             sizes = np.fromiter(map(len, chunks), np.int64, b - a)
-            codes = np.fromiter((get(c) for own in chunks for c in own), np.int64, int(sizes.sum()))
-            if len(self.index) > known:
-                keys = list(self.index)[known:] if known else list(self.index)
-                flat, count = self.encode_new(keys)
+            codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
+            new = list(islice(self.index, known, None))
+            if new:
+                flat, count = self.encode_new(new)
                 self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
                 self.count = np.concatenate([self.count, count])
                 self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
@@ -121,6 +125,10 @@ class ChunkCoder:
             total = int(ends[-1]) if len(ends) else 0
             ids = self.flat[np.repeat(self.start[codes] - ends + count, count) + np.arange(total)]
             upto = np.concatenate([[0], ends])[np.cumsum(sizes)]
-            yield ids, np.diff(np.concatenate([[0], upto]))
             if len(self.index) > self.limit:
-                self.clear()
+                keep = max(known, self.limit)
+                for chunk in new[keep - known :]:
+                    del self.index[chunk]
+                self.start, self.count = self.start[:keep], self.count[:keep]
+                self.flat = self.flat[: int(self.start[-1] + self.count[-1])]
+            yield ids, np.diff(np.concatenate([[0], upto]))

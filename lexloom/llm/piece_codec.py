@@ -268,6 +268,7 @@ def read_model(path: str) -> PieceModel:
 
 
 _MODELS: dict[str, PieceModel] = {}
+_CODERS: dict[str, ChunkCoder] = {}
 
 
 def model_at(path: str) -> PieceModel:
@@ -277,6 +278,13 @@ def model_at(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+def coder_at(path: str) -> ChunkCoder:
+    """One coder a Python worker: what it remembers serves all the worker's tasks."""
+    if path not in _CODERS:
+        _CODERS[path] = ChunkCoder(model_at(path).split, model_at(path).encode_chunks)
+    return _CODERS[path]
+
+
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", to: str = "piece_ids") -> DataFrame:
     """df with the ids of its texts in a new column `to` (array<int>); a column of that name is replaced."""
     kept = [c for c in df.columns if c != to]
@@ -284,7 +292,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", to: str =
     schema = df.select(*kept).schema.add(to, "array<int>")
 
     def run(batches):
-        coder = ChunkCoder(model_at(model_path).split, model_at(model_path).encode_chunks)
+        coder = coder_at(model_path)
         for batch in batches:
             at, texts = 0, batch.column(len(kept)).to_pylist()
             for ids, sizes in coder.encode(texts):
@@ -322,7 +330,7 @@ def piece_digest(docs: DataFrame, model_path: str, key: str = "doc_id") -> DataF
 
     def run(batches):
         model = model_at(model_path)
-        coder = ChunkCoder(model.split, model.encode_chunks)
+        coder = coder_at(model_path)
         for batch in batches:
             at, texts = 0, batch.column("text").to_pylist()
             for ids, sizes in coder.encode(texts):

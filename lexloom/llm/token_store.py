@@ -35,9 +35,21 @@ from lexloom.llm.common import ChunkCoder, in_portions, mix64, scratch
 #: White space of Unicode, as the pre-tokenizer's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Cuts a text only where the byte-level pre-tokenizer cuts as well.
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: A run of plain letters before something else in ASCII ends where a pre-token ends; the rest is cut at spaces.
+CHUNK = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\\x00-@\\[-`{{-\\x7f]|$)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BLOCK_IDS = 1_000_000
 BUCKET_KEYS = 4096
+LINES = 500
+
+
+_CODERS: dict[str, ChunkCoder] = {}
+
+
+def coder_of(tokenizer_file: str) -> ChunkCoder:
+    """One coder a Python worker: what it remembers serves all the worker's tasks."""
+    if tokenizer_file not in _CODERS:
+        _CODERS[tokenizer_file] = byte_level_coder(tokenizer_file)
+    return _CODERS[tokenizer_file]
 
 
 def byte_level_coder(tokenizer_file: str) -> ChunkCoder:
@@ -47,16 +59,36 @@ def byte_level_coder(tokenizer_file: str) -> ChunkCoder:
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.encode_special_tokens = True
 
-    def encode(chunks: list[str]):
-        flat, count = [], []
-        for i in range(0, len(chunks), 20_000):
-            for e in tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False):
-                ids = e.ids
-                flat += ids
-                count.append(len(ids))
-        return np.array(flat, np.uint32), np.array(count, np.int64)
+    one = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    line = one(["\n"])[0]
 
-    return ChunkCoder(CHUNK.findall, encode)
+    def encode(chunks: list[str]):
+        """Chunks without white space but a leading space go many to a text, a line each: the line feed is a token apart."""
+        flat, count, spaced, lines = [], np.zeros(len(chunks), np.int64), [], []
+        for i, c in enumerate(chunks):
+            (spaced if c.isspace() else lines).append(i)
+        parts = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+        ids = {}
+        for part, own in zip(parts, one(["\n".join([chunks[i] for i in part]) for part in parts]), strict=True):
+            own = np.array(own, np.uint32)
+            ends = np.append(np.flatnonzero(own == line[0]), len(own))
+            if len(line) != 1 or len(ends) != len(part):
+                raise ValueError("a line feed isn't a token of its own")
+            count[part] = np.diff(np.concatenate([[-1], ends])) - 1
+            flat.append(own[own != line[0]])
+        for i, own in zip(spaced, one([chunks[i] for i in spaced]), strict=True):
+            ids[i], count[i] = own, len(own)
+        if not spaced:
+            return np.concatenate([np.zeros(0, np.uint32), *flat]), count
+        out, ends = np.zeros(int(count.sum()), np.uint32), np.cumsum(count)
+        of_line = np.ones(len(chunks), bool)
+        of_line[spaced] = False
+        out[np.repeat(of_line, count)] = np.concatenate([np.zeros(0, np.uint32), *flat])
+        for i, own in ids.items():
+            out[ends[i] - count[i] : ends[i]] = own
+        return out, count
+
+    return ChunkCoder(CHUNK.findall, encode, limit=600_000)
 
 
 def width_of(tokenizer_file: str) -> int:
@@ -120,7 +152,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, ke
     kind = np.uint16 if width == 2 else np.uint32
 
     def encode(batches):
-        coder, shard = byte_level_coder(tokenizer_file), TaskContext.get().partitionId()
+        coder, shard = coder_of(tokenizer_file), TaskContext.get().partitionId()
         block = doc_base = id_base = held = 0
         keys, lens, raw = [], [], []
 
