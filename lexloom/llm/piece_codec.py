@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.llm.common import ChunkCoder
 
@@ -289,7 +290,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", to: str =
     """df with the ids of its texts in a new column `to` (array<int>); a column of that name is replaced."""
     kept = [c for c in df.columns if c != to]
     source = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = df.select(*kept).schema.add(to, "array<int>")
+    schema = df.select(*kept).schema.add(to, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         coder = coder_at(model_path)
