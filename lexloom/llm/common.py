@@ -36,9 +36,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage through a table in the shared folder, so that a lost executor loses nothing.
+
+    A table rather than checkpoint(): a checkpointed frame keeps what the optimizer inferred about its columns, which
+    piles up from round to round of a loop.
+    """
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

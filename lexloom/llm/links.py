@@ -27,7 +27,6 @@ def components(links: DataFrame) -> DataFrame:
         order = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: E731, B023
         ahead = edges.groupBy("a").agg(F.min(F.struct(order("b").alias("h"), F.col("b").alias("b"))).alias("to"))
         ahead = ahead.select("a", F.when(F.col("to.h") < order("a"), F.col("to.b")).otherwise(F.col("a")).alias("p"))
-        ahead = cut(ahead)
         # a pointer's own pointer, one step on
         onward = ahead.alias("x").join(ahead.alias("y"), F.col("x.p") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.p").alias("p"))
         onward = cut(onward)
