@@ -16,11 +16,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
-from lexloom.llm.common import WORD, in_portions, text_of
+from lexloom.llm.common import in_portions, text_of
 from lexloom.llm.shingles import word_hashes
 
 SAMPLE, BITS, ORDERS = 4000, 16, (1, 2, 3)
@@ -33,32 +33,63 @@ FUNCTION_WORDS = [
 ]
 
 
-def labellers(t: Column) -> dict[str, Column]:
-    """Vote of each labeller on a text."""
-
-    def vote(good, bad):
-        return F.when(bad, -1).when(good, 1).otherwise(0).cast("int")
-
-    words = F.greatest(F.lit(1), F.regexp_count(t, F.lit(WORD)))
-    letters = F.greatest(F.lit(1), F.length(F.regexp_replace(t, r"\P{L}++", "")))
-    upper = F.length(F.regexp_replace(t, r"\P{Lu}++", "")) / letters
-    marks = F.length(F.regexp_replace(t, r"[^%*&$#@~^<>{}\[\]\\]++", "")) / F.greatest(F.lit(1), F.length(t))
-    bars = F.regexp_count(t, F.lit(r"(?<=\s)[|•·]++(?=\s)")) / words
-    shouts = F.regexp_count(t, F.lit(r"!{2,}+|\?{2,}+")) / words
-    repeats = 1 - F.length(F.regexp_replace(t, r"(?<!\S)(\S++)(?:\s\1(?!\S)){2,}+", "$1")) / F.greatest(F.lit(1), F.length(t))
-    known = F.regexp_count(t, F.lit(r"(?i)(?<!\S)(?:" + "|".join(FUNCTION_WORDS) + r")(?![^\s.,;:])")) / words
-    stops = F.regexp_count(t, F.lit(r"[.?!](?=\s|$)"))
-    length = letters / words
-    return {
-        "marks": vote(marks < 0.01, marks > 0.05),
-        "case": vote(upper < 0.15, upper > 0.4),
-        "bars": vote(bars == 0, bars > 0.1),
-        "shouts": vote(shouts == 0, shouts > 0.1),
-        "repeats": vote(repeats < 0.005, repeats > 0.02),
-        "words": vote(known > 0.15, (known < 0.03) & (words > 20)),
-        "length": vote(length.between(3, 9), (length > 14) | (length < 2)),
-        "sentences": vote((stops > 0) & (words / F.greatest(F.lit(1), stops) < 40), (stops == 0) & (words > 60)),
-    }
+NAMES = ["marks", "case", "bars", "shouts", "repeats", "words", "length", "sentences"]
+_LETTER, _UPPER, _MARK, _SPACE, _STOP, _BAR = (1 << i for i in range(6))
+_TABLES: list = []
+
+
+def _tables():
+    """Classes of code points, and the sorted hashes of the function words with what may follow them."""
+    if not _TABLES:
+        kind = np.where(grams.letters(), _LETTER, 0).astype(np.uint8)
+        kind[np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)] |= _UPPER
+        for chars, flag in (("%*&$#@~^<>{}[]\\", _MARK), ("\0 \t\n\x0b\x0c\r", _SPACE), (".?!", _STOP), ("|•·", _BAR)):
+            kind[[ord(c) for c in chars]] |= flag
+        known = [(w + end).encode() for w in FUNCTION_WORDS for end in ("", ".", ",", ";", ":")]
+        _TABLES.extend([kind, np.unique(word_hashes(known)[0])])
+    return _TABLES
+
+
+def votes_of(texts: list[str]) -> np.ndarray:
+    """A row a text, a column for each of NAMES: 1, -1 or 0."""
+    kind, known = _tables()
+    out = np.zeros((len(texts), len(NAMES)), np.int8)
+    for a, b in in_portions(texts, 1_000_000):
+        points, at = grams.code_points(texts[a:b])
+        own = kind[points]
+        total = lambda mask: np.add.reduceat(mask.astype(np.int64), at[:-1])  # noqa: E731, B023
+        flag = lambda f: (own & f) != 0  # noqa: E731, B023
+        space = flag(_SPACE)
+        before, after = np.concatenate([[True], space[:-1]]), np.concatenate([space[1:], [True]])
+        words = np.maximum(1, total(~space & before))
+        letters = np.maximum(1, total(flag(_LETTER)))
+        size = np.maximum(1, np.diff(at) - 1)
+        loud = (points == 33) | (points == 63)
+        pair = np.concatenate([loud[:-1] & (points[1:] == points[:-1]), [False]])
+        hashes, of = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts[a:b]])
+        same = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])]) if len(hashes) else np.zeros(0, bool)
+        run = same & (np.concatenate([[False], same[:-1]]) | np.concatenate([same[1:], [False]]))
+        share = lambda mask: np.bincount(of[mask], minlength=b - a) / words  # noqa: E731, B023
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        upper, marks, length = total(flag(_UPPER)) / letters, total(flag(_MARK)) / size, letters / words
+        bars, shouts = total(flag(_BAR) & before & after) / words, total(pair & ~np.concatenate([[False], pair[:-1]])) / words
+        repeats, function, stops = share(run), share(known[place] == hashes), total(flag(_STOP) & after)
+        good_bad = [
+            (marks < 0.01, marks > 0.05), (upper < 0.15, upper > 0.4), (bars == 0, bars > 0.1), (shouts == 0, shouts > 0.1), (repeats < 0.02, repeats > 0.06),
+            (function > 0.15, (function < 0.03) & (words > 20)), ((length >= 3) & (length <= 9), (length > 14) | (length < 2)),
+            ((stops > 0) & (words / np.maximum(1, stops) < 40), (stops == 0) & (words > 60)),
+        ]
+        out[a:b] = np.stack([np.where(bad, -1, np.where(good, 1, 0)) for good, bad in good_bad], axis=1)
+    return out
+
+
+def pattern_codes(texts: list[str]) -> np.ndarray:
+    """A text's votes as one number in base three."""
+    return (votes_of(texts).astype(np.int64) + 1) @ (3 ** np.arange(len(NAMES)))
+
+
+def pattern(code: int) -> tuple:
+    return tuple(code // 3**i % 3 - 1 for i in range(len(NAMES)))
 
 
 #: Labellers that each name a kind of bad text of its own; the others only lend evidence.
@@ -69,7 +100,7 @@ def estimate(patterns: dict[tuple, int], names: list[str], rounds: int = 100) ->
     """Posterior of good for each vote pattern, and each labeller's estimated accuracy (None where it never votes).
 
     The latent classes are good texts and one kind of bad texts for each of KINDS, since a bad text seldom is bad in
-    every way; given the class, labellers vote independently.
+    every way; given the class, labellers vote independently, and no opinion is no evidence.
     """
     k, kinds = len(names), [names.index(x) for x in KINDS if x in names]
     # prior: as many good votes on good texts, from each labeller that names a kind, as there are texts
@@ -80,17 +111,18 @@ def estimate(patterns: dict[tuple, int], names: list[str], rounds: int = 100) ->
         post[v] = [1 - share, *(share * (x if sum(bad) else 1.0) / (sum(bad) or len(bad)) for x in bad)]
     for _ in range(rounds):
         mass = [1.0] * (1 + len(kinds))
-        rate = [[{x: 0.5 for x in (-1, 0, 1)} for _ in range(k)] for _ in mass]
+        rate = [[{x: 0.5 for x in (-1, 1)} for _ in range(k)] for _ in mass]
         for i in kinds:
             rate[0][i][1] += total
         for v, n in patterns.items():
             for c, p in enumerate(post[v]):
                 mass[c] += n * p
                 for i, x in enumerate(v):
-                    rate[c][i][x] += n * p
+                    if x:
+                        rate[c][i][x] += n * p
         logs = [[{x: math.log(n / sum(r.values())) for x, n in r.items()} for r in own] for own in rate]
         for v in post:
-            log = [math.log(mass[c]) + sum(logs[c][i][x] for i, x in enumerate(v)) for c in range(len(mass))]
+            log = [math.log(mass[c]) + sum(logs[c][i][x] for i, x in enumerate(v) if x) for c in range(len(mass))]
             top = max(log)
             weight = [math.exp(x - top) for x in log]
             post[v] = [x / sum(weight) for x in weight]
@@ -128,6 +160,7 @@ class Scorer:
         mean = np.bincount(columns, values, width) / n
         spread = np.sqrt(np.maximum(0, np.bincount(columns, values**2, width) / n - mean**2))
         scale = np.where(often & (spread > 0), 1 / np.maximum(spread, 1e-9), 0)
+        scale[-1] *= 8  # one place against thousands
         values = values * scale[columns]
         shift = mean * scale
         # classes weigh alike
@@ -169,34 +202,33 @@ class Scorer:
 
 def quality(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """doc_id, posterior (of the votes), score (of the trained scorer, 0 to 1), good (score of at least 0.5)."""
-    votes = labellers(text_of())
-    names = list(votes)
-    counted = docs.select(*[v.alias(n) for n, v in votes.items()]).groupBy(*names).agg(F.count("*").alias("n")).collect()
     out = f"{key} {docs.schema[key].dataType.simpleString()}, posterior double, score double, good boolean"
+    texts = docs.select(text_of().alias("text"))
+
+    def vote(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(pattern_codes(batch.column(0).to_pylist()))], names=["code"])
+
+    counted = texts.mapInArrow(vote, "code bigint").groupBy("code").agg(F.count("*").alias("n")).collect()
     if not counted:
         return docs.sparkSession.createDataFrame([], out)
-    patterns = dict(sorted((tuple(r[n] for n in names), r["n"]) for r in counted))
-    post, _ = estimate(patterns, names)
-    spark = docs.sparkSession
-    code = lambda v: sum((x + 1) * 3**i for i, x in enumerate(v))
-    posterior = np.full(3 ** len(names), 0.5)
+    patterns = dict(sorted((pattern(r["code"]), r["n"]) for r in counted))
+    post, _ = estimate(patterns, NAMES)
+    posterior = np.full(3 ** len(NAMES), 0.5)
     for v, p in post.items():
-        posterior[code(v)] = round(p, 9)
-    coded = sum(((F.col(n) + 1) * 3**i for i, n in enumerate(names)), F.lit(0))
-    voted = docs.select(key, text_of().alias("text"), *[v.alias(n) for n, v in votes.items()]).select(key, "text", coded.alias("code"))
+        posterior[sum((x + 1) * 3**i for i, x in enumerate(v))] = round(p, 9)
     total = sum(patterns.values())
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    near = docs.select(text_of().alias("text")).where(h < min(1.0, 4 * sample / total + 100 / total) * (1 << 30))
-    drawn = near.withColumn("h", h).orderBy("h", "text").limit(sample)
-    drawn = drawn.select("text", *[v.alias(n) for n, v in votes.items()]).select("text", coded.alias("code")).collect()
-    scorer = Scorer([r["text"] for r in drawn], np.array([posterior[r["code"]] for r in drawn]))
-    model = spark.sparkContext.broadcast((scorer, posterior))  # 2^BITS weights and 3^labellers posteriors
+    near = texts.withColumn("h", h).where(F.col("h") < min(1.0, 4 * sample / total + 100 / total) * (1 << 30))
+    drawn = [r["text"] for r in near.orderBy("h", "text").limit(sample).collect()]
+    scorer = Scorer(drawn, posterior[pattern_codes(drawn)])
+    model = docs.sparkSession.sparkContext.broadcast((scorer, posterior))  # 2^BITS weights and 3^labellers posteriors
 
     def run(batches):
         scorer, posterior = model.value
         for batch in batches:
-            score = scorer.score(batch.column(1).to_pylist())
-            p = posterior[batch.column(2).to_numpy()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(score), pa.array(score >= 0.5)], names=[key, "posterior", "score", "good"])
+            texts = batch.column(1).to_pylist()
+            score = scorer.score(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posterior[pattern_codes(texts)]), pa.array(score), pa.array(score >= 0.5)], names=[key, "posterior", "score", "good"])
 
-    return voted.mapInArrow(run, out)
+    return docs.select(key, text_of().alias("text")).mapInArrow(run, out)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lexloom.plans import aggregates, corpus, extraction, joins, ranking
+from lexloom.plans.named import QUERIES, SQL
+
+__all__ = ["aggregates", "corpus", "extraction", "joins", "oracle_sql", "queries", "ranking"]
 
 
 def queries() -> dict:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(SQL)
