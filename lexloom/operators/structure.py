@@ -58,7 +58,7 @@ def chunks(parsed: DataFrame, key: str) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.when(F.col("kind") == "text", F.trim("text")).otherwise(F.col("name")).alias("t")))), lambda x: x["t"]), "\n")
     first = lambda c: F.min_by(c, "line").alias(c)
     own = rows.groupBy(key, "start").agg(*[first(c) for c in ("kind", *ORDER, "article_name")], body.alias("body"))
-    body_of_article = F.trim(F.substring("body", F.length("article_name") + 1, F.length("body")))
+    body_of_article = F.regexp_replace(F.substring("body", F.length("article_name") + 1, F.length("body")), r"^\s+|\s+$", "")
     content = (
         F.when(F.col("kind") == "article", L.article_text("chapter", "section", F.col("article"), F.col("article_name"), body_of_article))
         .when(F.col("kind") == "clause", L.clause_text("chapter", "section", F.col("article"), F.col("article_name"), F.col("clause"), F.col("body")))

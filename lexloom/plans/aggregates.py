@@ -154,7 +154,7 @@ def a13(spark, d):
     return rows
 
 
-@query("a14_negative_statistics", f"WITH {joins.NEG}, c AS (SELECT coalesce(n, 0) AS n FROM q LEFT JOIN (SELECT query_id, count(*) AS n FROM neg GROUP BY 1) USING (query_id)) SELECT count(*) AS total, count_if(n >= 8) AS enough, round(count_if(n >= 8) / count(*), 6) AS ratio, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, min(n) AS least, max(n) AS most, count_if(n < 8) AS insufficient FROM c")
+@query("a14_negative_statistics", f"WITH {joins.NEG}, c AS (SELECT coalesce(n, 0) AS n FROM q LEFT JOIN (SELECT query_id, count(*) AS n FROM neg GROUP BY 1) USING (query_id)) SELECT count(*) AS total, count_if(n >= 8)::BIGINT AS enough, round(count_if(n >= 8) / count(*), 6) AS ratio, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, min(n) AS least, max(n) AS most, count_if(n < 8)::BIGINT AS insufficient FROM c")
 def a14(spark, d):
     queries, _, found = joins.ranked(spark, d)
     return bm25.negative_statistics(bm25.hard_negatives(found, joins.positives(spark, d)), queries)

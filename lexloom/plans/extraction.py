@@ -1 +1,169 @@
-"""x"""
+"""Citations, their graph, article texts, structure, and training rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexloom.functions import citation_patterns as P
+from lexloom.functions import legal_text as L
+from lexloom.operators import citations, segments, structure
+from lexloom.plans import joins
+from lexloom.plans import sql as S
+from lexloom.plans.fixtures import base, fx
+from lexloom.plans.named import query
+
+C = F.col
+
+_CODE = "concat(cast(10 + chunk_id % 40 AS string), '/', cast(2005 + chunk_id % 18 AS string), '/', CASE chunk_id % 3 WHEN 0 THEN 'NĐ-CP' WHEN 1 THEN 'TT-BCA' ELSE 'QĐ-TTG' END)"
+
+
+@query("x10_codes", f"SELECT chunk_id, regexp_extract(content, {S.lit('(' + P.CODE + ')')}, 1) AS code, {S.folded('regexp_extract(content, ' + S.lit('(' + P.CODE + ')') + ', 1)')} AS code_norm FROM fx_citing")
+def x10(spark, d):
+    rows = fx(spark, d, "citing").select("chunk_id", F.explode(citations.codes(C("content"))).alias("code"))
+    return rows.withColumn("code_norm", L.ascii_code(C("code")))
+
+
+@query("x10_citations", f"SELECT chunk_id, (chunk_id % 30 + 1)::INT AS article, (chunk_id % 4 + 1)::INT AS clause, {_CODE} AS act_code_raw, 'ID' AS method FROM fx_citing")
+def x10b(spark, d):
+    hits = citations.extract(fx(spark, d, "citing"), "chunk_id", "content")
+    return hits.where("method = 'ID'").select("chunk_id", "article", "clause", "act_code_raw", "method")
+
+
+@query("x10_all_hits")
+def x10c(spark, d):
+    return citations.extract(fx(spark, d, "citing"), "chunk_id", "content")
+
+
+@query("w05_nearest_articles", "SELECT chunk_id, (chunk_id % 30 + 1)::INT AS article FROM fx_citing")
+def w05(spark, d):
+    return citations.extract(fx(spark, d, "citing"), "chunk_id", "content", by_name=False).select("chunk_id", "article").distinct()
+
+
+@query("x11_location", "SELECT chunk_id, (chunk_id % 30 + 1)::INT AS article, (chunk_id % 4 + 1)::INT AS clause FROM fx_citing")
+def x11(spark, d):
+    place = citations.location(C("content"))
+    return fx(spark, d, "citing").select("chunk_id", place["article"].alias("article"), place["clause"].alias("clause"))
+
+
+_MINE = f"SELECT chunk_id, {S.act_code(S.code_of('corpus_id'))} AS citing, cast(nullif({S.parts('corpus_id')['suffix']}, '') AS INT) AS citing_article FROM fx_chunks"
+_HITS = f"SELECT citing, citing_article, {S.folded(_CODE)} AS cited, (chunk_id % 30 + 1)::INT AS article FROM fx_citing JOIN ({_MINE}) USING (chunk_id)"
+
+
+def citation_hits(spark, d):
+    parts = L.parse_corpus_id(C("corpus_id"))
+    mine = fx(spark, d, "chunks").withColumn("s", parts["suffix"]).select("chunk_id", L.act_code(L.code_of(C("corpus_id"))).alias("citing"), F.expr("try_cast(nullif(s, '') AS int)").alias("citing_article"))
+    place = citations.location(C("content"))
+    cited = fx(spark, d, "citing").select("chunk_id", F.explode(citations.codes(C("content"))).alias("code"), place["article"].alias("article"))
+    return cited.join(mine, "chunk_id").select("citing", "citing_article", L.ascii_code(C("code")).alias("cited"), "article")
+
+
+_LIST = "array_to_string(list_sort(list_distinct(list({0}))), ',')"
+_GRAPH = f"SELECT cited, citing, {_LIST.format('citing_article')} AS citing_articles, {_LIST.format('article')} AS cited_articles FROM ({_HITS}) GROUP BY 1, 2"
+
+
+def _joined(df, *columns):
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in columns})
+
+
+@query("a20_citation_graph", _GRAPH)
+def a20(spark, d):
+    return _joined(citations.graph(citation_hits(spark, d)), "citing_articles", "cited_articles")
+
+
+@query("j13_citation_edges", f"SELECT DISTINCT cited, citing FROM ({_HITS})")
+def j13(spark, d):
+    return citations.graph(citation_hits(spark, d)).select("cited", "citing")
+
+
+@query("a25_cited_articles", f"SELECT cited, {_LIST.format('article')} AS articles FROM ({_HITS}) GROUP BY 1")
+def a25(spark, d):
+    return _joined(citations.cited_articles(citation_hits(spark, d)), "articles")
+
+
+@query("f07_allowed_citations", f"SELECT cited, citing, {_LIST.format('citing_article')} AS citing_articles, {_LIST.format('article')} AS cited_articles FROM ({_HITS}) WHERE cited LIKE '1%' GROUP BY 1, 2")
+def f07(spark, d):
+    hits = citation_hits(spark, d)
+    return _joined(citations.graph(hits, hits.where("cited LIKE '1%'").select(C("cited").alias("act"))), "citing_articles", "cited_articles")
+
+
+@query("x12_article_cut", "SELECT doc_id, 'Điều 2. Hiệu lực' || chr(10) || '1. Từ ngày ký' AS text FROM fx_statutes")
+def x12(spark, d):
+    return fx(spark, d, "statutes").select("doc_id", citations.article_cut(C("content"), 2).alias("text"))
+
+
+_TEXTS = f"SELECT {S.lookup_key(S.code_of('corpus_id'))} AS key, cast({S.parts('corpus_id')['suffix']} AS INT) AS article, string_agg({S.shown('content')}, chr(10) || chr(10) ORDER BY chunk_id) AS text FROM fx_chunks WHERE {S.parts('corpus_id')['suffix']} <> '' AND {S.shown('content')} <> '' GROUP BY 1, 2"
+
+
+@query("x13_article_texts", _TEXTS)
+def x13(spark, d):
+    return citations.article_texts(fx(spark, d, "chunks"))
+
+
+@query("x13_act_texts", f"SELECT {S.lookup_key(S.code_of('corpus_id'))} AS key, string_agg({S.shown('content')}, chr(10) || chr(10) ORDER BY coalesce(cast(nullif({S.parts('corpus_id')['suffix']}, '') AS INT), 0), chunk_id) AS text FROM fx_chunks WHERE {S.shown('content')} <> '' GROUP BY 1")
+def x13b(spark, d):
+    return citations.act_texts(fx(spark, d, "chunks"))
+
+
+@query("x14_bulk_articles", f"WITH t AS ({_TEXTS}), a AS (SELECT DISTINCT {S.code_of('corpus_id')} AS act_code FROM fx_chunks), r AS (SELECT act_code, unnest([3, 1, 2]) AS article, unnest([1, 2, 4]) AS pos FROM a) SELECT act_code, string_agg('Điều ' || r.article || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS text FROM r JOIN t ON t.key = {S.lookup_key('act_code')} AND t.article = r.article GROUP BY 1")
+def x14(spark, d):
+    chunks = fx(spark, d, "chunks")
+    asked = chunks.select(L.code_of(C("corpus_id")).alias("act_code")).distinct().withColumn("articles", F.lit("3, 1,x,2"))
+    return citations.bulk_lookup(asked, citations.article_texts(chunks))
+
+
+# ---------------------------------------------------------------- structure
+
+
+def parsed(spark, d):
+    rows = fx(spark, d, "statutes").withColumn("content", F.regexp_replace("content", r"(?s)(Điều 1\. Đối tượng\n).*?(\n1\. Khoản một)", "$1x$2"))
+    return structure.lines(rows, "doc_id", "content")
+
+
+_KIND = "CASE WHEN regexp_matches(t, '^CHƯƠNG ') THEN 'chapter' WHEN regexp_matches(t, '^Mục ') THEN 'section' WHEN regexp_matches(t, '^Điều [0-9]+\\.') THEN 'article' WHEN regexp_matches(t, '^[0-9]+\\. ') THEN 'clause' WHEN regexp_matches(t, '^[a-z]\\) ') THEN 'point' ELSE 'text' END"
+_LINES = f"lines AS (SELECT doc_id, i - 1 AS line, t AS text, {_KIND} AS kind FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS t, generate_subscripts(string_split(c, chr(10)), 1) AS i FROM (SELECT doc_id, regexp_replace(content, '(?s)(Điều 1\\. Đối tượng\\n).*?(\\n1\\. Khoản một)', '\\1x\\2') AS c FROM fx_statutes)))"
+
+
+@query("x08_structure", f"WITH {_LINES} SELECT doc_id, line, text, kind FROM lines")
+def x08(spark, d):
+    return parsed(spark, d).select("doc_id", F.col("line").cast("long").alias("line"), "text", "kind")
+
+
+@query("w06_carried_headings", f"WITH {_LINES} SELECT doc_id, line, coalesce(last_value(CASE kind WHEN 'article' THEN regexp_extract(text, '([0-9]+)', 1) WHEN 'chapter' THEN '' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line), '') AS article FROM lines")
+def w06(spark, d):
+    return parsed(spark, d).select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce("article", F.lit("")).alias("article"))
+
+
+@query("w07_chunk_index", f"WITH {_LINES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS chunk_index, kind AS chunk_type FROM lines WHERE kind IN ('article', 'clause', 'point')")
+def w07(spark, d):
+    return structure.chunks(parsed(spark, d), "doc_id").select("doc_id", C("chunk_index").cast("long").alias("chunk_index"), "chunk_type")
+
+
+_X09 = """SELECT doc_id, i AS chunk_index, replace(t, '@', CASE WHEN doc_id % 3 = 0 AND i >= 5 THEN 'II' ELSE 'I – 1' END || chr(10)) AS content FROM documents, (VALUES
+(0, '@Điều 1. Đối tượng|x'), (1, '@Điều 1. Đối tượng - Khoản 1. Khoản một'), (2, '@Điều 1. Đối tượng - Khoản 1 - Điểm a) điểm a'), (3, '@Điều 1. Đối tượng - Khoản 1 - Điểm b) điểm b'), (4, '@Điều 1. Đối tượng - Khoản 2. Khoản hai'), (5, '@Điều 2. Hiệu lực'), (6, '@Điều 2. Hiệu lực - Khoản 1. Từ ngày ký')) v(i, t)"""
+
+
+@query("x09_smart_chunks", f"SELECT doc_id, chunk_index::BIGINT AS chunk_index, replace(content, '|', chr(10)) AS content FROM ({_X09})")
+def x09(spark, d):
+    return structure.chunks(parsed(spark, d), "doc_id").select("doc_id", C("chunk_index").cast("long").alias("chunk_index"), "content")
+
+
+# ---------------------------------------------------------------- training rows
+
+
+@query("x04_training_windows", "SELECT chunk_id, (SELECT count(*) FROM range(0, CASE WHEN n <= 128 THEN 1 ELSE 1 + cast(ceil((n - 128) / 96.0) AS INT) END)) AS windows FROM (SELECT chunk_id, len(" + S.tokens("content") + ") AS n FROM fx_chunks) WHERE n > 0")
+def x04(spark, d):
+    tokens = L.tokens(C("content"))
+    rows = fx(spark, d, "chunks").where(F.size(tokens) > 0)
+    return rows.select("chunk_id", F.size(segments.windows(tokens, 128, 32)).cast("long").alias("windows"))
+
+
+@query("sp03_training_rows", f"""WITH {joins.NEG}, w AS (SELECT doc_id, i, array_to_string(t[(i - 1) * 192 + 1:least(n, (i - 1) * 192 + 256)], ' ') AS s FROM (SELECT *, unnest(range(1, CASE WHEN n <= 256 THEN 1 ELSE 1 + cast(ceil((n - 256) / 192.0) AS INT) END + 1)) AS i FROM (SELECT doc_id, {S.tokens('text')} AS t, len({S.tokens('text')}) AS n FROM documents))),
+l AS (SELECT query_id, string_agg(s, '|' ORDER BY rank, i) AS negatives FROM neg JOIN w USING (doc_id) WHERE rank <= 4 AND s <> '' GROUP BY 1)
+SELECT query_id, s AS positive, md5(negatives) AS negatives FROM pos JOIN w USING (doc_id) JOIN l USING (query_id) JOIN q USING (query_id) WHERE s <> ''""")
+def sp03(spark, d):
+    from lexloom.operators import bm25
+
+    queries, docs, found = joins.ranked(spark, d)
+    pos = joins.positives(spark, d)
+    rows = segments.training_rows(bm25.triplets(queries, pos, bm25.hard_negatives(found, pos), docs))
+    return rows.select("query_id", "positive", F.md5(F.array_join("negatives", "|")).alias("negatives"))

@@ -27,11 +27,11 @@ def j01(spark, d):
     return tables.enriched_pairs(pairs, first_queries(spark, d))
 
 
-@query("j02_segment_chunks", "SELECT vec_id AS faiss_id, coalesce(chunk_id, vec_id) AS chunk_id, part FROM embeddings LEFT JOIN (SELECT faiss_id, chunk_id, part FROM fx_segments WHERE faiss_id % 7 <> 0) ON vec_id = faiss_id")
+@query("j02_segment_chunks", "SELECT vec_id AS faiss_id, coalesce(chunk_id, vec_id) AS chunk_id, coalesce(part, 0) AS part FROM embeddings LEFT JOIN (SELECT faiss_id, chunk_id, part FROM fx_segments WHERE faiss_id % 7 <> 0) ON vec_id = faiss_id")
 def j02(spark, d):
     known = fx(spark, d, "segments").where("faiss_id % 7 <> 0").select("faiss_id", "chunk_id", "part")
     rows = base(spark, d, "embeddings").select(C("vec_id").alias("faiss_id")).join(known, "faiss_id", "left")
-    return rows.select("faiss_id", F.coalesce("chunk_id", "faiss_id").alias("chunk_id"), "part")
+    return rows.select("faiss_id", F.coalesce("chunk_id", "faiss_id").alias("chunk_id"), F.coalesce("part", F.lit(0)).alias("part"))
 
 
 @query("j03_chunk_records", f"WITH {S.found(5)} SELECT query_id, rank, chunk_id, corpus_id, substring(content, 1, 80) AS preview FROM found LEFT JOIN (SELECT chunk_id, corpus_id, CASE WHEN chunk_id % 2 = 0 THEN 'later' ELSE content END AS content FROM fx_chunks) USING (chunk_id)")
@@ -194,9 +194,9 @@ def u01(spark, d):
     return base(spark, d, "labels").select("doc_id").union(base(spark, d, "pages").select("page_id")).distinct()
 
 
-@query("u02_appended", "SELECT doc_id, quality FROM labels UNION ALL SELECT page_id, NULL FROM pages")
+@query("u02_appended", "SELECT doc_id, coalesce(quality, -1) AS quality FROM (SELECT doc_id, quality FROM labels UNION ALL SELECT page_id, NULL FROM pages)")
 def u02(spark, d):
-    return base(spark, d, "labels").select("doc_id", "quality").unionByName(base(spark, d, "pages").select(C("page_id").alias("doc_id")), allowMissingColumns=True)
+    return base(spark, d, "labels").select("doc_id", "quality").unionByName(base(spark, d, "pages").select(C("page_id").alias("doc_id")), allowMissingColumns=True).fillna(-1, ["quality"])
 
 
 @query("u03_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

@@ -1 +1,133 @@
-"""x"""
+"""Vectors, rankings and answers over retrieved chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexloom.functions import legal_text as L
+from lexloom.operators import retrieval, vectors
+from lexloom.plans import aggregates, joins
+from lexloom.plans import sql as S
+from lexloom.plans.fixtures import base, fx
+from lexloom.plans.named import query
+
+C = F.col
+
+
+@query("v01_normalised", "SELECT vec_id, array_to_string(list_transform(e, lambda x: printf('%.4f', abs(round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 4)))), ' ') AS v FROM (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings))")
+def v01(spark, d):
+    rows = base(spark, d, "embeddings").select("vec_id", vectors.normalised(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
+    return rows.select("vec_id", F.array_join(F.transform("v", lambda x: F.format_string("%.4f", F.abs(F.round(x, 4)))), " ").alias("v"))
+
+
+@query("v03_self_products", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM embeddings")
+def v03(spark, d):
+    return base(spark, d, "embeddings").select("vec_id", F.round(vectors.dot(C("embedding"), C("embedding")), 6).alias("score"))
+
+
+@query("v04_encoded_texts")
+def v04(spark, d):
+    return vectors.encoded(base(spark, d, "benchmark").select("item_id", "text"), vectors.hashed_words())
+
+
+@query("v05_encoded_search")
+def v05(spark, d):
+    encode = vectors.hashed_words()
+    chunks = vectors.encoded(base(spark, d, "documents").select(C("doc_id").alias("faiss_id"), "text"), encode).select("faiss_id", "embedding")
+    asked = vectors.encoded(base(spark, d, "benchmark").select(C("item_id").alias("query_id"), "text"), encode, to="q").select("query_id", "q")
+    return vectors.top_k(asked, chunks, 10)
+
+
+@query("v06_score_matrix", "SELECT a.vec_id AS a, b.vec_id AS b, " + S.dot("a.embedding", "b.embedding") + " AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 3 WHERE a.vec_id % 50 = 7")
+def v06(spark, d):
+    rows = base(spark, d, "embeddings")
+    left = rows.where("vec_id % 50 = 7").select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
+    return vectors.inner_products(left, rows.where("vec_id % 50 = 3")).select(C("query_id").alias("a"), C("vec_id").alias("b"), F.round("score", 6).alias("score"))
+
+
+_FOUND = "SELECT query_id, rank, chunk_id, score, score_max, score_mean, n_segments FROM found"
+
+
+@query("t01_retrieve", f"WITH {S.found(5)} {_FOUND}")
+def t01(spark, d):
+    return retrieval.retrieve(fx(spark, d, "query_vecs"), fx(spark, d, "segments"), 5)
+
+
+@query("t02_bm25_top", f"WITH {S.BM25} SELECT query_id, doc_id, score, rank FROM bm")
+def t02(spark, d):
+    return joins.ranked(spark, d)[2]
+
+
+@query("t03_chunk_ranking", f"WITH {S.found(20)} {_FOUND}")
+def t03(spark, d):
+    return retrieval.retrieve(fx(spark, d, "query_vecs"), fx(spark, d, "segments"), 20)
+
+
+@query("t04_batch_top_k", f"WITH s AS (SELECT query_id, faiss_id, {S.dot('q', 'embedding')} AS score FROM fx_query_vecs CROSS JOIN fx_segments) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, faiss_id) AS rank FROM s) WHERE rank <= 100")
+def t04(spark, d):
+    return joins.vector_hits(spark, d, 100).select("query_id", "faiss_id", "score", "rank")
+
+
+@query("t05_best_articles", f"WITH {S.entries(30)} SELECT query_id, act_code, article, score, n AS place FROM (SELECT query_id, act_code, article, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, act_code, article) AS n FROM entries) WHERE n <= 5")
+def t05(spark, d):
+    from pyspark.sql import Window
+
+    rows = retrieval.articles(aggregates.chunk_hits(spark, d, 30))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(C("score").desc(), "act_code", "article"))
+    return rows.select("query_id", "act_code", "article", "score", place.alias("place")).where("place <= 5")
+
+
+@query("t07_ordered_limit", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def t07(spark, d):
+    return base(spark, d, "documents").select("doc_id", "n_chars").orderBy(C("n_chars").desc(), "doc_id").limit(25)
+
+
+@query("t08_head_lines", "SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], '|') AS head FROM documents")
+def t08(spark, d):
+    return base(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 1, 3), "|").alias("head"))
+
+
+# ---------------------------------------------------------------- contexts and answers
+
+
+_PIECES = f"""{S.entries(30)}, ranked AS (SELECT query_id, act_code, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, max(best) DESC, act_code) AS act_rank FROM entries GROUP BY 1, 2),
+texts AS (SELECT {S.lookup_key(S.code_of('corpus_id'))} AS key, cast({S.parts('corpus_id')['suffix']} AS INT) AS article, string_agg({S.shown('content')}, chr(10) || chr(10) ORDER BY chunk_id) AS text FROM fx_chunks WHERE {S.parts('corpus_id')['suffix']} <> '' AND {S.shown('content')} <> '' GROUP BY 1, 2),
+pieces AS (SELECT e.query_id, act_rank, 'Văn bản: ' || e.act_code AS header, row_number() OVER (PARTITION BY e.query_id, e.act_code ORDER BY e.score DESC, e.article) AS article_rank, e.article, t.text FROM entries e JOIN ranked r USING (query_id, act_code) JOIN texts t ON t.key = {S.lookup_key('e.act_code')} AND t.article = e.article)"""
+_CONTEXT = f"""{_PIECES}, cut AS (SELECT *, substring(text, 1, greatest(0, least(length(text), 4000 - before))::INT) AS taken FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id, act_rank ORDER BY article_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces)),
+blocks AS (SELECT query_id, act_rank, header || chr(10) || string_agg('Điều ' || article || chr(10) || taken, chr(10) || chr(10) ORDER BY article_rank) AS b FROM cut WHERE taken <> '' GROUP BY 1, 2, header),
+ctx AS (SELECT query_id, substring(string_agg(b, chr(10) || chr(10) ORDER BY act_rank), 1, 20000) AS context FROM blocks GROUP BY 1)"""
+
+
+def contexts(spark, d):
+    from pyspark.sql import Window
+
+    from lexloom.operators import citations
+
+    entries = retrieval.articles(aggregates.chunk_hits(spark, d, 30))
+    ranks = retrieval.acts(entries).select("query_id", "act_code", C("rank").alias("act_rank"))
+    place = F.row_number().over(Window.partitionBy("query_id", "act_code").orderBy(C("score").desc(), "article"))
+    rows = entries.join(ranks, ["query_id", "act_code"]).withColumn("article_rank", place).withColumn("key", L.lookup_key(C("act_code")))
+    texts = citations.article_texts(fx(spark, d, "chunks"))
+    pieces = rows.join(texts, ["key", "article"]).select("query_id", "act_rank", F.concat(F.lit("Văn bản: "), "act_code").alias("header"), "article_rank", "article", "text")
+    return retrieval.contexts(pieces, 4000, 20_000)
+
+
+@query("x15_contexts", f"WITH {_CONTEXT} SELECT * FROM ctx")
+def x15(spark, d):
+    return contexts(spark, d)
+
+
+@query("llm1_prompts", f"WITH {_CONTEXT} SELECT query_id, {S.lit(retrieval.INSTRUCTION)} || 'Ngữ cảnh:' || chr(10) || context || chr(10) || chr(10) || 'Câu hỏi: q' || query_id AS prompt FROM ctx")
+def llm1(spark, d):
+    return contexts(spark, d).select("query_id", retrieval.prompt(F.concat(F.lit("q"), C("query_id").cast("string")), C("context")).alias("prompt"))
+
+
+@query("f06_above_threshold", f"WITH {S.entries(30)} SELECT query_id, act_code, article FROM entries WHERE score >= 0.2")
+def f06(spark, d):
+    return retrieval.articles(aggregates.chunk_hits(spark, d, 30)).where("score >= 0.2").select("query_id", "act_code", "article")
+
+
+@query("api1_sources", "SELECT chunk_id, corpus_id, substring(content, 1, 100) AS content FROM fx_chunks WHERE chunk_id % 37 = 5")
+def api1(spark, d):
+    asked = base(spark, d, "documents").where("doc_id % 37 = 5").select(C("doc_id").alias("chunk_id"))
+    return fx(spark, d, "chunks").join(asked, "chunk_id", "left_semi").select("chunk_id", "corpus_id", F.substring("content", 1, 100).alias("content"))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A row type from `name type, name type`; needs no session."""
+    fields = [f.strip().rsplit(" ", 1) for f in text.split(",")]
+    return T.StructType([T.StructField(name.strip("`"), _TYPES[kind]) for name, kind in fields])
 
 
 RAW_CORPUS = _struct("_id string, title string, text string")
