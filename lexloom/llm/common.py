@@ -52,6 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches to Python hold a few MB from now on, so that texts of any length leave room for models.
+
+    A size that the cluster sets itself is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(key):
+        df.sparkSession.conf.set(key, "4m")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,7 +108,7 @@ class ChunkCoder:
     `renew` portions the memory starts anew, so that it follows a change of the input.
     """
 
-    def __init__(self, split, encode, limit: int = 400_000, portion: int = 4_000_000, renew: int = 400):
+    def __init__(self, split, encode, limit: int = 400_000, portion: int = 2_000_000, renew: int = 800):
         self.split, self.encode_new, self.limit, self.portion, self.renew = split, encode, limit, portion, renew
         self.clear()
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import cut, mix64, stored
+from lexloom.llm.common import cut, mix64, small_batches, stored
 from lexloom.llm.links import components
 from lexloom.llm.shingles import shingle_sets
 
@@ -82,7 +82,8 @@ def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 )
                 at += len(sizes)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- signature trees
@@ -208,7 +209,8 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     placed = roots.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     # the sets of these nodes alone
     texts = docs.select(F.col(key).cast("long").alias("node"), "text").where("node IS NOT NULL")
-    items = placed.join(texts, "node")
+    # one plan at every size: the nodes under roots grow with the documents, so they are never broadcast
+    items = texts.hint("merge").join(placed, "node")
     names = ["node", "root", "blocks"]
 
     def to_sets(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, mix64, text_of
+from lexloom.llm.common import WORD, mix64, small_batches, text_of
 
 WEIGHTS, TIMES, MOST = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS = 512, 4096
@@ -268,4 +268,4 @@ def mix_documents(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS
                 columns[kept.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], struct.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names=kept)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return small_batches(joined).mapInArrow(cut, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import ChunkCoder
+from lexloom.llm.common import ChunkCoder, small_batches
 
 MARK = "▁"
 NONE = np.int64(1) << np.int64(40)
@@ -121,7 +121,7 @@ class PieceModel:
         i = self.single.get(c)
         return [i] if i is not None else [self.byte_ids[b] for b in c.encode()]
 
-    def encode_chunks(self, chunks: list[str], portion: int = 400_000):
+    def encode_chunks(self, chunks: list[str], portion: int = 150_000):
         """Flat ids and the number of ids of each chunk; about `portion` characters share a suffix array."""
         flat, count = [], []
         at = 0
@@ -282,7 +282,7 @@ def model_at(path: str) -> PieceModel:
 def coder_at(path: str) -> ChunkCoder:
     """One coder a Python worker: what it remembers serves all the worker's tasks."""
     if path not in _CODERS:
-        _CODERS[path] = ChunkCoder(model_at(path).split, model_at(path).encode_chunks)
+        _CODERS[path] = ChunkCoder(model_at(path).split, model_at(path).encode_chunks, limit=250_000, portion=1_000_000, renew=1600)
     return _CODERS[path]
 
 
@@ -303,7 +303,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", to: str =
                 yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(len(kept))), lists], names=[*kept, to])
                 at += len(sizes)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids", to: str = "text") -> DataFrame:
@@ -318,7 +318,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids", to: st
             texts = pa.array([None if x is None else model.decode(x) for x in own], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), texts], names=[*kept, to])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return small_batches(df.select(*kept)).mapInArrow(run, schema)
 
 
 def piece_digest(docs: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
@@ -344,4 +344,4 @@ def piece_digest(docs: DataFrame, model_path: str, key: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=[key, "n_pieces", "ids_crc32", "round_trip"])
                 at += len(sizes)
 
-    return rows.mapInArrow(run, f"{key} {kind}, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
+    return small_batches(rows).mapInArrow(run, f"{key} {kind}, n_pieces bigint, ids_crc32 bigint, round_trip boolean")

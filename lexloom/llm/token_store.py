@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import ChunkCoder, in_portions, mix64, scratch
+from lexloom.llm.common import ChunkCoder, in_portions, mix64, scratch, small_batches
 
 #: White space of Unicode, as the pre-tokenizer's pattern has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -186,7 +186,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, ke
         if keys:
             yield flush()[0]
 
-    rows.mapInArrow(encode, schema).write.option("compression", "zstd").parquet(f"{path}/payload")
+    small_batches(rows).mapInArrow(encode, schema).write.option("compression", "zstd").parquet(f"{path}/payload")
     _write_index(spark, path, key_type)
 
 

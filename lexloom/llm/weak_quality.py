@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
-from lexloom.llm.common import in_portions, text_of
+from lexloom.llm.common import in_portions, small_batches, text_of
 from lexloom.llm.shingles import word_hashes
 
 SAMPLE, BITS, ORDERS = 4000, 16, (1, 2, 3)
@@ -203,7 +203,7 @@ class Scorer:
 def quality(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """doc_id, posterior (of the votes), score (of the trained scorer, 0 to 1), good (score of at least 0.5)."""
     out = f"{key} {docs.schema[key].dataType.simpleString()}, posterior double, score double, good boolean"
-    texts = docs.select(text_of().alias("text"))
+    texts = small_batches(docs.select(text_of().alias("text")))
 
     def vote(batches):
         for batch in batches:
