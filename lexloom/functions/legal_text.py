@@ -189,6 +189,10 @@ def head_field(text: Column, pattern: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(head, "(?iu)(?<![\\p{L}\\p{N}_])" + pattern, 1)), F.lit(""))
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def heading(chapter: Column, section: Column, article: Column, name: Column) -> Column:
     """Context line, and the article's line with its name."""
     context = F.concat_ws(" – ", F.nullif(chapter, F.lit("")), F.nullif(section, F.lit("")))
@@ -199,15 +203,15 @@ def heading(chapter: Column, section: Column, article: Column, name: Column) ->
 def article_text(chapter, section, article, name, body) -> Column:
     head = heading(chapter, section, article, name)
     head = F.when(head.endswith(".."), F.rtrim(head, F.lit("."))).otherwise(head)
-    return F.trim(F.concat(head, F.lit("\n"), _or_empty(body)))
+    return _strip(F.concat(head, F.lit("\n"), _or_empty(body)))
 
 
 def clause_text(chapter, section, article, name, clause, body) -> Column:
-    return F.trim(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(". "), _or_empty(body)))
+    return _strip(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(". "), _or_empty(body)))
 
 
 def point_text(chapter, section, article, name, clause, point, body) -> Column:
-    return F.trim(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(" - Điểm "), point, F.lit(") "), _or_empty(body)))
+    return _strip(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(" - Điểm "), point, F.lit(") "), _or_empty(body)))
 
 
 def masked(text: Column, secret: Column | str) -> Column:

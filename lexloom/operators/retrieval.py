@@ -9,6 +9,10 @@ from lexloom.functions import legal_text as L
 from lexloom.operators import vectors
 
 
+#: Means of scores with six digits keep three more, so that rounding meets no ties.
+DIGITS = 9
+
+
 def combined(scores: Column, strategy: str = "topm_mean", m: int = 2) -> Column:
     """One score of an array of scores: `max`, `mean`, or the mean of the m largest (also for any other name)."""
     if strategy == "max":
@@ -35,8 +39,8 @@ def ranked_chunks(hits: DataFrame, k: int, strategy: str = "topm_mean", m: int =
     """hits: query_id, chunk_id, rank, score, and what describes a segment."""
     grouped = hits.groupBy("query_id", "chunk_id").agg(F.collect_list("score").alias("scores"), F.min("rank").alias("first"))
     scored = grouped.select(
-        "query_id", "chunk_id", "first", F.round(combined(F.col("scores"), strategy, m), 6).alias("score"), F.round(F.array_max("scores"), 6).alias("score_max"),
-        F.round(combined(F.col("scores"), "mean"), 6).alias("score_mean"), F.size("scores").alias("n_segments"),
+        "query_id", "chunk_id", "first", F.round(combined(F.col("scores"), strategy, m), DIGITS).alias("score"), F.round(F.array_max("scores"), 6).alias("score_max"),
+        F.round(combined(F.col("scores"), "mean"), DIGITS).alias("score_mean"), F.size("scores").alias("n_segments"),
     )
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("first"))
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).drop("first")
@@ -59,7 +63,7 @@ def articles(hits: DataFrame, strategy: str = "top_mean", m: int = 5) -> DataFra
     code, suffix = L.act_code(L.code_of(F.col("corpus_id"))), L.parse_corpus_id(F.col("corpus_id"))["suffix"]
     rows = hits.withColumns({"act_code": code, "article": F.when(L.is_number(suffix), suffix.cast("int"))}).where("act_code <> '' AND article IS NOT NULL")
     grouped = rows.groupBy("query_id", "act_code", "article").agg(F.collect_list("score").alias("scores"), F.max("score").alias("best"), F.count("*").alias("n"), F.min_by("corpus_id", "rank").alias("corpus_id"))
-    return grouped.withColumn("score", F.round(combined(F.col("scores"), {"top_mean": "topm_mean"}.get(strategy, strategy), m), 6)).drop("scores")
+    return grouped.withColumn("score", F.round(combined(F.col("scores"), {"top_mean": "topm_mean"}.get(strategy, strategy), m), DIGITS)).drop("scores")
 
 
 # Fixed values.
@@ -111,7 +115,7 @@ def act_groups(hits: DataFrame, k: int, strategy: str = "mean", m: int = 3) -> D
     code, suffix = L.act_code(L.code_of(F.col("corpus_id"))), L.parse_corpus_id(F.col("corpus_id"))["suffix"]
     rows = hits.withColumns({"act_code": code, "article": F.when(L.is_number(suffix), suffix.cast("int"))}).where("act_code <> ''")
     grouped = rows.groupBy("query_id", "act_code").agg(F.collect_list("score").alias("scores"), F.max("score").alias("best_score"), F.array_sort(F.collect_set("article")).alias("articles"), F.min_by("corpus_id", "rank").alias("corpus_id"))
-    scored = grouped.withColumn("group_score", F.round(combined(F.col("scores"), strategy, m), 6)).drop("scores")
+    scored = grouped.withColumn("group_score", F.round(combined(F.col("scores"), strategy, m), DIGITS)).drop("scores")
     place = Window.partitionBy("query_id").orderBy(F.col("group_score").desc(), F.col("best_score").desc(), "act_code")
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= max(1, k))
 

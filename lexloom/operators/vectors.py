@@ -89,7 +89,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "faiss_id",
 
         size = max(1, -(-rows.count() // 8192))
         held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(size)).alias("part")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-        hits = held.crossJoin(packed.drop("block")).repartition().mapInPandas(pairs, schema)
+        hits = held.crossJoin(packed).repartition("part", "block").mapInPandas(pairs, schema)
     else:
         hits = rows.mapInPandas(scan, schema)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))

@@ -22,10 +22,10 @@ def hits_with_parts(spark, d, k):
 _STRATEGIES = {"topm_mean": S.topm("list(score)", 2), "max": "max(score)", "mean": "avg(score)"}
 
 
-@query("a01_chunk_scores", f"WITH {S.hits(50)} SELECT query_id, chunk_id, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _STRATEGIES.items()) + " FROM hits GROUP BY 1, 2")
+@query("a01_chunk_scores", f"WITH {S.hits(50)} SELECT query_id, chunk_id, " + ", ".join(f"round({v}, 9) AS {k}" for k, v in _STRATEGIES.items()) + " FROM hits GROUP BY 1, 2")
 def a01(spark, d):
     rows = hits_with_parts(spark, d, 50).groupBy("query_id", "chunk_id").agg(F.collect_list("score").alias("s"))
-    return rows.select("query_id", "chunk_id", *[F.round(retrieval.combined(C("s"), k), 6).alias(k) for k in _STRATEGIES])
+    return rows.select("query_id", "chunk_id", *[F.round(retrieval.combined(C("s"), k), 9).alias(k) for k in _STRATEGIES])
 
 
 @query("a02_segment_lists", f"WITH {S.hits(50)} SELECT query_id, chunk_id, string_agg(faiss_id || ':' || part, ' ' ORDER BY score DESC, faiss_id) AS segments FROM hits GROUP BY 1, 2")
@@ -57,7 +57,7 @@ def a05(spark, d):
 
 def _groups_sql(score: str, k: int) -> str:
     return f"""WITH {S.found(30)}, named AS (SELECT query_id, score, {S.act_code(S.code_of('corpus_id'))} AS act_code, {S.parts('corpus_id')['suffix']} AS suffix FROM found JOIN fx_chunks USING (chunk_id)),
-g AS (SELECT query_id, act_code, round({score}, 6) AS group_score, max(score) AS best_score, count(DISTINCT nullif(suffix, '')) AS article_count FROM named GROUP BY 1, 2)
+g AS (SELECT query_id, act_code, round({score}, 9) AS group_score, max(score) AS best_score, count(DISTINCT nullif(suffix, '')) AS article_count FROM named GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY group_score DESC, best_score DESC, act_code) AS rank FROM g) WHERE rank <= {k}"""
 
 
@@ -94,7 +94,7 @@ def threshold_sql(source: str, start: float, most: int) -> str:
 
 def _threshold(level):
     def run(spark, d):
-        rows = retrieval.articles(chunk_hits(spark, d, 30)).withColumn("score", F.round(L.similarity(C("score")) * 1.1, 6))
+        rows = retrieval.articles(chunk_hits(spark, d, 30)).withColumn("score", F.round(L.similarity(C("score")) * 1.1, 9))
         out = retrieval.adaptive_threshold(rows, level)
         return out.select("query_id", "act_code", "article", "score", F.round("threshold_used", 6).alias("threshold_used"))
 
@@ -102,7 +102,7 @@ def _threshold(level):
 
 
 for _name, (_start, _most) in retrieval.LEVELS.items():
-    _scaled = f"scaled AS (SELECT query_id, act_code, article, round(greatest(0.0, least((score + 1) / 2, 1.0)) * 1.1, 6) AS score FROM entries)"
+    _scaled = f"scaled AS (SELECT query_id, act_code, article, round(greatest(0.0, least((score + 1) / 2, 1.0)) * 1.1, 9) AS score FROM entries)"
     query(f"a08_threshold_{_name}", f"WITH {S.entries(30)}, {_scaled}, {threshold_sql('scaled', _start, _most)} SELECT query_id, act_code, article, score, round(threshold_used, 6) AS threshold_used FROM passed")(_threshold(_name))
 
 

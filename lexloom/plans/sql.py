@@ -77,7 +77,7 @@ def topm(scores: str, m: int) -> str:
 #: Retrieved chunks: found(query_id, chunk_id, score, rank), the k best of k * 5 segments.
 def found(k: int) -> str:
     return f"""{hits(k * 5)},
-grouped AS (SELECT query_id, chunk_id, round({topm('list(score)', 2)}, 6) AS score, round(max(score), 6) AS score_max, round(avg(score), 6) AS score_mean, count(*) AS n_segments, min(rank) AS first FROM hits GROUP BY 1, 2),
+grouped AS (SELECT query_id, chunk_id, round({topm('list(score)', 2)}, 9) AS score, round(max(score), 6) AS score_max, round(avg(score), 9) AS score_mean, count(*) AS n_segments, min(rank) AS first FROM hits GROUP BY 1, 2),
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM grouped) WHERE rank <= {k})"""
 
 
@@ -85,7 +85,7 @@ found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 def entries(k: int) -> str:
     return f"""{found(k)},
 named AS (SELECT query_id, f.rank, f.score, corpus_id, {act_code(code_of('corpus_id'))} AS act_code, {parts('corpus_id')['suffix']} AS suffix FROM found f JOIN fx_chunks USING (chunk_id)),
-entries AS (SELECT query_id, act_code, suffix::INT AS article, round({topm('list(score)', 5)}, 6) AS score, max(score) AS best, count(*) AS n, arg_min(corpus_id, rank) AS corpus_id FROM named WHERE regexp_full_match(suffix, '[0-9]+') AND act_code <> '' GROUP BY 1, 2, 3)"""
+entries AS (SELECT query_id, act_code, suffix::INT AS article, round({topm('list(score)', 5)}, 9) AS score, max(score) AS best, count(*) AS n, arg_min(corpus_id, rank) AS corpus_id FROM named WHERE regexp_full_match(suffix, '[0-9]+') AND act_code <> '' GROUP BY 1, 2, 3)"""
 
 
 #: Documents ranked by BM25: bm(query_id, doc_id, score, rank) with the top 50, zero scores filling up.
