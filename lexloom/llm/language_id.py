@@ -40,6 +40,7 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> li
     # first thin out by hash, so that little text is shuffled; then take exactly the first in hash order
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * per_language / n + 50.0 / n))])
     near = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    near = near.dropDuplicates(["lang", "h"])  # copies teach nothing
     place = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "text")
     drawn = near.withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_language)
     return [(r["text"], r["lang"]) for r in drawn.orderBy("lang", "n").select("text", "lang").collect()]

@@ -23,6 +23,8 @@ from lexloom.llm.links import components
 THRESHOLD = 0.98
 #: Pivots that describe a vector, how many of them two near vectors share at least, and the bounds of all pivots.
 PREFIX, MIN_SHARED, PIVOTS = 8, 2, (32, 1024)
+#: Largest cosine of two pivots.
+APART = 0.9
 #: The pivots come from a sample of so many vectors a pivot.
 SAMPLE = 4
 BLOCK = 1024
@@ -42,9 +44,12 @@ def unit(rows: pd.Series) -> np.ndarray:
 
 
 def choose_pivots(vectors: np.ndarray, many: int) -> np.ndarray:
-    """Rows of unit vectors, each the farthest from those before it."""
+    """Rows of unit vectors, each the farthest from those before it, while one is left with a cosine up to APART.
+
+    Pivots that lie closer together than vectors that link would be ranked by chance.
+    """
     chosen, nearest = [0], vectors @ vectors[0]
-    while len(chosen) < min(many, len(vectors)):
+    while len(chosen) < min(many, len(vectors)) and nearest.min() <= APART:
         chosen.append(int(nearest.argmin()))
         nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
     return vectors[chosen]

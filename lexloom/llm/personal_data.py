@@ -33,9 +33,11 @@ GUARDS = {"email": "@", "phone": "+"}
 SECRET = "secret"
 ORDER = {kind: i for i, kind in enumerate([*BASE, SECRET])}
 
-#: A candidate: at most a name with = or :, then a run of letters, digits and marks that holds a digit.
+#: A candidate: at most a name with = or :, then a run of letters, digits and marks that holds a digit or is a key id.
 NAME = r"""(?:[A-Za-z_]{2,16} ?[=:] ?["']?)"""
-CANDIDATE = rf"""(?<![A-Za-z0-9_/+.@-]){NAME}?+(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{{12,64}}+(?![A-Za-z0-9@.])"""
+CANDIDATE = rf"""(?<![A-Za-z0-9_/+.@-]){NAME}?+(?=[A-Za-z_/+-]*+[0-9]|AKIA[A-Z]{{16}})[A-Za-z0-9_/+-]{{12,64}}+(?![A-Za-z0-9@.])"""
+#: What a text with a candidate has.
+POSSIBLE = "[0-9]|AKIA"
 #: Names of what should stay secret.
 GAZETTEER = ["password", "passwd", "pwd", "passphrase", "token", "secret", "apikey", "api_key", "access_key", "secret_key", "auth", "credential"]
 
@@ -114,14 +116,15 @@ def _votes(name: Column, value: Column) -> list[Column]:
     vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
     word = F.lower(F.regexp_extract(name, "^[A-Za-z_]+", 0))
     digits = F.length(F.regexp_replace(value, "[^0-9]", "")) / F.length(value)
+    marked = value.rlike("[/_-]")
     return [
         vote(value.rlike("^[A-Z]{4}[0-9A-Z]{16}$")),  # key id of a cloud service
         vote(value.rlike("^[0-9a-f]{16,64}$") & value.rlike("[a-f]")),  # hexadecimal
         vote(word.isin(GAZETTEER), word != ""),  # gazetteer of names
-        vote(F.contains(name, F.lit("=")) | name.rlike("[\"']$"), name == ""),  # context: assigned or quoted
-        vote(digits.between(0.15, 0.9), (digits == 1) | (digits < 0.1)),  # a mixture of letters and digits
+        vote(F.contains(name, F.lit("=")) | name.rlike("[\"']$")),  # context: assigned or quoted
+        vote(digits.between(0.1, 0.9) & ~marked, (digits == 1) | marked),  # a mixture of letters and digits, without marks
         vote(F.length(value) >= 18, F.length(value) < 14),
-        vote(F.lit(False), value.rlike("[/_-]")),  # paths and dates
+        vote(F.lit(False), marked),  # paths and dates
     ]
 
 
@@ -132,23 +135,31 @@ LABELERS = 7
 
 
 def estimate(patterns: dict[tuple, int], rounds: int = 60) -> dict[tuple, float]:
-    """Posterior of each vote pattern by expectation-maximisation of a two-class model with independent labelers."""
+    """Posterior of each vote pattern by expectation-maximisation of a two-class model with independent labelers.
+
+    No opinion is no evidence, and either class is as likely before the votes.  The prior holds each labeler right four
+    times in five, with as much weight as all candidates, so that classes keep their meaning where one is all but empty.
+    """
+    total = sum(patterns.values())
     post = {v: min(0.9, max(0.1, 0.5 + 0.2 * sum(v))) for v in patterns}
     for _ in range(rounds):
-        mass = [1.0 + sum(n * (p if c else 1 - p) for (v, n), p in zip(patterns.items(), post.values(), strict=True)) for c in (0, 1)]
-        rate = [[{x: 0.5 for x in (-1, 0, 1)} for _ in range(LABELERS)] for _ in (0, 1)]
+        rate = [[{s: total * (0.8 if c == (s > 0) else 0.2) for s in (-1, 1)} for _ in range(LABELERS)] for c in (False, True)]
         for v, n in patterns.items():
             for c in (0, 1):
                 for i, x in enumerate(v):
-                    rate[c][i][x] += n * (post[v] if c else 1 - post[v])
+                    if x:
+                        rate[c][i][x] += n * (post[v] if c else 1 - post[v])
         for v in post:
-            log = [math.log(mass[c]) + sum(math.log(rate[c][i][x] / (mass[c] + 0.5)) for i, x in enumerate(v)) for c in (0, 1)]
+            log = [sum(math.log(rate[c][i][x] / sum(rate[c][i].values())) for i, x in enumerate(v) if x) for c in (0, 1)]
             post[v] = 1 / (1 + math.exp(max(-500.0, min(500.0, log[0] - log[1]))))
     return post
 
 
 def train(patterns: dict[tuple, int], post: dict[tuple, float], rounds: int = 400, step: float = 1.0, decay: float = 1e-3) -> list[float]:
     """Weights of a logistic classifier: the bias, then for each labeler the weight of 1 and of -1."""
+    # what no labeler has an opinion on is no secret
+    silent = (0,) * LABELERS
+    patterns, post = patterns | {silent: max(patterns.values())}, post | {silent: 0.0}
     features = {v: [1.0] + [float(x == s) for x in v for s in (1, -1)] for v in patterns}
     total, w = sum(math.sqrt(n) for n in patterns.values()), [0.0] * (1 + 2 * LABELERS)
     for _ in range(rounds):
@@ -163,7 +174,7 @@ def train(patterns: dict[tuple, int], post: dict[tuple, float], rounds: int = 40
 
 def fit(docs: DataFrame, text: str = "text") -> list[float]:
     """Weights of the span classifier, from all candidates of docs; without any, weights that accept nothing."""
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("t").rlike("[0-9]"))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.col("t").rlike(POSSIBLE))
     rows = rows.withColumn("base", _base(F.col("t"))).select(F.explode(F.transform(_candidates(F.col("t"), F.col("base")), lambda c: c["votes"])).alias("votes"))
     patterns = {tuple(r["votes"]): r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     if not patterns:
@@ -183,7 +194,7 @@ def with_spans(docs: DataFrame, weights: list[float], text: str = "text") -> Dat
     """docs with __base and __spans: sorted arrays of (at, rank, kind, upto), of the fixed kinds and of all kinds."""
     t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumn("__base", _base(t))
-    found = F.when(t.rlike("[0-9]"), _candidates(t, F.col("__base"))).otherwise(F.lit([]).cast("array<struct<votes:array<int>,at:bigint,upto:bigint>>"))
+    found = F.when(t.rlike(POSSIBLE), _candidates(t, F.col("__base"))).otherwise(F.lit([]).cast("array<struct<votes:array<int>,at:bigint,upto:bigint>>"))
     docs = docs.withColumn("__found", found)
     added = F.transform(F.filter("__found", lambda c: _accepted(c["votes"], weights)), lambda c: _span(SECRET, c["at"], c["upto"]))
     return docs.withColumn("__spans", F.sort_array(F.concat("__base", added))).drop("__found")

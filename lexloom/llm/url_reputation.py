@@ -19,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import cut
+
 #: Fixed rules: (verdict, host, path prefix).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 LEVELS = ("suffix", "domain", "host")
@@ -47,6 +49,7 @@ def reputation(pages: DataFrame, z: float = Z, rho: tuple = RHO) -> DataFrame:
     """host, bad_mean, bad_low, a row a host.  pages: host, and bad (0 or 1, null: not labelled)."""
     units = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     units = units.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    units = cut(units)  # a row a host, read by every level
     # the whole: a uniform prior, so that its mean is never 0 or 1
     above = units.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mu"))
     own = None
@@ -58,6 +61,7 @@ def reputation(pages: DataFrame, z: float = Z, rho: tuple = RHO) -> DataFrame:
             ((F.sum(F.pow(F.col("b") - F.col("n") * F.col("mu"), 2)) - F.sum(v)) / F.nullif(F.sum(v * (F.col("n") - 1)), F.lit(0.0))).alias("rho")
         ).select((1 / F.least(F.greatest(F.coalesce("rho", F.lit(0.0)), F.lit(rho[0])), F.lit(rho[1])) - 1).alias("k"))
         own = own.join(F.broadcast(spread)).withColumn("mean", (F.col("b") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k")))
+        own = cut(own)
         above = own.select(level, F.col("mean").alias("mu"))
     low = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("k") + 1))
     return own.select("host", F.col("mean").alias("bad_mean"), low.alias("bad_low"))

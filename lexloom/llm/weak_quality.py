@@ -220,7 +220,7 @@ def quality(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataF
     total = sum(patterns.values())
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     near = texts.withColumn("h", h).where(F.col("h") < min(1.0, 4 * sample / total + 100 / total) * (1 << 30))
-    drawn = [r["text"] for r in near.orderBy("h", "text").limit(sample).collect()]
+    drawn = [r["text"] for r in near.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(sample).collect()]
     scorer = Scorer(drawn, posterior[pattern_codes(drawn)])
     model = docs.sparkSession.sparkContext.broadcast((scorer, posterior))  # 2^BITS weights and 3^labellers posteriors
 
