@@ -16,46 +16,49 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP, NEGATIVES, LEAST = 50, 10, 8
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, token, tf, dl (the document's tokens)."""
-    rows = docs.select(key, L.tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    return rows.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, tokens, dl (their number) of the documents that have any."""
+    return docs.select(key, L.tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0")
 
 
-def statistics(posted: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """((n, avgdl), one row; (token, df, idf), a row a token)."""
-    docs = posted.groupBy(key).agg(F.first("dl").alias("dl"))
-    whole = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = posted.groupBy("token").agg(F.count("*").alias("df"))
+def postings(documents: DataFrame, only: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, token, dl, tf; with only (token), of those tokens, so that others never reach a shuffle."""
+    rows = documents.select(key, "dl", F.explode("tokens").alias("token"))
+    if only is not None:
+        rows = rows.join(only, "token", "left_semi")
+    return rows.groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
+
+
+def statistics(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((n, avgdl), one row; (token, df, idf), a row a token).  A document counts a token once before anything moves."""
+    whole = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    terms = documents.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     raw = terms.crossJoin(F.broadcast(whole)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # whole is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     return whole, raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))  # mean is one row
 
 
-def scores(queries: DataFrame, posted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """query_id, key, score of the documents that share a token with the query.  queries: query_id, query_text.
-
-    Only postings of tokens that some query has are scored: statistics need all of them, the join does not.
-    """
-    whole, terms = statistics(posted, key)
+def scores(queries: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score of the documents that share a token with the query.  queries: query_id, query_text."""
+    whole, terms = statistics(documents)
     asked = queries.select("query_id", F.explode(L.tokens(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     known = asked.join(terms, "token")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # a frequent token's postings meet few query rows; adaptive planning splits them where they are skewed
-    joined = posted.join(known, "token").crossJoin(F.broadcast(whole))  # whole is one row
+    joined = postings(documents, asked.select("token").distinct(), key).join(known, "token").crossJoin(F.broadcast(whole))  # whole is one row
     return joined.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * part), 6).alias("score"))
 
 
-def ranking(queries: DataFrame, docs: DataFrame, posted: DataFrame, top: int = TOP, key: str = "doc_id") -> DataFrame:
+def ranking(queries: DataFrame, documents: DataFrame, top: int = TOP, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, rank of the top documents; documents without a common token follow with 0, in key order.
 
     Any of the first `top` documents by key that do not match fill a short list, so no more are looked at.
     """
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    found = scores(queries, posted, key).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    found = scores(queries, documents, key).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
     short = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < top).select("query_id")
-    heads = posted.select(key).distinct().orderBy(key).limit(2 * top)
+    heads = documents.select(key).distinct().orderBy(key).limit(2 * top)
     filler = short.crossJoin(F.broadcast(heads)).join(found.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))  # heads has at most 2 * top rows
     both = found.drop("rank").unionByName(filler)
     return both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)

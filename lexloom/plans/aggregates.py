@@ -243,8 +243,8 @@ def a23(spark, d):
 
 @query("a24_bm25_terms", f"WITH {S.BM25} SELECT token, df, round(idf, 6) AS idf FROM terms")
 def a24(spark, d):
-    posted = bm25.postings(base(spark, d, "documents").select("doc_id", "text"))
-    return bm25.statistics(posted)[1].select("token", "df", F.round("idf", 6).alias("idf"))
+    documents = bm25.tokenised(base(spark, d, "documents").select("doc_id", "text"))
+    return bm25.statistics(documents)[1].select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 # ---------------------------------------------------------------- rate limits

@@ -50,8 +50,7 @@ neg AS (SELECT query_id, doc_id, n AS rank FROM (SELECT *, row_number() OVER (PA
 def ranked(spark, d):
     docs = base(spark, d, "documents").select("doc_id", "text")
     queries = base(spark, d, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query_text"))
-    posted = bm25.postings(docs)
-    return queries, docs, bm25.ranking(queries, docs, posted)
+    return queries, docs, bm25.ranking(queries, bm25.tokenised(docs))
 
 
 def positives(spark, d):
@@ -122,7 +121,7 @@ def j10(spark, d):
 @query("j11_bm25_scores", f"WITH {S.BM25} SELECT query_id, doc_id, score FROM bms")
 def j11(spark, d):
     queries = base(spark, d, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query_text"))
-    return bm25.scores(queries, bm25.postings(base(spark, d, "documents").select("doc_id", "text")))
+    return bm25.scores(queries, bm25.tokenised(base(spark, d, "documents").select("doc_id", "text")))
 
 
 _NAMES = "SELECT p_partkey AS pos, 'act' || p_partkey AS act_code, 2000 + p_partkey % 20 AS year, CASE p_partkey % 4 WHEN 0 THEN 'luat ' WHEN 1 THEN 'bo luat ' WHEN 2 THEN 'nghi dinh ' ELSE 'thong tu ' END || lower(p_type) || ' ' || p_size AS name FROM part"

@@ -172,9 +172,9 @@ def test_top_k_in_blocks_equals_one_block(spark, monkeypatch):
 def test_bm25_fills_short_rankings(spark):
     docs = spark.createDataFrame([(i, "alpha beta" if i == 7 else f"word{i}") for i in range(10)], "doc_id int, text string")
     queries = spark.createDataFrame([("q", "alpha")], "query_id string, query_text string")
-    got = bm25.ranking(queries, docs, bm25.postings(docs), 4).orderBy("rank").collect()
+    got = bm25.ranking(queries, bm25.tokenised(docs), 4).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [7, 0, 1, 2]
-    left = bm25.hard_negatives(bm25.ranking(queries, docs, bm25.postings(docs), 4), spark.createDataFrame([("q", 7)], "query_id string, doc_id int"))
+    left = bm25.hard_negatives(bm25.ranking(queries, bm25.tokenised(docs), 4), spark.createDataFrame([("q", 7)], "query_id string, doc_id int"))
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2]
 
 
