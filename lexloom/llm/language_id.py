@@ -5,8 +5,8 @@ the square root of the product of their numbers of n-grams.  Landmark texts give
 regression a language, against all others, is fitted in their space.  As the kernel is linear in the presence of
 n-grams, a text's scores are one matrix product of its presence row with the folded weights; texts go in batches.
 
-Fitting uses at most PER_LANGUAGE labelled texts of each language, drawn in hash order, LANDMARKS of them as
-landmarks; the sample is the same whatever the partitions.  Only text and label are learnt from.
+Fitting uses at most PER_LANGUAGE labelled texts of each language (fewer where there are many languages: ALL_TEXTS
+together), drawn in hash order, LANDMARKS of them as landmarks; the sample is the same whatever the partitions.  Only text and label are learnt from.
 
 A null text or one without a letter is `und` with score 0; so is every text if nothing was learnt.  Score is the
 softmax of the languages' values.  Rows that repeat are predicted alike.
@@ -24,6 +24,8 @@ from lexloom.llm.common import in_portions, small_batches
 
 ORDERS, BITS = (1, 2, 3), 20
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 600, 96, 1e-3, 6.0
+#: Bounds over all languages together: texts, landmarks, and n-grams (those of most landmarks).
+ALL_TEXTS, ALL_LANDMARKS, GRAMS = 6000, 1500, 1 << 15
 UNKNOWN = "und"
 
 
@@ -37,6 +39,7 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> li
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, ALL_TEXTS // len(counts)))
     # first thin out by hash, so that little text is shuffled; then take exactly the first in hash order
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * per_language / n + 50.0 / n))])
     near = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
@@ -75,20 +78,17 @@ class KernelModel:
             return
         own = presence([t for t, _ in sample], None, 0)
         lang = np.array([self.languages.index(x) for _, x in sample])
-        chosen = np.concatenate([np.flatnonzero(lang == c)[:landmarks] for c in range(len(self.languages))])
-        known = np.unique(np.concatenate([own[i] for i in chosen]))
+        most = max(1, min(landmarks, ALL_LANDMARKS // len(self.languages)))
+        chosen = np.concatenate([np.flatnonzero(lang == c)[:most] for c in range(len(self.languages))])
+        known, often = np.unique(np.concatenate([own[i] for i in chosen]), return_counts=True)
+        known = np.sort(known[np.argsort(-often, kind="stable")[:GRAMS]])
         self.width = len(known)
         self.place = np.full(1 << BITS, self.width, np.int32)
         self.place[known] = np.arange(self.width)
-        x = np.zeros((len(sample), self.width + 1), np.float32)
-        for i, g in enumerate(own):
-            x[i, self.place[g]] = 1
-        x = x[:, : self.width]
-        x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-        marks = x[chosen]
+        marks = self._rows([own[i] for i in chosen])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-6))
-        features = (x @ marks.T).astype(np.float64) @ root
+        features = np.concatenate([(self._rows(own[i : i + 256]) @ marks.T).astype(np.float64) for i in range(0, len(own), 256)]) @ root
         # languages weigh alike, however many texts each has
         weight = (1 / np.bincount(lang))[lang][:, None]
         target = np.where(lang[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
@@ -98,6 +98,14 @@ class KernelModel:
         alpha = root @ np.linalg.solve(inner, features.T @ (weight * (target - self.base)))
         self.weights = (marks.T.astype(np.float64) @ alpha).astype(np.float32)
 
+    def _rows(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Presence rows of unit length of some n-gram sets."""
+        x = np.zeros((len(sets), self.width + 1), np.float32)
+        for i, g in enumerate(sets):
+            x[i, self.place[g]] = 1
+        x = x[:, : self.width]
+        return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """A row a text, a column a language."""
         x = presence(texts, self.place, self.width).astype(np.float32)
