@@ -69,7 +69,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry of a JSON list; empty where the file is missing or no list."""
     empty = spark.createDataFrame([], schemas.REGISTRY)
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
         entries = raw.select(F.posexplode(F.from_json("value", T.ArrayType(schemas.RAW_REGISTRY))).alias("pos", "r")).select("pos", "r.*")
     except AnalysisException:
         return empty
@@ -79,7 +79,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def read_legacy(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """name, text of a folder of XML texts, of JSON Lines, or of Parquet; texts that are too long are left out."""
     if kind == "xml":
-        df = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+        df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     elif kind == "jsonl":
         df = read_jsonl(spark, path, schemas.RAW_CORPUS).select(F.col("_id").alias("name"), "text")
     else:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
 from lexloom.operators import bm25, citations, evaluation, retrieval, segments, tables, vectors
@@ -50,8 +51,8 @@ def test_display_falls_back_to_code(spark):
 
 
 def test_repair():
-    assert _repair("Äiá»u 5") == "Äiá»u 5" or _repair("Điều 5".encode().decode("latin-1")) == "Điều 5"
-    assert _repair("café") == "café"
+    for text in ("Điều 5", "café", "thuế — khoản"):
+        assert _repair(text) == text and _repair(text.encode().decode("latin-1")) == text
 
 
 @pytest.mark.parametrize(
@@ -185,9 +186,9 @@ def test_files(spark, tmp_path):
     got = files.read_corpus(spark, str(path)).orderBy("chunk_id").collect()
     assert [(r["chunk_id"], r["type"], r["suffix"], r["word_count"]) for r in got] == [(0, "nđ-cp", "13", 20), (1, "tt-bca", "", 16)]
     with pytest.raises(Exception):  # noqa: B017
-        files.read_jsonl(spark, str(path), got[0].__class__ and spark.createDataFrame([], "_id string, text string").schema, strict=True).collect()
+        files.read_jsonl(spark, str(path), schemas.RAW_CORPUS, strict=True).collect()
     registry = tmp_path / "registry.json"
-    registry.write_text(json.dumps([{"so_hieu": "1/2020/nd-cp", "trich_yeu": "a"}, {"so_hieu": "1/2020/NĐ-CP", "trich_yeu": "abc"}]))
+    registry.write_text(json.dumps(indent=1, obj=[{"so_hieu": "1/2020/nd-cp", "trich_yeu": "a"}, {"so_hieu": "1/2020/NĐ-CP", "trich_yeu": "abc"}]))
     assert [(r["act_code"], r["official_title"], r["year"]) for r in files.read_registry(spark, str(registry)).collect()] == [("1/2020/NĐ-CP", "abc", 2020)]
     assert files.read_registry(spark, str(tmp_path / "none.json")).count() == 0
     files.write_parquet(spark.range(3).withColumn("x", F.lit(1)), str(tmp_path / "p"), ["id", "absent"])
@@ -196,6 +197,41 @@ def test_files(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "t").rglob("*.txt")).strip() == "one\n\ntwo x"
 
 
+def test_other_scans_and_sinks(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_bytes(b'{"_id": "a", "text": "x\xff y"}\n\n{"_id": "b", "text": "z"}\n')
+    assert {r["_id"]: r["text"] for r in files.read_jsonl_repaired(spark, str(tmp_path / "bad.jsonl"), schemas.RAW_CORPUS).collect()} == {"a": "x\ufffd y", "b": "z"}
+    chunks = spark.createDataFrame([(1, " a "), (2, None)], "chunk_id bigint, content string")
+    files.write_parquet(chunks, str(tmp_path / "chunks.parquet"))
+    files.write_jsonl(chunks, str(tmp_path / "chunks"))
+    for path in ("chunks.parquet", "chunks"):
+        assert {r["chunk_id"]: r["content"] for r in files.read_chunks(spark, str(tmp_path / path)).collect()} == {1: "a", 2: ""}
+    (tmp_path / "xml").mkdir()
+    (tmp_path / "xml" / "one.xml").write_text("<a>text\nmore</a>")
+    assert [tuple(r) for r in files.read_legacy(spark, str(tmp_path / "xml"), "xml").collect()] == [("one.xml", "<a>text\nmore</a>")]
+    assert {r["name"] for r in files.read_legacy(spark, str(tmp_path / "bad.jsonl"), "jsonl").collect()} == {"b"}  # undecodable is malformed
+    texts = spark.createDataFrame([(7, "t")], "id int, text string")
+    files.write_parquet(texts, str(tmp_path / "texts"))
+    assert [tuple(r) for r in files.read_legacy(spark, str(tmp_path / "texts"), "parquet").collect()] == [("7", "t")]
+    files.write_table(spark.createDataFrame([("1", "x"), ("no", "y")], "n string, t string"), "smart_chunks", ["n"])
+    assert {(r["n"], r["t"]) for r in spark.table("smart_chunks").collect()} == {(1, "x"), (None, "y")}
+    segs = spark.createDataFrame([(0, 0, [3.0, 4.0]), (1, 0, [0.0, 0.0])], "faiss_id int, chunk_id int, embedding array<float>")
+    files.write_index(segs, str(tmp_path / "index"))
+    assert sorted(tuple(r["vec_norm"]) for r in spark.read.parquet(str(tmp_path / "index" / "segments")).collect()) == [(0.0, 0.0), (0.6, 0.8)]
+    assert spark.read.json(str(tmp_path / "index" / "metadata")).first()["total_segments"] == 2
+    files.write_metrics(segs.agg(F.count("*").alias("n")), str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).first()["n"] == 2
+    assert segments.policy(16, 256, 300) == (32, 16) and segments.policy(None) == (256, 64)
+
+
+def test_encoded_search_equals_python(spark):
+    encode, texts = vectors.hashed_words(32), ["red green blue", "green blue", "blue", "red", ""]
+    df = vectors.encoded(spark.createDataFrame(list(enumerate(texts)), "faiss_id int, text string"), encode, batch=2)
+    x = encode(texts).astype("float64")
+    got = vectors.top_k(df.where("faiss_id = 1").select(C("faiss_id").alias("query_id"), C("embedding").alias("q")), df, 3).orderBy("rank").collect()
+    s = (x @ x[1]).round(6)
+    assert [r["faiss_id"] for r in got] == sorted(range(5), key=lambda i: (-s[i], i))[:3]
+
+
 def test_rate_limit_replay(spark):
     start = datetime(2024, 1, 1)
     rows = [(1, i, start + timedelta(seconds=s)) for i, s in enumerate((0, 0.1, 0.2, 0.3, 1.25))] + [(2, 9, start)]
