@@ -108,15 +108,25 @@ class ChunkCoder:
     `renew` portions the memory starts anew, so that it follows a change of the input.
     """
 
-    def __init__(self, split, encode, limit: int = 400_000, portion: int = 2_000_000, renew: int = 800):
+    def __init__(self, split, encode, limit: int = 400_000, portion: int = 4_000_000, renew: int = 400):
         self.split, self.encode_new, self.limit, self.portion, self.renew = split, encode, limit, portion, renew
         self.clear()
 
     def clear(self):
         self.index, self.portions = Numbered(), 0
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        # of each chunk where its ids begin and how many they are; the ids of all chunks; how much of them is in use
+        self.start, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def _add(self, at: int, flat: np.ndarray, count: np.ndarray) -> None:
+        """Put new chunks' ids behind those in use; the arrays at least double when they grow."""
+        for name, need in (("start", at + len(count)), ("count", at + len(count)), ("flat", self.used + len(flat))):
+            own = getattr(self, name)
+            if need > len(own):
+                setattr(self, name, np.concatenate([own, np.zeros(max(need - len(own), len(own)), own.dtype)]))
+        self.start[at : at + len(count)] = self.used + np.cumsum(count) - count
+        self.count[at : at + len(count)] = count
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def encode(self, texts: list[str]):
         """(ids, number of ids) for each portion of consecutive texts."""
@@ -130,10 +140,7 @@ class ChunkCoder:
             codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
             new = list(islice(self.index, known, None))
             if new:
-                flat, count = self.encode_new(new)
-                self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-                self.count = np.concatenate([self.count, count])
-                self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+                self._add(known, *self.encode_new(new))
             count = self.count[codes]
             ends = np.cumsum(count)
             total = int(ends[-1]) if len(ends) else 0
@@ -143,6 +150,5 @@ class ChunkCoder:
                 keep = max(known, self.limit)
                 for chunk in new[keep - known :]:
                     del self.index[chunk]
-                self.start, self.count = self.start[:keep], self.count[:keep]
-                self.flat = self.flat[: int(self.start[-1] + self.count[-1])]
+                self.used = int(self.start[keep - 1] + self.count[keep - 1]) if keep else 0
             yield ids, np.diff(np.concatenate([[0], upto]))
