@@ -28,14 +28,17 @@ def n_windows(n: Column, length: int, overlap: int) -> Column:
 
 def windows(tokens: Column, length: int = LENGTH, overlap: int = OVERLAP) -> Column:
     """Array of (part from 1, begin, upto, tokens): one window if the tokens fit, else overlapping ones to the end."""
-    stride, n = max(1, length - overlap), F.size(tokens)
+    stride = max(1, length - overlap)
+
+    def all_of(own):
+        def window(i):
+            begin = i * stride
+            return F.struct((i + 1).alias("part"), begin.alias("begin"), F.least(F.size(own), begin + length).alias("upto"), F.slice(own, begin + 1, F.lit(length)).alias("tokens"))
 
-    def window(i):
-        begin = i * stride
-        own = F.slice(tokens, begin + 1, F.lit(length))
-        return F.struct((i + 1).alias("part"), begin.alias("begin"), F.least(n, begin + length).alias("upto"), own.alias("tokens"))
+        return F.transform(F.sequence(F.lit(0), n_windows(F.size(own), length, overlap) - 1), window)
 
-    return F.transform(F.sequence(F.lit(0), n_windows(n, length, overlap) - 1), window)
+    # the tokens are bound to a variable, else each window would tokenise the text anew
+    return F.get(F.transform(F.array(tokens), all_of), 0)
 
 
 def char_windows(text: Column, length: int = LENGTH, overlap: int = OVERLAP) -> Column:

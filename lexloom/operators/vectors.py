@@ -24,7 +24,9 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v)))
+    # the norm is bound to a variable, else each component would sum anew
+    by = lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return F.get(F.transform(F.array(norm(v)), by), 0)
 
 
 def inner_products(queries: DataFrame, vectors: DataFrame, query: str = "q", vector: str = "embedding") -> DataFrame:
