@@ -36,7 +36,8 @@ def held_out(key: Column) -> Column:
 def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     """(text, lang) of at most per_language texts a language.  labelled: text, lang."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # distinct texts, as all copies of a text pass or fail the thinning together
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}
     if not counts:
         return []
     per_language = max(1, min(per_language, ALL_TEXTS // len(counts)))

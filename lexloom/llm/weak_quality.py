@@ -217,7 +217,8 @@ def quality(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataF
     posterior = np.full(3 ** len(NAMES), 0.5)
     for v, p in post.items():
         posterior[sum((x + 1) * 3**i for i, x in enumerate(v))] = round(p, 9)
-    total = sum(patterns.values())
+    # distinct texts, as all copies of a text pass or fail the thinning together
+    total = texts.agg(F.countDistinct(F.xxhash64("text"))).first()[0]
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     near = texts.withColumn("h", h).where(F.col("h") < min(1.0, 4 * sample / total + 100 / total) * (1 << 30))
     drawn = [r["text"] for r in near.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(sample).collect()]

@@ -253,6 +253,14 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_copies_thin_out_no_language(spark):
+    n = F.col("id")
+    many = [spark.range(20_000).select(F.lit(f"copied {i} everywhere").alias("text"), F.lit(f"x{i}").alias("lang")) for i in range(3)]
+    some = spark.range(20_000).select(F.concat(F.lit("text "), (n % 100).cast("string")).alias("text"), F.lit("y").alias("lang"))
+    got = Counter(lang for _, lang in language_id.training_sample(some.unionByName(many[0]).unionByName(many[1]).unionByName(many[2]), 20))
+    assert got == {"x0": 1, "x1": 1, "x2": 1, "y": 20}
+
+
 # ---------------------------------------------------------------- 7: mixing
 
 
@@ -336,6 +344,13 @@ def test_quality(spark, odd, empty):
     assert weak_quality.quality(odd[0]).count() == len(odd[1]) and weak_quality.quality(empty).count() == 0
 
 
+def test_copies_thin_out_no_text_of_the_scorer(spark, monkeypatch):
+    own, seen = weak_quality.Scorer.__init__, []
+    monkeypatch.setattr(weak_quality.Scorer, "__init__", lambda self, texts, target: seen.append(len(set(texts))) or own(self, texts, target))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text of number "), (F.col("id") % 50).cast("string")).alias("text"))
+    assert weak_quality.quality(docs, sample=40).count() == 20_000 and seen == [40]
+
+
 # ---------------------------------------------------------------- 10: Jaccard join
 
 
