@@ -6,10 +6,13 @@ one of BANDS keys, each of ROWS minimum hashes, belong to one root; a pair of si
 probability (1 - s^ROWS)^BANDS, which is 1e-8 at 0.8.  Under a root the nodes stand in blocks of bounded size; each
 block is a tree whose nodes hold the OR of their members' token bitmaps and the range of their set sizes.  A dual
 traversal of two trees (or of one with itself) drops every pair of tree nodes whose largest possible overlap cannot
-reach the threshold, and what is left at the leaves is compared set by set, unless links already join the two.
+reach the threshold, and every pair that is left at the leaves is compared set by set.  Each pair of nodes meets in
+one pair of blocks, so every link is counted once; of a block pair's links only a node's count and one node that its
+links reach come out, so what comes out is linear where the links are not.
 
 Without words or text a document's set is empty and links with nothing.  Rows that share a doc_id count as one
-document; a null doc_id links with nothing.  Links are a spanning part of all: enough for the classes.
+document, and join the classes of all its texts; a null doc_id links with nothing.  A row's number of links is that
+of other pairs of document and set whose sets link with its own, so a document of several sets counts once for each.
 """
 
 from __future__ import annotations
@@ -54,6 +57,16 @@ def band_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two numbers that stand for each set; 0 for an empty one."""
+    out, full = np.zeros((2, len(sizes)), np.uint64), np.flatnonzero(sizes)
+    if len(full):
+        start = np.cumsum(sizes[full]) - sizes[full]
+        out[0, full] = np.add.reduceat(mix64(flat, 21), start)
+        out[1, full] = np.bitwise_xor.reduceat(mix64(flat, 22), start)
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """id, n, d1, d2 (a digest of the set), keys, a row a document; without shingles digest and keys are null."""
     schema = "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"
@@ -63,19 +76,16 @@ def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             ids, at = batch.column(0), 0
             for flat, sizes in shingle_sets(batch.column(1).to_pylist()):
                 full = np.flatnonzero(sizes)
-                digest = np.zeros((2, len(sizes)), np.uint64)
+                digest = digests(flat, sizes)
                 offsets = np.zeros(len(sizes) + 1, np.int32)
                 keys = np.zeros((0, BANDS), np.uint64)
                 if len(full):
-                    start = np.cumsum(sizes[full]) - sizes[full]
-                    digest[0, full] = np.add.reduceat(mix64(flat, 21), start)
-                    digest[1, full] = np.bitwise_xor.reduceat(mix64(flat, 22), start)
                     keys = band_keys(flat, sizes[full])
                     offsets[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
                 empty = sizes == 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, len(sizes)), pa.array(sizes), pa.array(digest[0].view(np.int64), mask=empty), pa.array(digest[1].view(np.int64), mask=empty),
+                        ids.slice(at, len(sizes)), pa.array(sizes), pa.array(digest[0], mask=empty), pa.array(digest[1], mask=empty),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))),
                     ],
                     names=["id", "n", "d1", "d2", "keys"],
@@ -150,32 +160,60 @@ def candidates(a: Tree, b: Tree, same: bool, threshold: int = THRESHOLD):
     return i, j
 
 
-def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Links that join what all links among the sets join; with side, only links between the two sides count."""
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, portion: int = 1_000_000) -> np.ndarray:
+    """How many tokens sets i[k] and j[k] share, for each k."""
+    out = np.zeros(len(i), np.int64)
+    if not len(i):
+        return out
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = place[: len(i)], place[len(i) :]
+    sizes = np.array([len(sets[x]) for x in used], np.int64)
+    start = np.cumsum(sizes) - sizes
+    seen, code = np.unique(np.concatenate([sets[x] for x in used]), return_inverse=True)
+    code, marked = code.astype(np.int32), np.zeros(len(seen), bool)
+    del seen
+    order = np.argsort(i, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        own = code[start[i[run[0]]] :][: sizes[i[run[0]]]]
+        marked[own] = True
+        for part in np.array_split(run, min(len(run), 1 + int(sizes[j[run]].sum()) // portion)):
+            n = sizes[j[part]]
+            first = np.cumsum(n) - n
+            at = np.repeat(start[j[part]] - first, n) + np.arange(n.sum())
+            out[part] = np.add.reduceat(marked[code[at]], first, dtype=np.int64)
+        marked[own] = False
+    return out
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray | None = None, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of sets (none empty) that link, each once; with side, only those between the two sides."""
     if side is None:
         order = [np.lexsort(([int(s[0]) for s in sets], [len(s) for s in sets]))]
     else:
         order = [np.flatnonzero(side == x) for x in (0, 1)]
         if not len(order[0]) or not len(order[1]):
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
     trees = [Tree([sets[i] for i in o]) for o in order]
     i, j = candidates(trees[0], trees[-1], side is None, threshold)
+    del trees
     i, j = order[0][i], order[-1][j]
-    name = np.arange(len(sets))
-    links = []
-    while len(i):
-        apart = name[i] != name[j]
-        i, j = i[apart], j[apart]
-        # a run of pairs, then what the links found in it have joined goes
-        for x, y in zip(i[:256].tolist(), j[:256].tolist(), strict=True):
-            if name[x] != name[y]:
-                n = len(sets[x]) + len(sets[y])
-                both = n - len(np.unique(np.concatenate([sets[x], sets[y]])))
-                if 100 * both >= threshold * (n - both):
-                    links.append((x, y))
-                    name[name == name[y]] = name[x]
-        i, j = i[256:], j[256:]
-    return links
+    n = np.array([len(s) for s in sets], np.int64)
+    both = overlaps(sets, i, j)
+    links = 100 * both >= threshold * (n[i] + n[j] - both)
+    return i[links], j[links]
+
+
+def _least(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index that each of n nodes reaches by links (i, j)."""
+    name = np.arange(n)
+    while True:
+        new, both = name.copy(), np.minimum(name[i], name[j])
+        np.minimum.at(new, i, both)
+        np.minimum.at(new, j, both)
+        new = new[new]
+        if (new == name).all():
+            return name
+        name = new
 
 
 # ---------------------------------------------------------------- the join
@@ -184,34 +222,46 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, thres
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for _, own in pdf.groupby("root", sort=False):
+        own = own.drop_duplicates(["node", "d1", "d2"])  # rows that repeat a doc_id and its set
         if len(own) > 1:
             sets = [np.frombuffer(s, np.uint64) for s in own["shingles"]]
-            node = own["node"].to_numpy(np.int64)
             cross = int(own["i"].iloc[0]) != int(own["j"].iloc[0])
             side = (own["own"].to_numpy() != own["i"].to_numpy()).astype(np.int64) if cross else None
-            out += [(node[x], node[y]) for x, y in spanning_links(sets, side)]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+            i, j = linked(sets, side)
+            copies, node, links = own["copies"].to_numpy(np.int64), own["node"].to_numpy(np.int64), np.zeros(len(own), np.int64)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            found = np.flatnonzero(links)
+            size = np.array([len(s) for s in sets], np.int64)
+            out.append(pd.DataFrame({"d1": own["d1"].to_numpy()[found], "d2": own["d2"].to_numpy()[found], "n": size[found], "links": links[found], "a": node[found], "b": node[_least(i, j, len(own))[found]]}))
+    return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("d1", "d2", "n", "links", "a", "b")})
 
 
 def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, a row a document."""
+    """doc_id, n_shingles, n_links, component_id, a row a document."""
     signed = stored(signatures(docs, key), "signatures")
     whole = signed.where("n > 0 AND id IS NOT NULL")
-    nodes = stored(whole.groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.any_value("keys").alias("keys")), "nodes")
+    digest = ["d1", "d2", "n"]
+    copies = whole.select("id", *digest).distinct().groupBy(*digest).agg(F.count("*").alias("copies"))
+    nodes = stored(whole.groupBy(*digest).agg(F.min("id").alias("node"), F.any_value("keys").alias("keys")).join(copies, digest), "nodes")
     # roots: what shares a key
     posted = nodes.select("node", F.explode("keys").alias("k"))
     shared = posted.groupBy("k").agg(F.min("node").alias("least"), F.count("*").alias("many")).where("many > 1")
     edges = posted.join(shared, "k").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     roots = cut(components(edges).withColumnRenamed("component", "root"))
+    # the several sets of one name may share keys with no other name
+    alone = nodes.groupBy("node").agg(F.count("*").alias("many")).where("many > 1").select("node", F.col("node").alias("root"))
+    roots = cut(roots.unionByName(alone.join(roots, "node", "left_anti")))
     sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
     total = roots.count()
     dealt = max(1, -(-total // DEALT))
     placed = roots.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    placed = placed.join(nodes.select("node", "d1", "d2", "copies"), "node")
     # the sets of these nodes alone
     texts = docs.select(F.col(key).cast("long").alias("node"), "text").where("node IS NOT NULL")
     # one plan at every size: the nodes under roots grow with the documents, so they are never broadcast
     items = texts.hint("merge").join(placed, "node")
-    names = ["node", "root", "blocks"]
+    names = ["node", "root", "blocks", "copies", "d1", "d2"]
 
     def to_sets(batches):
         for batch in batches:
@@ -219,18 +269,28 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             for flat, n in shingle_sets(batch.column(len(names)).to_pylist()):
                 ends = np.cumsum(n)
                 raw = pa.array([flat[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(n)) for c in range(len(names))), raw], names=[*names, "shingles"])
+                own = pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(n)) for c in range(len(names))), raw], names=[*names, "shingles"])
+                # of a doc_id with several texts, those whose set is the node's
+                d1, d2 = digests(flat, n)
+                yield own.filter(pa.array((n > 0) & (own.column(4).to_numpy() == d1) & (own.column(5).to_numpy() == d2)))
                 at += len(n)
 
-    items = items.select(*names, "text").mapInArrow(to_sets, "node bigint, root bigint, blocks int, shingles binary").where("length(shingles) > 0")
+    items = items.select(*names, "text").mapInArrow(to_sets, "node bigint, root bigint, blocks int, copies bigint, d1 bigint, d2 bigint, shingles binary")
     items = items.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     items = items.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     items = items.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     items = items.withColumns({"g": F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(dealt)).cast("int")).otherwise(-1), "r": F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1)})
-    links = items.select("g", "r", "i", "j", "node", "root", "own", "shingles").groupBy("g", "r", "i", "j").applyInPandas(_compare, "a bigint, b bigint")
-    named = components(cut(links))
-    out = signed.select("id", "n", "d1", "d2").join(nodes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"], "left").join(named, "node", "left")
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
+    items = items.select("g", "r", "i", "j", "node", "root", "own", "copies", "d1", "d2", "shingles")
+    found = cut(items.groupBy("g", "r", "i", "j").applyInPandas(_compare, "d1 bigint, d2 bigint, n bigint, links bigint, a bigint, b bigint"))
+    # documents of several sets join the classes of all of them
+    several = whole.groupBy("id").agg(F.min(F.struct(*digest)).alias("least"), F.max(F.struct(*digest)).alias("most")).where("least <> most").select("id")
+    several = whole.select("id", *digest).join(several, "id", "left_semi").join(nodes.select(*digest, "node"), digest).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    named = components(cut(found.select("a", "b").unionByName(several)))
+    counted = nodes.select(*digest, "node", "copies").join(found.groupBy(*digest).agg(F.sum("links").alias("links")), digest, "left")
+    out = signed.select("id", *digest).join(counted, digest, "left").join(named, "node", "left")
+    n_links = F.when(F.col("id").isNull() | F.col("node").isNull(), F.lit(0).cast("long")).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
+    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), n_links.alias("n_links"), component.alias("component_id"))
 
 
 def one_of_each_class(docs: DataFrame, key: str = "doc_id") -> DataFrame:

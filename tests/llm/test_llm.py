@@ -405,6 +405,32 @@ def test_long_roots_are_taken_in_blocks(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def brute_links(rows):
+    sets = {i: word_set(t) for i, t in rows}
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    return {i: sum(near(s, t) for j, t in sets.items() if j != i) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if j != 7 * i % 120 else f"x{i}" for j, w in enumerate(base))) for i in range(50)]
+    rows += [(100 + i, rows[i % 3][1].upper()) for i in range(6)] + [(200 + i, t) for i, t in near_texts()]
+    again = [(3, rows[3][1]), (3, rows[3][1] + " "), (None, rows[4][1])]
+    df = spark.createDataFrame([*rows, *again], "doc_id bigint, text string")
+    got, want = jaccard_join.classes(df).collect(), brute_links(rows)
+    assert len(got) == len(rows) + 3 and min(want[i] for i in range(50)) == 55
+    assert all(r["n_links"] == (0 if r["doc_id"] is None else want[r["doc_id"]]) for r in got)
+
+
+def test_documents_of_several_texts_join_their_classes(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b), (4, c), (4, c + " d")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in jaccard_join.classes(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
