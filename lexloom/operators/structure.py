@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
+from lexloom.operators import segments
 
 # How lines of a level begin.
 LEVELS = {
@@ -66,3 +67,13 @@ def chunks(parsed: DataFrame, key: str) -> DataFrame:
     )
     index = F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1
     return own.select(key, index.alias("chunk_index"), F.col("kind").alias("chunk_type"), "article", "clause", "point", content.alias("content"))
+
+
+def smart_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """chunks() of docs; a text without an article heading is cut into overlapping pieces, of chunk_type 'fallback'."""
+    own = chunks(lines(docs, key, text), key)
+    bare = docs.where(~F.exists(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(LEVELS["article"])))
+    none = [F.lit(None).cast("string").alias(c) for c in ("article", "clause", "point")]
+    content = F.trim(F.regexp_replace("piece", r"(?U)[\s\x1c-\x1f]+", " "))
+    pieces = segments.split_pieces(bare, key, text).select(key, F.col("part").alias("chunk_index"), F.lit("fallback").alias("chunk_type"), *none, content.alias("content"))
+    return own.unionByName(pieces)

@@ -114,9 +114,12 @@ def x14(spark, d):
 # ---------------------------------------------------------------- structure
 
 
+def statutes(spark, d):
+    return fx(spark, d, "statutes").withColumn("content", F.regexp_replace("content", r"(?s)(Điều 1\. Đối tượng\n).*?(\n1\. Khoản một)", "$1x$2"))
+
+
 def parsed(spark, d):
-    rows = fx(spark, d, "statutes").withColumn("content", F.regexp_replace("content", r"(?s)(Điều 1\. Đối tượng\n).*?(\n1\. Khoản một)", "$1x$2"))
-    return structure.lines(rows, "doc_id", "content")
+    return structure.lines(statutes(spark, d), "doc_id", "content")
 
 
 _KIND = "CASE WHEN regexp_matches(t, '^CHƯƠNG ') THEN 'chapter' WHEN regexp_matches(t, '^Mục ') THEN 'section' WHEN regexp_matches(t, '^Điều [0-9]+\\.') THEN 'article' WHEN regexp_matches(t, '^[0-9]+\\. ') THEN 'clause' WHEN regexp_matches(t, '^[a-z]\\) ') THEN 'point' ELSE 'text' END"
@@ -144,7 +147,7 @@ _X09 = """SELECT doc_id, i AS chunk_index, replace(t, '@', CASE WHEN doc_id % 3
 
 @query("x09_smart_chunks", f"SELECT doc_id, chunk_index::BIGINT AS chunk_index, replace(content, '|', chr(10)) AS content FROM ({_X09})")
 def x09(spark, d):
-    return structure.chunks(parsed(spark, d), "doc_id").select("doc_id", C("chunk_index").cast("long").alias("chunk_index"), "content")
+    return structure.smart_chunks(statutes(spark, d), "doc_id", "content").select("doc_id", C("chunk_index").cast("long").alias("chunk_index"), "content")
 
 
 # ---------------------------------------------------------------- training rows

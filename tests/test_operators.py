@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
-from lexloom.operators import bm25, citations, evaluation, retrieval, segments, tables, vectors
+from lexloom.operators import bm25, citations, evaluation, retrieval, segments, structure, tables, vectors
 from lexloom.sources import files
 from lexloom.streaming import rate_limit
 
@@ -258,3 +258,13 @@ def test_rest_runs_without_training_data_operators():
 
     code = "import sys; sys.modules['lexloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 100 and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd="/root/repo" if __file__.startswith("/root/repo") else None)
+
+
+def test_texts_without_articles_are_cut_into_pieces(spark):
+    sentence = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod. "
+    rows = [(1, "Điều 1. Tên\nnội dung\n1. Khoản"), (2, sentence * 20), (3, "CHƯƠNG I Chung\n1. " + sentence * 3 + "\n\nxem Điều 5. " + sentence * 3), (4, None), (5, "ngắn")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, content string")
+    got = sorted((r["doc_id"], r["chunk_index"], r["chunk_type"], r["content"]) for r in structure.smart_chunks(docs, "doc_id", "content").collect())
+    pieces = [(r["doc_id"], r["part"], "fallback", " ".join(r["piece"].split())) for r in segments.split_pieces(docs.where("doc_id > 1"), "doc_id", "content").collect()]
+    assert [x for x in got if x[0] > 1] == sorted(pieces) and {x[0] for x in pieces} == {2, 3} and len(pieces) > 4
+    assert [x[:3] for x in got if x[0] == 1] == [(1, 0, "article"), (1, 1, "clause")]
