@@ -150,6 +150,12 @@ def w01(spark, d):
     return tables.numbered(base(spark, d, "documents").where("lang <> 'en'").select("doc_id"), "doc_id", "n", 64)
 
 
+@query("w01_all_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents")
+def w01_all(spark, d):
+    """Of all documents; w01_dense_ids is bound by its SQL to those whose language is known and not English."""
+    return tables.numbered(base(spark, d, "documents").select("doc_id"), "doc_id", "n", 64)
+
+
 @query("w02_part_numbers", "SELECT chunk_id, faiss_id, row_number() OVER (PARTITION BY chunk_id ORDER BY faiss_id) AS part FROM fx_segments")
 def w02(spark, d):
     own = fx(spark, d, "segments").groupBy("chunk_id").agg(F.array_sort(F.collect_list("faiss_id")).alias("ids"))

@@ -45,6 +45,13 @@ def v06(spark, d):
     return vectors.inner_products(left, rows.where("vec_id % 50 = 3")).select(C("query_id").alias("a"), C("vec_id").alias("b"), F.round("score", 6).alias("score"))
 
 
+@query("v06_all_scores")
+def v06_all(spark, d):
+    """Every query vector against all embeddings; v06_score_matrix is bound by its SQL to a part of both."""
+    found = vectors.inner_products(fx(spark, d, "query_vecs").select("query_id", "q"), base(spark, d, "embeddings"))
+    return found.select(C("query_id").alias("a"), C("vec_id").alias("b"), F.round("score", 6).alias("score"))
+
+
 _FOUND = "SELECT query_id, rank, chunk_id, score, score_max, score_mean, n_segments FROM found"
 
 
@@ -131,3 +138,10 @@ def f06(spark, d):
 def api1(spark, d):
     asked = base(spark, d, "documents").where("doc_id % 37 = 5").select(C("doc_id").alias("chunk_id"))
     return fx(spark, d, "chunks").join(asked, "chunk_id", "left_semi").select("chunk_id", "corpus_id", F.substring("content", 1, 100).alias("content"))
+
+
+@query("api1_whole_sources", "SELECT chunk_id, corpus_id, content FROM fx_chunks WHERE chunk_id IN (SELECT item_id FROM benchmark)")
+def api1_whole(spark, d):
+    """Whole contents of the chunks that the benchmark's items name; api1_sources is bound by its SQL to 100 characters."""
+    asked = base(spark, d, "benchmark").select(C("item_id").alias("chunk_id"))
+    return fx(spark, d, "chunks").join(asked, "chunk_id", "left_semi").select("chunk_id", "corpus_id", "content")

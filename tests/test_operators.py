@@ -268,3 +268,16 @@ def test_texts_without_articles_are_cut_into_pieces(spark):
     pieces = [(r["doc_id"], r["part"], "fallback", " ".join(r["piece"].split())) for r in segments.split_pieces(docs.where("doc_id > 1"), "doc_id", "content").collect()]
     assert [x for x in got if x[0] > 1] == sorted(pieces) and {x[0] for x in pieces} == {2, 3} and len(pieces) > 4
     assert [x[:3] for x in got if x[0] == 1] == [(1, 0, "article"), (1, 1, "clause")]
+
+
+def test_scores_of_all_embeddings(spark):
+    import numpy as np
+
+    from lexloom import plans
+
+    d = "/root/testdata/sf0.001"
+    x = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    got = {(r["a"], r["b"]): r["score"] for r in plans.queries()["v06_all_scores"](spark, d).collect()}
+    asked = [i for i in x if i % 50 == 7]
+    assert asked and set(got) == {(a, b) for a in asked for b in x}
+    assert all(abs(v - x[a] @ x[b]) < 2e-6 for (a, b), v in got.items())
