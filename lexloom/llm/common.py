@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words: space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Where the tables of stored() and cut() are.
+_TABLES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Only a session of one process (master local) may lack the setting: a temporary folder takes its place.  On a
+    cluster a folder of one machine would lose what executors write, so a missing setting is an error there.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = context.getCheckpointDir()
+    if not named and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not named:
         named = tempfile.mkdtemp(prefix="lexloom-")
     if not context.getCheckpointDir():
@@ -49,7 +60,61 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that stored() or cut() gave and that nothing reads any more."""
+    for df in frames:
+        path = _TABLES.pop(df, None)
+        if path is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+# ---------------------------------------------------------------- memory of Python workers
+
+#: What this Python worker remembers, and the stage that it remembers it for.
+_HELD: dict = {"stage": None, "own": {}}
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system; else a worker keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def held(name: str, build: Callable):
+    """build(), remembered under a name for the tasks of the running stage alone: a task of another stage drops it."""
+    drop_older()
+    if name not in _HELD["own"]:
+        _HELD["own"][name] = build()
+    return _HELD["own"][name]
+
+
+def drop_older() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _HELD["stage"]:
+        _HELD["own"].clear()
+        _HELD["stage"] = stage
+        give_back()
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function over a task's batches, that leaves no memory behind but what is held for its stage."""
+
+    def own(batches):
+        drop_older()
+        yield from run(batches)
+        give_back()
+
+    return own
 
 
 def small_batches(df: DataFrame) -> DataFrame:

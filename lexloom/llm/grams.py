@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
+from lexloom.llm.common import held
+
 _MULTIPLIERS = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
-_LETTERS: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _LETTERS[0]
+    return held("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,8 @@
 In each round every node points at the neighbour that comes first in a pseudorandom order, if that comes before the
 node itself; links are renamed by the pointers and loops go.  A node and the one it points at are linked, so renamed
 links join the same components, and the random order lets a constant share of the nodes vanish a round, whatever the
-links' shape.  Links and names are cut from their lineage each round, in the shared folder.
+links' shape.  Links and names are cut from their lineage each round, in the shared folder, and the tables of
+the round before are deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import cut
+from lexloom.llm.common import cut, dropped
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,10 +31,12 @@ def components(links: DataFrame) -> DataFrame:
         # a pointer's own pointer, one step on
         onward = ahead.alias("x").join(ahead.alias("y"), F.col("x.p") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.p").alias("p"))
         onward = cut(onward)
+        old = names, edges, onward
         names = cut(names.join(onward, names["name"] == onward["a"], "left").select("node", F.coalesce("p", "name").alias("name")))
         by_a = edges.join(onward, "a").select(F.col("p").alias("a"), F.col("b"))
         both = by_a.join(onward.select(F.col("a").alias("b"), F.col("p").alias("q")), "b").select("a", F.col("q").alias("b"))
         edges = cut(both.where("a <> b").distinct())
+        dropped(*old)
         turn += 1
     least = names.groupBy("name").agg(F.min("node").alias("component"))
     return names.join(least, "name").select("node", "component")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import ChunkCoder, small_batches
+from lexloom.llm.common import ChunkCoder, held, lean, small_batches
 
 MARK = "▁"
 NONE = np.int64(1) << np.int64(40)
@@ -268,22 +268,14 @@ def read_model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
-_MODELS: dict[str, PieceModel] = {}
-_CODERS: dict[str, ChunkCoder] = {}
-
-
 def model_at(path: str) -> PieceModel:
-    """The model of a file that every machine has; read once a process."""
-    if path not in _MODELS:
-        _MODELS[path] = read_model(path)
-    return _MODELS[path]
+    """The model of a file that every machine has; read once a stage and worker."""
+    return held(f"piece model {path}", lambda: read_model(path))
 
 
 def coder_at(path: str) -> ChunkCoder:
-    """One coder a Python worker: what it remembers serves all the worker's tasks."""
-    if path not in _CODERS:
-        _CODERS[path] = ChunkCoder(model_at(path).split, model_at(path).encode_chunks, limit=250_000, portion=1_000_000, renew=1600)
-    return _CODERS[path]
+    """One coder a stage and Python worker: what it remembers serves all the worker's tasks of the stage."""
+    return held(f"piece coder {path}", lambda: ChunkCoder(model_at(path).split, model_at(path).encode_chunks, limit=250_000, portion=1_000_000, renew=1600))
 
 
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", to: str = "piece_ids") -> DataFrame:
@@ -303,7 +295,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", to: str =
                 yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(len(kept))), lists], names=[*kept, to])
                 at += len(sizes)
 
-    return small_batches(source).mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(lean(run), schema)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids", to: str = "text") -> DataFrame:
@@ -318,7 +310,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids", to: st
             texts = pa.array([None if x is None else model.decode(x) for x in own], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), texts], names=[*kept, to])
 
-    return small_batches(df.select(*kept)).mapInArrow(run, schema)
+    return small_batches(df.select(*kept)).mapInArrow(lean(run), schema)
 
 
 def piece_digest(docs: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
@@ -344,4 +336,4 @@ def piece_digest(docs: DataFrame, model_path: str, key: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=[key, "n_pieces", "ids_crc32", "round_trip"])
                 at += len(sizes)
 
-    return small_batches(rows).mapInArrow(run, f"{key} {kind}, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
+    return small_batches(rows).mapInArrow(lean(run), f"{key} {kind}, n_pieces bigint, ids_crc32 bigint, round_trip boolean")

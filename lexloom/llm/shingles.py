@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lexloom.llm.common import in_portions, mix64
+from lexloom.llm.common import held, in_portions, mix64
 
 SIZE = 5
 _BASE = 0xD6E8FEB86659FD93
@@ -19,16 +19,18 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)]
-_POWERS: dict[int, tuple] = {}
+#: Portions of texts have up to about so many bytes, so their powers are kept; a longer text's are made for it alone.
+_KEPT = 1 << 20
 
 
 def _powers(n: int):
     """Powers of the hash's base and of its inverse, modulo 2^64, at least n of them."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, 1 << 20)
+
+    def made(size):
         with np.errstate(over="ignore"):
-            _POWERS[0] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
-    return _POWERS[0]
+            return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
+
+    return held("powers", lambda: made(_KEPT)) if n <= _KEPT else made(n)
 
 
 def word_hashes(texts: list[bytes]):
@@ -46,7 +48,7 @@ def word_hashes(texts: list[bytes]):
     return mix64(h, 7), text
 
 
-def shingle_sets(texts: list[str | None], portion: int = 2_000_000):
+def shingle_sets(texts: list[str | None], portion: int = 1_000_000):
     """(sorted distinct hashes, set sizes) for each portion of consecutive texts: the sets one after the other."""
     for a, b in in_portions([t or "" for t in texts], portion):
         words, of = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]])

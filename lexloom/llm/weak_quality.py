@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
-from lexloom.llm.common import in_portions, small_batches, text_of
+from lexloom.llm.common import held, in_portions, lean, small_batches, text_of
 from lexloom.llm.shingles import word_hashes
 
 SAMPLE, BITS, ORDERS = 4000, 16, (1, 2, 3)
@@ -35,19 +35,20 @@ FUNCTION_WORDS = [
 
 NAMES = ["marks", "case", "bars", "shouts", "repeats", "words", "length", "sentences"]
 _LETTER, _UPPER, _MARK, _SPACE, _STOP, _BAR = (1 << i for i in range(6))
-_TABLES: list = []
 
 
 def _tables():
     """Classes of code points, and the sorted hashes of the function words with what may follow them."""
-    if not _TABLES:
+
+    def made():
         kind = np.where(grams.letters(), _LETTER, 0).astype(np.uint8)
         kind[np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)] |= _UPPER
         for chars, flag in (("%*&$#@~^<>{}[]\\", _MARK), ("\0 \t\n\x0b\x0c\r", _SPACE), (".?!", _STOP), ("|•·", _BAR)):
             kind[[ord(c) for c in chars]] |= flag
         known = [(w + end).encode() for w in FUNCTION_WORDS for end in ("", ".", ",", ";", ":")]
-        _TABLES.extend([kind, np.unique(word_hashes(known)[0])])
-    return _TABLES
+        return kind, np.unique(word_hashes(known)[0])
+
+    return held("classes", made)
 
 
 def votes_of(texts: list[str]) -> np.ndarray:
@@ -209,7 +210,7 @@ def quality(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(pattern_codes(batch.column(0).to_pylist()))], names=["code"])
 
-    counted = texts.mapInArrow(vote, "code bigint").groupBy("code").agg(F.count("*").alias("n")).collect()
+    counted = texts.mapInArrow(lean(vote), "code bigint").groupBy("code").agg(F.count("*").alias("n")).collect()
     if not counted:
         return docs.sparkSession.createDataFrame([], out)
     patterns = dict(sorted((pattern(r["code"]), r["n"]) for r in counted))
@@ -232,4 +233,4 @@ def quality(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataF
             score = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posterior[pattern_codes(texts)]), pa.array(score), pa.array(score >= 0.5)], names=[key, "posterior", "score", "good"])
 
-    return docs.select(key, text_of().alias("text")).mapInArrow(run, out)
+    return docs.select(key, text_of().alias("text")).mapInArrow(lean(run), out)
