@@ -306,6 +306,64 @@ def test_mixed_documents_hold_the_words_taken(odd, empty):
     assert count(out) == taken
 
 
+def plain_mix(rows, block_words, shard_slots, seed=0, draws=0):
+    """(taken, shards) of each row, and the words of each (shard, slot), by walking through all slots one by one."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    plan = mixing._plan([(x, sum(len(w) for w, r in zip(words, rows, strict=True) if r[2] == x)) for x in sources], seed, block_words, mixing.WEIGHTS, mixing.TIMES, mixing.MOST)
+    wanted = np.array([p[5] for p in plan])
+    shards = -(-int(wanted.sum()) // shard_slots)
+    return plan, [mixing.shard_draws(wanted, shards, shard_slots, k, draws) for k in range(shards)]
+
+
+def test_draws_decide_what_a_shard_takes(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{i}.{j}" for j in range(rng.randrange(0, 90))), rng.choice(["a", "b", None])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix_counts(df, block_words=16, shard_slots=32).collect()}
+    blocks = mixing.mix_blocks(df, block_words=16, shard_slots=32).collect()
+    plan, drawn = plain_mix(rows, 16, 32)
+    # every slot of every shard is there once, as many of a source as the shard's draw says
+    assert sorted((r["shard"], r["slot"]) for r in blocks) == [(k, i) for k, (_, many) in enumerate(drawn) for i in range(int(many.sum()))]
+    assert all(int(many.sum()) == 32 for _, many in drawn[:-1]) and [sum(int(m[s]) for _, m in drawn) for s in range(3)] == [p[5] for p in plan]
+    seen = Counter((r["shard"], r["source"]) for r in blocks)
+    assert all(seen[k, plan[s][1]] == many[s] for k, (_, many) in enumerate(drawn) for s in range(3))
+    # the counts of the query are those of the words in the slots; each word knows its document
+    taken, shards = Counter(), {}
+    for r in blocks:
+        own = r["text"].split()
+        assert len(own) == r["n_words"] <= 16
+        for w in own:
+            i = int(w[1:].split(".")[0])
+            taken[i] += 1
+            shards.setdefault(i, set()).add(r["shard"])
+    for i, r in got.items():
+        assert r["taken"] == taken[i] <= 2 * r["size"]
+        assert (r["first_shard"], r["last_shard"]) == ((min(shards[i]), max(shards[i])) if i in shards else (None, None))
+    # other draws: the same words from every source, elsewhere
+    other = mixing.mix_blocks(df, block_words=16, shard_slots=32, draws=9).collect()
+    place = lambda out: {(r["shard"], r["slot"]): (r["source"], r["block"]) for r in out}
+    assert place(other) != place(blocks) and Counter((r["shard"], r["source"]) for r in other) != seen
+    assert Counter((r["source"], r["block"], r["epoch"]) for r in other) == Counter((r["source"], r["block"], r["epoch"]) for r in blocks)
+
+
+def test_draws_follow_the_multinomial():
+    wanted = np.array([3000, 1000, 0, 6000])
+    counts = np.array([mixing.shard_draws(wanted, 100, 100, k, seed)[1] for seed in range(6) for k in range(100)])
+    assert (counts.sum(axis=1) == 100).all() and (counts.reshape(6, 100, 4).sum(axis=1) == wanted).all()
+    share = wanted / wanted.sum()
+    # variance of a draw without replacement of 100 out of 10 000
+    assert np.allclose(counts.mean(axis=0), 100 * share) and np.allclose(counts.var(axis=0), 100 * share * (1 - share) * 0.99, rtol=0.25)
+    huge = mixing.shard_draws(np.array([3 * 10**10, 10**10]), 10**7, 4000, 77, 0)
+    assert huge[1].sum() == 4000 and abs(huge[1][0] - 3000) < 300
+
+
+def test_repeated_rows_without_words_are_documents_of_their_own(spark):
+    rows = [(1, None, "a"), (1, None, "a"), (2, "", "a"), (2, "", "a"), (3, "x y", "a")]
+    got = mixing.mix_counts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["size"], r["taken"]) for r in got) == [(1, 0, 0), (1, 0, 0), (2, 0, 0), (2, 0, 0), (3, 2, 3)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_permutations(n):
     x = np.arange(n)
