@@ -477,15 +477,14 @@ def brute_links(rows):
     return {i: sum(near(s, t) for j, t in sets.items() if j != i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_every_link_is_counted(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize(("block", "tokens"), [(8, 1 << 19), (512, 1 << 19), (512, 900)])
+def test_every_link_is_counted(spark, block, tokens):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(w if j != 7 * i % 120 else f"x{i}" for j, w in enumerate(base))) for i in range(50)]
     rows += [(100 + i, rows[i % 3][1].upper()) for i in range(6)] + [(200 + i, t) for i, t in near_texts()]
     again = [(3, rows[3][1]), (3, rows[3][1] + " "), (None, rows[4][1])]
     df = spark.createDataFrame([*rows, *again], "doc_id bigint, text string")
-    got, want = jaccard_join.classes(df).collect(), brute_links(rows)
+    got, want = jaccard_join.classes(df, block=block, tokens=tokens).collect(), brute_links(rows)
     assert len(got) == len(rows) + 3 and min(want[i] for i in range(50)) == 55
     assert all(r["n_links"] == (0 if r["doc_id"] is None else want[r["doc_id"]]) for r in got)
 
@@ -503,14 +502,57 @@ def test_trees_lose_no_pair():
     sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, 300), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(70)]
     sets += [np.unique(np.concatenate([s[len(s) // 20 :], rng.integers(0, 1 << 63, 2).astype(np.uint64)])) for s in sets]
     true = {(i, j) for i in range(140) for j in range(i + 1, 140) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)}
-    tree = jaccard_join.Tree(sets)
+    tree_of = lambda own: jaccard_join.Tree(jaccard_join.bitmaps(own, 1024), np.array([len(s) for s in own]))
+    tree = tree_of(sets)
     i, j = jaccard_join.candidates(tree, tree, True)
     assert len(true) >= 70 and true <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 140 * 139 / 2
-    left, right = jaccard_join.Tree(sets[:9]), jaccard_join.Tree(sets[9:])
+    left, right = tree_of(sets[:9]), tree_of(sets[9:])
     i, j = jaccard_join.candidates(left, right, False)
     assert {(a, b) for a, b in true if a < 9 <= b} <= {(a, b + 9) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
 
 
+def test_signatures_and_prefixes_lose_no_pair():
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 2, 4, 5, 9, 40, 300, 1500):
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, size).astype(np.uint64))
+        for _ in range(8):
+            own = base[rng.random(len(base)) < 1 - rng.random() * 0.2]
+            sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 63, rng.integers(0, 2 + size // 9)).astype(np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)}
+    assert len(near) >= 60
+    raw = [jaccard_join.bitmaps([s], jaccard_join.width_of(len(s))).tobytes() for s in sets]
+    i, j = jaccard_join.possible_pairs(np.array([len(s) for s in sets]), raw)
+    left = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert near <= left and len(left) < len(sets) * (len(sets) - 1) / 8
+    marks = np.packbits(rng.random(1 << jaccard_join.MARKS) < 0.3, bitorder="little")
+    tokens, many = jaccard_join.prefixes(np.concatenate(sets), np.array([len(s) for s in sets]), marks)
+    ends = np.cumsum(many)
+    prefix = [set(tokens[e - n : e].tolist()) for e, n in zip(ends, many, strict=True)]
+    assert all(prefix[a] & prefix[b] for a, b in near)
+
+
+def test_passages_that_many_share_make_no_root(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"u{i}.{rng.randrange(10**6)}" for _ in range(90)] + passage + [f"v{i}.{rng.randrange(10**6)}" for _ in range(60)])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = jaccard_join.signatures(df, jaccard_join.frequent_marks(df)).withColumnRenamed("id", "node")
+    got = {r["node"]: r["component"] for r in links.components(jaccard_join.root_links(signed, 512)).collect()}
+    assert got == {i: i % 1000 for i in [*range(10), *range(1000, 1010)]}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(df).collect()} == brute_classes(rows)
+
+
+def test_whole_table_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got, want = jaccard_join.classes(docs).collect(), brute_links(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(rows)
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
 def test_shingle_sets():
     texts = ["a b c d e f", "A B c d e", "a b", "", None, "a b c d e a b c d e a b c d e"]
     got = []
