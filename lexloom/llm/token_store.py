@@ -56,12 +56,13 @@ def byte_level_coder(tokenizer_file: str) -> ChunkCoder:
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     added = list(tokenizer.get_added_tokens_decoder().values())
+    contents = [t.content for t in added]
     special = re.compile("(" + "|".join(sorted((re.escape(t.content) for t in added), key=len, reverse=True)) + ")") if added else None
     # a token that takes neighbouring spaces along can't be cut out of its text
     greedy = any(t.lstrip or t.rstrip or t.single_word for t in added)
 
     def split(text: str) -> list[str]:
-        if special is None or not special.search(text):
+        if not any(c in text for c in contents):
             return CHUNK.findall(text)
         if greedy:
             return [text]
@@ -75,7 +76,7 @@ def byte_level_coder(tokenizer_file: str) -> ChunkCoder:
         """Chunks without white space but a leading space go many to a text, a line each: the line feed is a token apart."""
         flat, count, spaced, lines = [], np.zeros(len(chunks), np.int64), [], []
         for i, c in enumerate(chunks):
-            (spaced if c.isspace() or (special is not None and special.search(c)) else lines).append(i)
+            (spaced if c.isspace() or any(t in c for t in contents) else lines).append(i)
         parts = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
         ids = {}
         for part, own in zip(parts, one(["\n".join([chunks[i] for i in part]) for part in parts]), strict=True):
@@ -313,16 +314,15 @@ def _slices(found: DataFrame, path: str, value: str, of, all_shards: bool) -> Da
     Positions go to their block, whose bytes are then read once, and each document's are sliced out of them.
     """
     spark, name = found.sparkSession, value.split(" ")[0]
-    payload = _payload(spark, path)
+    payload = _payload(spark, path).select("shard", "block", "id_base", "width", "payload")
     if not all_shards:
         found = stored(found, "found")
         asked = [r["shard"] for r in found.select("shard").distinct().limit(NAMED_SHARDS + 1).collect()]
         if len(asked) <= NAMED_SHARDS:
             payload = payload.where(F.col("shard").isin(asked))
-    blocks = payload.select("shard", "block", "id_base", "width", "payload").join(_shards(spark, path).select("shard", "first_id"), "shard")
-    blocks = blocks.select("shard", "block", (F.col("first_id") + F.col("id_base")).alias("base"), "width", "payload")
-    # a block has no more documents than ids
+    # a block has no more documents than ids; what lies before a shard joins these few rows, the payload moves once
     wanted = found.groupBy("shard", "block").agg(F.collect_list(F.struct("key", "offset", "n")).alias("asked"))
+    wanted = wanted.join(_shards(spark, path).select("shard", "first_id"), "shard")
     kind, arrow = (T.LongType(), pa.int64()) if value.endswith(" bigint") else (T.ArrayType(T.LongType()), pa.list_(pa.int64()))
     schema = T.StructType([T.StructField("key", found.schema["key"].dataType)]).add("start", "long").add("n_tokens", "long").add(name, kind)
 
@@ -338,7 +338,8 @@ def _slices(found: DataFrame, path: str, value: str, of, all_shards: bool) -> Da
                     own = [of(ids[s : s + m]) for s, m in zip(offset[a:b], n[a:b], strict=True)]
                     yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(base + offset[a:b]), pa.array(n[a:b]), pa.array(own, arrow)], names=schema.names)
 
-    return blocks.join(wanted, ["shard", "block"]).select("base", "width", "payload", "asked").mapInArrow(lean(read), schema)
+    base = (F.col("first_id") + F.col("id_base")).alias("base")
+    return payload.join(wanted, ["shard", "block"]).select(base, "width", "payload", "asked").mapInArrow(lean(read), schema)
 
 
 def get(keys: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
