@@ -10,8 +10,9 @@ from the original vectors in double precision, and the best of all shards are ke
 fixed share of the rows.
 
 Vectors that are null or zero or hold null or non-finite components take no part, neither as queries nor as
-candidates; nor does a null vec_id.  Only vectors of one length meet.  Equal vectors are one node of the graph, which
-knows the smallest vec_ids that it stands for, one more than k: no more can be among a query's k nearest.
+candidates; nor does a null vec_id.  Rows that repeat a vec_id are one vector (the smallest of its rows).  Only vectors
+of one length meet.  Equal vectors are one node of the graph, which knows the smallest vec_ids that it stands for, one
+more than k: no more can be among a query's k nearest.  Without rows or queries there is no result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored
+from lexloom.llm.common import lean, stored
 from lexloom.llm.near_vectors import usable
 
+#: Components beyond these have squares that single precision can't hold; then the search runs in double precision.
+TAME = (1e-15, 1e15)
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
-SHARD, QUERY_BLOCK = 8192, 1024
+SHARD, QUERY_BLOCK, MOST_TASKS = 8192, 1024, 20_000
 
 
 def _gaps(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -43,7 +46,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, entry: int, q: np.ndarray, bea
     """
     b = len(q)
     ids = np.full((b, beam), -1, np.int64)
-    gap = np.full((b, beam), np.inf, np.float32)
+    gap = np.full((b, beam), np.inf, x.dtype)
     opened = np.ones((b, beam), bool)
     ids[:, 0], gap[:, 0], opened[:, 0] = entry, _gaps(x, q, np.full((b, 1), entry))[:, 0], False
     going = np.arange(b)
@@ -122,13 +125,18 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return links, entry
 
 
+def _tame(x: np.ndarray) -> bool:
+    size = np.abs(x[x != 0])
+    return not len(size) or (size.max() < TAME[1] and size.max() > TAME[0])
+
+
 def index_shards(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     """A row a shard: dim, shard, x (raw float32), links (raw int32), entry, ids and id_counts.  nodes: v, ids."""
     many = max(1, -(-nodes.count() // shard))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-        links, entry = build_graph(x)
+        links, entry = build_graph(x if _tame(x) else x.astype(np.float64))
         counts = pdf["ids"].map(len).to_numpy(np.int32)
         row = {"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "entry": entry, "x": x.tobytes(), "links": links.tobytes()}
         return pd.DataFrame([row | {"ids": np.concatenate(pdf["ids"].to_numpy()).astype(np.int64).tobytes(), "id_counts": counts.tobytes()}])
@@ -139,15 +147,23 @@ def index_shards(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found of each query, other than itself."""
-    fit = lambda d: d.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x + F.lit(0).cast("float")).alias("v"))
-    rows = fit(df).distinct()
+
+    def fit(d):
+        rows = d.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x + F.lit(0).cast("float")).alias("v"))
+        return rows.groupBy("id").agg(F.min("v").alias("v"))
+
     place = Window.partitionBy("h", "g").orderBy("id")
-    ranked = rows.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64("v", F.lit(1))}).withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1)
+    ranked = fit(df).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64("v", F.lit(1))}).withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1)
     nodes = stored(ranked.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")).select("v", "ids"), "nodes")
     shards = stored(index_shards(nodes, shard), "graph")
-    asked = fit(queries).distinct()
+    asked = fit(queries)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    # each block of queries goes to each shard of its length: pairs of small numbers first, then shards and blocks by them
+    pairs = asked.select("dim", "block").join(shards.groupBy("dim").agg(F.collect_list("shard").alias("shards")), "dim").select("dim", "block", F.explode("shards").alias("shard"))
+    # a task a shard or so, which adaptive execution leaves as they are: searching costs far more than its bytes tell
+    tasks = min(MOST_TASKS, max(1, 4 * shards.count()))
+    pairs = pairs.join(asked, ["dim", "block"]).join(shards.repartition(tasks, "dim", "shard").hint("merge"), ["dim", "shard"])
 
     def search(batches):
         for pdf in batches:
@@ -158,7 +174,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                 begin = np.cumsum(counts) - counts
                 query = np.array([a["id"] for a in r.asked], np.int64)
                 q = np.array([a["v"] for a in r.asked], np.float32)
-                found, _ = beam_search(x, links, r.entry, q, max(SEARCH_BEAM, 2 * k))
+                kind = np.float32 if _tame(x) and _tame(q) else np.float64
+                found, _ = beam_search(x.astype(kind), links, r.entry, q.astype(kind), max(SEARCH_BEAM, 2 * k))
                 rows = []
                 for own, v, hits in zip(query, q, found, strict=True):
                     hits = hits[hits >= 0][: max(k + 1, SEARCH_BEAM // 2)]
@@ -173,7 +190,6 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                 if rows:
                     yield pd.concat(rows)
 
-    pairs = shards.join(asked, "dim")
-    hits = pairs.repartition(F.col("shard"), F.col("block")).mapInPandas(search, "query_id bigint, vec_id bigint, score double")
+    hits = pairs.mapInPandas(lean(search), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,13 +1,16 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are chosen far from each other out of a bounded sample.  Each vector is described by its
-nearest pivots, nearest first, and stands in their inverted lists, one set of lists a label.  Two vectors of a list
-that share at least MIN_SHARED pivots are compared; the list of their smallest shared pivot answers for the pair, so
-each pair counts once.  Long lists are dealt out as pairs of blocks, which tasks take one by one.
+Reference points (pivots) are chosen far from each other out of a bounded sample, the more of them the more vectors
+there are.  Each vector is described by its nearest pivots, nearest first.  Two vectors are compared if they share at
+least two of these PREFIX pivots: the inverted lists are those of pairs of pivots, so that what stands in a list
+shares two, and a list's length stays about LIST on average while the number of pivots can grow.  In a list, the
+shared pivots of two vectors are counted, and the list of their two smallest answers for the pair, so each pair counts
+once.  Short lists are dealt out together; long ones as pairs of blocks, which tasks take one by one.
 
 Vectors that are null or zero, that hold null or non-finite components, or whose label is null link with nothing.
 Only vectors of one length are compared.  Equal vectors are compared once and counted as often as they occur.  Rows
-that repeat a vec_id are one vector (the smallest of its rows).  A null vec_id is kept and links with nothing.
+that repeat a vec_id are one vector (the smallest of its rows).  A null vec_id is kept and links with nothing.  An
+empty table has no links.
 """
 
 from __future__ import annotations
@@ -17,17 +20,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import cut
+from lexloom.llm.common import cut, dropped, give_back, lean
 from lexloom.llm.links import components
 
 THRESHOLD = 0.98
-#: Pivots that describe a vector, how many of them two near vectors share at least, and the bounds of all pivots.
-PREFIX, MIN_SHARED, PIVOTS = 8, 2, (32, 1024)
+#: Pivots that describe a vector, and the bounds of the number of all pivots.
+PREFIX, PIVOTS = 6, (32, 4096)
 #: Largest cosine of two pivots.
 APART = 0.9
 #: The pivots come from a sample of so many vectors a pivot.
 SAMPLE = 4
-BLOCK = 1024
+#: Members of an average list, of a block of a long one, and rows of short lists that are dealt to a task at once.
+LIST, BLOCK, DEALT = 512, 1024, 8192
 
 
 def usable(v: Column) -> Column:
@@ -68,62 +72,90 @@ def _within(hits: np.ndarray) -> np.ndarray:
         name = new
 
 
-def near_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def pivots_for(members: int) -> int:
+    """A power of two of pivots with which the pairs of pivots have lists of about LIST, of so many vectors of a label."""
+    pairs = PREFIX * (PREFIX - 1) / 2
+    return int(min(max(PIVOTS[0], 2 ** np.ceil(np.log2(max(1.0, 2 * pairs * members / LIST) ** 0.5))), PIVOTS[1]))
+
+
+def pair_keys(prefix: np.ndarray) -> np.ndarray:
+    """For each row of pivots (distinct) a number for each pair of them; one pivot alone is paired with itself."""
+    ordered = np.sort(prefix.astype(np.int64), axis=1)
+    if ordered.shape[1] == 1:
+        return ordered * 65536 + ordered
+    i, j = np.triu_indices(ordered.shape[1], 1)
+    return ordered[:, i] * 65536 + ordered[:, j]
+
+
+def _linked(own: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
+    """Links that a list, or a pair of its blocks, answers for."""
+    i, j, low, high = int(own["i"].iloc[0]), int(own["j"].iloc[0]), *divmod(int(own["key"].iloc[0]), 65536)
+    v, copies, node = unit(own["v"]), own["copies"].to_numpy(np.int64), own["node"].to_numpy(np.int64)
+    prefix = np.stack(own["prefix"].to_numpy())
+    seen, place = np.unique(prefix, return_inverse=True)
+    has = np.zeros((len(v), len(seen)), np.float32)
+    has[np.arange(len(v))[:, None], place.reshape(prefix.shape)] = 1
+    shared = has @ has.T
+    before = has[:, : np.searchsorted(seen, high)]
+    # the list's own two pivots are shared; it answers if no other shared one comes before its second
+    hits = (shared >= min(2, prefix.shape[1])) & (before @ before.T == (low != high))
+    if i != j:
+        side = own["own"].to_numpy()
+        hits &= side[:, None] != side[None, :]
+    hits &= v @ v.T >= threshold
+    np.fill_diagonal(hits, False)
+    found = np.flatnonzero(hits.any(axis=1))
+    if not len(found):
+        return None
+    hits = hits[np.ix_(found, found)]
+    return pd.DataFrame({"node": node[found], "links": (hits @ copies[found].astype(np.float64)).astype(np.int64), "other": node[found][_within(hits)]})
+
+
+def near_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, members: int | None = None) -> DataFrame:
     """node, links, other: how many copies of other vectors a block pair found near node, and a node it is linked with.
 
-    vectors: node, label, v (usable, no two equal with the same label), copies.
+    vectors: node, label, v (usable, no two equal with the same label), copies.  members: the largest label's vectors.
     """
-    spark = vectors.sparkSession
-    n = vectors.count()
-    many = int(min(max(PIVOTS[0], 2 ** np.ceil(np.log2(max(1, n) ** 0.5))), PIVOTS[1]))
+    if members is None:
+        members = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    many = pivots_for(members)
     # a bounded sample in hash order, the same whatever the partitions
     drawn = vectors.select("v", F.size("v").alias("dim"), F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE * many).toPandas()
-    pivots = {int(d): choose_pivots(unit(own["v"]), many) for d, own in drawn.groupby("dim")}
+    pivots = vectors.sparkSession.sparkContext.broadcast({int(d): choose_pivots(unit(own["v"]), many) for d, own in drawn.groupby("dim")})  # PIVOTS at most
 
     def describe(batches):
         for pdf in batches:
             for d, own in pdf.groupby("dim"):
-                if int(d) in pivots:
-                    k = min(PREFIX, len(pivots[int(d)]))
-                    order = np.argsort(-(unit(own["v"]) @ pivots[int(d)].T), axis=1, kind="stable")[:, :k]
-                    yield own.assign(prefix=list(order.astype(np.int32)))
+                if int(d) in pivots.value:
+                    k = min(PREFIX, len(pivots.value[int(d)]))
+                    order = np.argsort(-(unit(own["v"]) @ pivots.value[int(d)].T), axis=1, kind="stable")[:, :k].astype(np.int32)
                 else:  # a length that the sample lacks: one list for all of it
-                    yield own.assign(prefix=[np.zeros(1, np.int32)] * len(own))
+                    order = np.zeros((len(own), 1), np.int32)
+                yield own.assign(prefix=list(order), keys=list(pair_keys(order)))
 
     rows = vectors.withColumn("dim", F.size("v"))
     kinds = dict(rows.dtypes)
-    rows = rows.mapInPandas(describe, ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", prefix array<int>")
+    rows = rows.mapInPandas(lean(describe), ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", prefix array<int>, keys array<bigint>")
     rows = cut(rows)
-    post = rows.withColumn("pivot", F.explode("prefix"))
-    lists = post.groupBy("label", "dim", "pivot").agg(F.count("*").alias("members")).where("members > 1")
-    lists = lists.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    post = post.join(lists, ["label", "dim", "pivot"])
+    post = rows.withColumn("key", F.explode("keys")).drop("keys")
+    lists = post.groupBy("label", "dim", "key").agg(F.count("*").alias("members")).where("members > 1")
+    lists = cut(lists.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")))
+    dealt = max(1, -(-(lists.where("blocks = 1").agg(F.sum("members")).first()[0] or 0) // DEALT))
+    post = post.join(lists, ["label", "dim", "key"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     post = post.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    post = post.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    post = post.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "list": F.xxhash64("label", "dim", "key"), "short": F.col("blocks") == 1})
+    # long lists go to tasks block pair by block pair, short ones many at once
+    post = post.withColumns({"g": F.when(F.col("short"), F.pmod("list", F.lit(dealt))).otherwise(-1), "l": F.when(F.col("short"), 0).otherwise(F.col("list"))})
+    columns = ["node", "v", "copies", "prefix", "label", "dim", "key", "own", "i", "j"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, pivot = (int(pdf[c].iloc[0]) for c in ("i", "j", "pivot"))
-        v, copies, node = unit(pdf["v"]), pdf["copies"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
-        prefix = np.stack(pdf["prefix"].to_numpy())
-        least = min(MIN_SHARED, prefix.shape[1])
-        seen, place = np.unique(prefix, return_inverse=True)
-        has = np.zeros((len(v), len(seen)), np.float32)
-        has[np.arange(len(v))[:, None], place.reshape(prefix.shape)] = 1
-        before = has[:, : np.searchsorted(seen, pivot)]
-        hits = (has @ has.T >= least) & (before @ before.T == 0)
-        if i != j:
-            side = pdf["own"].to_numpy()
-            hits &= side[:, None] != side[None, :]
-        hits &= v @ v.T >= threshold
-        np.fill_diagonal(hits, False)
-        found = np.flatnonzero(hits.any(axis=1))
-        hits = hits[np.ix_(found, found)]
-        name = _within(hits)
-        return pd.DataFrame({"node": node[found], "links": (hits @ copies[found].astype(np.float64)).astype(np.int64), "other": node[found][name]})
-
-    columns = ["node", "v", "copies", "prefix", "pivot", "own", "i", "j"]
-    return post.groupBy("label", "dim", "pivot", "i", "j").applyInPandas(lambda pdf: compare(pdf[columns]), "node bigint, links bigint, other bigint")
+        parts = [_linked(own, threshold) for _, own in pdf.groupby(["label", "dim", "key"], sort=False) if len(own) > 1]
+        give_back()
+        parts = [x for x in parts if x is not None]
+        return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("node", "links", "other")})
+
+    return post.select("g", "l", *columns).groupBy("g", "l", "i", "j").applyInPandas(lambda pdf: compare(pdf[columns]), "node bigint, links bigint, other bigint")
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:

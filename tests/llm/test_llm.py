@@ -107,6 +107,32 @@ def test_blocks_of_long_lists_count_each_pair_once(spark):
     assert len(got) == 90 and all(r["n"] == 89 for r in got)
 
 
+@pytest.mark.parametrize(("dim", "many"), [(64, 32), (64, 512), (384, 128), (768, 1024)])
+def test_near_vectors_share_two_pivots(dim, many):
+    """Recall of pairs that link only just, at real lengths and with many pivots."""
+    rng = np.random.default_rng(dim + many)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre = unit(rng.normal(size=(100, dim)))
+    x = unit(centre[rng.integers(0, 100, 4 * many + 1000)] + rng.normal(size=(4 * many + 1000, dim)) * 0.6 / dim**0.5)
+    pivots, a = near_vectors.choose_pivots(x[: 4 * many], many), x[-1000:]
+    off = rng.normal(size=a.shape)
+    off = unit(off - (off * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9801 * a + np.sqrt(1 - 0.9801**2) * off
+    keys = [near_vectors.pair_keys(np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, : near_vectors.PREFIX]) for v in (a, b)]
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(*(k.tolist() for k in keys), strict=True)]) >= 0.995
+
+
+def test_near_vectors_of_the_table_equal_brute_force(spark):
+    df = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/embeddings.parquet")
+    rows = df.collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r["label"] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    want = {r["vec_id"]: int(n) - 1 for r, n in zip(rows, near.sum(axis=1), strict=True)}
+    assert {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(df).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(500, 501), (7, 7), (None, 3)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in links.components(edges).collect()}
@@ -186,6 +212,14 @@ def test_graph_search(spark):
         right, total = right + len({r["vec_id"] for r in own} & set(order)), total + 10
     assert {r["query_id"] for r in got} == set(range(0, 900, 100)) and right / total >= 0.95
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 100), key=lambda r: r["rank"])] == list(range(101, 111))
+    # rows that repeat an id are one vector, the smallest; sizes that single precision can't square
+    big = [(i, [float(v) * 1e25 for v in r]) for i, r in enumerate(x[:300])] + [(7, [1e30] * 16), (5, [float(v) * 1e25 for v in x[5]])]
+    wide = spark.createDataFrame(big, "vec_id bigint, embedding array<float>")
+    got = graph_search.nearest(wide, wide.where("vec_id = 0"), shard=100).orderBy("rank").collect()
+    y = (x[:300] * np.float32(1e25)).astype(np.float64)
+    d = np.sqrt(((y - y[0]) ** 2).sum(axis=1))
+    order = [int(i) for i in np.lexsort((np.arange(300), d)) if i != 0][:10]
+    assert len({r["vec_id"] for r in got}) == 10 and len({r["vec_id"] for r in got} & set(order)) >= 9
     few = spark.createDataFrame(rows[:4], "vec_id bigint, embedding array<float>")
     assert graph_search.nearest(few, few.where("vec_id = 0")).count() == 3
     assert graph_search.nearest(few.limit(0), few.limit(0)).count() == 0
