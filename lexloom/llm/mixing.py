@@ -226,7 +226,9 @@ def slots(spark, plan: list[tuple], seed: int = 0, block_words: int = BLOCK_WORD
                     yield pd.DataFrame({"shard": shard, "slot": slot[begin[s] : begin[s] + many[s]].astype(np.int32), "s": np.int32(s), "epoch": epoch.astype(np.int32), "block": block, "upto": upto.astype(np.int64)})
 
     parts = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, shards, 1, parts).mapInPandas(lean(fill), "shard bigint, slot int, s int, epoch int, block bigint, upto bigint")
+    made = spark.range(0, shards, 1, parts).mapInPandas(lean(fill), "shard bigint, slot int, s int, epoch int, block bigint, upto bigint")
+    # a shard is one row of the range but thousands of slots: by the range's size they would be broadcast
+    return made.hint("merge")
 
 
 # ---------------------------------------------------------------- the mix
