@@ -18,7 +18,13 @@ TOP, NEGATIVES, LEAST = 50, 10, 8
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tokens, dl (their number) of the documents that have any."""
-    return docs.select(key, L.tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0")
+    docs = docs.select(key, text)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a table of few row groups would leave cores idle
+        docs = docs.repartition(cores)
+    # a text with a letter, digit or underscore has a token: the filter needs no tokens, so who wants keys alone makes none
+    some = docs.where(F.col(text).rlike(r"[\p{L}\p{N}_]"))
+    return some.select(key, L.tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
 def postings(documents: DataFrame, only: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
@@ -30,9 +36,14 @@ def postings(documents: DataFrame, only: DataFrame | None = None, key: str = "do
 
 
 def statistics(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((n, avgdl), one row; (token, df, idf), a row a token).  A document counts a token once before anything moves."""
-    whole = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = documents.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    """((n, avgdl), one row; (token, df, idf), a row a token).  A document counts a token once before anything moves.
+
+    One pass over the documents: each also counts for a token that no document has, null, whose row is the whole.
+    """
+    rows = documents.select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("token"), "dl")
+    counted = rows.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("dl"))).alias("words"))
+    whole = counted.where("token IS NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    terms = counted.where("token IS NOT NULL").select("token", "df")
     raw = terms.crossJoin(F.broadcast(whole)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # whole is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))

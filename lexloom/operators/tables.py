@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from lexloom.functions import legal_text as L
 
 
-def numbered(df: DataFrame, order: str, to: str, bucket: int = 65_536) -> DataFrame:
+def numbered(df: DataFrame, order: str, to: str, rows: int = 65_536, width: int | None = None) -> DataFrame:
     """df with dense numbers from 0 in the order of a bigint column of distinct values.
 
     Rows are numbered inside ranges of the column and the ranges' counts are added up, so no task meets all rows.
+    Unless the ranges' width is given, it comes from the column's bounds so that a range has about `rows` rows, and
+    there are as many ranges as that makes, whether the values are dense or spread out.
     """
-    part = F.floor(F.col(order) / bucket)
-    rows = df.withColumn("__part", part)
+    if width is None:
+        low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+        width = max(1, -(-(high - low + 1) * rows // n)) if n and low is not None else 1
+    rows = df.withColumn("__part", F.floor(F.col(order) / F.lit(float(width))))
     counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -123,7 +127,7 @@ def hash_split(ids: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFr
     take = max(1, min(n - 1, round(n * min(0.5, max(0.0, ratio))))) if n > 1 else 0
     h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, 15), 16, 10).cast("long")
     # about ten thousand ids share a range of hashes, so ranks need no sort of all ids in one task
-    ranked = numbered(ids.withColumn("__h", h), "__h", "__rank", (1 << 60) // max(1, n // 10_000))
+    ranked = numbered(ids.withColumn("__h", h), "__h", "__rank", width=(1 << 60) // max(1, n // 10_000))
     return ranked.withColumn("dev", F.col("__rank") < take).drop("__h", "__rank")
 
 
@@ -138,8 +142,16 @@ def split_shares(ids: DataFrame, key: str, shares: dict[str, float], seed: int =
     return ids.withColumn("split", F.lit(last) if out is None else out.otherwise(last))
 
 
-def joined_texts(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """key, text: the texts of a key in order, blanks dropped, underscores as spaces, an empty line between."""
-    rows = df.select(key, order, L.shown(F.col(text)).alias("t")).where("t <> ''")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "t"))), lambda x: x["t"])
-    return rows.groupBy(key).agg(F.array_join(parts, "\n\n").alias("text"))
+#: Values of the order column that share a part of a key's joined text.
+PART = 4096
+
+
+def joined_texts(df: DataFrame, key: str, order: str, text: str, part: int = PART) -> DataFrame:
+    """key, part, text: the texts of a key in order, blanks dropped, underscores as spaces, an empty line between.
+
+    order is a bigint column; each range of `part` of its values is a row of its own, so no row grows with the key.
+    """
+    rows = df.select(key, F.col(order).alias("__order"), L.shown(F.col(text)).alias("t")).where("t <> ''")
+    rows = rows.withColumn("part", F.floor(F.col("__order") / part))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__order", "t"))), lambda x: x["t"])
+    return rows.groupBy(key, "part").agg(F.array_join(listed, "\n\n").alias("text"))

@@ -31,11 +31,12 @@ def normalised(v: Column) -> Column:
 
 def inner_products(queries: DataFrame, vectors: DataFrame, query: str = "q", vector: str = "embedding") -> DataFrame:
     """Every query (query_id, q) with every vector, and their score: a scan of all vectors for a block of queries."""
-    return F.broadcast(queries).crossJoin(vectors).withColumn("score", dot(F.col(query), F.col(vector)))
+    small = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK  # only a block of queries is broadcast
+    return (F.broadcast(queries) if small else queries).crossJoin(vectors).withColumn("score", dot(F.col(query), F.col(vector)))
 
 
 #: Queries scored against one batch of vectors at a time.
-QUERY_BLOCK = 2048
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "faiss_id", vector: str = "embedding", digits: int | None = 6) -> DataFrame:
@@ -89,9 +90,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "faiss_id",
                     if x:
                         yield best(np.array([i for i, _ in x]), np.array([v for _, v in x], np.float64), r.asked)
 
-        size = max(1, -(-rows.count() // 8192))
-        held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(size)).alias("part")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-        hits = held.crossJoin(packed).repartition("part", "block").mapInPandas(pairs, schema)
+        # vectors stay where their part is, and every block of queries goes to each part; a part has many blocks
+        size = max(1, -(-rows.count() // VECTOR_BLOCK))
+        parts_of = min(size, 4 * queries.sparkSession.sparkContext.defaultParallelism)
+        held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(size)).alias("own")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+        held = held.withColumn("part", F.pmod("own", F.lit(parts_of)).cast("int"))
+        asked = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1))))
+        hits = asked.join(held.hint("merge"), "part").select("ids", "vs", "asked").mapInPandas(pairs, schema)
     else:
         hits = rows.mapInPandas(scan, schema)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
@@ -116,6 +121,54 @@ def hashed_words(dim: int = 64) -> Encoder:
     return encode
 
 
+#: Lengths of a model's input: the least, the usual, and the one tried after an input was too long.
+LEAST_INPUT, USUAL_INPUT, SHORT_INPUT = 8, 512, 128
+
+
+def shortened(texts: list[str], tokenizer, length: int) -> list[str]:
+    """Texts cut to a number of ids and decoded again; as they are where the tokenizer fails."""
+    try:
+        return [tokenizer.decode(e.ids[:length], skip_special_tokens=True) for e in tokenizer.encode_batch(texts)]
+    except Exception:  # noqa: BLE001 - any tokenizer may be plugged in
+        return texts
+
+
+def _too_long(error: Exception) -> bool:
+    return any(x in str(error).lower() for x in ("index out of range", "position"))
+
+
+def careful(encoder: Encoder, tokenizer_file: str, length: int = USUAL_INPUT, fallback: Encoder | None = None) -> Encoder:
+    """An encoder of queries: inputs are cut to a number of ids; too long ones are cut shorter; then another encoder.
+
+    A first error that speaks of positions leads to a second try with at most SHORT_INPUT ids; if that fails as well,
+    the fallback encodes what is as short.  Other errors stay errors.  Rows are brought to unit length.
+    """
+    length = max(LEAST_INPUT, length)
+
+    def encode(texts: list[str]) -> np.ndarray:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        short = shortened(texts, tokenizer, length)
+        try:
+            x = encoder(short)
+        except Exception as first:
+            if not _too_long(first):
+                raise
+            short = shortened(short, tokenizer, max(16, min(length, SHORT_INPUT)))
+            try:
+                x = encoder(short)
+            except Exception:
+                if fallback is None:
+                    raise
+                x = fallback(shortened(short, tokenizer, SHORT_INPUT))
+        x = np.asarray(x, np.float32)
+        size = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+        return (x / np.where(size == 0, 1, size)).astype(np.float32)
+
+    return encode
+
+
 def encoded(df: DataFrame, encoder: Encoder, text: str = "text", to: str = "embedding", batch: int = 256) -> DataFrame:
     """df with the vectors of its texts, encoded a batch at a time; null texts count as empty."""
     kept = [c for c in df.columns if c != to]
