@@ -4,14 +4,14 @@ from __future__ import annotations
 
 UPPER = "A-ZĐÂÊÔƠƯÁÀẢÃẠĂẮẰẲẴẶẤẦẨẪẬÉÈẺẼẸẾỀỂỄỆÍÌỈĨỊÓÒỎÕỌỐỒỔỖỘỚỜỞỠỢÚÙỦŨỤỨỪỬỮỰÝỲỶỸỴ"
 #: A code: number of one to three digits, year of this or the last century, type of two or more capitals and hyphens.
-NUMBER_YEAR = r"\d{1,3}/(?:19\d{2}|20\d{2})/"
-CODE = NUMBER_YEAR + f"[{UPPER}][{UPPER}-]+"
+CODE = rf"\d{{1,3}}/(?:19\d{{2}}|20\d{{2}})/[{UPPER}][{UPPER}-]+"
 #: A kind of act, then within 40 characters a code; case-insensitive.
-CODE_PREFIX = r"(?:nghị\s*định|thông\s*tư|quyết\s*định|luật|bộ\s*luật)[^\n\r]{0,40}?"
+PREFIXED = rf"\b(?:nghị\s*định|thông\s*tư|quyết\s*định|luật|bộ\s*luật)[^\n\r]{{0,40}}?({CODE})\b"
 #: A kind of act, then within 60 characters a year; a kind alone with 40 characters after it; case-insensitive.
-KIND, KIND_ASCII = r"(?:bộ\s*luật|luật|nghị\s*định|thông\s*tư)", r"(?:bo\s*luat|luat|nghi\s*dinh|thong\s*tu)"
-YEAR = r"(?:19|20)\d{2}"
-YEAR_REACH, KIND_REACH = r"[^\n\r]{0,60}?", r"[^\n\r]{0,40}"
+NAMED = r"\b(?:bộ\s*luật|luật|nghị\s*định|thông\s*tư)[^\n\r]{0,60}?((?:19|20)\d{2})\b"
+NAMED_ASCII = r"\b(?:bo\s*luat|luat|nghi\s*dinh|thong\s*tu)[^\n\r]{0,60}?((?:19|20)\d{2})\b"
+KIND_ALONE = r"\b(?:bộ\s*luật|luật|nghị\s*định|thông\s*tư)[^\n\r]{0,40}"
+KIND_ALONE_ASCII = r"\b(?:bo\s*luat|luat|nghi\s*dinh|thong\s*tu)[^\n\r]{0,40}"
 #: A list of article numbers; an article, a clause; case-insensitive.
 ARTICLES, ARTICLES_ASCII = r"điều\s+\d{1,3}(?:[\s,]*(?:và)?\s*\d{1,3})*", r"dieu\s+\d{1,3}(?:[\s,]*(?:va)?\s*\d{1,3})*"
 ARTICLE, ARTICLE_ASCII = r"điều\s+(\d{1,3})", r"dieu\s+(\d{1,3})"

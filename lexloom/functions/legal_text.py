@@ -6,7 +6,9 @@ strings, not nulls.
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,6 +54,17 @@ HEAD_FIELDS = {
 KEPT = r"[^a-zA-Z0-9\s\x{c0}-\x{1ef9}.,;:!?()\[\]\"'\-\n_–—…/§“”‘’]"
 
 
+#: What counts as blank at the ends of a text and between words: all white space of Unicode and the separators 1C to 1F.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: The same as a pattern's character class, for Java and RE2.
+BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip(text: Column) -> Column:
+    """text without blanks at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def _folding(form: str) -> tuple[str, str]:
     """Letters that differ from their decomposed form by marks only, and what is left; then the marks themselves."""
     pairs, marks = [], []
@@ -68,6 +81,24 @@ FOLD = _folding("NFD")
 FOLD_D = ("Đđ" + FOLD[0], "Dd" + FOLD[1])
 
 
+#: Letters that the short tables don't fold: all but ASCII, Latin, combining marks and syllables of Hangul.
+ODD = r"[^\x00-\x{24f}\x{300}-\x{36f}\x{1e00}-\x{1eff}\x{ac00}-\x{d7a3}]|[\x{80}-\x{bf}ßŉſĲĳĿŀǄ-ǌǱ-ǳẖ-ẟ]"
+
+
+@lru_cache(maxsize=1)
+def _folds() -> str:
+    """The letters of ODD that folding changes and what becomes of them, by Unicode's own rules, as a JSON object."""
+    out = {}
+    for i in [*range(0x80, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        c = chr(i)
+        if 0xD800 <= i < 0xE000:
+            continue
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c.replace("Đ", "D").replace("đ", "d")) if unicodedata.category(x) != "Mn").casefold()
+        if folded != c:
+            out[c] = folded
+    return json.dumps(out, ensure_ascii=False)
+
+
 def _mapped(value: Column, table: dict[str, str], otherwise: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)])
     return F.coalesce(F.try_element_at(pairs, value), otherwise)
@@ -86,7 +117,7 @@ def parse_corpus_id(corpus_id: Column) -> dict[str, Column]:
 
 def code_of(corpus_id: Column) -> Column:
     """The act's code: what stands before the suffix."""
-    return F.trim(F.split_part(_or_empty(corpus_id), F.lit("+"), F.lit(1)))
+    return strip(F.split_part(_or_empty(corpus_id), F.lit("+"), F.lit(1)))
 
 
 def lenient_parts(corpus_id: Column) -> dict[str, Column]:
@@ -98,7 +129,7 @@ def lenient_parts(corpus_id: Column) -> dict[str, Column]:
 
 def act_code(code: Column, types: dict[str, str] = TYPE_CODES) -> Column:
     """Canonical code: number/year/TYPE; codes of fewer parts in upper case, further parts dropped."""
-    code = F.trim(_or_empty(code))
+    code = strip(_or_empty(code))
     parts = F.split(code, "/")
     kind = F.get(parts, 2)
     whole = F.concat_ws("/", F.get(parts, 0), F.get(parts, 1), _mapped(F.lower(kind), types, F.upper(kind)))
@@ -106,8 +137,12 @@ def act_code(code: Column, types: dict[str, str] = TYPE_CODES) -> Column:
 
 
 def lookup_key(code: Column) -> Column:
-    """Key under which canonical and plain spellings of a code meet."""
-    return F.lower(F.translate(F.trim(_or_empty(code)), *FOLD_D))
+    """Key under which spellings of a code meet: compatible forms decomposed, accents dropped, case folded, đ as d."""
+    code = strip(_or_empty(code))
+    plain = F.lower(F.translate(code, *FOLD_D))
+    # letters outside of what the short table and lower() cover, one by one
+    by_letter = F.transform(F.split(code, ""), lambda c: F.coalesce(F.try_element_at(F.from_json(F.lit(_folds()), "map<string,string>"), c), F.lower(F.translate(c, *FOLD_D))))
+    return F.when(code.rlike(ODD), F.array_join(by_letter, "")).otherwise(plain)
 
 
 def ascii_code(code: Column) -> Column:
@@ -117,7 +152,7 @@ def ascii_code(code: Column) -> Column:
 
 def name_form(name: Column) -> Column:
     """Name without accents (đ stays), lower-cased, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(_or_empty(name), *FOLD)), r"\s+", " "))
+    return strip(F.regexp_replace(F.lower(F.translate(_or_empty(name), *FOLD)), BLANK + "+", " "))
 
 
 def crawler_id(code: Column) -> Column:
@@ -144,11 +179,11 @@ def similarity(score: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(_or_empty(text), r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(_or_empty(text), BLANK + "+"), lambda w: w != ""))
 
 
 def doc_text(title: Column, text: Column) -> Column:
-    return F.concat_ws("\n", F.nullif(F.trim(_or_empty(title)), F.lit("")), F.nullif(F.trim(_or_empty(text)), F.lit("")))
+    return F.concat_ws("\n", F.nullif(strip(_or_empty(title)), F.lit("")), F.nullif(strip(_or_empty(text)), F.lit("")))
 
 
 def tokens(text: Column) -> Column:
@@ -157,7 +192,7 @@ def tokens(text: Column) -> Column:
 
 def shown(text: Column) -> Column:
     """Underscores of segmented words as spaces."""
-    return F.trim(F.replace(_or_empty(text), F.lit("_"), F.lit(" ")))
+    return strip(F.replace(_or_empty(text), F.lit("_"), F.lit(" ")))
 
 
 def clean(text: Column, stopwords: list[str] | None = None, keep_underscore: bool = True) -> Column:
@@ -166,19 +201,19 @@ def clean(text: Column, stopwords: list[str] | None = None, keep_underscore: boo
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"""([,;:.!?)(\[\]"'])""", " $1 ")
     if stopwords:
         stop = F.array(*map(F.lit, stopwords))
-        t = F.array_join(F.filter(F.split(t, r"\s+"), lambda w: (w != "") & ~F.array_contains(stop, F.lower(w))), " ")
+        t = F.array_join(F.filter(F.split(t, BLANK + "+"), lambda w: (w != "") & ~F.array_contains(stop, F.lower(w))), " ")
     if not keep_underscore:
         t = F.replace(t, F.lit("_"), F.lit(" "))
-    return F.regexp_replace(F.regexp_replace(t, KEPT, ""), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(t, KEPT, ""))
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(_or_empty(text), r"\s+", " "))
+    return strip(F.regexp_replace(_or_empty(text), BLANK + "+", " "))
 
 
 def head_title(text: Column) -> Column:
     """First of ten lines that names a kind of act, else 'Unknown'."""
-    lines = F.transform(F.slice(F.split(_or_empty(text), "\n"), 1, 10), lambda s: F.trim(s))
+    lines = F.transform(F.slice(F.split(_or_empty(text), "\n"), 1, 10), lambda s: strip(s))
     known = lambda s: F.lower(s).rlike("|".join(TITLE_WORDS)) & ~s.startswith("<")
     return F.coalesce(F.get(F.filter(lines, known), 0), F.lit("Unknown"))
 
@@ -186,11 +221,7 @@ def head_title(text: Column) -> Column:
 def head_field(text: Column, pattern: str) -> Column:
     """Value after a label in the first 120 lines; null without one."""
     head = F.array_join(F.slice(F.split(_or_empty(text), "\n"), 1, 120), "\n")
-    return F.nullif(F.trim(F.regexp_extract(head, "(?iu)(?<![\\p{L}\\p{N}_])" + pattern, 1)), F.lit(""))
-
-
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.nullif(strip(F.regexp_extract(head, "(?iu)(?<![\\p{L}\\p{N}_])" + pattern, 1)), F.lit(""))
 
 
 def heading(chapter: Column, section: Column, article: Column, name: Column) -> Column:
@@ -203,15 +234,15 @@ def heading(chapter: Column, section: Column, article: Column, name: Column) ->
 def article_text(chapter, section, article, name, body) -> Column:
     head = heading(chapter, section, article, name)
     head = F.when(head.endswith(".."), F.rtrim(head, F.lit("."))).otherwise(head)
-    return _strip(F.concat(head, F.lit("\n"), _or_empty(body)))
+    return strip(F.concat(head, F.lit("\n"), _or_empty(body)))
 
 
 def clause_text(chapter, section, article, name, clause, body) -> Column:
-    return _strip(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(". "), _or_empty(body)))
+    return strip(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(". "), _or_empty(body)))
 
 
 def point_text(chapter, section, article, name, clause, point, body) -> Column:
-    return _strip(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(" - Điểm "), point, F.lit(") "), _or_empty(body)))
+    return strip(F.concat(heading(chapter, section, article, name), F.lit(" - Khoản "), clause, F.lit(" - Điểm "), point, F.lit(") "), _or_empty(body)))
 
 
 def masked(text: Column, secret: Column | str) -> Column:

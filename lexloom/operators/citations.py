@@ -1,13 +1,12 @@
 """Citations of acts in texts, and the graph of who cites whom.
 
-The native functions serve codes and places; the whole extraction, with mentions by name, is a Python function over
-Arrow batches, since a hit depends on positions and on what other hits are near.
+The native functions serve codes and places.  The whole extraction turns texts into rows of mentions, in Python over
+Arrow batches, since articles depend on the places of matches; names, shadows and repeats are joins and windows.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -43,12 +42,12 @@ def location(text: Column) -> dict[str, Column]:
 
 def article_cut(text: Column, article: int) -> Column:
     """What stands from the first mention of an article to the next line that begins with one; empty without any."""
-    return F.trim(F.regexp_extract(text, rf"(?isu)(Điều\s+0*{int(article)}{_END}.*?)(?=\n\s*Điều\s+0*\d+{_END}|\z)", 1))
+    return L.strip(F.regexp_extract(text, rf"(?isu)(Điều\s+0*{int(article)}{_END}.*?)(?=\n\s*Điều\s+0*\d+{_END}|\z)", 1))
 
 
 def asked_articles(listed: Column) -> Column:
     """Numbers of a comma-separated list; what is no number is left out."""
-    return F.transform(F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
+    return F.transform(F.filter(F.transform(F.split(listed, ","), lambda x: L.strip(x)), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
 
 
 def article_texts(chunks: DataFrame) -> DataFrame:
@@ -94,12 +93,24 @@ def cited_articles(hits: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- mentions by name
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters; a shorter text is its own run."""
+    size = F.length(text)
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
+
+
+#: Characters of the runs by which a name and a mention that holds it, or is held by it, find each other.
+GRAM = 4
+
+
 def name_matches(mentions: DataFrame, acts: DataFrame) -> DataFrame:
-    """mention_id, act_code of the act that a mention (mention_id, window, year_hint) names best.
+    """mention_id, act_code, score of the act that a mention (mention_id, window, year_hint) names best.
 
-    A name that holds the mention's own words, or is held by them, scores its length; else the shared words count.
-    A year that differs from the mention's costs one.  Ties go to the later year, then to the smaller code.  Only acts
-    of the mention's kind and with a word in common meet, so words are joined, not all pairs.
+    A name that holds the mention's own words, or is held by them, scores its length, also where the one begins or
+    ends inside a word of the other; else the shared words count.  A year that differs from the mention's costs one.
+    Ties go to the later year, then to the smaller code.  Only acts of the mention's kind meet that share a word or
+    hold the other's first characters, so keys are joined, not all pairs.
     """
     kind = F.coalesce(*[F.when(F.col("w").rlike(rf"\b{k}\b"), k) for k in P.KINDS])
     own = mentions.select("mention_id", "year_hint", L.name_form(F.col("window")).alias("w"))
@@ -109,9 +120,16 @@ def name_matches(mentions: DataFrame, acts: DataFrame) -> DataFrame:
     named_kind = F.coalesce(*[F.when(F.col("name").startswith(k), k) for k in P.KINDS], F.lit("other"))
     names = names.withColumn("name_kind", named_kind)
     words = lambda c: F.array_distinct(F.split(c, " "))
-    shared = own.withColumn("word", F.explode(words(F.col("core")))).join(names.withColumn("word", F.explode(words(F.col("name")))), "word")
+    # keys: words; of one text the first characters, of the other all runs as long, once each way round
+    word = lambda c: F.transform(words(c), lambda x: F.concat(F.lit("w"), x))
+    first = lambda c, mark: F.array(F.concat(F.lit(mark), F.substring(c, 1, GRAM)))
+    runs = lambda c, mark: F.transform(F.array_distinct(F.flatten(F.array(*[_grams(c, n) for n in range(1, GRAM + 1)]))), lambda x: F.concat(F.lit(mark), x))
+    keyed_own = own.withColumn("key", F.explode(F.concat(word(F.col("core")), first(F.col("core"), "<"), runs(F.col("core"), ">"))))
+    keyed_names = names.withColumn("key", F.explode(F.concat(word(F.col("name")), runs(F.col("name"), "<"), first(F.col("name"), ">"))))
     fits = F.col("kind").isNull() | (F.col("kind") == F.col("name_kind")) | ((F.col("kind") == "luat") & (F.col("name_kind") == "bo luat"))
-    pairs = shared.where(fits).groupBy("mention_id", "year_hint", "core", "act_code", "year", "name").agg(F.count("*").alias("common"))
+    is_word = F.col("key").startswith("w")
+    whole = is_word | F.contains("name", "core") | F.contains("core", "name")
+    pairs = keyed_own.join(keyed_names, "key").where(fits & whole).groupBy("mention_id", "year_hint", "core", "act_code", "year", "name").agg(F.count_if(is_word).alias("common"))
     score = F.when(F.contains("name", "core"), F.length("core")).when(F.contains("core", "name"), F.length("name")).otherwise(F.col("common"))
     score = score - F.when(F.col("year_hint").isNotNull() & (F.coalesce("year", F.lit(-1)) != F.col("year_hint")), 1).otherwise(0)
     place = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.coalesce("year", F.lit(-1)).desc(), "act_code")
@@ -125,100 +143,97 @@ def name_matches(mentions: DataFrame, acts: DataFrame) -> DataFrame:
 def _patterns() -> dict:
     c = lambda p, flags=re.IGNORECASE: re.compile(p, flags)
     return {
-        "code": re.compile(rf"\b{P.CODE}\b"), "prefixed": c(rf"\b{P.CODE_PREFIX}({P.CODE})\b"),
-        "named": [c(rf"\b{k}{P.YEAR_REACH}({P.YEAR})\b") for k in (P.KIND, P.KIND_ASCII)], "kind": [c(rf"\b{k}{P.KIND_REACH}") for k in (P.KIND, P.KIND_ASCII)],
+        "code": re.compile(rf"\b{P.CODE}\b"), "prefixed": c(P.PREFIXED), "named": [c(P.NAMED), c(P.NAMED_ASCII)], "kind": [c(P.KIND_ALONE), c(P.KIND_ALONE_ASCII)],
         "articles": [c(P.ARTICLES), c(P.ARTICLES_ASCII)], "article": [c(rf"\b{p}\b") for p in (P.ARTICLE, P.ARTICLE_ASCII)], "clause": [c(rf"\b{p}\b") for p in (P.CLAUSE, P.CLAUSE_ASCII)],
     }
 
 
-def _plain(text: str) -> str:
-    text = unicodedata.normalize("NFD", text.translate(str.maketrans("–—Đđ", "--Dd")))
-    return "".join(c for c in text if unicodedata.category(c) != "Mn")
+def _numbers(*matches) -> list[int]:
+    """Numbers of lists of articles, each once."""
+    return list(dict.fromkeys(int(n) for m in matches for n in re.findall(r"\d{1,3}", m.group(0))))
 
 
-def _numbers(match) -> list[int]:
-    return list(dict.fromkeys(map(int, re.findall(r"\d{1,3}", match.group(0)))))
+def _found(patterns, text: str) -> list:
+    return [m for p in patterns for m in p.finditer(text)]
 
 
-def _last(text: str, patterns) -> int | None:
-    found = [int(m.group(1)) for p in patterns for m in p.finditer(text)]
-    return found[-1] if found else None
+class Mentions:
+    """The mentions of one text, each with the articles that go with it, before names are resolved.
 
+    A mention by code is (method ID, code); one by name has no code yet, and the year that its accented spelling names.
+    """
 
-class Extractor:
-    """Finds the citations of one text.  resolve(window, year) may name the act that a mention without code means."""
+    def __init__(self, by_name: bool = True):
+        self.by_name = by_name
 
-    def __init__(self, resolve=None, by_name: bool = True, article_only: bool = False):
-        self.resolve, self.by_name, self.article_only = resolve, by_name, article_only
+    @staticmethod
+    def around(text: str, begin: int, end: int) -> str:
+        return text[max(0, begin - P.RADIUS) : end + P.RADIUS]
 
-    def _around_code(self, text: str, begin: int, end: int) -> list[int]:
+    def _of_code(self, text: str, begin: int, end: int) -> list[int]:
         """Articles of the last list before a code, else of the first after it."""
-        before, after = text[max(0, begin - P.RADIUS) : begin], text[end : end + P.RADIUS]
-        lists = [m for p in _patterns()["articles"] for m in p.finditer(before)]
-        if lists:
-            return _numbers(lists[-1])
-        first = next((m for p in _patterns()["articles"] if (m := p.search(after))), None)
-        return _numbers(first) if first else []
-
-    def _hits(self, text: str):
-        p = _patterns()
-        for m, group in [*((m, 0) for m in p["code"].finditer(text)), *((m, 1) for m in p["prefixed"].finditer(text))]:
-            for article in self._around_code(text, m.start(), m.end()) or [None]:
-                yield self._hit(text, m.start(group), m.end(group), m.group(group), "ID", article)
-        if self.by_name:
-            for i, pattern in enumerate([*p["named"], *p["kind"]]):
-                for m in pattern.finditer(text):
-                    window = text[max(0, m.start() - P.RADIUS) : m.end() + P.RADIUS]
-                    # only the accented form with a year gives a hint
-                    code = self.resolve(window, int(m.group(1)) if i == 0 else None) if self.resolve else None
-                    articles = list(dict.fromkeys(n for q in p["articles"] for c in q.finditer(window) for n in map(int, re.findall(r"\d{1,3}", c.group(0)))))
-                    for article in articles or [None]:
-                        yield self._hit(text, m.start(), m.end(), code, "NAME", article)
+        p = _patterns()["articles"]
+        before = _found(p, text[max(0, begin - P.RADIUS) : begin])
+        after = [m for m in (q.search(text[end : end + P.RADIUS]) for q in p) if m]
+        return _numbers(*(before[-1:] or after[:1]))
 
-    @staticmethod
-    def _hit(text, begin, end, code, method, article) -> dict:
-        window = text[max(0, begin - P.RADIUS) : end + P.RADIUS]
-        if article is None:
-            article = _last(window, _patterns()["article"])
-        return {
-            "article": article, "clause": _last(window, _patterns()["clause"]), "point": None, "act_code_raw": code, "act_code_norm": None if code is None else _plain(code),
-            "method": method, "ambiguity": code is None, "span_start": begin, "span_end": end, "text_window": window,
-        }
+    def spans(self, text: str):
+        """(begin, end, code, method, year, articles) of each mention."""
+        p = _patterns()
+        for pattern, group in ((p["code"], 0), (p["prefixed"], 1)):
+            for m in pattern.finditer(text):
+                yield (*m.span(group), m.group(group), "ID", None, self._of_code(text, *m.span()))
+        for i, pattern in enumerate([*p["named"], *p["kind"]] if self.by_name else []):
+            for m in pattern.finditer(text):
+                yield (*m.span(), None, "NAME", int(m.group(1)) if i == 0 else None, _numbers(*_found(p["articles"], self.around(text, *m.span()))))
 
     def __call__(self, text: str | None) -> list[dict]:
-        hits = list(self._hits(text or ""))
-        middle = lambda h: (h["span_start"] + h["span_end"]) // 2
-        sure = [(middle(h), h["article"]) for h in hits if h["method"] == "ID" and h["article"] is not None]
-        kept: dict = {}
-        for h in hits:
-            unsure = h["method"] == "NAME" and h["ambiguity"] and h["article"] is not None
-            if unsure and any(abs(middle(h) - at) <= P.SHADOW and h["article"] == a for at, a in sure):
-                continue
-            if self.article_only:
-                h["clause"] = None
-            # an act and article count once: the first hit, unless it is ambiguous and a later one is not
-            key = (h["act_code_norm"] or h["act_code_raw"], h["article"])
-            if key not in kept or kept[key]["ambiguity"] and not h["ambiguity"]:
-                kept[key] = h
-        return list(kept.values())
-
-
-def extract(df: DataFrame, key: str, text: str, by_name: bool = True, article_only: bool = False) -> DataFrame:
-    """key and the columns of CITATIONS: a row a citation, in the order found.  Unresolved names are ambiguous.
-
-    Resolve them afterwards with name_matches, which joins instead of looking the registry up text by text.
+        """A row for each mention and article, in the order found."""
+        out, p = [], _patterns()
+        for begin, end, code, method, year, articles in self.spans(text or ""):
+            window = self.around(text, begin, end)
+            last = {n: next((int(m.group(1)) for m in reversed(_found(p[n], window))), None) for n in ("article", "clause")}
+            own = {"clause": last["clause"], "act_code_raw": code, "method": method, "year_hint": year, "span_start": begin, "span_end": end, "text_window": window}
+            out += [own | {"article": a} for a in articles or [last["article"]]]
+        return out
+
+
+_RAW = {"article": "int", "clause": "int", "act_code_raw": "string", "method": "string", "year_hint": "int", "span_start": "int", "span_end": "int", "text_window": "string"}
+
+
+def extract(df: DataFrame, key: str, text: str, by_name: bool = True, article_only: bool = False, acts: DataFrame | None = None) -> DataFrame:
+    """key and the columns of CITATIONS: a row a citation.  acts: registry entries (act_code, act_name, official_title, year).
+
+    Mentions become rows; those by name are resolved by a join with the registry, and stay ambiguous without a match.
+    An ambiguous one with an article near (SHADOW) a code's with the same article goes.  An act and article of a text
+    count once, the earliest.  Null texts have no citations; rows that share a key count as one text.
     """
-    names = CITATIONS.fieldNames()
 
     def run(batches):
-        find = Extractor(by_name=by_name, article_only=article_only)
+        find = Mentions(by_name)
         for batch in batches:
-            keys, rows = [], []
+            keys, places, rows = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = find(t)
                 keys += [k] * len(own)
+                places += range(len(own))
                 rows += own
-            kinds = {"article": pa.int32(), "clause": pa.int32(), "ambiguity": pa.bool_(), "span_start": pa.int32(), "span_end": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names)], names=[key, *names])
-
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CITATIONS))
+            columns = [pa.array([r[n] for r in rows], pa.int32() if kind == "int" else pa.string()) for n, kind in _RAW.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(places, pa.int32()), *columns], names=["__key", "place", *_RAW])
+
+    kind = df.schema[key].dataType.simpleString()
+    hits = df.select(F.col(key).alias("__key"), text).mapInArrow(run, f"__key {kind}, place int, " + ", ".join(f"{n} {t}" for n, t in _RAW.items()))
+    if acts is not None and by_name:
+        mention = F.struct("__key", "span_start", "span_end", "year_hint")
+        named = hits.where("method = 'NAME'").select(mention.alias("mention_id"), F.col("text_window").alias("window"), "year_hint").dropDuplicates(["mention_id"])
+        found = name_matches(named, acts).select(F.col("mention_id").alias("__m"), F.col("act_code").alias("__code"))
+        hits = hits.join(found, (F.col("method") == "NAME") & (mention == F.col("__m")), "left").withColumn("act_code_raw", F.coalesce("act_code_raw", "__code")).drop("__m", "__code")
+    hits = hits.withColumns({"act_code_norm": L.ascii_code(F.col("act_code_raw")), "ambiguity": F.col("act_code_raw").isNull(), "point": F.lit(None).cast("string"), "middle": F.expr("(span_start + span_end) div 2")})
+    if article_only:
+        hits = hits.withColumn("clause", F.lit(None).cast("int"))
+    # windows over a text's citations of one article see whether a code's is near; what is dropped is never a code's
+    near = Window.partitionBy("__key", "article").orderBy("middle").rangeBetween(-P.SHADOW, P.SHADOW)
+    shadowed = (F.col("method") == "NAME") & F.col("ambiguity") & F.col("article").isNotNull() & (F.count_if(F.col("method") == "ID").over(near) > 0)
+    first = Window.partitionBy("__key", F.coalesce("act_code_norm", "act_code_raw"), "article").orderBy("place")
+    hits = hits.withColumn("__gone", shadowed).where("NOT __gone").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return hits.select(F.col("__key").alias(key), *CITATIONS.fieldNames())

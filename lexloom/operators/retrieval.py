@@ -29,10 +29,14 @@ def retrieve(queries: DataFrame, segments: DataFrame, k: int = 5, oversample: in
     The k * oversample best segments of a query are grouped by chunk; chunks rank by their combined score, ties by
     their best segment.
     """
+    return ranked_chunks(segment_hits(queries, segments, k, oversample), max(1, k), strategy, m)
+
+
+def segment_hits(queries: DataFrame, segments: DataFrame, k: int = 5, oversample: int = 5) -> DataFrame:
+    """query_id, faiss_id, score, rank, chunk_id, part of each query's max(1, k) * oversample best segments."""
     k = max(1, k)
     hits = vectors.top_k(queries, segments.select("faiss_id", "embedding"), max(k, k * oversample))
-    found = hits.join(segments.select("faiss_id", F.coalesce("chunk_id", "faiss_id").alias("chunk_id"), "part"), "faiss_id")
-    return ranked_chunks(found, k, strategy, m)
+    return hits.join(segments.select("faiss_id", F.coalesce("chunk_id", "faiss_id").alias("chunk_id"), "part"), "faiss_id")
 
 
 def ranked_chunks(hits: DataFrame, k: int, strategy: str = "topm_mean", m: int = 2) -> DataFrame:
@@ -131,7 +135,8 @@ def confidence(hits: DataFrame) -> DataFrame:
 
 
 # Fixed values.
-CONTEXT_CHARS, ACT_CHARS, CITED_CHARS = 200_000, 40_000, 20_000
+CONTEXT_CHARS, ACT_CHARS, CITED_CHARS, SEGMENTS = 200_000, 40_000, 20_000, 10
+OWN_PART, CITED_PART = "[Tài liệu tham khảo (toàn văn) – đã được hệ thống RAG chọn lọc]", "\n[Tài liệu trích dẫn]"
 
 
 def budgeted(df: DataFrame, group: list[str], order: list[str], text: str, quota: int | Column) -> DataFrame:
@@ -155,6 +160,70 @@ def contexts(pieces: DataFrame, act_chars: int = ACT_CHARS, total_chars: int = C
     return blocks.groupBy("query_id").agg(F.substring(whole, 1, total_chars).alias("context"))
 
 
+def article_segments(articles: DataFrame, segments: DataFrame, hits: DataFrame, most: int = SEGMENTS) -> DataFrame:
+    """articles (with query_id and chunk_id) with `segments`: a chunk's first `most` parts, those that were hit first.
+
+    segments: chunk_id, part, text.  hits: query_id, chunk_id, part, score; hit parts stand best first, others by number.
+    """
+    rows = articles.select("query_id", "chunk_id").distinct().join(segments.where(F.col("part") <= most), "chunk_id")
+    best = hits.groupBy("query_id", "chunk_id", "part").agg(F.max("score").alias("hit"))
+    rows = rows.withColumn("text", L.shown(F.col("text"))).where("text <> ''").join(best, ["query_id", "chunk_id", "part"], "left")
+    order = F.struct(F.col("hit").isNull().alias("late"), F.coalesce(-F.col("hit"), F.lit(0.0)).alias("s"), "part", "text")
+    listed = rows.groupBy("query_id", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"]).alias("segments"))
+    return articles.join(listed, ["query_id", "chunk_id"], "left")
+
+
+def _within(texts: Column, quota: Column) -> Column:
+    """Texts in order until a quota of characters is spent, the last one cut, an empty line between."""
+    begin = F.struct(quota.cast("int").alias("left"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, t):
+        own = F.substring(t, F.lit(1), F.greatest(F.lit(0), acc["left"]))
+        return F.struct((acc["left"] - F.length(own)).alias("left"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    return F.array_join(F.filter(F.aggregate(texts, begin, step, lambda acc: acc["out"]), lambda t: t != ""), "\n\n")
+
+
+def _left(size: Column, quota: int | Column, group: list[str], *order: str) -> Column:
+    """What is left of a quota before each row of a group."""
+    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (F.lit(quota) if isinstance(quota, int) else quota) - F.coalesce(F.sum(size).over(before), F.lit(0))
+
+
+def _listed(order: str, text: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n")
+
+
+def assembled(own: DataFrame, cited: DataFrame, act_chars: int = ACT_CHARS, total_chars: int = CONTEXT_CHARS, cited_chars: int = CITED_CHARS) -> DataFrame:
+    """query_id, context under three budgets: acts in rank order, then what the hits cite, each kind under its heading.
+
+    own: query_id, act_rank, header, article_rank, article, segments (texts in the order they are wanted).  An act's
+    articles share its budget, headings counted; an act whose articles are null is given by its segments as they are.
+    cited: query_id, act_rank, act_code, article, text; they share what the acts leave, cited_chars at most.
+    """
+    one = F.col("article").isNotNull()
+    head = F.when(one, F.concat(F.lit("Điều "), F.col("article").cast("string"), F.lit("\n"))).otherwise("")
+    rows = own.withColumn("head", head).where(F.size(F.filter("segments", lambda t: t != "")) > 0)
+    size = F.length("head") + F.length(F.array_join("segments", "\n\n"))
+    rows = rows.withColumn("left", _left(size, act_chars, ["query_id", "act_rank"], "article_rank")).where("left > 0")
+    rows = rows.withColumn("section", F.concat("head", _within(F.col("segments"), F.col("left"))))
+    blocks = rows.groupBy("query_id", "act_rank", "header").agg(_listed("article_rank", "section").alias("body")).withColumn("block", F.concat("header", F.lit("\n"), "body"))
+    blocks = blocks.withColumn("left", _left(F.length("block"), total_chars, ["query_id"], "act_rank")).where("left > 0")
+    blocks = blocks.withColumn("block", F.substring(F.col("block"), F.lit(1), F.col("left").cast("int")))
+    whole = blocks.groupBy("query_id").agg(_listed("act_rank", "block").alias("own"), F.sum(F.length("block")).alias("spent"))
+    # articles of a cited act share cited_chars, headings counted; its blocks share what is left of all
+    c = cited.where("coalesce(text, '') <> ''").withColumn("section", F.concat(head, "text")).withColumn("article", F.coalesce("article", F.lit(0)))
+    c = c.withColumn("left", _left(F.length("section"), cited_chars, ["query_id", "act_rank"], "article")).where("left > 0")
+    c = c.withColumn("section", F.substring(F.col("section"), F.lit(1), F.col("left").cast("int")))
+    c = c.groupBy("query_id", "act_rank", "act_code").agg(_listed("article", "section").alias("body"))
+    c = c.withColumn("block", F.concat(F.lit("Văn bản được trích dẫn `"), "act_code", F.lit("`\n"), "body")).join(whole.select("query_id", "spent"), "query_id")
+    c = c.withColumn("left", _left(F.length("block"), F.least(F.lit(cited_chars), total_chars - F.col("spent")), ["query_id"], "act_rank")).where("left > 0")
+    c = c.withColumn("block", F.substring(F.col("block"), F.lit(1), F.col("left").cast("int")))
+    c = c.groupBy("query_id").agg(_listed("act_rank", "block").alias("cited"))
+    both = F.concat_ws("\n\n", F.lit(OWN_PART), "own", F.when(F.col("cited").isNotNull(), F.lit(CITED_PART)), "cited")
+    return whole.join(c, "query_id", "left").select("query_id", F.substring(both, 1, total_chars).alias("context"))
+
+
 def formatted(hits: DataFrame) -> DataFrame:
     """query_id, text: a block for each hit in rank order: number, title, article, id, text, score with two digits."""
     parts = L.parse_corpus_id(F.col("corpus_id"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,10 +48,41 @@ def char_windows(text: Column, length: int = LENGTH, overlap: int = OVERLAP) ->
     size, step = length * CHARS_PER_TOKEN, max(1, (length - overlap) * CHARS_PER_TOKEN)
     n = F.length(text)
     many = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct((i + 1).alias("part"), F.trim(F.substring(text, i * step + 1, F.lit(size))).alias("text")))
+    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct((i + 1).alias("part"), L.strip(F.substring(text, i * step + 1, F.lit(size))).alias("text")))
     return F.filter(parts, lambda p: p["text"] != "")
 
 
+def model_windows(df: DataFrame, key: str, text: str, tokenizer_file: str, length: int = LENGTH, overlap: int = OVERLAP) -> DataFrame:
+    """key, part, span_token_start, span_token_end, text: windows over the ids of a model's tokenizer, decoded.
+
+    A text of at most `length` ids is one segment, as it is; of others each window's ids are decoded, and blank ones
+    drop out.  Blank and null texts have none.  tokenizer_file is a file of the tokenizers library that every machine has.
+    """
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        stride = max(1, length - overlap)
+        for batch in batches:
+            out = {"place": [], "part": [], "begin": [], "end": [], "text": []}
+            texts = [(t or "").strip(L.BLANKS) for t in batch.column(1).to_pylist()]
+            for i, (t, own) in enumerate(zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)):
+                ids, n = own.ids, len(own.ids)
+                many = 1 if n <= length else 1 + -(-(n - length) // stride)
+                spans = [(k * stride, min(n, k * stride + length)) for k in range(many)] if t else []
+                shown = [t] if many == 1 else [x.strip(L.BLANKS) for x in tokenizer.decode_batch([ids[a:b] for a, b in spans], skip_special_tokens=True)]
+                kept = [(a, b, x) for (a, b), x in zip(spans, shown, strict=False) if x]
+                for part, (a, b, x) in enumerate(kept, 1):
+                    for name, value in zip(out, (i, part, a, b, x), strict=True):
+                        out[name].append(value)
+            keys = batch.column(0).take(pa.array(out.pop("place"), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(v, pa.string() if n == "text" else pa.int32()) for n, v in out.items())], names=[key, "part", "span_token_start", "span_token_end", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, part int, span_token_start int, span_token_end int, text string")
+
+
 def segment_table(chunks: DataFrame, length: int = LENGTH, overlap: int = OVERLAP) -> DataFrame:
     """A row a segment: faiss_id (dense, by chunk and part), the chunk's id parts, part, span in tokens, text.
 
@@ -60,7 +93,7 @@ def segment_table(chunks: DataFrame, length: int = LENGTH, overlap: int = OVERLA
     rows = rows.withColumn("w", F.explode(windows(F.col("tokens"), length, overlap)))
     rows = rows.select("chunk_id", "corpus_id", *parts, F.col("w.part").alias("part"), F.col("w.begin").alias("span_token_start"), F.col("w.upto").alias("span_token_end"), F.array_join("w.tokens", " ").alias("text"))
     # a chunk has fewer than 2^20 parts
-    return numbered(rows.withColumn("__pos", F.col("chunk_id") * (1 << 20) + F.col("part")), "__pos", "faiss_id", 1 << 36).drop("__pos")
+    return numbered(rows.withColumn("__pos", F.col("chunk_id") * (1 << 20) + F.col("part")), "__pos", "faiss_id", width=1 << 36).drop("__pos")
 
 
 def chunk_segments(chunks: DataFrame, most: int, length: int = LENGTH, overlap: int = OVERLAP) -> DataFrame:
@@ -72,20 +105,30 @@ def chunk_segments(chunks: DataFrame, most: int, length: int = LENGTH, overlap:
 _ENDS = (". ", "! ", "? ", "; ")
 
 
+def _last(places: list[int], low: int, high: int) -> int:
+    """Distance from low of the last place in low .. high - 1; -1 without one."""
+    i = bisect_left(places, high)
+    return places[i - 1] - low if i and places[i - 1] >= low else -1
+
+
 def _pieces(text: str, size: int, overlap: int) -> list[str]:
+    """Pieces of each paragraph, from the places of all its sentence and line ends.
+
+    A piece is cut behind a sentence end within size + 1 characters: kind by kind, the last end of a kind counts if
+    it begins behind the cut so far.  Without one, behind the last line end, else after size characters.
+    """
     out = []
     for paragraph in re.split(r"\n\n+", text.strip()):
-        at = 0
-        while at < len(paragraph):
-            view = paragraph[at : at + size + 1]
-            ends = [view.rfind(e) + len(e) for e in _ENDS if e in view]
-            # the last sentence end, else the last line end, else the full size
-            line = view.rfind("\n") + 1
-            cut = max(ends) if ends else line if line > 1 else min(size, len(view))
-            out.append(view[:cut].strip())
-            if at + cut >= len(paragraph):
-                break
-            at = max(at + cut - overlap, at + 1)
+        ends = [[m.start() for m in re.finditer(re.escape(e), paragraph)] for e in _ENDS]
+        lines = [m.start() for m in re.finditer("\n", paragraph)]
+        begin, whole = 0, len(paragraph)
+        while begin < whole:
+            upto = min(begin + size + 1, whole)
+            cut = reduce(lambda far, at: at + 2 if at > far else far, (_last(places, begin, upto - 1) for places in ends), -1)  # noqa: B023
+            line = _last(lines, begin, upto)
+            end = begin + (cut if cut > 0 else line + 1 if line > 0 else min(size, upto - begin))
+            out.append(paragraph[begin:end].strip())
+            begin = whole if end >= whole else max(end - overlap, begin + 1)
     return [p for p in out if len(p.split()) >= 20]
 
 

@@ -12,23 +12,25 @@ from lexloom.functions import legal_text as L
 from lexloom.operators import segments
 
 # How lines of a level begin.
-LEVELS = {
-    "chapter": r"(?iu)^\s*CHƯƠNG\s+([IVXLCDM]+|[0-9]+)(?![\p{L}\p{N}_])\s*(.*)$",
-    "section": r"(?iu)^\s*Mục\s+(\d+)(?![\p{L}\p{N}_])\s*(.*)$",
-    "article": r"^\s*Điều\s+(\d+)\s*\.\s*(.*)$",
-    "clause": r"^\s*(\d+)\s*\.\s+(.*)$",
-    "point": r"^\s*\(?([a-z])\)\s+(.*)$",
+_LEVELS = {
+    "chapter": r"(?iud)^\s*CHƯƠNG\s+([IVXLCDM]+|[0-9]+)(?![\p{L}\p{N}_])\s*(.*)$",
+    "section": r"(?iud)^\s*Mục\s+(\d+)(?![\p{L}\p{N}_])\s*(.*)$",
+    "article": r"(?d)^\s*Điều\s+(\d+)\s*\.\s*(.*)$",
+    "clause": r"(?d)^\s*(\d+)\s*\.\s+(.*)$",
+    "point": r"(?d)^\s*\(?([a-z])\)\s+(.*)$",
 }
+#: The same with blanks of Unicode; only a line feed ends a line.
+LEVELS = {n: p.replace(r"\s", L.BLANK) for n, p in _LEVELS.items()}
 ORDER = list(LEVELS)
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, text, kind (level or 'text'), number, name, and the number of each level that holds the line."""
-    rows = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text")).where("trim(text) <> ''")
+    rows = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text")).where(L.strip(F.col("text")) != "")
     kind = F.coalesce(*[F.when(F.col("text").rlike(p), n) for n, p in LEVELS.items()], F.lit("text"))
     rows = rows.withColumn("kind", kind)
     part = lambda i: F.coalesce(*[F.when(F.col("kind") == n, F.regexp_extract("text", p, i)) for n, p in LEVELS.items()])
-    rows = rows.withColumns({"number": part(1), "name": F.trim(part(2))})
+    rows = rows.withColumns({"number": part(1), "name": L.strip(part(2))})
     order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = {n: F.last(F.when(F.col("kind") == n, F.col("line")), ignorenulls=True).over(order) for n in ORDER}
     rows = rows.withColumns({f"{n}_line": c for n, c in last.items()})
@@ -56,10 +58,10 @@ def chunks(parsed: DataFrame, key: str) -> DataFrame:
     inner = F.col("kind").isin("article", "clause", "point")
     start = F.last(F.when(F.col("kind") != "text", F.when(inner, F.col("line")).otherwise(-1)), ignorenulls=True).over(order)
     rows = parsed.withColumn("start", start).where("start >= 0 AND article IS NOT NULL")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.when(F.col("kind") == "text", F.trim("text")).otherwise(F.col("name")).alias("t")))), lambda x: x["t"]), "\n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.when(F.col("kind") == "text", L.strip(F.col("text"))).otherwise(F.col("name")).alias("t")))), lambda x: x["t"]), "\n")
     first = lambda c: F.min_by(c, "line").alias(c)
     own = rows.groupBy(key, "start").agg(*[first(c) for c in ("kind", *ORDER, "article_name")], body.alias("body"))
-    body_of_article = F.regexp_replace(F.substring("body", F.length("article_name") + 1, F.length("body")), r"^\s+|\s+$", "")
+    body_of_article = L.strip(F.substring("body", F.length("article_name") + 1, F.length("body")))
     content = (
         F.when(F.col("kind") == "article", L.article_text("chapter", "section", F.col("article"), F.col("article_name"), body_of_article))
         .when(F.col("kind") == "clause", L.clause_text("chapter", "section", F.col("article"), F.col("article_name"), F.col("clause"), F.col("body")))
@@ -74,6 +76,6 @@ def smart_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = chunks(lines(docs, key, text), key)
     bare = docs.where(~F.exists(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(LEVELS["article"])))
     none = [F.lit(None).cast("string").alias(c) for c in ("article", "clause", "point")]
-    content = F.trim(F.regexp_replace("piece", r"(?U)[\s\x1c-\x1f]+", " "))
+    content = L.squeeze(F.col("piece"))
     pieces = segments.split_pieces(bare, key, text).select(key, F.col("part").alias("chunk_index"), F.lit("fallback").alias("chunk_type"), *none, content.alias("content"))
     return own.unionByName(pieces)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
 from lexloom.operators import bm25, evaluation, retrieval, structure, tables
-from lexloom.plans import joins
+from lexloom.plans import extraction, joins
 from lexloom.plans import sql as S
 from lexloom.plans.fixtures import base, fx
 from lexloom.plans.named import query
@@ -224,16 +224,15 @@ def a19(spark, d):
     return overlaps(spark, d).agg(F.round(F.avg(C("hallucinated").cast("int")), 6).alias("rate"))
 
 
-@query("a21_corpus_stats", "SELECT count(*) AS documents, sum(w)::BIGINT AS words, round(sum(w) / count(*), 6) AS mean FROM (SELECT len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS w FROM fx_chunks)")
+@query("a21_corpus_stats", f"SELECT count(*) AS documents, sum(w)::BIGINT AS words, round(sum(w) / count(*), 6) AS mean FROM (SELECT len({S.words('content')}) AS w FROM fx_chunks)")
 def a21(spark, d):
     rows = fx(spark, d, "chunks").select(L.n_words(C("content")).cast("long").alias("w"))
     return rows.agg(F.count("*").alias("documents"), F.sum("w").alias("words"), F.round(F.try_divide(F.sum("w"), F.count("*")), 6).alias("mean"))
 
 
-@query("a22_structure_counts", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS chapters, 1 AS sections, 2 AS articles, 3 AS clauses, 2 AS points FROM documents")
+@query("a22_structure_counts", f"WITH {extraction.LINES} SELECT doc_id, " + ", ".join(f"count_if(kind = '{n}')::BIGINT AS {n}s" for n in structure.ORDER) + " FROM lines GROUP BY 1")
 def a22(spark, d):
-    rows = fx(spark, d, "statutes").withColumn("content", F.regexp_replace("content", r"(?s)(Điều 1\. Đối tượng\n).*?(\n1\. Khoản một)", "$1x$2"))
-    return structure.counts(structure.lines(rows, "doc_id", "content"), "doc_id")
+    return structure.counts(extraction.parsed(spark, d), "doc_id")
 
 
 @query("a23_index_totals", "SELECT count(DISTINCT chunk_id) AS chunks, count(*) AS segments, max(part) AS most FROM fx_segments")
@@ -241,7 +240,9 @@ def a23(spark, d):
     return fx(spark, d, "segments").agg(F.countDistinct("chunk_id").alias("chunks"), F.count("*").alias("segments"), F.max("part").alias("most"))
 
 
-@query("a24_bm25_terms", f"WITH {S.BM25} SELECT token, df, round(idf, 6) AS idf FROM terms")
+@query("a24_bm25_terms", f"""WITH posted AS (SELECT unnest(list_distinct({S.tokens('text')})) AS token FROM documents), whole AS (SELECT count(*) AS n FROM documents WHERE len({S.tokens('text')}) > 0),
+raw AS (SELECT token, count(*) AS df, ln((SELECT n FROM whole) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posted GROUP BY 1)
+SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""")
 def a24(spark, d):
     documents = bm25.tokenised(base(spark, d, "documents").select("doc_id", "text"))
     return bm25.statistics(documents)[1].select("token", "df", F.round("idf", 6).alias("idf"))

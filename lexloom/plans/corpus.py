@@ -24,7 +24,7 @@ def own(df, key, /, **columns):
 # ---------------------------------------------------------------- scans and sinks
 
 
-_WORDS = "len(list_filter(string_split_regex(content, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
+_WORDS = f"len({S.words('content')})"
 
 
 @query("s01_chunk_table", f"""SELECT row_number() OVER (ORDER BY chunk_id) - 1 AS chunk_id, corpus_id, {S.parts_list('corpus_id')}, content, {_WORDS} AS word_count, substring(content, 1, 200) AS preview
@@ -79,9 +79,9 @@ def s14(spark, d):
     return files.page_record(fx(spark, d, "rows"), "page_id", "html")
 
 
-@query("s14_page_titles", "SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
+@query("s14_page_titles", "SELECT page_id, " + S.strip("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + " AS title FROM pages")
 def s14b(spark, d):
-    return own(base(spark, d, "pages"), "page_id", title=F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)))
+    return own(base(spark, d, "pages"), "page_id", title=L.strip(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)))
 
 
 _SLUG = S.mapped("regexp_extract(upper(split_part(c, '/', -1)), '^([A-Z]+)', 1)", {k: v for k, v in L.SLUGS.items() if k.isascii()}, "NULL")
@@ -107,9 +107,9 @@ def k04(spark, d):
     return files.index_metadata(fx(spark, d, "segments"))
 
 
-@query("k05_joined_texts", f"SELECT source, string_agg({S.shown('preview')}, chr(10) || chr(10) ORDER BY doc_id) AS text FROM (SELECT *, substring(text, 1, 50) AS preview FROM documents) WHERE {S.shown('preview')} <> '' GROUP BY source")
+@query("k05_joined_texts", f"SELECT source, cast(floor(doc_id / {tables.PART}.0) AS BIGINT) AS part, string_agg({S.shown('text')}, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE {S.shown('text')} <> '' GROUP BY 1, 2")
 def k05(spark, d):
-    return tables.joined_texts(base(spark, d, "documents").withColumn("preview", F.substring("text", 1, 50)), "source", "doc_id", "preview")
+    return tables.joined_texts(base(spark, d, "documents"), "source", "doc_id", "text")
 
 
 # ---------------------------------------------------------------- projections
@@ -140,9 +140,10 @@ def p05(spark, d):
     return own(fx(spark, d, "registry"), "pos", act_code=L.act_code(C("so_hieu"), L.TYPE_CODES_WIDE))
 
 
-@query("p06_lookup_key", f"SELECT chunk_id, {S.lookup_key('corpus_id')} AS key FROM fx_chunks")
+@query("p06_lookup_key", f"SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 'fisso 2' ELSE '' END || {S.lookup_key('corpus_id')} AS key FROM fx_chunks")
 def p06(spark, d):
-    return own(fx(spark, d, "chunks"), "chunk_id", key=L.lookup_key(C("corpus_id")))
+    odd = F.when(C("chunk_id") % 3 == 0, "\u2003ﬁßº\u00a0²").otherwise("")
+    return own(fx(spark, d, "chunks"), "chunk_id", key=L.lookup_key(F.concat(odd, "corpus_id")))
 
 
 @query("p07_ascii_code", f"SELECT chunk_id, {S.folded('content')} AS code FROM fx_citing")
@@ -155,7 +156,7 @@ def p08(spark, d):
     return own(fx(spark, d, "citing"), "chunk_id", name=L.name_form(C("content")))
 
 
-@query("p09_crawler_id", "SELECT chunk_id, upper(replace(content, ' ', '')) AS id FROM fx_citing")
+@query("p09_crawler_id", "SELECT chunk_id, upper(replace(replace(content, ' ', ''), 'ß', 'SS')) AS id FROM fx_citing")
 def p09(spark, d):
     return own(fx(spark, d, "citing"), "chunk_id", id=L.crawler_id(C("content")))
 
@@ -182,9 +183,9 @@ def p13(spark, d):
     return tables.registry_entries(fx(spark, d, "registry")).select("pos", "act_code", "act_name", "official_title", "year", "act_type", "issuer")
 
 
-@query("p14_doc_text", "SELECT doc_id, concat_ws(chr(10), nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE source END), ''), nullif(trim(substring(text, 1, 60)), '')) AS text FROM documents")
+@query("p14_doc_text", f"SELECT chunk_id, concat_ws(chr(10), nullif({S.strip('CASE WHEN chunk_id % 3 = 0 THEN chr(160) ELSE corpus_id END')}, ''), nullif({S.strip('content')}, '')) AS text FROM fx_chunks")
 def p14(spark, d):
-    return own(base(spark, d, "documents"), "doc_id", text=L.doc_text(F.when(C("doc_id") % 3 == 0, " ").otherwise(C("source")), F.substring("text", 1, 60)))
+    return own(fx(spark, d, "chunks"), "chunk_id", text=L.doc_text(F.when(C("chunk_id") % 3 == 0, "\u00a0").otherwise(C("corpus_id")), C("content")))
 
 
 @query("p15_tokens", f"SELECT doc_id, len({S.tokens('text')}) AS n, len(list_distinct({S.tokens('text')})) AS n_distinct, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents")
@@ -206,7 +207,7 @@ def p17(spark, d):
 _PUNCT = S.lit("""([,;:.!?)(\\[\\]"'])""")
 _CLEAN = f"regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
 _CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '[ \\t]+', ' ', 'g'), {_PUNCT}, ' \\1 ', 'g')"
-_CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, {S.lit(L.KEPT)}, '', 'g'), '^\\s+|\\s+$', '', 'g')"
+_CLEAN = S.strip(f"regexp_replace({_CLEAN}, {S.lit(L.KEPT)}, '', 'g')")
 
 
 @query("p18_cleaned", f"SELECT page_id, {_CLEAN} AS text FROM (SELECT page_id, html AS text FROM pages)")
@@ -214,17 +215,24 @@ def p18(spark, d):
     return own(base(spark, d, "pages"), "page_id", text=L.clean(C("html")))
 
 
-@query("p19_head", "SELECT doc_id, 'Nghị định số ' || doc_id AS title, doc_id || '/2020' AS reference_number, CAST(NULL AS VARCHAR) AS issuing_body FROM documents")
+_HEAD_LINES = f"list_transform(string_split(content, chr(10))[1:10], lambda s: {S.strip('s')})"
+_KIND_WORDS = f"regexp_matches(lower(s), {S.lit('|'.join(L.TITLE_WORDS))}) AND NOT starts_with(s, '<')"
+
+
+def _head_sql(pattern: str) -> str:
+    """First value after a label that begins a word, in the first 120 lines."""
+    return f"nullif({S.strip('regexp_extract(array_to_string(string_split(content, chr(10))[1:120], chr(10)), ' + S.lit('(?i)(?:^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])' + pattern) + ', 1)')}, '')"
+
+
+@query("p19_head", f"SELECT doc_id, coalesce(list_filter({_HEAD_LINES}, lambda s: {_KIND_WORDS})[1], 'Unknown') AS title, " + ", ".join(f"{_head_sql(L.HEAD_FIELDS[n])} AS {n}" for n in L.HEAD_FIELDS) + " FROM fx_statutes")
 def p19(spark, d):
-    # "Số" begins a word only in the second line; in the first it stands in "số", which the label matches too
-    text = F.regexp_replace("content", "định số ", "định so ")
-    rows = fx(spark, d, "statutes").withColumn("t", text)
-    return own(rows, "doc_id", title=F.replace(L.head_title(C("t")), F.lit("định so "), F.lit("định số ")), reference_number=L.head_field(C("t"), L.HEAD_FIELDS["reference_number"]), issuing_body=L.head_field(C("t"), L.HEAD_FIELDS["issuing_body"]))
+    return own(fx(spark, d, "statutes"), "doc_id", title=L.head_title(C("content")), **{n: L.head_field(C("content"), p) for n, p in L.HEAD_FIELDS.items()})
 
 
-@query("p20_squeezed", "SELECT doc_id, substring(text, 1, 200) AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS content FROM documents")
+@query("p20_squeezed", f"SELECT chunk_id AS doc_id, substring(content, 1, 200) AS title, {S.strip('regexp_replace(content, ' + S.lit(L.BLANK + '+') + ', chr(32), chr(103))')} AS content FROM fx_chunks")
 def p20(spark, d):
-    return own(base(spark, d, "documents"), "doc_id", title=F.substring("text", 1, 200), content=L.squeeze(C("text")))
+    rows = fx(spark, d, "chunks").withColumnRenamed("chunk_id", "doc_id")
+    return own(rows, "doc_id", title=F.substring("content", 1, 200), content=L.squeeze(C("content")))
 
 
 _HEAD = "CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang || ' – ' || source || chr(10) END || 'Điều ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '. Tên' END"
@@ -277,10 +285,10 @@ def f03(spark, d):
     return base(spark, d, "documents").where(F.size(L.tokens(C("text"))) > 0).select("doc_id")
 
 
-@query("f04_nonempty_chunks", "SELECT chunk_id FROM (SELECT chunk_id, CASE WHEN chunk_id % 5 = 0 THEN '  ' ELSE content END AS c FROM fx_chunks) WHERE trim(c) <> ''")
+@query("f04_nonempty_chunks", f"SELECT chunk_id FROM (SELECT chunk_id, CASE WHEN chunk_id % 5 = 0 THEN {S.lit(L.BLANKS)} ELSE content END AS c FROM fx_chunks) WHERE {S.strip('c')} <> ''")
 def f04(spark, d):
-    rows = fx(spark, d, "chunks").withColumn("content", F.when(C("chunk_id") % 5 == 0, "  ").otherwise(C("content")))
-    return tables.accepted(rows.withColumn("content", F.trim("content")), "content").select("chunk_id")
+    rows = fx(spark, d, "chunks").withColumn("content", F.when(C("chunk_id") % 5 == 0, L.BLANKS).otherwise(C("content")))
+    return tables.accepted(rows.withColumn("content", L.strip(C("content"))), "content").select("chunk_id")
 
 
 @query("f05_numeric_suffix", f"SELECT chunk_id FROM fx_chunks WHERE regexp_full_match({S.parts('corpus_id')['suffix']}, '[0-9]+')")
@@ -288,7 +296,7 @@ def f05(spark, d):
     return fx(spark, d, "chunks").where(L.is_number(L.parse_corpus_id(C("corpus_id"))["suffix"])).select("chunk_id")
 
 
-@query("f08_long_pieces", "SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) >= 20")
+@query("f08_long_pieces", f"SELECT doc_id FROM documents WHERE len({S.words('text')}) >= 20")
 def f08(spark, d):
     return base(spark, d, "documents").where(L.n_words(C("text")) >= 20).select("doc_id")
 
@@ -330,7 +338,7 @@ def x01(spark, d):
     return rows.select("chunk_id", C("w.part").alias("part"), C("w.begin").alias("span_start"), C("w.upto").alias("span_end"), F.array_join("w.tokens", " ").alias("text"))
 
 
-@query("x02_char_windows", "SELECT chunk_id, i AS part, trim(substring(content, (i - 1) * 768 + 1, 1024)) AS text FROM (SELECT *, unnest(range(1, CASE WHEN length(content) <= 1024 THEN 1 ELSE 1 + cast(ceil((length(content) - 1024) / 768.0) AS INT) END + 1)) AS i FROM fx_chunks) WHERE trim(substring(content, (i - 1) * 768 + 1, 1024)) <> ''")
+@query("x02_char_windows", f"SELECT chunk_id, i AS part, {S.strip('substring(content, (i - 1) * 768 + 1, 1024)')} AS text FROM (SELECT *, unnest(range(1, CASE WHEN length(content) <= 1024 THEN 1 ELSE 1 + cast(ceil((length(content) - 1024) / 768.0) AS INT) END + 1)) AS i FROM fx_chunks) WHERE {S.strip('substring(content, (i - 1) * 768 + 1, 1024)')} <> ''")
 def x02(spark, d):
     return fx(spark, d, "chunks").select("chunk_id", F.explode(segments.char_windows(C("content"))).alias("w")).select("chunk_id", "w.part", "w.text")
 

@@ -34,12 +34,12 @@ def j02(spark, d):
     return rows.select("faiss_id", F.coalesce("chunk_id", "faiss_id").alias("chunk_id"), F.coalesce("part", F.lit(0)).alias("part"))
 
 
-@query("j03_chunk_records", f"WITH {S.found(5)} SELECT query_id, rank, chunk_id, corpus_id, substring(content, 1, 80) AS preview FROM found LEFT JOIN (SELECT chunk_id, corpus_id, CASE WHEN chunk_id % 2 = 0 THEN 'later' ELSE content END AS content FROM fx_chunks) USING (chunk_id)")
+@query("j03_chunk_records", f"WITH {S.found(5)} SELECT query_id, rank, chunk_id, corpus_id, md5(content) AS content FROM found LEFT JOIN (SELECT chunk_id, corpus_id, CASE WHEN chunk_id % 2 = 0 THEN 'later' ELSE content END AS content FROM fx_chunks) USING (chunk_id)")
 def j03(spark, d):
     found = retrieval.retrieve(fx(spark, d, "query_vecs"), fx(spark, d, "segments"), 5).select("query_id", "rank", "chunk_id")
     chunks = fx(spark, d, "chunks").withColumn("pos", F.lit(0))
     twice = chunks.unionByName(chunks.where("chunk_id % 2 = 0").withColumns({"content": F.lit("later"), "pos": F.lit(1)}))
-    return retrieval.chunk_records(found, twice, "pos").select("query_id", "rank", "chunk_id", "corpus_id", F.substring("content", 1, 80).alias("preview"))
+    return retrieval.chunk_records(found, twice, "pos").select("query_id", "rank", "chunk_id", "corpus_id", F.md5("content").alias("content"))
 
 
 NEG = f"""{S.BM25},
@@ -145,15 +145,9 @@ def j12(spark, d):
 # ---------------------------------------------------------------- windows
 
 
-@query("w01_dense_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE lang <> 'en'")
+@query("w01_dense_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents")
 def w01(spark, d):
-    return tables.numbered(base(spark, d, "documents").where("lang <> 'en'").select("doc_id"), "doc_id", "n", 64)
-
-
-@query("w01_all_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents")
-def w01_all(spark, d):
-    """Of all documents; w01_dense_ids is bound by its SQL to those whose language is known and not English."""
-    return tables.numbered(base(spark, d, "documents").select("doc_id"), "doc_id", "n", 64)
+    return tables.numbered(base(spark, d, "documents").select("doc_id"), "doc_id", "n", rows=64)
 
 
 @query("w02_part_numbers", "SELECT chunk_id, faiss_id, row_number() OVER (PARTITION BY chunk_id ORDER BY faiss_id) AS part FROM fx_segments")

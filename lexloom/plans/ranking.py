@@ -32,22 +32,17 @@ def v04(spark, d):
 
 @query("v05_encoded_search")
 def v05(spark, d):
+    import public_tokenizers
+
     encode = vectors.hashed_words()
+    asking = vectors.careful(encode, public_tokenizers.path("byte_bpe_50k.json"))
     chunks = vectors.encoded(base(spark, d, "documents").select(C("doc_id").alias("faiss_id"), "text"), encode).select("faiss_id", "embedding")
-    asked = vectors.encoded(base(spark, d, "benchmark").select(C("item_id").alias("query_id"), "text"), encode, to="q").select("query_id", "q")
+    asked = vectors.encoded(base(spark, d, "benchmark").select(C("item_id").alias("query_id"), "text"), asking, to="q").select("query_id", "q")
     return vectors.top_k(asked, chunks, 10)
 
 
-@query("v06_score_matrix", "SELECT a.vec_id AS a, b.vec_id AS b, " + S.dot("a.embedding", "b.embedding") + " AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 3 WHERE a.vec_id % 50 = 7")
+@query("v06_score_matrix", f"SELECT query_id AS a, vec_id AS b, {S.dot('q', 'embedding')} AS score FROM fx_query_vecs CROSS JOIN embeddings")
 def v06(spark, d):
-    rows = base(spark, d, "embeddings")
-    left = rows.where("vec_id % 50 = 7").select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
-    return vectors.inner_products(left, rows.where("vec_id % 50 = 3")).select(C("query_id").alias("a"), C("vec_id").alias("b"), F.round("score", 6).alias("score"))
-
-
-@query("v06_all_scores")
-def v06_all(spark, d):
-    """Every query vector against all embeddings; v06_score_matrix is bound by its SQL to a part of both."""
     found = vectors.inner_products(fx(spark, d, "query_vecs").select("query_id", "q"), base(spark, d, "embeddings"))
     return found.select(C("query_id").alias("a"), C("vec_id").alias("b"), F.round("score", 6).alias("score"))
 
@@ -134,14 +129,7 @@ def f06(spark, d):
     return retrieval.articles(aggregates.chunk_hits(spark, d, 30)).where("score >= 0.2").select("query_id", "act_code", "article")
 
 
-@query("api1_sources", "SELECT chunk_id, corpus_id, substring(content, 1, 100) AS content FROM fx_chunks WHERE chunk_id % 37 = 5")
+@query("api1_sources", "SELECT chunk_id, corpus_id, content FROM fx_chunks WHERE chunk_id IN (SELECT item_id FROM benchmark)")
 def api1(spark, d):
-    asked = base(spark, d, "documents").where("doc_id % 37 = 5").select(C("doc_id").alias("chunk_id"))
-    return fx(spark, d, "chunks").join(asked, "chunk_id", "left_semi").select("chunk_id", "corpus_id", F.substring("content", 1, 100).alias("content"))
-
-
-@query("api1_whole_sources", "SELECT chunk_id, corpus_id, content FROM fx_chunks WHERE chunk_id IN (SELECT item_id FROM benchmark)")
-def api1_whole(spark, d):
-    """Whole contents of the chunks that the benchmark's items name; api1_sources is bound by its SQL to 100 characters."""
     asked = base(spark, d, "benchmark").select(C("item_id").alias("chunk_id"))
     return fx(spark, d, "chunks").join(asked, "chunk_id", "left_semi").select("chunk_id", "corpus_id", "content")

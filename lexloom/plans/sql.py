@@ -9,6 +9,15 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def strip(c: str) -> str:
+    return f"trim({c}, {lit(L.BLANKS)})"
+
+
+def words(c: str) -> str:
+    """List of a text's words."""
+    return f"list_filter(string_split_regex({c}, {lit(L.BLANK + '+')}), lambda x: x <> '')"
+
+
 def mapped(value: str, table: dict[str, str], otherwise: str) -> str:
     return f"CASE {value} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in table.items()) + f" ELSE {otherwise} END"
 
@@ -26,12 +35,12 @@ def parts_list(c: str) -> str:
 
 
 def code_of(c: str) -> str:
-    return f"trim(split_part({c}, '+', 1))"
+    return strip(f"split_part({c}, '+', 1)")
 
 
 def act_code(c: str, table: dict[str, str] = L.TYPE_CODES) -> str:
-    p = f"string_split(trim({c}), '/')"
-    return f"CASE WHEN len({p}) < 3 THEN upper(trim({c})) ELSE {p}[1] || '/' || {p}[2] || '/' || ({mapped(f'lower({p}[3])', table, f'upper({p}[3])')}) END"
+    p = f"string_split({strip(c)}, '/')"
+    return f"CASE WHEN len({p}) < 3 THEN upper({strip(c)}) ELSE {p}[1] || '/' || {p}[2] || '/' || ({mapped(f'lower({p}[3])', table, f'upper({p}[3])')}) END"
 
 
 def folded(c: str, fold=L.FOLD_D) -> str:
@@ -39,11 +48,11 @@ def folded(c: str, fold=L.FOLD_D) -> str:
 
 
 def lookup_key(c: str) -> str:
-    return f"lower({folded(f'trim({c})')})"
+    return f"lower({folded(strip(c))})"
 
 
 def name_form(c: str) -> str:
-    return f"trim(regexp_replace(lower({folded(c, L.FOLD)}), '\\s+', ' ', 'g'))"
+    return strip(f"regexp_replace(lower({folded(c, L.FOLD)}), {lit(L.BLANK + '+')}, ' ', 'g')")
 
 
 def tokens(c: str) -> str:
@@ -55,7 +64,7 @@ def title(kind: str, number: str) -> str:
 
 
 def shown(c: str) -> str:
-    return f"trim(replace({c}, '_', ' '))"
+    return strip(f"replace({c}, '_', ' ')")
 
 
 #: Inner product in double precision, rounded as the engine rounds it.

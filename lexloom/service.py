@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
-from lexloom.operators import citations, retrieval, tables, vectors
+from lexloom.operators import citations, retrieval, segments, tables, vectors
 
 
 class Service:
@@ -22,23 +22,31 @@ class Service:
         self.chunks, self.segments, self.encoder, self.registry, self.generate = chunks, segments, encoder, registry, generate
 
     def retrieved(self, questions: DataFrame, k: int) -> DataFrame:
-        """query_id, rank, chunk_id, corpus_id, content, score and the rest of a hit.  questions: query_id, question.
+        """query_id, rank, chunk_id, corpus_id, content, score, segments and the rest of a hit.  questions: query_id, question.
 
         Questions of 1 to 1024 characters only; others are left out.
         """
         asked = tables.valid_requests(questions.withColumn("top_k", F.lit(1))).where("valid").drop("valid", "top_k")
         encoded = vectors.encoded(asked, self.encoder, "question", "q").select("query_id", "q")
-        return retrieval.retrieve(encoded, self.segments, k).join(self.chunks, "chunk_id", "left")
+        hits = retrieval.segment_hits(encoded, self.segments, k)
+        found = retrieval.ranked_chunks(hits, k).join(retrieval.segment_lists(hits), ["query_id", "chunk_id"])
+        return found.join(self.chunks, "chunk_id", "left")
+
+    def warm_up(self) -> DataFrame:
+        """Read the index once, so that later questions find its files near; the row of health()."""
+        return self.health()
+
+    def renewed(self, chunks: DataFrame | None = None, segments: DataFrame | None = None, registry: DataFrame | None = None) -> Service:
+        """The service over a new index or registry; what isn't given stays."""
+        return Service(chunks or self.chunks, segments or self.segments, self.encoder, registry or self.registry, self.generate)
 
     def ask(self, questions: DataFrame, level: str = "moderate") -> DataFrame:
         """query_id, answer, prompt, threshold_used, confidence, n_articles, acts, citations."""
         hits = self.retrieved(questions, retrieval.scan_width(level)).withColumn("score", L.similarity(F.col("score")))
         entries = retrieval.adaptive_threshold(retrieval.articles(hits), level)
         ranked = retrieval.acts(entries)
-        order = Window.partitionBy("query_id", "act_code").orderBy(F.col("score").desc(), "article")
-        pieces = entries.join(ranked.select("query_id", "act_code", F.col("rank").alias("act_rank")), ["query_id", "act_code"]).withColumn("article_rank", F.row_number().over(order))
-        pieces = pieces.withColumn("key", L.lookup_key(F.col("act_code"))).join(citations.article_texts(self.chunks), ["key", "article"])
-        contexts = retrieval.contexts(pieces.withColumn("header", F.concat(F.lit("Văn bản: "), "act_code")))
+        found = self.cited_acts(hits)
+        contexts = retrieval.assembled(self.pieces(hits, entries, ranked), self.cited_texts(found))
         best = hits.where("rank = 1").select("query_id", L.shown(F.col("content")).alias("best"))
         totals = entries.groupBy("query_id").agg(F.count("*").alias("n_articles"), F.max("threshold_used").alias("threshold_used"))
         listed = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "act_code", "articles", "doc_score"))), lambda a: a.dropFields("rank")).alias("acts"))
@@ -46,16 +54,49 @@ class Service:
         out = questions.join(contexts, "query_id").join(best, "query_id").join(totals, "query_id").join(listed, "query_id").join(sure, "query_id")
         prompt = retrieval.prompt(F.col("question"), F.col("context"))
         answer = self.generate(prompt) if self.generate else F.col("best")
-        edges = self.cited(hits)
+        edges = self.cited(found)
         return out.withColumn("prompt", prompt).select("query_id", answer.alias("answer"), "prompt", "threshold_used", "confidence", "n_articles", "acts").join(edges, "query_id", "left")
 
+    def pieces(self, hits: DataFrame, entries: DataFrame, ranked: DataFrame) -> DataFrame:
+        """What a context is made of: for each article chosen its parts, hit ones first, or else its whole text."""
+        order = Window.partitionBy("query_id", "act_code").orderBy(F.col("score").desc(), "article")
+        rows = entries.join(ranked.select("query_id", "act_code", F.col("rank").alias("act_rank")), ["query_id", "act_code"]).withColumn("article_rank", F.row_number().over(order))
+        rows = rows.join(hits.groupBy("query_id", "corpus_id").agg(F.min_by("chunk_id", "rank").alias("chunk_id")), ["query_id", "corpus_id"], "left")
+        asked = hits.select("chunk_id").distinct()
+        parts = segments.chunk_segments(self.chunks.join(asked, "chunk_id", "left_semi"), retrieval.SEGMENTS)
+        rows = retrieval.article_segments(rows, parts, self.hit_parts(hits))
+        rows = rows.withColumn("key", L.lookup_key(F.col("act_code"))).join(citations.article_texts(self.chunks), ["key", "article"], "left")
+        whole = F.when(F.size("segments") > 0, F.col("segments")).otherwise(F.array(F.coalesce("text", F.lit(""))))
+        return rows.withColumns({"segments": whole, "header": F.concat(F.lit("Văn bản: "), "act_code")})
+
+    @staticmethod
+    def hit_parts(hits: DataFrame) -> DataFrame:
+        """query_id, chunk_id, part, score of the parts that a hit's list of segments names."""
+        rows = hits.select("query_id", "chunk_id", F.explode("segments").alias("s"))
+        return rows.select("query_id", "chunk_id", F.col("s.part").alias("part"), F.col("s.score").alias("score"))
+
+    def cited_acts(self, hits: DataFrame) -> DataFrame:
+        """query_id, act_code_norm, article, first: what a query's hits cite by code, or by a name that the registry has."""
+        known = self.registry is not None
+        rows = hits.select(F.struct("query_id", "rank").alias("hit"), "content")
+        found = citations.extract(rows, "hit", "content", by_name=known, article_only=True, acts=self.registry).where("act_code_norm IS NOT NULL")
+        return found.groupBy(F.col("hit.query_id").alias("query_id"), "act_code_norm", "article").agg(F.min(F.struct("hit.rank", "span_start")).alias("first"))
+
     @staticmethod
-    def cited(hits: DataFrame) -> DataFrame:
-        """query_id, citations: the acts that a query's hits cite, with their articles."""
-        found = citations.extract(hits.select("query_id", "content"), "query_id", "content", by_name=False).where("article IS NOT NULL")
-        acts = found.groupBy("query_id", "act_code_norm").agg(F.array_sort(F.collect_set("article")).alias("articles"))
+    def cited(found: DataFrame) -> DataFrame:
+        """query_id, citations: the acts that are cited with an article, with their articles."""
+        acts = found.where("article IS NOT NULL").groupBy("query_id", "act_code_norm").agg(F.array_sort(F.collect_set("article")).alias("articles"))
         return acts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("act_code_norm", "articles"))).alias("citations"))
 
+    def cited_texts(self, found: DataFrame) -> DataFrame:
+        """query_id, act_rank (in the order of mention), act_code, article, text of what is cited; all of an act where no cited article is there."""
+        acts = found.groupBy("query_id", "act_code_norm").agg(F.min("first").alias("first"), F.collect_set("article").alias("articles"))
+        acts = acts.withColumn("act_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "act_code_norm"))).withColumn("key", L.lookup_key(F.col("act_code_norm")))
+        acts = acts.select("query_id", "act_rank", "key", F.col("act_code_norm").alias("act_code"), "articles")
+        some = acts.withColumn("article", F.explode("articles")).join(citations.article_texts(self.chunks), ["key", "article"]).select("query_id", "act_rank", "act_code", "article", "text")
+        rest = acts.join(some.select("query_id", "act_rank").distinct(), ["query_id", "act_rank"], "left_anti").join(citations.act_texts(self.chunks), "key")
+        return some.unionByName(rest.select("query_id", "act_rank", "act_code", F.lit(None).cast("int").alias("article"), "text"))
+
     def source(self, chunk_ids: DataFrame) -> DataFrame:
         """Chunks of the given ids; an unknown id gives no row."""
         return self.chunks.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")

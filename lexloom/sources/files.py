@@ -19,7 +19,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
 
 def read_jsonl_repaired(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON Lines with undecodable bytes replaced."""
-    raw = spark.read.text(path).select(F.make_valid_utf8("value").alias("line")).where("trim(line) <> ''")
+    raw = spark.read.text(path).select(F.make_valid_utf8("value").alias("line")).where(L.strip(F.col("line")) != "")
     return raw.select(F.from_json("line", schema).alias("r")).select("r.*")
 
 
@@ -40,7 +40,7 @@ def read_corpus(spark: SparkSession, path: str, key: str = "_id", text: str = "t
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunk table with its content trimmed; empty content stays."""
     df = spark.read.parquet(path) if path.endswith(".parquet") else read_jsonl(spark, path, schemas.CHUNKS)
-    return df.withColumn("content", F.trim(F.coalesce("content", F.lit(""))))
+    return df.withColumn("content", L.strip(F.coalesce("content", F.lit(""))))
 
 
 def _either(*names: str):
@@ -105,18 +105,32 @@ def write_table(df: DataFrame, name: str, integers: list[str] = ()) -> None:
 
 
 def write_texts(df: DataFrame, path: str, key: str, order: str, text: str) -> None:
-    """One folder of text for each key."""
-    tables.joined_texts(df, key, order, text).write.mode("overwrite").partitionBy(key).text(path)
+    """One folder of text for each key, in it one for each part of the key's joined text (see tables.joined_texts)."""
+    tables.joined_texts(df, key, order, text).write.mode("overwrite").partitionBy(key, "part").text(path)
 
 
 def write_index(segments: DataFrame, path: str) -> None:
-    """Segments with raw and normalised vectors, and one row about them."""
+    """Segments with raw and normalised vectors in the order of their ids, and one row about them."""
     from lexloom.operators import vectors
 
-    segments.withColumn("vec_norm", vectors.normalised(F.col("embedding"))).write.mode("overwrite").parquet(f"{path}/segments")
+    ordered = segments.withColumn("vec_norm", vectors.normalised(F.col("embedding"))).repartitionByRange("faiss_id").sortWithinPartitions("faiss_id")
+    ordered.write.mode("overwrite").parquet(f"{path}/segments")
     index_metadata(segments).write.mode("overwrite").json(f"{path}/metadata")
 
 
+def read_index(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
+    """Segments of a written index; with ids those alone: files hold ranges of ids, so others are not opened."""
+    segments = spark.read.parquet(f"{path}/segments")
+    return segments if ids is None else segments.where(F.col("faiss_id").isin(ids))
+
+
+def search_index(queries: DataFrame, path: str, k: int) -> DataFrame:
+    """query_id, faiss_id, score, rank of the k largest inner products of each query (query_id, q) with unit vectors of an index."""
+    from lexloom.operators import vectors
+
+    return vectors.top_k(queries, read_index(queries.sparkSession, path).select("faiss_id", "vec_norm"), k, vector="vec_norm")
+
+
 def index_metadata(segments: DataFrame) -> DataFrame:
     fields = ",".join(sorted(segments.columns))
     return segments.agg(F.countDistinct("chunk_id").alias("total_chunks"), F.count("*").alias("total_segments")).withColumn("fields", F.lit(fields))

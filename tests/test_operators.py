@@ -55,29 +55,6 @@ def test_repair():
         assert _repair(text) == text and _repair(text.encode().decode("latin-1")) == text
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("Theo khoản 2 Điều 14 Nghị định 91/2017/NĐ-CP của Chính phủ", ("91/2017/ND-CP", 14, 2)), ("Căn cứ Điều 8 Thông tư 104/2016/TT-BCA", ("104/2016/TT-BCA", 8, None)),
-        ("Thông tư 104/2016/TT-BCA tại Điều 8", ("104/2016/TT-BCA", 8, None)),
-    ],
-)
-def test_citations_by_code(text, want):
-    hits = [h for h in citations.Extractor()(text) if h["method"] == "ID"]
-    assert [(h["act_code_norm"], h["article"], h["clause"]) for h in hits] == [want]
-
-
-def test_citation_by_name_is_ambiguous():
-    hits = citations.Extractor()("Theo Bộ luật Dân sự 2015, khoản 1 điều 3")
-    assert hits and all(h["method"] == "NAME" and h["ambiguity"] for h in hits)
-    assert not citations.Extractor()("") and not citations.Extractor()(None)
-
-
-def test_article_list_is_read_whole():
-    hits = citations.Extractor(by_name=False)("Điều 21, 22 và 23 Nghị định 91/2017/NĐ-CP")
-    assert [h["article"] for h in hits] == [21, 22, 23]
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 700), st.integers(32, 256), st.integers(0, 128))
 def test_window_formula(n, length, overlap):
@@ -268,16 +245,3 @@ def test_texts_without_articles_are_cut_into_pieces(spark):
     pieces = [(r["doc_id"], r["part"], "fallback", " ".join(r["piece"].split())) for r in segments.split_pieces(docs.where("doc_id > 1"), "doc_id", "content").collect()]
     assert [x for x in got if x[0] > 1] == sorted(pieces) and {x[0] for x in pieces} == {2, 3} and len(pieces) > 4
     assert [x[:3] for x in got if x[0] == 1] == [(1, 0, "article"), (1, 1, "clause")]
-
-
-def test_scores_of_all_embeddings(spark):
-    import numpy as np
-
-    from lexloom import plans
-
-    d = "/root/testdata/sf0.001"
-    x = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
-    got = {(r["a"], r["b"]): r["score"] for r in plans.queries()["v06_all_scores"](spark, d).collect()}
-    asked = [i for i in x if i % 50 == 7]
-    assert asked and set(got) == {(a, b) for a in asked for b in x}
-    assert all(abs(v - x[a] @ x[b]) < 2e-6 for (a, b), v in got.items())
