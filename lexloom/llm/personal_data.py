@@ -54,12 +54,12 @@ VALUE = r"""(?=[^\s"'<>,;]{4})[^\s"'<>,;.)]++(?:[.)]++[^\s"'<>,;.)]++)*+"""
 #: are never given out), and up to two words before it.
 START = r"(?<![A-Za-z0-9_/+.@-])"
 CANDIDATES = {
-    "secret": rf"""{START}(?:(?i:[A-Za-z_]{{0,12}}(?:{"|".join(GAZETTEER)})s?) ?[=:] ?["']?{VALUE}|{NAME}?+(?=[A-Za-z_/+.-]*+[0-9]|AKIA[A-Z]{{16}}){RUN}(?![A-Za-z0-9@]))""",
+    "secret": rf"""{START}(?:(?=[A-Za-z_]++ ?[=:])(?i:[A-Za-z_]{{0,12}}(?:{"|".join(GAZETTEER)})s?) ?[=:] ?["']?{VALUE}|{NAME}?+(?=[A-Za-z_/+.-]*+[0-9]|AKIA[A-Z]{{16}}){RUN}(?![A-Za-z0-9@]))""",
     "id": rf"{START}(?:[A-Za-z]{{2,12}}[ :#.]{{1,2}}){{0,2}}+(?!000|666|9)[0-9]{{3}}([ -])(?!00)[0-9]{{2}}\1(?!0000)[0-9]{{4}}(?![0-9A-Za-z@-])",
 }
 LEADS = {"secret": f"^{NAME}", "id": "^(?:[A-Za-z]{2,12}[ :#.]{1,2}){0,2}"}
 #: What a text with a candidate has.
-POSSIBLE = {"secret": rf"[0-9]|AKIA|(?i:{'|'.join(GAZETTEER)})s? ?[=:]", "id": "[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}"}
+POSSIBLE = {"secret": "[0-9]|AKIA|[A-Za-z_] ?[=:]", "id": "[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}"}
 #: Matches are worked through in runs of this many, so that no array grows one by one over all of them.
 STRETCH = 128
 
