@@ -15,8 +15,8 @@ slot holds where in which block the ids stand.  Reading takes these bytes out of
 asked for, no other shard's folder is opened.
 
 Ids are those of the tokenizers library without special tokens added; a special token that stands in a text gets its
-own id, as the library has it.  Null texts count as empty and hold the end id alone.  Rows that repeat a key are
-numbered, and each is an entry of its own.  A null key is a key like others.  An empty table gives an empty store.
+own id, as the library has it.  Null texts count as empty and hold the end id alone.  Rows that repeat a key stand
+in the order in which they are read; they are numbered, and each is an entry of its own.  A null key is a key like others.  An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -169,9 +169,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, ke
     """Encode every text, append end_id, and write payload and index under path."""
     spark, width = docs.sparkSession, width_of(tokenizer_file)
     key_type = docs.schema[key].dataType
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange(F.col("key").asc_nulls_first(), tie).sortWithinPartitions(F.col("key").asc_nulls_first(), tie)
+    # ties go by the order of reading, so that finding the ranges reads keys alone; a hot key spreads over shards
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = F.col("key").asc_nulls_first(), F.col("tie")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     schema = _payload_schema(key_type)
     kind = np.uint16 if width == 2 else np.uint32
 
