@@ -5,7 +5,8 @@ the square root of the product of their numbers of n-grams.  Landmark texts give
 regression a language, against all others, is fitted in their space.  As the kernel is linear in the presence of
 n-grams, a text's scores are one matrix product of its presence row with the folded weights; texts go in batches.
 
-Fitting uses at most PER_LANGUAGE labelled texts of each language (fewer where there are many languages: ALL_TEXTS
+N-grams beyond the GRAMS that most landmarks have are left out of rows and norms alike, so the kernel is that of the
+remembered n-grams.  Fitting uses at most PER_LANGUAGE labelled texts of each language (fewer where there are many languages: ALL_TEXTS
 together), drawn in hash order, LANDMARKS of them as landmarks; the sample is the same whatever the partitions.  Only text and label are learnt from.
 
 A null text or one without a letter is `und` with score 0; so is every text if nothing was learnt.  Score is the
@@ -38,13 +39,14 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> li
     """(text, lang) of at most per_language texts a language.  labelled: text, lang."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
     # distinct texts, as all copies of a text pass or fail the thinning together
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.countDistinct("h").alias("n"))
+    languages = counts.count()
+    if not languages:
         return []
-    per_language = max(1, min(per_language, ALL_TEXTS // len(counts)))
+    per_language = max(1, min(per_language, ALL_TEXTS // languages))
     # first thin out by hash, so that little text is shuffled; then take exactly the first in hash order
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * per_language / n + 50.0 / n))])
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    share = F.least(F.lit(1.0), (4.0 * per_language + 50.0) / F.col("n"))
+    near = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang", "h")
     near = near.dropDuplicates(["lang", "h"])  # copies teach nothing
     place = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "text")
     drawn = near.withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_language)

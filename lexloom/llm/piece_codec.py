@@ -8,7 +8,9 @@ merges and do not add up along a path.
 
 Chunks are cut where no piece can reach across: before a space mark that follows something else, and around
 characters that no longer piece holds.  Null texts count as empty; an empty text has no ids.  The order and the
-number of rows do not matter, and equal texts get equal ids.
+number of rows do not matter, and equal texts get equal ids.  Long texts are worked through in portions of chunks; a
+single chunk (a run of letters without a space) is worked through whole, at about a hundred bytes a letter.  Decoding
+gives U+FFFD for an id that is null or not in the model.
 """
 
 from __future__ import annotations
@@ -259,7 +261,8 @@ class PieceModel:
         return begin + np.flatnonzero(alive)
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
+        many = len(self.decoded)
+        text = b"".join(self.decoded[i] if i is not None and 0 <= i < many else b"\xff" for i in ids).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 

@@ -64,6 +64,14 @@ def test_piece_queries(odd, empty):
     back = {(r["doc_id"], r["text"]) for r in piece_codec.decode_pieces(encoded, PIECES).where("doc_id < 60").collect()}
     assert back == {(r[0], r[1]) for r in rows if r[0] is not None and r[0] < 60}
     assert piece_codec.piece_digest(empty, PIECES).count() == 0
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=PIECES)
+    ids = [library.encode(r[1] or "") for r in rows]
+    want = Counter((r[0], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, x in zip(rows, ids, strict=True))
+    assert Counter((r["doc_id"], r["n_pieces"], r["ids_crc32"]) for r in piece_codec.piece_digest(df, PIECES).collect()) == want
+    broken = df.sparkSession.createDataFrame([(1, [300, None, 10**6, -1]), (2, None), (3, [])], "k int, piece_ids array<int>")
+    assert [r["text"] for r in piece_codec.decode_pieces(broken, PIECES).orderBy("k").collect()] == [library.decode([300]) + "\ufffd" * 3, None, ""]
 
 
 # ---------------------------------------------------------------- 2: near vectors
@@ -468,6 +476,9 @@ def test_urls(spark):
     assert [got[i][3] for i in range(11)] == ["block", "block", "allow", "allow", "allow", "block", "allow", "allow", "allow", "allow", "block"]
     assert all(got[200 + i][3] == "allow" for i in range(80)) and len(got) == len(pages)
     assert url_reputation.judge_urls(df.limit(0), outcomes.limit(0)).count() == 0
+    # repeated pages are rows of their own and count as often as they occur; repeated labels count once
+    twice = url_reputation.judge_urls(df.unionByName(df), outcomes.unionByName(outcomes)).collect()
+    assert Counter(r["page_id"] for r in twice) == Counter({i: 2 for i in got}) and all(r["verdict"] == got[r["page_id"]][3] for r in twice)
 
 
 # ---------------------------------------------------------------- 9: quality
@@ -478,6 +489,10 @@ def test_quality(spark, odd, empty):
     got = weak_quality.quality(docs).join(labels, "doc_id").collect()
     assert sum(r["good"] == (r["quality"] == 1) for r in got) / len(got) >= 0.93
     assert sum((r["posterior"] >= 0.5) == (r["quality"] == 1) for r in got) / len(got) >= 0.95
+    twice = {}
+    for r in weak_quality.quality(odd[0].unionByName(odd[0])).collect():  # rows that repeat are scored alike
+        twice.setdefault(r["doc_id"], []).append((r["posterior"], r["score"]))
+    assert len(twice[5]) == 2 and len(set(twice[5])) == 1
     assert weak_quality.quality(odd[0]).count() == len(odd[1]) and weak_quality.quality(empty).count() == 0
 
 
@@ -637,19 +652,43 @@ def test_shingle_sets():
 
 
 def test_pipeline(spark, odd, empty):
+    from sentencepiece import SentencePieceProcessor
+
     import corpus_pipeline
 
     docs = odd[0].select("doc_id", "text", "lang", "source", "n_chars")
+    size = lambda d: Counter({s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in d if r["source"] == s) for s in {r["source"] for r in d}})
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, "")
         docs = docs.cache()
+        old, new = before.collect(), docs.collect()
         if name != "pieces":
             assert docs.columns == before.columns, name
         if name == "language":
-            assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect()} - {60, 61, 66}
+            assert {r["doc_id"] for r in new} == {r["doc_id"] for r in old} - {60, 61, 66}
         if name == "near_duplicates":
-            sets = {r["doc_id"]: word_set(r["text"]) for r in docs.collect() if r["doc_id"] is not None}
+            sets = {r["doc_id"]: word_set(r["text"]) for r in new if r["doc_id"] is not None}
             assert {3} == {3, 64, 65} & set(sets) and docs.where("doc_id = 64").count() == 0
+            want = brute_classes([(r["doc_id"], r["text"]) for r in old if r["doc_id"] is not None and r["doc_id"] != 64])
+            assert {i for i in sets if i != 64} == {i for i, (_, c) in want.items() if i == c}
+        if name == "personal_data":
+            texts = {r["doc_id"]: r["text"] for r in old}
+            assert all((r["text"] == texts[r["doc_id"]]) == (not base_spans(texts[r["doc_id"]] or "")) or "[secret]" in r["text"] for r in new)
+        if name == "mixing":
+            totals, got, words = size(old), size(new), {}
+            for r in old:
+                words[r["doc_id"]] = Counter(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+            sources = sorted(totals, key=lambda s: (s is None, s or ""))
+            for s, t in zip(sources, water([totals[x] for x in sources], [5, 2, 1, 5][: len(sources)]), strict=True):
+                assert abs(got[s] - t) <= 1
+            taken = {}
+            for r in new:
+                taken.setdefault(r["doc_id"], Counter()).update(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+            assert all(n <= 2 * words[i][w] for i, c in taken.items() for w, n in c.items())
+        if name == "pieces":
+            library = SentencePieceProcessor(model_file=PIECES)
+            want = Counter((r["doc_id"], tuple(library.encode(r["text"] or ""))) for r in old)
+            assert Counter((r["doc_id"], tuple(r["piece_ids"])) for r in new) == want and all(r["n_pieces"] == len(r["piece_ids"]) for r in new)
     assert docs.count() > 0
     lost = empty
     for _, stage in corpus_pipeline.STAGES:
