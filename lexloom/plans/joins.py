@@ -76,10 +76,11 @@ def j06(spark, d):
     return tables.resolved(rows, corpus.s08(spark, d), "code").select("chunk_id", "code", "official_title", "issuer")
 
 
-@query("j06_missing_acts", f"WITH {corpus.REGISTRY_SQL} SELECT DISTINCT {S.act_code(S.code_of('corpus_id'))} AS code FROM fx_chunks WHERE {S.act_code(S.code_of('corpus_id'))} NOT IN (SELECT act_code FROM registry)")
+@query("j06_missing_acts", f"WITH {corpus.REGISTRY_SQL} SELECT DISTINCT {S.act_code(S.code_of('corpus_id'))} AS code FROM fx_chunks WHERE {S.act_code(S.code_of('corpus_id'))} NOT IN (SELECT act_code FROM registry WHERE act_code NOT LIKE '%/QH13')")
 def j06b(spark, d):
     codes = fx(spark, d, "chunks").select(L.act_code(L.code_of(C("corpus_id"))).alias("code")).distinct()
-    return codes.join(corpus.s08(spark, d).select(C("act_code").alias("code")), "code", "left_anti")
+    known = corpus.s08(spark, d).where("act_code NOT LIKE '%/QH13'")
+    return codes.join(known.select(C("act_code").alias("code")), "code", "left_anti")
 
 
 @query("j07_still_to_do", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels UNION SELECT page_id FROM pages)")
