@@ -169,16 +169,18 @@ class ChunkCoder:
     """Encodes texts chunk by chunk and remembers the ids of the chunks first seen.
 
     split gives a text's chunks; encode(chunks) gives the ids of new chunks as (flat ids, counts).  At most `limit`
-    chunks are remembered, the early and so mostly the frequent ones; others live as long as their portion.  After
-    `renew` portions the memory starts anew, so that it follows a change of the input.
+    chunks of LETTERS characters each on average are remembered, the early and so mostly the frequent ones; others live
+    as long as their portion.  After `renew` portions the memory starts anew, so that it follows a change of the input.
     """
 
+    LETTERS = 32
+
     def __init__(self, split, encode, limit: int = 400_000, portion: int = 4_000_000, renew: int = 400):
         self.split, self.encode_new, self.limit, self.portion, self.renew = split, encode, limit, portion, renew
         self.clear()
 
     def clear(self):
-        self.index, self.portions = Numbered(), 0
+        self.index, self.portions, self.letters = Numbered(), 0, 0
         # of each chunk where its ids begin and how many they are; the ids of all chunks; how much of them is in use
         self.start, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
@@ -211,9 +213,12 @@ class ChunkCoder:
             total = int(ends[-1]) if len(ends) else 0
             ids = self.flat[np.repeat(self.start[codes] - ends + count, count) + np.arange(total)]
             upto = np.concatenate([[0], ends])[np.cumsum(sizes)]
-            if len(self.index) > self.limit:
-                keep = max(known, self.limit)
+            letters = sum(map(len, new))
+            if len(self.index) > self.limit or self.letters + letters > self.LETTERS * self.limit:
+                keep = known if self.letters + letters > self.LETTERS * self.limit else max(known, self.limit)
                 for chunk in new[keep - known :]:
                     del self.index[chunk]
                 self.used = int(self.start[keep - 1] + self.count[keep - 1]) if keep else 0
+                letters = sum(map(len, new[: keep - known]))
+            self.letters += letters
             yield ids, np.diff(np.concatenate([[0], upto]))

@@ -98,7 +98,7 @@ def byte_level_coder(tokenizer_file: str) -> ChunkCoder:
             out[ends[i] - count[i] : ends[i]] = own
         return out, count
 
-    return ChunkCoder(split, encode, limit=600_000)
+    return ChunkCoder(split, encode, limit=1_000_000)
 
 
 def width_of(tokenizer_file: str) -> int:
