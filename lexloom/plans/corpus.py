@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
@@ -12,6 +10,7 @@ from lexloom.operators import retrieval, segments, tables
 from lexloom.plans import sql as S
 from lexloom.plans.fixtures import base, fx
 from lexloom.plans.named import query
+from lexloom.session import scratch
 from lexloom.sources import files
 
 C = F.col
@@ -94,8 +93,7 @@ def s15(spark, d):
 
 @query("k01_jsonl_round_trip", f"SELECT row_number() OVER (ORDER BY chunk_id) - 1 AS chunk_id, corpus_id, {S.parts_list('corpus_id')}, {_WORDS} AS word_count FROM fx_chunks WHERE coalesce(content, '') <> ''")
 def k01(spark, d):
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-")
-    path = f"{shared}/k01-{abs(hash(d))}"
+    path = scratch(spark, "k01")
     raw = fx(spark, d, "chunks").select(C("chunk_id").alias("pos"), C("corpus_id").alias("_id"), C("content").alias("text"))
     files.write_jsonl(raw, path)
     back = files.read_jsonl(spark, path, raw.schema)
