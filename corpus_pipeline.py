@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import jaccard_join, language_id, mixing, personal_data, piece_codec
-from lexloom.llm.common import scratch
+from lexloom.llm.common import dropped, stored
 
 #: Four languages and no evidence give 0.25; clean texts, mixed ones included, stay far above.
 LEAST_SCORE = 0.3
@@ -57,8 +57,6 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("person
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = scratch(spark, f"pipeline-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(before)  # of the stage before, not the input
     return docs
