@@ -233,6 +233,20 @@ def test_graph_search(spark):
     assert graph_search.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_graph_search_in_a_crowd():
+    """A third of the vectors are near copies of one: their nearest are found as well."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1800, 64)).astype(np.float32)
+    x[:600] = x[0] + rng.normal(size=(600, 64)).astype(np.float32) * 0.02
+    graph, entry = graph_search.build_graph(x)
+    found, _ = graph_search.beam_search(x, graph, entry, x[::20], graph_search.SEARCH_BEAM)
+    right = 0
+    for i, own in zip(range(0, 1800, 20), found, strict=True):
+        d = ((x.astype(np.float64) - x[i]) ** 2).sum(axis=1)
+        right += len({int(j) for j in own if j >= 0 and j != i and d[j] <= np.sort(d)[10]} & set(np.argsort(d)[1:11].tolist()))
+    assert right / 900 >= 0.95
+
+
 # ---------------------------------------------------------------- 5: personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
