@@ -27,7 +27,7 @@ from lexloom.llm.near_vectors import usable
 
 #: Components beyond these have squares that single precision can't hold; then the search runs in double precision.
 TAME = (1e-15, 1e15)
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 48, 64, 128, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 48, 64, 128, 1.1
 SHARD, QUERY_BLOCK, MOST_TASKS = 8192, 1024, 20_000
 
 
