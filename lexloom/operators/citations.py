@@ -50,19 +50,32 @@ def asked_articles(listed: Column) -> Column:
     return F.transform(F.filter(F.transform(F.split(listed, ","), lambda x: L.strip(x)), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
 
 
-def article_texts(chunks: DataFrame) -> DataFrame:
-    """key, article, text: the chunks of an article in order, an empty line between.  chunks: chunk_id, corpus_id, content."""
+def _capped(rows: DataFrame, keys: list[str], order: list[str], quota: int | None) -> DataFrame:
+    """Rows of a key up to the one that exhausts a quota of characters, so that what is collected next is bounded."""
+    if quota is None:
+        return rows
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__before", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).where(F.col("__before") < quota).drop("__before")
+
+
+def article_texts(chunks: DataFrame, quota: int | None = None) -> DataFrame:
+    """key, article, text: the chunks of an article in order, an empty line between.  chunks: chunk_id, corpus_id, content.
+
+    With a quota, chunks behind it are left out; who cuts texts to the quota misses nothing.
+    """
     suffix = L.parse_corpus_id(F.col("corpus_id"))["suffix"]
     rows = chunks.select(L.lookup_key(L.code_of(F.col("corpus_id"))).alias("key"), suffix.alias("suffix"), "chunk_id", L.shown(F.col("content")).alias("t")).where(L.is_number(F.col("suffix")) & (F.col("t") != ""))
+    rows = _capped(rows, ["key", "suffix"], ["chunk_id"], quota)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "t"))), lambda x: x["t"])
     return rows.groupBy("key", F.col("suffix").cast("int").alias("article")).agg(F.array_join(parts, "\n\n").alias("text"))
 
 
-def act_texts(chunks: DataFrame) -> DataFrame:
-    """key, text: all text of an act, by suffix and chunk."""
+def act_texts(chunks: DataFrame, quota: int | None = None) -> DataFrame:
+    """key, text: all text of an act, by suffix and chunk; with a quota of characters, as article_texts has it."""
     suffix = F.coalesce(F.expr("try_cast(nullif(suffix, '') AS int)"), F.lit(0))
     rows = chunks.select(L.lookup_key(L.code_of(F.col("corpus_id"))).alias("key"), L.parse_corpus_id(F.col("corpus_id"))["suffix"].alias("suffix"), "chunk_id", L.shown(F.col("content")).alias("t")).where("t <> ''")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(suffix.alias("suffix"), "chunk_id", "t"))), lambda x: x["t"])
+    rows = _capped(rows.withColumn("suffix", suffix), ["key"], ["suffix", "chunk_id"], quota)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("suffix", "chunk_id", "t"))), lambda x: x["t"])
     return rows.groupBy("key").agg(F.array_join(parts, "\n\n").alias("text"))
 
 

@@ -251,14 +251,17 @@ def a24(spark, d):
 # ---------------------------------------------------------------- rate limits
 
 
-@query("st01_rate_limit", """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM fx_requests),
-go AS (SELECT user_id, i, event_id, true AS accepted, [us] AS log FROM r WHERE i = 1
-UNION ALL SELECT r.user_id, r.i, r.event_id, len(list_filter(log, lambda x: r.us - x <= 3600000000)) < 3, CASE WHEN len(list_filter(log, lambda x: r.us - x <= 3600000000)) < 3 THEN list_append(list_filter(log, lambda x: r.us - x <= 3600000000), r.us) ELSE list_filter(log, lambda x: r.us - x <= 3600000000) END FROM go JOIN r ON r.user_id = go.user_id AND r.i = go.i + 1)
-SELECT user_id, event_id, accepted FROM go""")
+_KEPT_LOG = "list_filter(log, lambda x: r.us - x <= 3600000000)"
+_REPLAY = f"""WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM fx_requests),
+go AS (SELECT user_id, i, event_id, true AS accepted, 0.0::DOUBLE AS retry_after, [us] AS log FROM r WHERE i = 1
+UNION ALL SELECT r.user_id, r.i, r.event_id, len({_KEPT_LOG}) < 3, CASE WHEN len({_KEPT_LOG}) < 3 THEN 0.0 ELSE round((3600000000 - (r.us - {_KEPT_LOG}[1])) / 1e6, 6) END, CASE WHEN len({_KEPT_LOG}) < 3 THEN list_append({_KEPT_LOG}, r.us) ELSE {_KEPT_LOG} END FROM go JOIN r ON r.user_id = go.user_id AND r.i = go.i + 1)"""
+
+
+@query("st01_rate_limit", f"{_REPLAY} SELECT user_id, event_id, accepted FROM go")
 def st01(spark, d):
     return rate_limit.replay(fx(spark, d, "requests"), window=3600.0, most=3).select("user_id", "event_id", "accepted")
 
 
-@query("st01_retry_after")
+@query("st01_retry_after", f"{_REPLAY} SELECT user_id, event_id, accepted, retry_after FROM go")
 def st01b(spark, d):
     return rate_limit.replay(fx(spark, d, "requests"), window=3600.0, most=3)

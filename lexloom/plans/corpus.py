@@ -191,7 +191,7 @@ def p15(spark, d):
     return own(base(spark, d, "documents").withColumn("t", L.tokens(C("text"))), "doc_id", n=F.size("t"), n_distinct=F.size(F.array_distinct("t")), tokens=F.array_join("t", " "))
 
 
-@query("p16_repaired_text")
+@query("p16_repaired_text", "SELECT doc_id, nfc_normalize(text) AS text, nfc_normalize(text) <> text OR (doc_id % 2 = 0 AND regexp_matches(text, '[^\\x00-\\x7f]')) AS changed FROM documents")
 def p16(spark, d):
     broken = base(spark, d, "documents").select("doc_id", F.when(C("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(C("text")).alias("text"))
     return repair.repaired(broken, "text")

@@ -65,7 +65,7 @@ class Service:
         asked = hits.select("chunk_id").distinct()
         parts = segments.chunk_segments(self.chunks.join(asked, "chunk_id", "left_semi"), retrieval.SEGMENTS)
         rows = retrieval.article_segments(rows, parts, self.hit_parts(hits))
-        rows = rows.withColumn("key", L.lookup_key(F.col("act_code"))).join(citations.article_texts(self.chunks), ["key", "article"], "left")
+        rows = rows.withColumn("key", L.lookup_key(F.col("act_code"))).join(citations.article_texts(self.chunks, retrieval.ACT_CHARS), ["key", "article"], "left")
         whole = F.when(F.size("segments") > 0, F.col("segments")).otherwise(F.array(F.coalesce("text", F.lit(""))))
         return rows.withColumns({"segments": whole, "header": F.concat(F.lit("Văn bản: "), "act_code")})
 
@@ -93,8 +93,8 @@ class Service:
         acts = found.groupBy("query_id", "act_code_norm").agg(F.min("first").alias("first"), F.collect_set("article").alias("articles"))
         acts = acts.withColumn("act_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "act_code_norm"))).withColumn("key", L.lookup_key(F.col("act_code_norm")))
         acts = acts.select("query_id", "act_rank", "key", F.col("act_code_norm").alias("act_code"), "articles")
-        some = acts.withColumn("article", F.explode("articles")).join(citations.article_texts(self.chunks), ["key", "article"]).select("query_id", "act_rank", "act_code", "article", "text")
-        rest = acts.join(some.select("query_id", "act_rank").distinct(), ["query_id", "act_rank"], "left_anti").join(citations.act_texts(self.chunks), "key")
+        some = acts.withColumn("article", F.explode("articles")).join(citations.article_texts(self.chunks, retrieval.CITED_CHARS), ["key", "article"]).select("query_id", "act_rank", "act_code", "article", "text")
+        rest = acts.join(some.select("query_id", "act_rank").distinct(), ["query_id", "act_rank"], "left_anti").join(citations.act_texts(self.chunks, retrieval.CITED_CHARS), "key")
         return some.unionByName(rest.select("query_id", "act_rank", "act_code", F.lit(None).cast("int").alias("article"), "text"))
 
     def source(self, chunk_ids: DataFrame) -> DataFrame:
