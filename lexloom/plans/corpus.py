@@ -78,6 +78,11 @@ def s14(spark, d):
     return files.page_record(fx(spark, d, "rows"), "page_id", "html")
 
 
+@query("s13_question_sets", " UNION ALL ".join(f"SELECT {S.lit(split)} AS split, {S.lit(c)} AS context, {S.lit(q)} AS question, {S.lit(a)} AS answer, {at} AS answer_start FROM range({n})" for split, (n, c, q, a, at) in files.PLACEHOLDERS.items()))
+def s13(spark, d):
+    return files.question_set(spark)
+
+
 @query("s14_page_titles", "SELECT page_id, " + S.strip("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + " AS title FROM pages")
 def s14b(spark, d):
     return own(base(spark, d, "pages"), "page_id", title=L.strip(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)))

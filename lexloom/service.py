@@ -6,6 +6,7 @@ function of the prompt; without one the answer is the content of the best hit.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,20 @@ from lexloom.functions import legal_text as L
 from lexloom.operators import citations, retrieval, segments, tables, vectors
 
 
+def opened(make: Callable[[], Service], tries: int = 3, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Service:
+    """make(), tried again after a pause while it fails; the last error is raised."""
+    for attempt in range(1, tries + 1):
+        try:
+            service = make()
+            service.warm_up().first()
+            return service
+        except Exception:
+            if attempt == tries:
+                raise
+            sleep(wait)
+    raise ValueError("tries must be positive")
+
+
 class Service:
     """chunks: chunk_id, corpus_id, content.  segments: faiss_id, chunk_id, part, embedding.  encoder: texts to vectors."""
 

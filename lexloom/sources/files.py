@@ -144,3 +144,54 @@ def write_metrics(df: DataFrame, path: str) -> None:
 def page_record(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key and the register's fields of each page; a page without a number gives nulls."""
     return pages.select(key, *[L.page_field(F.col(html), label).alias(name) for name, label in L.PAGE_FIELDS.items()])
+
+
+LOSSES = "global_step bigint, epoch int, epoch_step bigint, loss double"
+
+
+def append_losses(losses: DataFrame, path: str) -> None:
+    """Add rows of LOSSES to a training log; each file has the header, and a repeated run adds files, no rows change."""
+    losses.select(*[c.split(" ")[0] for c in LOSSES.split(", ")]).write.mode("append").option("header", True).csv(path)
+
+
+def read_losses(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOSSES).option("header", True).csv(path)
+
+
+def pending(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Rows whose key no earlier run has marked as done under path; all rows where there is no earlier run."""
+    try:
+        done = df.sparkSession.read.parquet(path)
+    except AnalysisException:
+        return df
+    return df.join(done.select(key).distinct(), key, "left_anti")
+
+
+def mark_done(df: DataFrame, path: str, key: str) -> None:
+    """Remember the keys of df as done; Spark's commit makes them visible together or not at all."""
+    df.select(key).distinct().write.mode("append").parquet(path)
+
+
+# The rows that stand for a question set which can't be fetched, and how often each split has its row.
+PLACEHOLDERS = {
+    "train": (50, "Điều 1... Mọi người đều bình đẳng về quyền lợi và nghĩa vụ công dân...", "Mọi người đều bình đẳng về điều gì?", "quyền lợi và nghĩa vụ công dân", 15),
+    "validation": (10, "Điều 3... Quyền con người, quyền công dân chỉ có thể bị hạn chế...", "Quyền con người có thể bị hạn chế khi nào?", "theo quy định của luật trong trường hợp cần thiết", 58),
+    "test": (10, "Điều 4... quyền bất khả xâm phạm về thân thể...", "Mọi người có những quyền gì về thân thể?", "quyền sống, quyền bất khả xâm phạm về thân thể", 15),
+}
+
+
+def question_set(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """split, context, question, answer, answer_start of a question set; placeholders where path has none to read.
+
+    path: a folder of {split}.json, each a list of rows with context, question and answers (text, answer_start).
+    """
+    if path is not None:
+        kind = "context string, question string, answers struct<text:array<string>,answer_start:array<int>>"
+        try:
+            rows = [spark.read.schema(kind).option("multiLine", True).json(f"{path}/{split}.json").withColumn("split", F.lit(split)) for split in PLACEHOLDERS]
+            found = rows[0].unionByName(rows[1]).unionByName(rows[2])
+            return found.select("split", "context", "question", F.get("answers.text", 0).alias("answer"), F.get("answers.answer_start", 0).alias("answer_start"))
+        except AnalysisException:
+            pass
+    rows = spark.createDataFrame([(split, *v) for split, v in PLACEHOLDERS.items()], "split string, n int, context string, question string, answer string, answer_start int")
+    return rows.select("split", "context", "question", "answer", "answer_start", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("__i")).drop("__i")

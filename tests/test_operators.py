@@ -197,6 +197,22 @@ def test_other_scans_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "index" / "metadata")).first()["total_segments"] == 2
     files.write_metrics(segs.agg(F.count("*").alias("n")), str(tmp_path / "metrics"))
     assert spark.read.json(str(tmp_path / "metrics")).first()["n"] == 2
+    losses = spark.createDataFrame([(1, 0, 1, 0.5)], files.LOSSES)
+    for _ in range(2):
+        files.append_losses(losses, str(tmp_path / "losses"))
+    assert [tuple(r) for r in files.read_losses(spark, str(tmp_path / "losses")).collect()] == [(1, 0, 1, 0.5)] * 2
+    todo = spark.range(5)
+    assert files.pending(todo, str(tmp_path / "done"), "id").count() == 5
+    files.mark_done(todo.where("id < 3"), str(tmp_path / "done"), "id")
+    assert {r["id"] for r in files.pending(todo, str(tmp_path / "done"), "id").collect()} == {3, 4}
+    asked = files.read_index(spark, str(tmp_path / "index"), [0]).select(F.lit(7).alias("query_id"), C("vec_norm").alias("q"))
+    assert [(r["faiss_id"], r["score"]) for r in files.search_index(asked, str(tmp_path / "index"), 2).orderBy("rank").collect()] == [(0, 1.0), (1, 0.0)]
+    sets = tmp_path / "sets"
+    sets.mkdir()
+    for name in files.PLACEHOLDERS:
+        (sets / f"{name}.json").write_text(json.dumps([{"context": name, "question": "q", "answers": {"text": ["a", "b"], "answer_start": [3, 4]}}]))
+    assert sorted(tuple(r) for r in files.question_set(spark, str(sets)).collect()) == [(n, n, "q", "a", 3) for n in ("test", "train", "validation")]
+    assert files.question_set(spark, str(tmp_path / "none")).count() == 70
     assert segments.policy(16, 256, 300) == (32, 16) and segments.policy(None) == (256, 64)
 
 
