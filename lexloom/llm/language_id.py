@@ -27,6 +27,9 @@ ORDERS, BITS = (1, 2, 3), 20
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 600, 96, 1e-3, 6.0
 #: Bounds over all languages together: texts, landmarks, and n-grams (those of most landmarks).
 ALL_TEXTS, ALL_LANDMARKS, GRAMS = 6000, 1500, 1 << 15
+#: Longer texts are learnt from only where a language has too few others; and the characters of all texts together, but
+#: one text a language is always there.
+LONG, ALL_CHARS = 100_000, 100_000_000
 UNKNOWN = "und"
 
 
@@ -48,8 +51,11 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> li
     share = F.least(F.lit(1.0), (4.0 * per_language + 50.0) / F.col("n"))
     near = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang", "h")
     near = near.dropDuplicates(["lang", "h"])  # copies teach nothing
-    place = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "text")
+    place = Window.partitionBy("lang").orderBy(F.length("text") > LONG, F.pmod("h", F.lit(1 << 30)), "text")
     drawn = near.withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_language)
+    # at most ALL_TEXTS rows are left here
+    spent = F.sum(F.length("text")).over(Window.orderBy("n", "lang").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    drawn = drawn.withColumn("spent", spent).where((F.col("spent") <= ALL_CHARS) | (F.col("n") == 1))
     return [(r["text"], r["lang"]) for r in drawn.orderBy("lang", "n").select("text", "lang").collect()]
 
 

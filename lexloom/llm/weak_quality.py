@@ -4,7 +4,7 @@ Each labeller votes 1 (good), -1 (bad) or 0 (no opinion) on a text from one of i
 patterns over all documents, at most three to the number of labellers, come to the driver, where
 expectation-maximisation of a two-class model estimates how each labeller votes on either class; that gives every
 pattern a posterior.  A linear scorer over hashed n-grams of characters is then trained on the posteriors of at most
-SAMPLE documents, drawn in hash order, and scores every whole text.
+SAMPLE documents of at most ALL_CHARS characters, drawn in hash order, and scores every whole text.
 
 Null texts count as empty.  A text without a word gets the posterior of its votes like any other, and the scorer's
 bias as its score.  Rows that repeat are scored alike.  Without any document nothing is trained.
@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
@@ -24,6 +24,8 @@ from lexloom.llm.common import held, in_portions, lean, small_batches, text_of
 from lexloom.llm.shingles import word_hashes
 
 SAMPLE, BITS, ORDERS = 4000, 16, (1, 2, 3)
+#: Longer texts are trained on only where there are too few others; and the characters of all of them together.
+LONG, ALL_CHARS = 100_000, 100_000_000
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = [
     "the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "with", "as", "on", "by", "this", "from", "are", "be", "at", "or",
@@ -222,7 +224,9 @@ def quality(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataF
     total = texts.agg(F.countDistinct(F.xxhash64("text"))).first()[0]
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     near = texts.withColumn("h", h).where(F.col("h") < min(1.0, 4 * sample / total + 100 / total) * (1 << 30))
-    drawn = [r["text"] for r in near.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(sample).collect()]
+    first = near.dropDuplicates(["h", "text"]).withColumn("long", F.length("text") > LONG).orderBy("long", "h", "text").limit(sample)
+    spent = F.sum(F.length("text")).over(Window.orderBy("long", "h", "text").rowsBetween(Window.unboundedPreceding, -1))  # of at most `sample` rows
+    drawn = [r["text"] for r in first.withColumn("spent", F.coalesce(spent, F.lit(0))).where(F.col("spent") < ALL_CHARS).orderBy("long", "h", "text").select("text").collect()]
     scorer = Scorer(drawn, posterior[pattern_codes(drawn)])
     model = docs.sparkSession.sparkContext.broadcast((scorer, posterior))  # 2^BITS weights and 3^labellers posteriors
 
