@@ -65,6 +65,10 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+#: What tokens are made of.
+WORD = r"[\p{L}\p{N}_]"
+
+
 def _folding(form: str) -> tuple[str, str]:
     """Letters that differ from their decomposed form by marks only, and what is left; then the marks themselves."""
     pairs, marks = [], []
@@ -187,7 +191,7 @@ def doc_text(title: Column, text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(_or_empty(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_or_empty(text)), F.lit(WORD + "+"), F.lit(0))
 
 
 def shown(text: Column) -> Column:

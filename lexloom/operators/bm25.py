@@ -17,47 +17,49 @@ TOP, NEGATIVES, LEAST = 50, 10, 8
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, tokens, dl (their number) of the documents that have any."""
+    """key, tokens, dl (their number) of the documents that have any.
+
+    Whoever reads dl or keys alone makes no tokens: they are counted, and a text with a letter, digit or underscore
+    has one.
+    """
     docs = docs.select(key, text)
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # a table of few row groups would leave cores idle
         docs = docs.repartition(cores)
-    # a text with a letter, digit or underscore has a token: the filter needs no tokens, so who wants keys alone makes none
-    some = docs.where(F.col(text).rlike(r"[\p{L}\p{N}_]"))
-    return some.select(key, L.tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    some = docs.where(F.col(text).rlike(L.WORD))
+    return some.select(key, L.tokens(F.col(text)).alias("tokens"), F.regexp_count(F.lower(text), F.lit(L.WORD + "+")).alias("dl"))
 
 
 def postings(documents: DataFrame, only: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """key, token, dl, tf; with only (token), of those tokens, so that others never reach a shuffle."""
-    rows = documents.select(key, "dl", F.explode("tokens").alias("token"))
+    rows = documents.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
     if only is not None:
         rows = rows.join(only, "token", "left_semi")
     return rows.groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def statistics(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((n, avgdl), one row; (token, df, idf), a row a token).  A document counts a token once before anything moves.
+def statistics(documents: DataFrame) -> tuple[int, float, DataFrame]:
+    """(number of documents, their mean length, (token, df, idf) a row a token).
 
-    One pass over the documents: each also counts for a token that no document has, null, whose row is the whole.
+    The two numbers are taken first, so that no plan counts the documents anew for each use of them; a document counts
+    a token once before anything moves.
     """
-    rows = documents.select(F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("token"), "dl")
-    counted = rows.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("dl"))).alias("words"))
-    whole = counted.where("token IS NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
-    terms = counted.where("token IS NOT NULL").select("token", "df")
-    raw = terms.crossJoin(F.broadcast(whole)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # whole is one row
+    n, mean_length = documents.agg(F.count("*"), F.avg("dl")).first()
+    terms = documents.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    raw = terms.withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return whole, raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))  # mean is one row
+    return n, mean_length or 1.0, raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))  # mean is one row
 
 
 def scores(queries: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """query_id, key, score of the documents that share a token with the query.  queries: query_id, query_text."""
-    whole, terms = statistics(documents)
+    _, mean_length, terms = statistics(documents)
     asked = queries.select("query_id", F.explode(L.tokens(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     known = asked.join(terms, "token")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean_length)))
     # a frequent token's postings meet few query rows; adaptive planning splits them where they are skewed
-    joined = postings(documents, asked.select("token").distinct(), key).join(known, "token").crossJoin(F.broadcast(whole))  # whole is one row
+    joined = postings(documents, asked.select("token").distinct(), key).join(known, "token")
     return joined.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * part), 6).alias("score"))
 
 

@@ -245,7 +245,7 @@ raw AS (SELECT token, count(*) AS df, ln((SELECT n FROM whole) - count(*) + 0.5)
 SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""")
 def a24(spark, d):
     documents = bm25.tokenised(base(spark, d, "documents").select("doc_id", "text"))
-    return bm25.statistics(documents)[1].select("token", "df", F.round("idf", 6).alias("idf"))
+    return bm25.statistics(documents)[2].select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 # ---------------------------------------------------------------- rate limits
