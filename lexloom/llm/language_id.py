@@ -27,6 +27,8 @@ ORDERS, BITS = (1, 2, 3), 20
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 600, 96, 1e-3, 6.0
 #: Bounds over all languages together: texts, landmarks, and n-grams (those of most landmarks).
 ALL_TEXTS, ALL_LANDMARKS, GRAMS = 6000, 1500, 1 << 15
+#: Up to so many languages, their counts are broadcast to the texts.
+MANY_LANGUAGES = 10_000
 #: Longer texts are learnt from only where a language has too few others; and the characters of all texts together, but
 #: one text a language is always there.
 LONG, ALL_CHARS = 100_000, 100_000_000
@@ -43,9 +45,14 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> li
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
     # distinct texts, as all copies of a text pass or fail the thinning together
     counts = rows.groupBy("lang").agg(F.countDistinct("h").alias("n"))
-    languages = counts.count()
+    own = counts.limit(MANY_LANGUAGES + 1).collect()
+    languages = len(own)
     if not languages:
         return []
+    if languages <= MANY_LANGUAGES:
+        counts = F.broadcast(labelled.sparkSession.createDataFrame(own, counts.schema))
+    else:  # the counts join by shuffle, and so do the texts
+        languages = counts.count()
     per_language = max(1, min(per_language, ALL_TEXTS // languages))
     # first thin out by hash, so that little text is shuffled; then take exactly the first in hash order
     share = F.least(F.lit(1.0), (4.0 * per_language + 50.0) / F.col("n"))
