@@ -39,7 +39,7 @@ THRESHOLD = 80
 BLOCK, FAN = 512, 8
 #: A block and the small roots that are dealt to a task together have about so many nodes and so many tokens at most.
 DEALT, TOKENS = 2000, 1 << 19
-#: Tokens that at least FREQUENT documents have stand last, at most MARKED of them, in a bitmap of 2^MARKS bits.
+#: Tokens that at least FREQUENT documents have stand last, about MARKED of them at most, in a bitmap of 2^MARKS bits.
 FREQUENT, MARKED, MARKS = 32, 1 << 20, 24
 #: Bits of a bitmap: a power of two, at least twice the set's size, between these.
 LEAST_BITS, MOST_BITS = 512, 1 << 17
@@ -92,7 +92,20 @@ def frequent_marks(docs: DataFrame, portion: int = 2_000_000) -> np.ndarray:
 
     texts = small_batches(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")))
     many = texts.mapInArrow(lean(count), "token bigint, many bigint").groupBy("token").agg(F.sum("many").alias("many"))
-    top = many.where(F.col("many") >= FREQUENT).orderBy(F.desc("many"), "token").limit(MARKED).select("token").toPandas()
+    step = F.floor(F.log2(F.col("many")) * 8).cast("int")
+    often = stored(many.where(F.col("many") >= FREQUENT).withColumn("step", step), "often")
+    # from a histogram of a few hundred steps of frequency, as no task could rank them all: whole steps from the top,
+    # and of the last one a share by hash
+    steps = sorted(((r["step"], r["n"]) for r in often.groupBy("step").agg(F.count("*").alias("n")).collect()), reverse=True)
+    left, least, share = MARKED, 1 << 20, 0.0
+    for least, n in steps:
+        share = min(1.0, left / n)
+        left -= n
+        if left <= 0:
+            break
+    part = F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < int(share * (1 << 20))
+    top = often.where((F.col("step") > least) | ((F.col("step") == least) & part)).select("token").toPandas()
+    dropped(often)
     bits = np.zeros(1 << MARKS, np.uint8)
     bits[_mark(top["token"].to_numpy(np.int64).view(np.uint64))] = 1
     return np.packbits(bits, bitorder="little")

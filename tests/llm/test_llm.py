@@ -645,6 +645,19 @@ def test_passages_that_many_share_make_no_root(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(df).collect()} == brute_classes(rows)
 
 
+def test_the_most_frequent_tokens_are_marked(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(8) if i % (j + 1) == 0) + f" own{i} a{i} b{i} c{i} d{i}") for i in range(400)]
+    rows += [(500 + i, f"x{i} the same five words here y{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    count = lambda: int(np.unpackbits(jaccard_join.frequent_marks(df)).sum())
+    assert count() == 1  # "the same five words here" alone stands in so many sets
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    many = count()
+    monkeypatch.setattr(jaccard_join, "MARKED", many // 2)
+    assert 1 <= count() <= many // 2 + 8
+    assert jaccard_join.frequent_marks(df.limit(0)).sum() == 0
+
+
 def test_whole_table_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
