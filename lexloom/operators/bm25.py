@@ -6,6 +6,9 @@ counts as often as it stands in the query.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +66,67 @@ def scores(queries: DataFrame, documents: DataFrame, key: str = "doc_id") -> Dat
     return joined.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * part), 6).alias("score"))
 
 
+#: Up to so many queries are scored batch by batch of documents; more join with the postings.
+QUERY_BLOCK, DOC_BLOCK = 2048, 1000
+
+
+def _best_of_batches(queries: DataFrame, documents: DataFrame, top: int, key: str) -> DataFrame:
+    """query_id, key, score of every batch's top documents of each query (and what ties with them).
+
+    queries: at most QUERY_BLOCK rows.  Their tokens' weights go to the workers as a matrix; a batch of documents is a
+    sparse matrix of term weights, and the product are its scores, so neither postings nor pairs are shuffled.
+    """
+    _, mean_length, terms = statistics(documents)
+    asked = queries.select("query_id", F.explode(L.tokens(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    known = asked.join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")).collect()
+    vocabulary, ids = sorted({r["token"] for r in known}), sorted({r["query_id"] for r in known})
+    place, column = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(ids)}
+    weights, has = np.zeros((len(vocabulary), len(ids))), np.zeros((len(vocabulary), len(ids)), bool)
+    for r in known:
+        at = place[r["token"]], column[r["query_id"]]
+        weights[at], has[at] = r["w"], True
+    id_type, key_type = queries.schema["query_id"].dataType.simpleString(), documents.schema[key].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast((pa.array(vocabulary, pa.string()), weights, has))  # of a block of queries
+
+    def run(batches):
+        words, w, has = shared.value
+        for batch in (whole.slice(at, DOC_BLOCK) for whole in batches for at in range(0, whole.num_rows, DOC_BLOCK)):
+            lists = batch.column(1)
+            flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+            dl = np.diff(np.concatenate([[0], ends]))
+            at = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy()
+            own = np.flatnonzero(at >= 0)
+            cell, tf = np.unique(np.searchsorted(ends, own, "right") * len(words) + at[own], return_counts=True)
+            if not len(cell):
+                continue
+            doc, token = np.divmod(cell, len(words))
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / mean_length))
+            score, shares = np.zeros((len(dl), w.shape[1])), np.zeros((len(dl), w.shape[1]), bool)
+            for some in np.array_split(np.arange(len(cell)), max(1, len(cell) * w.shape[1] // 4_000_000)):
+                if len(some):
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(doc[some]) != 0]))
+                    score[doc[some][first]] += np.add.reduceat(part[some, None] * w[token[some]], first, axis=0)
+                    shares[doc[some][first]] |= np.logical_or.reduceat(has[token[some]], first, axis=0)
+            score = np.where(shares, np.round(score, 6), -np.inf)
+            take = min(top, len(dl))
+            edge = -np.partition(-score, take - 1, axis=0)[take - 1]
+            who, which = np.nonzero((score >= edge) & shares)
+            keys = batch.column(0).take(pa.array(who))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in which], pa_type), keys, pa.array(score[who, which])], names=["query_id", key, "score"])
+
+    pa_type = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    return documents.select(key, "tokens").mapInArrow(run, f"query_id {id_type}, {key} {key_type}, score double")
+
+
 def ranking(queries: DataFrame, documents: DataFrame, top: int = TOP, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, rank of the top documents; documents without a common token follow with 0, in key order.
 
     Any of the first `top` documents by key that do not match fill a short list, so no more are looked at.
     """
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    found = scores(queries, documents, key).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    block = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK and queries.schema["query_id"].dataType.simpleString() in ("bigint", "int", "string")
+    scored = _best_of_batches(queries, documents, top, key) if block else scores(queries, documents, key)
+    found = scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
     short = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < top).select("query_id")
     heads = documents.select(key).distinct().orderBy(key).limit(2 * top)
     filler = short.crossJoin(F.broadcast(heads)).join(found.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))  # heads has at most 2 * top rows

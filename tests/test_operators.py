@@ -156,6 +156,25 @@ def test_bm25_fills_short_rankings(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2]
 
 
+def test_rankings_by_batches_equal_the_join(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[: rng.randrange(2, 31)]) for _ in range(rng.randrange(0, 40)))) for i in range(300)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choice([*words, "unknown"]) for _ in range(rng.randrange(0, 6)))) for i in range(25)], "query_id int, query_text string")
+    documents = bm25.tokenised(docs)
+    rows = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in bm25.ranking(queries, documents, 7).collect())
+    monkeypatch.setattr(bm25, "DOC_BLOCK", 50)
+    by_batches = rows()
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 3)
+    by_join = rows()
+    assert [r[:3] for r in by_batches] == [r[:3] for r in by_join] and len(by_join) == 25 * 7
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(by_batches, by_join, strict=True))
+    none = spark.createDataFrame([(1, "nothing known")], "query_id int, query_text string")
+    assert [r["doc_id"] for r in bm25.ranking(none, documents, 3).orderBy("rank").collect()] == sorted(r["doc_id"] for r in documents.collect())[:3]
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "corpus.jsonl"
     lines = [{"_id": "159/2020/nđ-cp+13", "text": "một hai " * 10}, {"_id": "47/2011/tt-bca", "text": "ba bốn " * 8}, {"_id": "", "text": "x"}]
