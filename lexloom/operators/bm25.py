@@ -127,10 +127,11 @@ def ranking(queries: DataFrame, documents: DataFrame, top: int = TOP, key: str =
     block = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK and queries.schema["query_id"].dataType.simpleString() in ("bigint", "int", "string")
     scored = _best_of_batches(queries, documents, top, key) if block else scores(queries, documents, key)
     found = scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
-    short = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < top).select("query_id")
     heads = documents.select(key).distinct().orderBy(key).limit(2 * top)
-    filler = short.crossJoin(F.broadcast(heads)).join(found.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))  # heads has at most 2 * top rows
-    both = found.drop("rank").unionByName(filler)
+    filler = queries.select("query_id").distinct().crossJoin(F.broadcast(heads)).withColumn("score", F.lit(0.0))  # heads has at most 2 * top rows
+    # what was found outdoes its own filler, so the scores are worked out for one branch of the plan alone
+    both = found.drop("rank").withColumn("own", F.lit(1)).unionByName(filler.withColumn("own", F.lit(0)))
+    both = both.groupBy("query_id", key).agg(F.max(F.struct("own", "score"))["score"].alias("score"))
     return both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
 
 
