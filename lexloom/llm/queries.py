@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexloom.llm import graph_search, jaccard_join, language_id, mixing, near_vectors, personal_data, piece_codec, token_store, url_reputation, weak_quality
+from lexloom.llm import conversation_repair, graph_search, jaccard_join, language_id, mixing, near_vectors, personal_data, piece_codec, repeated_passages, threshold_search, token_store, url_reputation, weak_quality
 from lexloom.llm.common import table
 
 
@@ -51,5 +51,17 @@ def op9_weak_quality(spark, sf_dir):
     return weak_quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op2_near_vectors": op2_near_vectors, "op4_graph_search": op4_graph_search, "op5_personal_data": op5_personal_data, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation, "op9_weak_quality": op9_weak_quality, "op10_jaccard_join": op10_jaccard_join}
-ORACLE_SQL = {"op8_url_reputation": url_reputation.ORACLE}
+def op11_repeated_passages(spark, sf_dir):
+    return repeated_passages.repeated_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_threshold_search(spark, sf_dir):
+    return threshold_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_piece_codec": op1_piece_codec, "op3_token_store": op3_token_store, "op2_near_vectors": op2_near_vectors, "op4_graph_search": op4_graph_search, "op5_personal_data": op5_personal_data, "op6_language_id": op6_language_id, "op7_mixing": op7_mixing, "op8_url_reputation": op8_url_reputation, "op9_weak_quality": op9_weak_quality, "op10_jaccard_join": op10_jaccard_join, "op11_repeated_passages": op11_repeated_passages, "op12_conversation_repair": op12_conversation_repair, "op13_threshold_search": op13_threshold_search}
+ORACLE_SQL = {"op8_url_reputation": url_reputation.ORACLE, "op11_repeated_passages": repeated_passages.ORACLE, "op13_threshold_search": threshold_search.ORACLE}

@@ -33,10 +33,11 @@ def _powers(n: int):
     return held("powers", lambda: made(_KEPT)) if n <= _KEPT else made(n)
 
 
-def word_hashes(texts: list[bytes]):
-    """(hash of every word, number of the text it is in)."""
+def word_hashes(texts: list[bytes], lower: bool = True):
+    """(hash of every word, number of the text it is in); lower: with A-Z lower-cased."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    raw = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    raw = _LOWER[raw] if lower else raw
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
