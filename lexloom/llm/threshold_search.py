@@ -40,7 +40,7 @@ _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: Bytes of a text whose terms are counted at a time.
 PIECE = 4_000_000
 #: A shard ends when it has so many postings or documents.
-SHARD_POSTINGS, SHARD_DOCS = 1_500_000, 65_536
+SHARD_POSTINGS, SHARD_DOCS = 1_000_000, 65_536
 #: Queries of a block, and characters of their texts.
 BLOCK_QUERIES, BLOCK_CHARS = 1024, 4_000_000
 #: Entries of each list read in the first round; a round reads twice as many as the one before, up to the last.
@@ -75,23 +75,33 @@ def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return own[0] or 0, own[1] or 0
 
 
-def shard_arrays(counts: list[Counter], n_docs: int, n_terms: int) -> dict[str, bytes]:
-    """The binary columns of a shard whose documents have these terms."""
-    number = Numbered()
-    held = np.fromiter(map(len, counts), np.int64, len(counts))
-    total = int(held.sum())
-    term = np.fromiter((number[t] for c in counts for t in c), np.int64, total)
-    tf = np.fromiter((x for c in counts for x in c.values()), np.int64, total)
-    doc = np.repeat(np.arange(len(counts)), held)
-    # Python's integers: the product may pass 64 bits
-    m = np.fromiter((75 + 25 * sum(c.values()) * n_docs // n_terms for c in counts), np.int64, len(counts))
-    impact = 1_000_000_000 * tf // (1000 * tf + 12 * m[doc])
-    by_list = np.lexsort((doc, -impact, term))
-    sizes = np.bincount(term, minlength=len(number))
-    return {
-        "terms": b" ".join(number), "list_end": np.cumsum(sizes).astype(np.int64).tobytes(), "list_doc": doc[by_list].astype(np.int32).tobytes(), "list_impact": impact[by_list].astype(np.int32).tobytes(),
-        "doc_end": np.cumsum(held).tobytes(), "doc_term": term.astype(np.int32).tobytes(), "doc_impact": impact.astype(np.int32).tobytes(),
-    }
+class ShardBuilder:
+    """The documents of a shard in the making: numbers of their terms and how often they hold each."""
+
+    def __init__(self):
+        self.number, self.keys, self.terms, self.tf, self.postings = Numbered(), [], [], [], 0
+
+    def add(self, key: pa.Array, counts: Counter) -> None:
+        self.keys.append(key)
+        self.terms.append(np.fromiter(map(self.number.__getitem__, counts), np.int32, len(counts)))
+        self.tf.append(np.fromiter(counts.values(), np.int32, len(counts)))
+        self.postings += len(counts)
+
+    def arrays(self, n_docs: int, n_terms: int) -> tuple[pa.Array, dict[str, bytes]]:
+        """Keys in order, nulls first, and the binary columns; a document's number is its key's place."""
+        keys = pa.concat_arrays(self.keys)
+        order = pc.sort_indices(keys, null_placement="at_start").to_numpy()
+        keys, terms, tf = keys.take(pa.array(order)), [self.terms[i] for i in order], [self.tf[i] for i in order]
+        held = np.fromiter(map(len, terms), np.int64, len(terms))
+        # Python's integers: the product may pass 64 bits
+        m = np.fromiter((75 + 25 * int(x.sum(dtype=np.int64)) * n_docs // n_terms for x in tf), np.int64, len(tf))
+        term, often = np.concatenate(terms), np.concatenate(tf).astype(np.int64)
+        doc = np.repeat(np.arange(len(keys), dtype=np.int32), held)
+        impact = (1_000_000_000 * often // (1000 * often + 12 * np.repeat(m, held))).astype(np.int32)
+        by_list = np.lexsort((doc, -impact, term))
+        ends = np.cumsum(np.bincount(term, minlength=len(self.number))).astype(np.int64)
+        lists = {"list_end": ends.tobytes(), "list_doc": doc[by_list].tobytes(), "list_impact": impact[by_list].tobytes()}
+        return keys, {"terms": b" ".join(self.number), **lists, "doc_end": np.cumsum(held).tobytes(), "doc_term": term.tobytes(), "doc_impact": impact.tobytes()}
 
 
 def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
@@ -102,27 +112,22 @@ def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in _BINARY)])
 
     def run(batches):
-        keys, counts, postings = [], [], 0
-
-        def flush():
-            own = pa.concat_arrays(keys)
-            order = pc.sort_indices(own, null_placement="at_start")  # numbers of documents ascend with their keys
-            arrays = shard_arrays([counts[i] for i in order.to_pylist()], n_docs, n_terms)
-            listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.take(order))
+        def row(shard):
+            keys, arrays = shard.arrays(n_docs, n_terms)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
             return pa.RecordBatch.from_arrays([listed, *(pa.array([arrays[c]], pa.binary()) for c in _BINARY)], names=schema.names)
 
+        shard = ShardBuilder()
         for batch in batches:
             for i, one in enumerate(batch.column(1)):
-                own = term_counts(one.as_py())
-                if own:
-                    keys.append(batch.column(0).slice(i, 1))
-                    counts.append(own)
-                    postings += len(own)
-                if postings >= SHARD_POSTINGS or len(counts) >= SHARD_DOCS:
-                    yield flush()
-                    keys, counts, postings = [], [], 0
-        if counts:
-            yield flush()
+                counts = term_counts(one.as_py())
+                if counts:
+                    shard.add(batch.column(0).slice(i, 1), counts)
+                if shard.postings >= SHARD_POSTINGS or len(shard.keys) >= SHARD_DOCS:
+                    yield row(shard)
+                    shard = ShardBuilder()
+        if shard.keys:
+            yield row(shard)
 
     rows = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     rows.mapInArrow(lean(run), schema).write.option("compression", "zstd").parquet(f"{path}/shards")
