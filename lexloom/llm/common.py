@@ -112,6 +112,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, or the next longer one that none of the columns has; names differ by more than case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finalising mixer of the public splitmix64 generator, on uint64 arrays."""
     with np.errstate(over="ignore"):

@@ -19,7 +19,8 @@ The repaired rows are written by a stream over each conversation's rows in order
 hash of a conversation is one number over all its rows in order, so that one task reads a conversation to the end,
 though it holds nothing of it but the audit.
 
-Null roles and texts count as one space, a null conversation id is an id like others.  An empty table gives no row.
+Null roles and texts count as one space, a role without letters is one of the roles that cannot be kept, a null
+conversation id is an id like others.  An empty table gives no row.
 Rows of turns that are repeated are rows; extra columns are left out.
 """
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import cut, dropped, give_back, lean, mix64, small_batches, stored
+from lexloom.llm.common import cut, dropped, free, give_back, lean, mix64, small_batches, stored
 from lexloom.llm.links import components
 from lexloom.llm.shingles import shingle_sets
 
@@ -442,5 +442,6 @@ def one_of_each_class(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     kept = classes(docs, key).where(F.col(key) == F.col("component_id")).select(key).distinct()
     first = Window.partitionBy(key).orderBy(F.xxhash64("text"))
-    named = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    n = free(docs.columns, "n")
+    named = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
     return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
-from lexloom.llm.common import in_portions, lean, small_batches
+from lexloom.llm.common import free, in_portions, lean, small_batches
 
 ORDERS, BITS = (1, 2, 3), 20
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 600, 96, 1e-3, 6.0
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: KernelModel, text: str = "text", to: tuple =
             lang, score = shared.value.predict(batch.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *to])
 
-    return small_batches(docs.select(*kept, F.col(text).alias("__text"))).mapInArrow(lean(run), schema)
+    return small_batches(docs.select(*kept, F.col(text).alias(free(docs.columns, "own_text")))).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import dropped, stored
+from lexloom.llm.common import dropped, free, stored
 
 #: Kinds in the order that breaks ties.  The patterns match what the plain ones match:
 #:   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+       ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -93,23 +93,24 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def running(items: Column, size) -> Column:
-    """For each item the sum of the sizes of those before it, linear in the number of items.
+def running(items: Column, size, joined=lambda a, b: a + b) -> Column:
+    """For each item the sum (or what else `joined` makes of two numbers) of the sizes of those before it.
 
-    Stretches of items are summed up first; only inside a stretch, and over the stretches' sums, arrays grow.
+    Linear in the number of items: stretches of items are summed up first; only inside a stretch, and over the
+    stretches' sums, arrays grow.
     """
     nothing = F.lit([]).cast("array<bigint>")
 
     def sums(array, of):
         begin = F.struct(F.lit(0).cast("long").alias("sum"), nothing.alias("out"))
-        step = lambda acc, x: F.struct((acc["sum"] + of(x)).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+        step = lambda acc, x: F.struct(joined(acc["sum"], of(x)).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
         return F.aggregate(array, begin, step, lambda acc: acc["out"])
 
-    total = lambda stretch: F.aggregate(stretch, F.lit(0).cast("long"), lambda a, x: a + size(x))
+    total = lambda stretch: F.aggregate(stretch, F.lit(0).cast("long"), lambda a, x: joined(a, size(x)))
 
     def by_stretches(own):
         starts = F.sequence(F.lit(1), F.size(own), F.lit(STRETCH))
-        return let(F.transform(starts, lambda i: F.slice(own, i, STRETCH)), lambda stretches: let(sums(stretches, total), lambda before: F.flatten(F.zip_with(stretches, before, lambda x, b: F.transform(sums(x, size), lambda y: y + b)))))
+        return let(F.transform(starts, lambda i: F.slice(own, i, STRETCH)), lambda stretches: let(sums(stretches, total), lambda before: F.flatten(F.zip_with(stretches, before, lambda x, b: F.transform(sums(x, size), lambda y: joined(y, b))))))
 
     return F.when(F.size(items) == 0, nothing).when(F.size(items) <= STRETCH, sums(items, size)).otherwise(by_stretches(items))
 
@@ -147,8 +148,29 @@ def _base(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def _apart(spans: Column, from_: Column, upto: Column) -> Column:
-    return ~F.exists(spans, lambda s: (s["at"] < upto) & (from_ < s["upto"]))
+def _apart(spans: Column, found: Column) -> Column:
+    """Those of found (at, upto, ...) that no span touches.
+
+    Beyond a stretch of spans, which stand in order, a candidate halves them until it knows how many begin before its
+    end, and looks up how far the farthest of those reaches.
+    """
+
+    def by_halves(starts):
+        last = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("upto"))
+        reach = running(F.concat(F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["upto"].alias("upto"))), F.array(last)), lambda s: s["upto"], F.greatest)
+        half = lambda r: ((r["low"] + r["high"]) / 2).cast("int")
+
+        def before(end):
+            begin = F.struct(F.lit(0).alias("low"), F.size(starts).alias("high"))
+            lower = lambda r: F.struct(r["low"].alias("low"), half(r).alias("high"))
+            upper = lambda r: F.struct((half(r) + 1).alias("low"), r["high"].alias("high"))
+            step = lambda r, _: F.when(r["low"] >= r["high"], r).when(F.element_at(starts, half(r) + 1) < end, upper(r)).otherwise(lower(r))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(32)), begin, step, lambda r: r["low"])
+
+        return let(reach, lambda far: F.filter(found, lambda c: F.element_at(far, before(c["upto"]) + 1) <= c["at"]))
+
+    one_by_one = F.filter(found, lambda c: ~F.exists(spans, lambda s: (s["at"] < c["upto"]) & (c["at"] < s["upto"])))
+    return F.when(F.size(spans) <= STRETCH, one_by_one).otherwise(let(F.transform(spans, lambda s: s["at"]), by_halves))
 
 
 def _candidates(kind: str, text: Column, taken: Column) -> Column:
@@ -157,7 +179,7 @@ def _candidates(kind: str, text: Column, taken: Column) -> Column:
     named = F.transform(_matches(text, CANDIDATES[kind]), lambda x: F.struct(x["m"].alias("m"), x["at"].alias("at"), lead(x).alias("name")))
     value = lambda x: F.substring(x["m"], F.length(x["name"]) + 1, F.length(x["m"]))
     parts = F.transform(named, lambda x: F.struct(x["name"].alias("name"), value(x).alias("value"), (x["at"] + F.length(x["name"])).alias("at"), (x["at"] + F.length(x["m"])).alias("upto")))
-    apart = F.filter(parts, lambda c: (F.length(c["value"]) > 0) & _apart(taken, c["at"], c["upto"]))
+    apart = let(F.filter(parts, lambda c: F.length(c["value"]) > 0), lambda own: _apart(taken, own))
     vote = _secret_votes if kind == "secret" else _id_votes
     found = F.transform(apart, lambda c: F.struct(_code(vote(c["name"], c["value"]), 3).alias("votes"), _code(_features(c["name"], c["value"]), BASE_OF_FEATURES).alias("features"), c["at"].alias("at"), c["upto"].alias("upto")))
     return F.when(text.rlike(POSSIBLE[kind]), found).otherwise(F.lit([]).cast("array<struct<votes:int,features:int,at:bigint,upto:bigint>>"))
@@ -317,13 +339,13 @@ def _accepted(features: Column, weights: list[float]) -> Column:
     return logit > 0
 
 
-def with_spans(docs: DataFrame, weights: dict[str, list[float]], text: str = "text") -> DataFrame:
-    """docs with __base and __spans: sorted arrays of (at, rank, kind, upto), of the fixed kinds and of all kinds."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumn("__base", _base(t)).withColumn("__spans", F.col("__base"))
+def with_spans(docs: DataFrame, weights: dict[str, list[float]], text: str = "text", to: tuple = ("base", "spans")) -> DataFrame:
+    """docs with two new columns: sorted arrays of (at, rank, kind, upto), of the fixed kinds and of all kinds."""
+    t, (base, spans) = F.coalesce(F.col(text), F.lit("")), to
+    docs = docs.withColumn(base, _base(t)).withColumn(spans, F.col(base))
     for kind, own in weights.items():
-        found = F.transform(F.filter(_candidates(kind, t, F.col("__spans")), lambda c: _accepted(c["features"], own)), lambda c: _span(kind, c["at"], c["upto"]))  # noqa: B023
-        docs = docs.withColumn("__spans", F.sort_array(F.concat("__spans", found)))
+        found = F.transform(F.filter(_candidates(kind, t, F.col(spans)), lambda c: _accepted(c["features"], own)), lambda c: _span(kind, c["at"], c["upto"]))  # noqa: B023
+        docs = docs.withColumn(spans, F.sort_array(F.concat(spans, found)))
     return docs
 
 
@@ -335,8 +357,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_secret, n_id."""
     rows = with_spans(docs.select(key, "text"), fit(docs))
     many = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    listed_base, listed_all = listed(F.col("__base")), listed(F.col("__spans"))
-    return rows.select(key, *[many("__base", k) for k in BASE], F.sha2(listed_base, 256).alias("base_sha256"), listed_all.alias("spans"), F.size("__spans").cast("long").alias("n_spans"), *[many("__spans", k) for k in ADDED])
+    listed_base, listed_all = listed(F.col("base")), listed(F.col("spans"))
+    return rows.select(key, *[many("base", k) for k in BASE], F.sha2(listed_base, 256).alias("base_sha256"), listed_all.alias("spans"), F.size("spans").cast("long").alias("n_spans"), *[many("spans", k) for k in ADDED])
 
 
 def _redacted(text: Column, spans: Column) -> Column:
@@ -369,8 +391,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     n_chars, where docs has it, is counted anew.  A null text stays null.
     """
     kept = docs.columns
-    rows = with_spans(docs, fit(docs, text), text)
-    rows = rows.withColumn(text, F.when(F.size("__spans") > 0, _redacted(F.col(text), F.col("__spans"))).otherwise(F.col(text)))
+    base, spans = (free(kept, c) for c in ("base", "spans"))
+    rows = with_spans(docs, fit(docs, text), text, (base, spans))
+    rows = rows.withColumn(text, F.when(F.size(spans) > 0, _redacted(F.col(text), F.col(spans))).otherwise(F.col(text)))
     if "n_chars" in kept:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return rows.select(*kept)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import ChunkCoder, held, lean, small_batches
+from lexloom.llm.common import ChunkCoder, free, held, lean, small_batches
 
 MARK = "▁"
 NONE = np.int64(1) << np.int64(40)
@@ -284,7 +284,7 @@ def coder_at(path: str) -> ChunkCoder:
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text", to: str = "piece_ids") -> DataFrame:
     """df with the ids of its texts in a new column `to` (array<int>); a column of that name is replaced."""
     kept = [c for c in df.columns if c != to]
-    source = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(free(df.columns, "own_text")))
     schema = df.select(*kept).schema.add(to, T.ArrayType(T.IntegerType()))
 
     def run(batches):

@@ -333,6 +333,18 @@ def test_many_matches_in_one_text(spark):
     assert row["spans"] == want and row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_many_candidates_beside_many_spans(spark):
+    """16 000 addresses and as many secrets in one text: a candidate looks its neighbours up, not all spans through."""
+    text = " ".join(f"u{i}@b.co password=hunter{i}x" for i in range(16_000))
+    df = spark.createDataFrame([(1, text), (2, "password=a1b2@c.de5f6 " * 200 + "password=abc12345 x@y.zz" * 3)], "doc_id bigint, text string").coalesce(1)
+    began = time.perf_counter()
+    rows = {r["doc_id"]: r for r in personal_data.find_personal_data(df).collect()}
+    assert time.perf_counter() - began < 90
+    assert rows[1]["n_email"] == 16_000 and rows[1]["n_secret"] == 16_000
+    spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in rows[2]["spans"].split(","))]
+    assert len(spans) > 200 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 # ---------------------------------------------------------------- 6: language
 
 
@@ -683,7 +695,9 @@ def test_pipeline(spark, odd, empty):
 
     import corpus_pipeline
 
-    docs = odd[0].select("doc_id", "text", "lang", "source", "n_chars")
+    # extra columns come out as they were, whatever they are called
+    extra = ["own_text", "__text", "__n", "__base", "__spans", "base", "spans", "lang_pred", "score", "key", "n"]
+    docs = odd[0].select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in extra])
     size = lambda d: Counter({s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in d if r["source"] == s) for s in {r["source"] for r in d}})
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, "")
@@ -691,6 +705,7 @@ def test_pipeline(spark, odd, empty):
         old, new = before.collect(), docs.collect()
         if name != "pieces":
             assert docs.columns == before.columns, name
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in new for c in extra)
         if name == "language":
             assert {r["doc_id"] for r in new} == {r["doc_id"] for r in old} - {60, 61, 66}
         if name == "near_duplicates":
