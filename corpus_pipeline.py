@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import jaccard_join, language_id, mixing, personal_data, piece_codec
-from lexloom.llm.common import dropped, stored
+from lexloom.llm.common import dropped, free, stored
 
 #: Four languages and no evidence give 0.25; clean texts, mixed ones included, stay far above.
 LEAST_SCORE = 0.3
@@ -29,9 +29,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = ("__lang_pred", "__score")
-    judged = language_id.predict(docs, language_id.fit(docs), to=named)
-    return judged.where((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = free(docs.columns, "lang_pred"), free(docs.columns, "score")
+    judged = language_id.predict(docs, language_id.fit(docs), to=(lang, score))
+    return judged.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
