@@ -9,6 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
+from lexloom.session import scratch
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that what loops over it works it out once; see forgotten()."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forgotten(df: DataFrame) -> None:
+    """Delete the table of a frame that written() gave; nothing may read it any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, order: str, to: str, rows: int = 65_536, width: int | None = None) -> DataFrame:

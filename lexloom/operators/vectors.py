@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -137,6 +138,14 @@ def _too_long(error: Exception) -> bool:
     return any(x in str(error).lower() for x in ("index out of range", "position"))
 
 
+@lru_cache(2)
+def tokenizer_at(path: str):
+    """The tokenizer of a file that every machine has, read once by a Python worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def careful(encoder: Encoder, tokenizer_file: str, length: int = USUAL_INPUT, fallback: Encoder | None = None) -> Encoder:
     """An encoder of queries: inputs are cut to a number of ids; too long ones are cut shorter; then another encoder.
 
@@ -146,9 +155,7 @@ def careful(encoder: Encoder, tokenizer_file: str, length: int = USUAL_INPUT, fa
     length = max(LEAST_INPUT, length)
 
     def encode(texts: list[str]) -> np.ndarray:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        tokenizer = tokenizer_at(tokenizer_file)
         short = shortened(texts, tokenizer, length)
         try:
             x = encoder(short)
@@ -184,4 +191,4 @@ def encoded(df: DataFrame, encoder: Encoder, text: str = "text", to: str = "embe
                 lists = pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(len(kept))), lists], names=[*kept, to])
 
-    return df.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*kept, F.col(text).alias(f"text of {to}")).mapInArrow(run, schema)

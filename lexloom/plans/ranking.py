@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
-from lexloom.operators import retrieval, vectors
+from lexloom.operators import encoding, retrieval, tables, vectors
 from lexloom.plans import aggregates, joins
 from lexloom.plans import sql as S
 from lexloom.plans.fixtures import base, fx
@@ -25,22 +25,45 @@ def v03(spark, d):
     return base(spark, d, "embeddings").select("vec_id", F.round(vectors.dot(C("embedding"), C("embedding")), 6).alias("score"))
 
 
+def _latent(docs):
+    return encoding.latent(docs, size=32, bits=14, rounds=6, near=1e-3)[0]
+
+
 @query("v04_encoded_texts")
 def v04(spark, d):
-    return vectors.encoded(base(spark, d, "benchmark").select("item_id", "text"), vectors.hashed_words())
+    docs = base(spark, d, "documents").select("doc_id", "text")
+    return vectors.encoded(docs, _latent(docs)).select("doc_id", "embedding")
 
 
 @query("v05_encoded_search")
 def v05(spark, d):
     import public_tokenizers
 
-    encode = vectors.hashed_words()
+    docs = base(spark, d, "documents").select(C("doc_id").alias("faiss_id"), "text")
+    encode = _latent(docs)
     asking = vectors.careful(encode, public_tokenizers.path("byte_bpe_50k.json"))
-    chunks = vectors.encoded(base(spark, d, "documents").select(C("doc_id").alias("faiss_id"), "text"), encode).select("faiss_id", "embedding")
+    chunks = vectors.encoded(docs, encode).select("faiss_id", vectors.normalised(C("embedding")).alias("embedding"))
     asked = vectors.encoded(base(spark, d, "benchmark").select(C("item_id").alias("query_id"), "text"), asking, to="q").select("query_id", "q")
     return vectors.top_k(asked, chunks, 10)
 
 
+@query("ml01_training")
+def ml01(spark, d):
+    """Epochs of training on the documents' beginnings and the train items' positives, judged on the dev items."""
+    docs, items = base(spark, d, "documents").select("doc_id", "text"), base(spark, d, "benchmark")
+    dev = tables.hash_split(items.select("item_id"), "item_id", 0.1)
+    relevant = tables.written(joins.positives(spark, d).select("query_id", "doc_id"), "relevant")
+    named = items.select(C("item_id").alias("query_id"), "text")
+    known = relevant.join(dev.where("NOT dev").select(C("item_id").alias("query_id")), "query_id").join(named, "query_id").withColumnRenamed("text", "query").join(docs, "doc_id")
+    words = F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")
+    begun = docs.where(F.size(words) >= 48).select(F.array_join(F.slice(words, 1, 24), " ").alias("query"), F.array_join(F.slice(words, 25, 2_000_000_000), " ").alias("positive"))
+    pairs = begun.unionByName(known.select("query", C("text").alias("positive")))
+    asked = named.join(dev.where("dev").select(C("item_id").alias("query_id")), "query_id", "left_semi")
+    start = encoding.unlearnt(docs, size=32, bits=14)
+    _, history = encoding.train(pairs, start, encoding.Plan(epochs=3, steps=3), lambda e: encoding.recall_of(e, asked, docs, relevant))
+    return spark.createDataFrame(history, "epoch int, loss double, recall double, best boolean")
+
+
 @query("v06_score_matrix", f"SELECT query_id AS a, vec_id AS b, {S.dot('q', 'embedding')} AS score FROM fx_query_vecs CROSS JOIN embeddings")
 def v06(spark, d):
     found = vectors.inner_products(fx(spark, d, "query_vecs").select("query_id", "q"), base(spark, d, "embeddings"))

@@ -4,6 +4,7 @@ import json
 import statistics
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
-from lexloom.operators import bm25, citations, evaluation, retrieval, segments, structure, tables, vectors
+from lexloom.operators import bm25, citations, encoding, evaluation, retrieval, segments, structure, tables, vectors
 from lexloom.sources import files
 from lexloom.streaming import rate_limit
 
@@ -280,3 +281,87 @@ def test_texts_without_articles_are_cut_into_pieces(spark):
     pieces = [(r["doc_id"], r["part"], "fallback", " ".join(r["piece"].split())) for r in segments.split_pieces(docs.where("doc_id > 1"), "doc_id", "content").collect()]
     assert [x for x in got if x[0] > 1] == sorted(pieces) and {x[0] for x in pieces} == {2, 3} and len(pieces) > 4
     assert [x[:3] for x in got if x[0] == 1] == [(1, 0, "article"), (1, 1, "clause")]
+
+
+# ---------------------------------------------------------------- learnt encoders
+
+
+def dense(rows, places):
+    out, ends = np.zeros((len(rows.sizes), places)), np.cumsum(rows.sizes)
+    for i, (a, b) in enumerate(zip(ends - rows.sizes, ends, strict=True)):
+        out[i, rows.ids[a:b]] += rows.weights[a:b]
+    return out
+
+
+def test_sparse_products(monkeypatch):
+    monkeypatch.setattr(encoding, "ENTRIES", 7)
+    rows = encoding.counted(["a b a", "", "c " * 30, None, " ".join(map(str, range(20))), "é A"], 6)
+    x, m = dense(rows, 64), np.random.default_rng(0).random((64, 5))
+    assert np.allclose(rows.times(m), x @ m)
+    into = np.ones((64, 3))
+    z = np.random.default_rng(1).random((6, 3))
+    rows.transposed_times(z, into)
+    assert np.allclose(into, 1 + x.T @ z)
+
+
+def test_latent_vectors_equal_a_dense_decomposition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    encoder, singular = encoding.latent(docs, size=4, bits=9, rounds=40, near=1e-9)
+    texts = [r["text"] for r in docs.select("text").collect()]
+    counts = dense(encoding.counted(texts, 9), 512)
+    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = x / np.where(length == 0, 1, length)
+    _, values, right = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(singular, values[:4], rtol=1e-3)
+    # the cosines of the angles between the two subspaces
+    assert np.linalg.svd(right[:4] @ encoder.matrix)[1].min() > 0.999
+    assert np.allclose(encoder(texts), x @ encoder.matrix, atol=1e-5)
+    assert np.array_equal(encoder([None, "", "..."]), np.zeros((3, 4), np.float32))
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    start = encoding.Encoder(5, np.ones(32), rng.standard_normal((32, 3)))
+    q, c = start.rows(["a b", "c d e", "f"]), start.rows(["a x", "c y", "f z", "hard negative", ""])
+    got = np.zeros((32, 3))
+    loss = encoding.contrast(start.matrix, q, c, 5.0, got)
+    for place in (*set(q.ids.tolist()), *set(c.ids.tolist())):
+        for j in range(3):
+            moved = [start.matrix.copy() for _ in range(2)]
+            moved[0][place, j] += 1e-5
+            moved[1][place, j] -= 1e-5
+            up, down = (encoding.contrast(m, q, c, 5.0, np.zeros((32, 3))) for m in moved)
+            assert abs((up - down) / 2e-5 - got[place, j]) < 1e-4
+    assert loss > 0
+
+
+def test_gradients_sum_over_partitions(spark):
+    pairs = spark.createDataFrame([(f"word{i} shared", f"word{i} body text {i}", [f"other{i}"]) for i in range(50)] + [("word1 shared", "word1 body text 1", ["other1"]), (None, "x", None), ("y", None, None)], "query string, positive string, negatives array<string>").repartition(4)
+    start = encoding.unlearnt(pairs.select(F.col("positive").alias("text")), size=4, bits=8)
+    plan = encoding.Plan(batch=8)
+    batches = encoding.batches_of(pairs, start, plan).cache()
+    got, loss, n = encoding.gradient(batches, start.matrix, 20.0)
+    want, each = np.zeros((256, 4)), 0.0
+    for r in batches.collect():
+        q, c = (encoding.Rows(*(np.array(r[f"{x}_{p}"]) for p in ("ids", "weights", "sizes"))) for x in "qc")
+        assert len(c.sizes) == 2 * len(q.sizes)
+        each += encoding.contrast(start.matrix, q, c, 20.0, want)
+    assert n == 50 and np.allclose(got, want) and abs(loss - each) < 1e-6
+    assert [plan.rate_at(i) / plan.rate for i in (0, 1, 15)] == [0.5, 1.0, 1 / 15]
+
+
+def test_training_keeps_the_best_and_stops(spark):
+    rows = [(i, f"query{i} about topic{i}", f"topic{i} text {i % 7} filler filler more") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, query string, positive string")
+    docs, queries = df.select(F.col("id").alias("doc_id"), F.col("positive").alias("text")), df.select(F.col("id").alias("query_id"), F.col("query").alias("text"))
+    start = encoding.unlearnt(docs, size=8, bits=9)
+    relevant = df.select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"))
+    recall = lambda e: encoding.recall_of(e, queries, docs, relevant, 3)
+    best, history = encoding.train(df.select("query", "positive"), start, encoding.Plan(epochs=3, steps=2, rate=0.1), recall)
+    assert history[-1]["loss"] < history[1]["loss"] and max(h["recall"] for h in history) > history[0]["recall"]
+    assert recall(best) == max(h["recall"] for h in history)
+    told = iter([0.5, 0.4, 0.5, 0.9])
+    best, history = encoding.train(df.select("query", "positive").limit(4), start, encoding.Plan(epochs=5, steps=1, patience=2), lambda e: next(told))
+    assert len(history) == 3 and best is start
