@@ -199,10 +199,15 @@ def shown(text: Column) -> Column:
     return strip(F.replace(_or_empty(text), F.lit("_"), F.lit(" ")))
 
 
-def clean(text: Column, stopwords: list[str] | None = None, keep_underscore: bool = True) -> Column:
-    """Line ends and blanks normalised, tags to spaces, punctuation set apart, odd characters dropped; lines stay."""
+def spaced(text: Column) -> Column:
+    """Line ends and blanks normalised, tags to spaces, punctuation set apart; lines stay."""
     t = F.regexp_replace(F.regexp_replace(_or_empty(text), r"\r\n?", "\n"), "<[^>]+>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"""([,;:.!?)(\[\]"'])""", " $1 ")
+    return F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"""([,;:.!?)(\[\]"'])""", " $1 ")
+
+
+def kept(text: Column, stopwords: list[str] | None = None, keep_underscore: bool = True) -> Column:
+    """Stop words, underscores and odd characters dropped, as asked."""
+    t = text
     if stopwords:
         stop = F.array(*map(F.lit, stopwords))
         t = F.array_join(F.filter(F.split(t, BLANK + "+"), lambda w: (w != "") & ~F.array_contains(stop, F.lower(w))), " ")
@@ -211,6 +216,11 @@ def clean(text: Column, stopwords: list[str] | None = None, keep_underscore: boo
     return strip(F.regexp_replace(t, KEPT, ""))
 
 
+def clean(text: Column, stopwords: list[str] | None = None, keep_underscore: bool = True) -> Column:
+    """A text spaced, and what is kept of it."""
+    return kept(spaced(text), stopwords, keep_underscore)
+
+
 def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(_or_empty(text), BLANK + "+", " "))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
 from lexloom.functions import repair
-from lexloom.operators import retrieval, segments, tables
+from lexloom.operators import retrieval, segments, tables, wordseg
 from lexloom.plans import sql as S
 from lexloom.plans.fixtures import base, fx
 from lexloom.plans.named import query
@@ -218,6 +218,12 @@ def p18(spark, d):
     return own(base(spark, d, "pages"), "page_id", text=L.clean(C("html")))
 
 
+@query("p18_segmented")
+def p18s(spark, d):
+    docs = base(spark, d, "documents").select("doc_id", "text")
+    return wordseg.cleaned(docs, wordseg.learnt(docs, rounds=2))
+
+
 _HEAD_LINES = f"list_transform(string_split(content, chr(10))[1:10], lambda s: {S.strip('s')})"
 _KIND_WORDS = f"regexp_matches(lower(s), {S.lit('|'.join(L.TITLE_WORDS))}) AND NOT starts_with(s, '<')"
 

@@ -1,6 +1,8 @@
 """Cases that pin single operators."""
 
 import json
+import math
+import random
 import statistics
 from datetime import datetime, timedelta
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
-from lexloom.operators import bm25, citations, encoding, evaluation, retrieval, segments, structure, tables, vectors
+from lexloom.operators import bm25, citations, encoding, evaluation, retrieval, segments, structure, tables, vectors, wordseg
 from lexloom.sources import files
 from lexloom.streaming import rate_limit
 
@@ -365,3 +367,53 @@ def test_training_keeps_the_best_and_stops(spark):
     told = iter([0.5, 0.4, 0.5, 0.9])
     best, history = encoding.train(df.select("query", "positive").limit(4), start, encoding.Plan(epochs=5, steps=1, patience=2), lambda e: next(told))
     assert len(history) == 3 and best is start
+
+
+# ---------------------------------------------------------------- words of several syllables
+
+
+def all_cuts(n, most=wordseg.MOST):
+    if n == 0:
+        return [[]]
+    return [[*head, n] for size in range(1, min(most, n) + 1) for head in all_cuts(n - size, most)]
+
+
+def cut_score(lexicon, run, ends):
+    """Sum of logs of a cut's words; None where one is no word."""
+    known, total = dict(zip(lexicon.words, lexicon.logs, strict=True)), 0.0
+    for a, b in zip([0, *ends], ends, strict=False):
+        word = " ".join(run[a:b])
+        if word not in known and b - a > 1:
+            return None
+        total += known.get(word, lexicon.unknown)
+    return total
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), min_size=1, max_size=9), st.dictionaries(st.lists(st.sampled_from("abcd"), min_size=1, max_size=4).map(" ".join), st.floats(0.5, 50), max_size=12))
+def test_best_cut_and_expected_words_equal_brute_force(run, counts):
+    lexicon = wordseg._of(counts)
+    scored = [(s, ends) for ends in all_cuts(len(run)) if (s := cut_score(lexicon, run, ends)) is not None]
+    assert math.isclose(cut_score(lexicon, run, lexicon.cut(run)), max(s for s, _ in scored), abs_tol=1e-9)
+    whole, want = sum(math.exp(s) for s, _ in scored), {}
+    for s, ends in scored:
+        for a, b in zip([0, *ends], ends, strict=False):
+            word = " ".join(run[a:b])
+            if word in counts:
+                want[word] = want.get(word, 0) + math.exp(s) / whole
+    got = {lexicon.words[i]: n for i, n in lexicon.expected(run).items()}
+    assert got.keys() == want.keys() and all(math.isclose(got[w], want[w], rel_tol=1e-6) for w in want)
+
+
+def test_words_are_learnt_and_joined(spark):
+    rng = random.Random(1)
+    words = ["nghị định", "pháp luật", "cơ quan nhà nước", "và", "của", "theo", "điều"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)) + ". Khoản 5") for i in range(60)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    lexicon = wordseg.learnt(df, rounds=6, least=8)
+    sample = spark.createDataFrame([(1, "Theo Nghị định của cơ quan nhà nước,<b>và</b> pháp luật\r\nlạ"), (2, None)], "id long, text string")
+    got = {r["id"]: r["text"] for r in wordseg.cleaned(sample, lexicon).collect()}
+    assert "Nghị_định" in got[1] and "cơ_quan_nhà_nước" in got[1] and "pháp_luật" in got[1] and "\nlạ" in got[1] and got[2] == ""
+    plain = {r["id"]: r["text"] for r in wordseg.cleaned(sample, lexicon, stopwords=["nghị_định", "của"], keep_underscore=False).collect()}
+    assert "Nghị" not in plain[1] and "của" not in plain[1] and "_" not in plain[1] and "cơ quan nhà nước" in plain[1]
+    assert wordseg.learnt(df.limit(0)).words == []
