@@ -11,9 +11,12 @@ after the other, are its run: their words, up to 2 * words - GRAM of them.
 
 Groups.  Suffixes are split by their prefix of GRAM words.  A prefix that stands once has no repeat and goes at once;
 runs equal as a whole are one from there on, with a count.  A prefix whose runs are all equal needs no tree, all its
-windows are repeated.  Prefixes with up to GROUP runs fit in memory: whole groups meet in a task, some thousand words at
-a time, and one suffix tree is built of each lot.  Prefixes of more runs grow to the full length of a window, where a
-prefix is itself a node of the tree that is deep enough: counts say whether it has more than one leaf.
+windows are repeated.  Prefixes with up to GROUP different runs fit in memory: whole groups meet in a task, up to about
+LOT_WORDS words at a time, and one suffix tree is built of each lot.  Longer prefixes split the others: windows that
+begin up to half as many words before the anchor share what follows it for longer, the others share what stands before
+it, and both halves are grouped anew by the words that all their windows share.  Prefixes that stand once go, groups
+that fit get their tree, the rest is halved again; a prefix as long as a window is itself a node deep enough, and its
+count says whether it has more than one leaf.
 
 Trees.  The words of a lot's runs are numbered, suffixes are sorted by doubling, and neighbours' common prefixes give
 the inner nodes: the outermost ones `words` or more deep, with their leaves, are the maximal repeats' windows.  The
@@ -44,8 +47,8 @@ from lexloom.llm.common import in_portions, lean, mix64, small_batches, stored
 from lexloom.llm.shingles import word_hashes
 
 WORDS, GRAM = 35, 8
-#: Runs that share a prefix and still go to one tree; words of a lot of groups.
-GROUP, LOT_WORDS = 1024, 400_000
+#: Different runs that share a prefix and still go to one tree (about LOT_WORDS words); words of a lot of groups.
+GROUP, LOT_WORDS = 8192, 400_000
 #: Bytes of a text that are worked on at a time.
 PIECE = 1_000_000
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -84,13 +87,13 @@ def _hashes(texts: list[str]):
 
 
 def runs_of(texts: list[str], words: int = WORDS):
-    """Runs of texts: text, first window (number of its first word in the text), windows, hash of the prefix at the
-    anchor, hash of all words of the run."""
+    """Runs of texts: text, first window (number of its first word in the text), windows, words before the anchor, hash
+    of the prefix at the anchor, hash of all words of the run."""
     h, of = _hashes(texts)
     n = len(h)
     none = np.zeros(0, np.int64)
     if n < words:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     with np.errstate(over="ignore"):
         gram = mix64(sum(h[i : n - GRAM + 1 + i] * np.uint64(_ODD[i]) for i in range(GRAM)), 3)
         count = n - words + 1
@@ -107,19 +110,19 @@ def runs_of(texts: list[str], words: int = WORDS):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
         whole = mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64), 5)
     before = np.searchsorted(of, np.arange(len(texts)))
-    return of[a], a - before[of[a]], b - a - words + 1, gram[at[first]], whole
+    return of[a], a - before[of[a]], b - a - words + 1, at[first] - a, gram[at[first]], whole
 
 
 def _runs(docs: DataFrame, words: int) -> DataFrame:
-    """g (prefix), r (run), k (text), s (first window), many (windows), for docs (k, text)."""
-    schema = "g long, r long, k long, s int, many int"
+    """g (prefix), r (run), k (text), s (first window), span (windows, and 64 times the words before the anchor)."""
+    schema = "g long, r long, k long, s int, span int"
 
     def run(batches):
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("k").to_numpy()
             for a, b in in_portions([t or "" for t in texts], PIECE):
-                of, s, many, g, r = runs_of(texts[a:b], words)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(r.view(np.int64)), pa.array(keys[a:b][of]), pa.array(s.astype(np.int32)), pa.array(many.astype(np.int32))], names=["g", "r", "k", "s", "many"])
+                of, s, many, ahead, g, r = runs_of(texts[a:b], words)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(r.view(np.int64)), pa.array(keys[a:b][of]), pa.array(s.astype(np.int32)), pa.array((64 * ahead + many).astype(np.int32))], names=["g", "r", "k", "s", "span"])
 
     return small_batches(docs).mapInArrow(lean(run), schema)
 
@@ -197,7 +200,7 @@ def repeated_windows(runs: list[bytes], many: np.ndarray, group: np.ndarray, cou
 
 
 def _trees(groups: DataFrame, words: int) -> DataFrame:
-    """g, r, bits for groups (g, r, c, many, run)."""
+    """of, r, bits for groups (g, of, r, c, many, skip, run): runs whose first `skip` windows were left out."""
 
     def run(batches):
         held: list[tuple] = []
@@ -205,57 +208,79 @@ def _trees(groups: DataFrame, words: int) -> DataFrame:
 
         def flush(own):
             _, group = np.unique([x[0] for x in own], return_inverse=True)
-            bits = repeated_windows([x[4] for x in own], np.array([x[3] for x in own]), group, np.array([x[2] for x in own]), words)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array(bits, pa.int64())], names=["g", "r", "bits"])
+            bits = repeated_windows([x[6] for x in own], np.array([x[4] for x in own]), group, np.array([x[3] for x in own]), words)
+            columns = [x[1] for x in own], [x[2] for x in own], [b << x[5] for b, x in zip(bits, own, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["of", "r", "bits"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "r", "c", "many", "run")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "of", "r", "c", "many", "skip", "run")), strict=True):
                 if size >= LOT_WORDS and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[3] + words
+                size += row[4] + words
         if held:
             yield flush(held)
 
-    return small_batches(groups.repartition("g").sortWithinPartitions("g")).mapInArrow(lean(run), "g long, r long, bits long")
+    groups = groups.select("g", "of", "r", "c", "many", "skip", F.col("run").cast("binary").alias("run"))
+    return small_batches(groups.repartition("g").sortWithinPartitions("g")).mapInArrow(lean(run), "of long, r long, bits long")
 
 
-def _counted(groups: DataFrame, words: int) -> DataFrame:
-    """g, r, bits for groups whose prefix grew to a whole window: how often each stands is a sum."""
-    split = F.split(F.col("run").cast("string"), " ")
-    windows = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(split, i + 1, words)).alias("h"), F.xxhash64(F.lit(1), F.slice(split, i + 1, words)).alias("f")))
-    rows = groups.select("g", "r", "c", F.explode(windows).alias("w")).select("g", "r", "c", "w.i", "w.h", "w.f")
-    again = rows.groupBy("h", "f").agg(F.sum("c").alias("leaves")).where("leaves > 1")
-    return rows.join(again, ["h", "f"]).groupBy("g", "r").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
+def _grown(groups: DataFrame, words: int) -> list[DataFrame]:
+    """Frames of of, r, bits for groups (g, r, c, span, run) of too many runs, by ever longer prefixes.
+
+    A row stands for the windows of a run that begin lo to hi words before the anchor; all of them hold the words from
+    lo before the anchor on that they share, and these are the prefix.
+    """
+    ahead, many = F.shiftright("span", 6), F.col("span").bitwiseAND(63)
+    rows = groups.select(F.col("g").alias("of"), "r", "c", ahead.alias("ahead"), many.alias("many"), F.lit(0).alias("lo"), F.lit(words - GRAM).alias("hi"), F.split(F.col("run").cast("string"), " ").alias("ws"))
+    out = []
+    while not rows.isEmpty():
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.filter(F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi"))), lambda h: (h["lo"] <= F.col("ahead")) & (h["hi"] > F.col("ahead") - F.col("many")))
+        rows = rows.select("of", "r", "c", "ahead", "many", "ws", F.explode(halves).alias("half")).select("of", "r", "c", "ahead", "many", "ws", "half.lo", "half.hi")
+        prefix = F.slice("ws", F.col("ahead") - F.col("lo") + 1, F.lit(words) - F.col("hi") + F.col("lo"))
+        rows = rows.withColumns({"g": F.xxhash64("lo", "hi", prefix), "f": F.xxhash64(F.lit(1), "lo", "hi", prefix)})
+        counts = rows.groupBy("g", "f").agg(F.sum("c").alias("leaves"), F.count("*").alias("runs")).where("leaves > 1")
+        rows = stored(rows.join(counts, ["g", "f"]), "grown")
+        out.append(rows.where("lo = hi").select("of", "r", F.expr("shiftleft(1L, ahead - lo)").alias("bits")))
+        skip, last = F.greatest(F.lit(0), F.col("ahead") - F.col("hi")), F.least(F.col("many") - 1, F.col("ahead") - F.col("lo"))
+        small = rows.where((F.col("lo") < F.col("hi")) & (F.col("runs") <= GROUP)).withColumns({"skip": skip, "last": last})
+        run = F.array_join(F.slice("ws", F.col("skip") + 1, F.col("last") - F.col("skip") + words), " ")
+        out.append(_trees(small.select("g", "of", "r", "c", (F.col("last") - F.col("skip") + 1).alias("many"), "skip", run.alias("run")), words))
+        rows = rows.where((F.col("lo") < F.col("hi")) & (F.col("runs") > GROUP)).select("of", "r", "c", "ahead", "many", "lo", "hi", "ws")
+    return out
 
 
 # ---------------------------------------------------------------- from texts to marks
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """g, r, c, many, large and the words of each wanted run (k, s, many, g, r, c, large), read out of its text."""
-    lists = wanted.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("s", "many", "g", "r", "c", "large"))).alias("asked"))
-    schema = "g long, r long, c long, many int, large boolean, run binary"
+    """g, r, c, span, large and the words of each wanted run (k, s, span, g, r, c, large), read out of its text."""
+    lists = wanted.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("s", "span", "g", "r", "c", "large"))).alias("asked"))
+    schema = "g long, r long, c long, span int, large boolean, run binary"
 
     def cut(text, asked):
         """The bytes of each run asked for, by the number of its first word; a text is read a piece at a time."""
         kept, base, turn = [], 0, 0
         for piece in pieces_of(text):
             kept += piece.split()
-            while turn < len(asked) and asked[turn]["s"] + asked[turn]["many"] + words - 1 <= base + len(kept):
+            while turn < len(asked):
                 x = asked[turn]
                 a = x["s"] - base
-                yield x, b" ".join(kept[a : a + x["many"] + words - 1])
+                b = a + (x["span"] & 63) + words - 1
+                if b > len(kept):
+                    break
+                yield x, b" ".join(kept[a:b])
                 turn += 1
             drop = max(0, min((asked[turn]["s"] if turn < len(asked) else base + len(kept)) - base, len(kept)))
             kept, base = kept[drop:], base + drop
 
     def run(batches):
         for batch in batches:
-            out = [(x["g"], x["r"], x["c"], x["many"], x["large"], run) for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True) for x, run in cut(text, asked)]
+            out = [(x["g"], x["r"], x["c"], x["span"], x["large"], run) for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True) for x, run in cut(text, asked)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["g", "r", "c", "many", "large", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["g", "r", "c", "span", "large", "run"])
 
     found = small_batches(docs.join(lists, "k").select("text", "asked")).mapInArrow(lean(run), schema)
     return found.dropDuplicates(["g", "r"])  # rows equal in key and text fetch the same
@@ -267,14 +292,23 @@ def marks(docs: DataFrame, words: int = WORDS) -> DataFrame:
         raise ValueError(f"words must be {GRAM + 1} to 64")
     runs = _runs(docs, words)
     prefixes = runs.groupBy("g").agg(F.count("*").alias("n"), F.min("r").alias("least"), F.max("r").alias("most")).where("n > 1")
-    alive = runs.join(prefixes, "g").select("g", "r", "k", "s", "many", (F.col("least") < F.col("most")).alias("mixed"), (F.col("n") > GROUP).alias("large"))
+    alive = runs.join(prefixes, "g").select("g", "r", "k", "s", "span", (F.col("least") < F.col("most")).alias("mixed"), (F.col("n") > GROUP).alias("large"))
     alive = stored(alive, "suffixes")
     mixed = alive.where("mixed")
-    some = mixed.groupBy("g", "r").agg(F.count("*").alias("c"), F.min(F.struct("k", "s", "many")).alias("one"), F.first("large").alias("large"))
-    fetched = stored(_fetch(docs, some.select("one.*", "g", "r", "c", "large"), words), "runs")
-    bits = _trees(fetched.where("NOT large").drop("large"), words).unionByName(_counted(fetched.where("large").drop("large"), words))
-    told = mixed.join(bits.where("bits <> 0"), ["g", "r"]).select("k", "s", "bits")
-    plain = alive.where("NOT mixed").select("k", "s", F.expr("shiftleft(1L, many) - 1").alias("bits"))
+    classes = mixed.groupBy("g", "r").agg(F.count("*").alias("c"), F.min(F.struct("k", "s", "span")).alias("one"), F.first("large").alias("large"))
+    fetched = stored(_fetch(docs, classes.select("one.*", "g", "r", "c", "large"), words), "runs")
+    few, often = fetched.where("NOT large"), fetched.where("large")
+    # prefixes that stand often may still have few different runs
+    sizes = often.groupBy("g").agg(F.count("*").alias("runs"))
+    often = often.join(sizes, "g")
+    few = few.unionByName(often.where(F.col("runs") <= GROUP).drop("runs"))
+    own = few.select("g", F.col("g").alias("of"), "r", "c", F.col("span").bitwiseAND(63).alias("many"), F.lit(0).alias("skip"), "run")
+    bits = _trees(own, words)
+    for frame in _grown(often.where(F.col("runs") > GROUP), words):
+        bits = bits.unionByName(frame)
+    bits = bits.where("bits <> 0").groupBy("of", "r").agg(F.bit_or("bits").alias("bits")).withColumnRenamed("of", "g")
+    told = mixed.join(bits, ["g", "r"]).select("k", "s", "bits")
+    plain = alive.where("NOT mixed").select("k", "s", F.expr("shiftleft(1L, span & 63) - 1").alias("bits"))
     return told.unionByName(plain).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("s", "bits"))).alias("marks"))
 
 
