@@ -66,30 +66,31 @@ def scores(queries: DataFrame, documents: DataFrame, key: str = "doc_id") -> Dat
     return joined.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * part), 6).alias("score"))
 
 
-#: Up to so many queries are scored batch by batch of documents; more join with the postings.
-QUERY_BLOCK, DOC_BLOCK = 2048, 1000
+#: Up to so many queries, with so many tokens, are scored batch by batch of documents; more join with the postings.
+QUERY_BLOCK, QUERY_TOKENS, DOC_BLOCK = 2048, 1_000_000, 1000
 
 
 def _best_of_batches(queries: DataFrame, documents: DataFrame, top: int, key: str) -> DataFrame:
     """query_id, key, score of every batch's top documents of each query (and what ties with them).
 
-    queries: at most QUERY_BLOCK rows.  Their tokens' weights go to the workers as a matrix; a batch of documents is a
-    sparse matrix of term weights, and the product are its scores, so neither postings nor pairs are shuffled.
+    queries: at most QUERY_BLOCK rows and QUERY_TOKENS tokens.  The workers get a list of (token, query, weight), 12
+    bytes each and the vocabulary; a batch's terms meet the list by token, so neither postings nor pairs are shuffled.
     """
     _, mean_length, terms = statistics(documents)
     asked = queries.select("query_id", F.explode(L.tokens(F.col("query_text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    known = asked.join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")).collect()
-    vocabulary, ids = sorted({r["token"] for r in known}), sorted({r["query_id"] for r in known})
-    place, column = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(ids)}
-    weights, has = np.zeros((len(vocabulary), len(ids))), np.zeros((len(vocabulary), len(ids)), bool)
-    for r in known:
-        at = place[r["token"]], column[r["query_id"]]
-        weights[at], has[at] = r["w"], True
+    known = asked.join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")).toArrow()
+    ids = sorted(set(known["query_id"].to_pylist()))
+    words = pc.unique(known["token"])
+    place, column = pc.index_in(known["token"], value_set=words).to_numpy(), pc.index_in(known["query_id"], value_set=pa.array(ids, known.schema.field("query_id").type)).to_numpy()
+    order = np.argsort(place, kind="stable")
+    lists = np.searchsorted(place[order], np.arange(len(words) + 1)), column[order].astype(np.int32), known["w"].to_numpy()[order]
     id_type, key_type = queries.schema["query_id"].dataType.simpleString(), documents.schema[key].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast((pa.array(vocabulary, pa.string()), weights, has))  # of a block of queries
+    shared = documents.sparkSession.sparkContext.broadcast((words, *lists))  # bounded by a block's tokens
+    many = len(ids)
 
     def run(batches):
-        words, w, has = shared.value
+        words, begin, query, weight = shared.value
+        asking = np.diff(begin)
         for batch in (whole.slice(at, DOC_BLOCK) for whole in batches for at in range(0, whole.num_rows, DOC_BLOCK)):
             lists = batch.column(1)
             flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
@@ -101,12 +102,16 @@ def _best_of_batches(queries: DataFrame, documents: DataFrame, top: int, key: st
                 continue
             doc, token = np.divmod(cell, len(words))
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / mean_length))
-            score, shares = np.zeros((len(dl), w.shape[1])), np.zeros((len(dl), w.shape[1]), bool)
-            for some in np.array_split(np.arange(len(cell)), max(1, len(cell) * w.shape[1] // 4_000_000)):
-                if len(some):
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(doc[some]) != 0]))
-                    score[doc[some][first]] += np.add.reduceat(part[some, None] * w[token[some]], first, axis=0)
-                    shares[doc[some][first]] |= np.logical_or.reduceat(has[token[some]], first, axis=0)
+            score, shares = np.zeros(len(dl) * many), np.zeros(len(dl) * many, bool)
+            meets = np.cumsum(asking[token])
+            for some in np.array_split(np.arange(len(cell)), max(1, int(meets[-1]) // 4_000_000)):
+                size = asking[token[some]]
+                upto = np.cumsum(size)
+                at = np.repeat(begin[token[some]] - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
+                pair = np.repeat(doc[some], size) * many + query[at]
+                score += np.bincount(pair, weights=np.repeat(part[some], size) * weight[at], minlength=len(score))
+                shares[pair] = True
+            score, shares = score.reshape(len(dl), many), shares.reshape(len(dl), many)
             score = np.where(shares, np.round(score, 6), -np.inf)
             take = min(top, len(dl))
             edge = -np.partition(-score, take - 1, axis=0)[take - 1]
@@ -124,7 +129,8 @@ def ranking(queries: DataFrame, documents: DataFrame, top: int = TOP, key: str =
     Any of the first `top` documents by key that do not match fill a short list, so no more are looked at.
     """
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    block = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK and queries.schema["query_id"].dataType.simpleString() in ("bigint", "int", "string")
+    size = queries.select(F.regexp_count(F.lower("query_text"), F.lit(L.WORD + "+")).alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    block = size[0] <= QUERY_BLOCK and size[1] <= QUERY_TOKENS and queries.schema["query_id"].dataType.simpleString() in ("bigint", "int", "string")
     scored = _best_of_batches(queries, documents, top, key) if block else scores(queries, documents, key)
     found = scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
     heads = documents.select(key).distinct().orderBy(key).limit(2 * top)

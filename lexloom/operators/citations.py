@@ -7,6 +7,7 @@ Arrow batches, since articles depend on the places of matches; names, shadows an
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -58,20 +59,26 @@ def _capped(rows: DataFrame, keys: list[str], order: list[str], quota: int | Non
     return rows.withColumn("__before", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).where(F.col("__before") < quota).drop("__before")
 
 
-def article_texts(chunks: DataFrame, quota: int | None = None) -> DataFrame:
+def article_texts(chunks: DataFrame, quota: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """key, article, text: the chunks of an article in order, an empty line between.  chunks: chunk_id, corpus_id, content.
 
-    With a quota, chunks behind it are left out; who cuts texts to the quota misses nothing.
+    With a quota, chunks behind it are left out; who cuts texts to the quota misses nothing.  With asked (key, article),
+    chunks of other articles are left out before any are sorted or gathered.
     """
     suffix = L.parse_corpus_id(F.col("corpus_id"))["suffix"]
     rows = chunks.select(L.lookup_key(L.code_of(F.col("corpus_id"))).alias("key"), suffix.alias("suffix"), "chunk_id", L.shown(F.col("content")).alias("t")).where(L.is_number(F.col("suffix")) & (F.col("t") != ""))
+    rows = rows.withColumn("article", F.col("suffix").cast("int"))
+    if asked is not None:
+        rows = rows.join(asked.select("key", "article").distinct(), ["key", "article"], "left_semi")
     rows = _capped(rows, ["key", "suffix"], ["chunk_id"], quota)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "t"))), lambda x: x["t"])
-    return rows.groupBy("key", F.col("suffix").cast("int").alias("article")).agg(F.array_join(parts, "\n\n").alias("text"))
+    return rows.groupBy("key", "article").agg(F.array_join(parts, "\n\n").alias("text"))
 
 
-def act_texts(chunks: DataFrame, quota: int | None = None) -> DataFrame:
-    """key, text: all text of an act, by suffix and chunk; with a quota of characters, as article_texts has it."""
+def act_texts(chunks: DataFrame, quota: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """key, text: all text of an act, by suffix and chunk; with a quota of characters or asked acts (key), as article_texts has it."""
+    if asked is not None:
+        chunks = chunks.withColumn("key", L.lookup_key(L.code_of(F.col("corpus_id")))).join(asked.select("key").distinct(), "key", "left_semi").drop("key")
     suffix = F.coalesce(F.expr("try_cast(nullif(suffix, '') AS int)"), F.lit(0))
     rows = chunks.select(L.lookup_key(L.code_of(F.col("corpus_id"))).alias("key"), L.parse_corpus_id(F.col("corpus_id"))["suffix"].alias("suffix"), "chunk_id", L.shown(F.col("content")).alias("t")).where("t <> ''")
     rows = _capped(rows.withColumn("suffix", suffix), ["key"], ["suffix", "chunk_id"], quota)
@@ -79,10 +86,13 @@ def act_texts(chunks: DataFrame, quota: int | None = None) -> DataFrame:
     return rows.groupBy("key").agg(F.array_join(parts, "\n\n").alias("text"))
 
 
-def bulk_lookup(requests: DataFrame, texts: DataFrame) -> DataFrame:
-    """act_code, text: the asked articles (a comma-separated list) of an act, each under its heading, in the order asked."""
+def bulk_lookup(requests: DataFrame, texts: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """act_code, text: the asked articles (a comma-separated list) of an act, each under its heading, in the order asked.
+
+    texts: those of all articles, or a function that gives them for the asked ones (key, article).
+    """
     asked = requests.select("act_code", L.lookup_key(F.col("act_code")).alias("key"), F.posexplode(asked_articles(F.col("articles"))).alias("pos", "article"))
-    found = asked.join(texts, ["key", "article"])
+    found = asked.join(texts(asked) if callable(texts) else texts, ["key", "article"])
     section = F.concat(F.lit("Điều "), F.col("article").cast("string"), F.lit("\n"), F.col("text"))
     return found.groupBy("act_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", section.alias("s")))), lambda x: x["s"]), "\n\n").alias("text"))
 

@@ -124,6 +124,26 @@ def act_groups(hits: DataFrame, k: int, strategy: str = "mean", m: int = 3) -> D
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= max(1, k))
 
 
+def selected_acts(entries: DataFrame, k: int, strategy: str = "mean", m: int = 3) -> DataFrame:
+    """The k best acts of article entries, scored by all their articles: query_id, act_code, doc_score, best_score, corpus_id, articles, rank."""
+    grouped = entries.groupBy("query_id", "act_code").agg(F.collect_list("score").alias("scores"), F.max("score").alias("best_score"), F.min_by("corpus_id", F.struct((-F.col("score")).alias("s"), "article")).alias("corpus_id"), F.array_sort(F.collect_set("article")).alias("articles"))
+    scored = grouped.withColumn("doc_score", F.round(combined(F.col("scores"), strategy, m), DIGITS)).drop("scores")
+    return _ranked_acts(scored).where(F.col("rank") <= max(1, k))
+
+
+def acts_of_best_articles(entries: DataFrame, k: int) -> DataFrame:
+    """The acts of each query's k best articles, with those articles alone; an act scores as its best one."""
+    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "act_code", "article")
+    best = entries.withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(1, k))
+    grouped = best.groupBy("query_id", "act_code").agg(F.max("score").alias("doc_score"), F.max("score").alias("best_score"), F.min_by("corpus_id", "place").alias("corpus_id"), F.array_sort(F.collect_set("article")).alias("articles"))
+    return _ranked_acts(grouped)
+
+
+def _ranked_acts(acts: DataFrame) -> DataFrame:
+    place = Window.partitionBy("query_id").orderBy(F.col("doc_score").desc(), F.col("best_score").desc(), "act_code")
+    return acts.withColumn("rank", F.row_number().over(place))
+
+
 def limited_articles(found: DataFrame, most: int = -1) -> DataFrame:
     """Acts with at most `most` articles each; all for a negative number."""
     return found if most < 0 else found.withColumn("articles", F.slice("articles", 1, most))

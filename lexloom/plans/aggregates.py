@@ -79,6 +79,26 @@ def a07(spark, d):
     return rows.select("query_id", "act_code", F.array_join(F.transform("articles", lambda a: a.cast("string")), ",").alias("articles"))
 
 
+_TOP_ACTS = "ranked AS (SELECT query_id, act_code, doc_score, articles, corpus_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, best_score DESC, act_code)::INT AS rank FROM per_act) SELECT query_id, act_code, doc_score, corpus_id, array_to_string(articles[1:2], ',') AS articles, rank FROM ranked"
+
+
+def _acts_shown(rows):
+    return retrieval.limited_articles(rows, 2).select("query_id", "act_code", "doc_score", "corpus_id", F.array_join(F.transform("articles", lambda a: a.cast("string")), ",").alias("articles"), "rank")
+
+
+def _top_acts(strategy):
+    return lambda spark, d: _acts_shown(retrieval.selected_acts(retrieval.articles(chunk_hits(spark, d, 30)), 3, strategy))
+
+
+for _name, _score in (("mean", "list_avg(list(score))"), ("topm_mean", S.topm("list(score)", 3))):
+    query(f"a07_top_acts_{_name}", f"WITH {S.entries(30)}, per_act AS (SELECT query_id, act_code, round({_score}, 9) AS doc_score, max(score) AS best_score, arg_min(corpus_id, {{'s': -score, 'a': article}}) AS corpus_id, list_sort(list(DISTINCT article)) AS articles FROM entries GROUP BY 1, 2), {_TOP_ACTS} WHERE rank <= 3")(_top_acts(_name))
+
+
+@query("a07_acts_of_best_articles", f"WITH {S.entries(30)}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, act_code, article) AS place FROM entries), per_act AS (SELECT query_id, act_code, max(score) AS doc_score, max(score) AS best_score, arg_min(corpus_id, place) AS corpus_id, list_sort(list(DISTINCT article)) AS articles FROM best WHERE place <= 6 GROUP BY 1, 2), {_TOP_ACTS}")
+def a07b(spark, d):
+    return _acts_shown(retrieval.acts_of_best_articles(retrieval.articles(chunk_hits(spark, d, 30)), 6))
+
+
 def threshold_sql(source: str, start: float, most: int) -> str:
     n = lambda t: f"len(list_filter(scores, lambda x: x >= {t}))"
     steps = [f"t0 AS (SELECT query_id, list(score) AS scores, {start}::DOUBLE AS t, false AS done, false AS stop FROM {source} GROUP BY 1)"]
@@ -240,9 +260,9 @@ def a23(spark, d):
     return fx(spark, d, "segments").agg(F.countDistinct("chunk_id").alias("chunks"), F.count("*").alias("segments"), F.max("part").alias("most"))
 
 
-@query("a24_bm25_terms", f"""WITH posted AS (SELECT unnest(list_distinct({S.tokens('text')})) AS token FROM documents), whole AS (SELECT count(*) AS n FROM documents WHERE len({S.tokens('text')}) > 0),
-raw AS (SELECT token, count(*) AS df, ln((SELECT n FROM whole) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posted GROUP BY 1)
-SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""")
+@query("a24_bm25_terms", f"""WITH posted AS MATERIALIZED (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({S.tokens('text')}) AS token FROM documents)),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM posted), raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT token, count(*) AS df FROM posted GROUP BY 1) CROSS JOIN n)
+SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raw""")
 def a24(spark, d):
     documents = bm25.tokenised(base(spark, d, "documents").select("doc_id", "text"))
     return bm25.statistics(documents)[2].select("token", "df", F.round("idf", 6).alias("idf"))

@@ -78,11 +78,6 @@ def s14(spark, d):
     return files.page_record(fx(spark, d, "rows"), "page_id", "html")
 
 
-@query("s13_question_sets", " UNION ALL ".join(f"SELECT {S.lit(split)} AS split, {S.lit(c)} AS context, {S.lit(q)} AS question, {S.lit(a)} AS answer, {at} AS answer_start FROM range({n})" for split, (n, c, q, a, at) in files.PLACEHOLDERS.items()))
-def s13(spark, d):
-    return files.question_set(spark)
-
-
 @query("s14_page_titles", "SELECT page_id, " + S.strip("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + " AS title FROM pages")
 def s14b(spark, d):
     return own(base(spark, d, "pages"), "page_id", title=L.strip(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)))
@@ -247,12 +242,13 @@ def p20(spark, d):
 _HEAD = "CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang || ' – ' || source || chr(10) END || 'Điều ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '. Tên' END"
 
 
-@query("p21_headings", f"SELECT doc_id, {_HEAD} || chr(10) || 'x' AS article, {_HEAD} || ' - Khoản 2. x' AS clause, {_HEAD} || ' - Khoản 2 - Điểm a) x' AS point FROM documents")
+@query("p21_headings", f"SELECT doc_id, md5(coalesce({_HEAD} || chr(10) || text, '')) AS article, md5(coalesce({_HEAD} || ' - Khoản 2. ' || text, '')) AS clause, md5(coalesce({_HEAD} || ' - Khoản 2 - Điểm a) ' || text, '')) AS point FROM documents")
 def p21(spark, d):
     rows = base(spark, d, "documents")
     some = lambda c: F.when(C("doc_id") % 4 == 0, None).otherwise(C(c))
     head = (some("lang"), some("source"), C("doc_id").cast("string"), F.when(C("doc_id") % 3 == 0, "").otherwise("Tên"))
-    return own(rows, "doc_id", article=L.article_text(*head, F.lit("x")), clause=L.clause_text(*head, F.lit("2"), F.lit("x")), point=L.point_text(*head, F.lit("2"), F.lit("a"), F.lit("x")))
+    made = {"article": L.article_text(*head, C("text")), "clause": L.clause_text(*head, F.lit("2"), C("text")), "point": L.point_text(*head, F.lit("2"), F.lit("a"), C("text"))}
+    return own(rows, "doc_id", **{n: F.md5(F.coalesce(c, F.lit(""))) for n, c in made.items()})
 
 
 @query("p22_formatted", f"""WITH {S.found(5)}, r AS (SELECT query_id, rank, score, corpus_id, content, {S.parts_list('corpus_id')} FROM found JOIN fx_chunks USING (chunk_id))
@@ -262,9 +258,11 @@ def p22(spark, d):
     return retrieval.formatted(found.withColumn("score", F.round("score", 1)))
 
 
-@query("p23_masked", "SELECT doc_id, replace(text, source, '***') AS text FROM (SELECT doc_id, source, 'key ' || source || ' of ' || lang AS text FROM documents)")
+@query("p23_masked", "SELECT doc_id, md5(replace(text, secret, repeat('*', 3))) AS text FROM (SELECT doc_id, text, regexp_extract(text, '[^ ]+', 0) AS secret FROM documents WHERE regexp_matches(text, '[^ ]'))")
 def p23(spark, d):
-    return own(base(spark, d, "documents"), "doc_id", text=L.masked(F.concat(F.lit("key "), C("source"), F.lit(" of "), C("lang")), C("source")))
+    """Each text without its first word, wherever that stands."""
+    rows = base(spark, d, "documents").withColumn("secret", F.regexp_extract("text", "[^ ]+", 0)).where("secret <> ''")
+    return own(rows, "doc_id", text=F.md5(L.masked(C("text"), C("secret"))))
 
 
 @query("p24_captions", f"""WITH {REGISTRY_SQL}, c AS (SELECT chunk_id, {S.act_code(S.code_of('corpus_id'))} AS code, {S.parts('corpus_id')['suffix']} AS suffix FROM fx_chunks)

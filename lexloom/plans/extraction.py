@@ -124,7 +124,7 @@ def x13b(spark, d):
 def x14(spark, d):
     chunks = fx(spark, d, "chunks")
     asked = chunks.select(L.code_of(C("corpus_id")).alias("act_code")).distinct().withColumn("articles", F.lit("3, 1,x,2"))
-    return citations.bulk_lookup(asked, citations.article_texts(chunks))
+    return citations.bulk_lookup(asked, lambda wanted: citations.article_texts(chunks, asked=wanted))
 
 
 # ---------------------------------------------------------------- structure

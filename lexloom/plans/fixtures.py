@@ -17,7 +17,7 @@ FX = {
  CASE WHEN doc_id % 4 = 1 THEN concat(chr(9), ' ', replace(text, ', ', ',　'), chr(10), ' ') ELSE text END AS content
 FROM (SELECT *, cast(floor(doc_id / 8.0) AS int) AS a FROM {documents}) d""",
     "segments": "SELECT vec_id AS faiss_id, cast(floor(vec_id / 3.0) AS bigint) AS chunk_id, cast(vec_id % 3 + 1 AS int) AS part, embedding, label FROM {embeddings}",
-    "query_vecs": "SELECT vec_id AS query_id, embedding AS q, label FROM {embeddings} WHERE vec_id % 50 = 7",
+    "query_vecs": "SELECT vec_id AS query_id, embedding AS q, label FROM {embeddings} WHERE vec_id % 20 = 0",
     "qrels": "SELECT b.item_id AS query_id, d.doc_id AS corpus_doc FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)",
     "queries": "SELECT item_id AS query_id, text AS query_text, item_id AS pos FROM {benchmark} UNION ALL SELECT item_id, concat(text, ' dup'), item_id + 100000 FROM {benchmark} WHERE item_id % 3 = 0",
     "citing": """SELECT doc_id AS chunk_id, concat(

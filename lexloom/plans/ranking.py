@@ -132,7 +132,7 @@ def contexts(spark, d):
     ranks = retrieval.acts(entries).select("query_id", "act_code", C("rank").alias("act_rank"))
     place = F.row_number().over(Window.partitionBy("query_id", "act_code").orderBy(C("score").desc(), "article"))
     rows = entries.join(ranks, ["query_id", "act_code"]).withColumn("article_rank", place).withColumn("key", L.lookup_key(C("act_code")))
-    texts = citations.article_texts(fx(spark, d, "chunks"))
+    texts = citations.article_texts(fx(spark, d, "chunks"), asked=rows)
     pieces = rows.join(texts, ["key", "article"]).select("query_id", "act_rank", F.concat(F.lit("Văn bản: "), "act_code").alias("header"), "article_rank", "article", "text")
     return retrieval.contexts(pieces, 4000, 20_000)
 
@@ -147,9 +147,15 @@ def llm1(spark, d):
     return contexts(spark, d).select("query_id", retrieval.prompt(F.concat(F.lit("q"), C("query_id").cast("string")), C("context")).alias("prompt"))
 
 
-@query("f06_above_threshold", f"WITH {S.entries(30)} SELECT query_id, act_code, article FROM entries WHERE score >= 0.2")
+_SIMILAR = "likeness AS (SELECT query_id, act_code, article, round(greatest(0.0, least((score + 1) / 2, 1.0)), 9) AS score FROM entries)"
+
+
+@query("f06_above_threshold", f"WITH {S.entries(30)}, {_SIMILAR}, {aggregates.threshold_sql('likeness', *retrieval.LEVELS['moderate'])} SELECT s.query_id, s.act_code, s.article FROM likeness s JOIN (SELECT DISTINCT query_id, threshold_used FROM passed) p ON p.query_id = s.query_id AND s.score >= p.threshold_used")
 def f06(spark, d):
-    return retrieval.articles(aggregates.chunk_hits(spark, d, 30)).where("score >= 0.2").select("query_id", "act_code", "article")
+    """Articles that reach the threshold at which the query's own search for it ended."""
+    rows = retrieval.articles(aggregates.chunk_hits(spark, d, 30)).withColumn("score", F.round(L.similarity(C("score")), 9))
+    used = retrieval.adaptive_threshold(rows).select("query_id", "threshold_used").distinct()
+    return rows.join(used, "query_id").where("score >= threshold_used").select("query_id", "act_code", "article")
 
 
 @query("api1_sources", "SELECT chunk_id, corpus_id, content FROM fx_chunks WHERE chunk_id IN (SELECT item_id FROM benchmark)")

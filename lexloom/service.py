@@ -80,7 +80,8 @@ class Service:
         asked = hits.select("chunk_id").distinct()
         parts = segments.chunk_segments(self.chunks.join(asked, "chunk_id", "left_semi"), retrieval.SEGMENTS)
         rows = retrieval.article_segments(rows, parts, self.hit_parts(hits))
-        rows = rows.withColumn("key", L.lookup_key(F.col("act_code"))).join(citations.article_texts(self.chunks, retrieval.ACT_CHARS), ["key", "article"], "left")
+        rows = rows.withColumn("key", L.lookup_key(F.col("act_code")))
+        rows = rows.join(citations.article_texts(self.chunks, retrieval.ACT_CHARS, rows), ["key", "article"], "left")
         whole = F.when(F.size("segments") > 0, F.col("segments")).otherwise(F.array(F.coalesce("text", F.lit(""))))
         return rows.withColumns({"segments": whole, "header": F.concat(F.lit("Văn bản: "), "act_code")})
 
@@ -108,8 +109,10 @@ class Service:
         acts = found.groupBy("query_id", "act_code_norm").agg(F.min("first").alias("first"), F.collect_set("article").alias("articles"))
         acts = acts.withColumn("act_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "act_code_norm"))).withColumn("key", L.lookup_key(F.col("act_code_norm")))
         acts = acts.select("query_id", "act_rank", "key", F.col("act_code_norm").alias("act_code"), "articles")
-        some = acts.withColumn("article", F.explode("articles")).join(citations.article_texts(self.chunks, retrieval.CITED_CHARS), ["key", "article"]).select("query_id", "act_rank", "act_code", "article", "text")
-        rest = acts.join(some.select("query_id", "act_rank").distinct(), ["query_id", "act_rank"], "left_anti").join(citations.act_texts(self.chunks, retrieval.CITED_CHARS), "key")
+        each = acts.withColumn("article", F.explode("articles"))
+        some = each.join(citations.article_texts(self.chunks, retrieval.CITED_CHARS, each), ["key", "article"]).select("query_id", "act_rank", "act_code", "article", "text")
+        rest = acts.join(some.select("query_id", "act_rank").distinct(), ["query_id", "act_rank"], "left_anti")
+        rest = rest.join(citations.act_texts(self.chunks, retrieval.CITED_CHARS, rest), "key")
         return some.unionByName(rest.select("query_id", "act_rank", "act_code", F.lit(None).cast("int").alias("article"), "text"))
 
     def source(self, chunk_ids: DataFrame) -> DataFrame:
@@ -118,8 +121,9 @@ class Service:
 
     def citation(self, requests: DataFrame) -> DataFrame:
         """act_code, text of requested articles (act_code, articles: a comma-separated list); all of an act for a null list."""
-        some = citations.bulk_lookup(requests.where("articles IS NOT NULL"), citations.article_texts(self.chunks))
-        whole = requests.where("articles IS NULL").select("act_code", L.lookup_key(F.col("act_code")).alias("key")).join(citations.act_texts(self.chunks), "key").select("act_code", "text")
+        some = citations.bulk_lookup(requests.where("articles IS NOT NULL"), lambda asked: citations.article_texts(self.chunks, asked=asked))
+        whole = requests.where("articles IS NULL").select("act_code", L.lookup_key(F.col("act_code")).alias("key"))
+        whole = whole.join(citations.act_texts(self.chunks, asked=whole), "key").select("act_code", "text")
         return some.unionByName(whole)
 
     def captions(self, codes: DataFrame) -> DataFrame:
