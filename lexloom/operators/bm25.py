@@ -133,10 +133,16 @@ def ranking(queries: DataFrame, documents: DataFrame, top: int = TOP, key: str =
     block = size[0] <= QUERY_BLOCK and size[1] <= QUERY_TOKENS and queries.schema["query_id"].dataType.simpleString() in ("bigint", "int", "string")
     scored = _best_of_batches(queries, documents, top, key) if block else scores(queries, documents, key)
     found = scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    return filled(found.drop("rank"), queries, documents, top, key)
+
+
+def filled(found: DataFrame, queries: DataFrame, documents: DataFrame, top: int, key: str) -> DataFrame:
+    """query_id, key, score, rank of what was found (query_id, key, score), then documents with score 0 up to `top`."""
+    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
     heads = documents.select(key).distinct().orderBy(key).limit(2 * top)
     filler = queries.select("query_id").distinct().crossJoin(F.broadcast(heads)).withColumn("score", F.lit(0.0))  # heads has at most 2 * top rows
     # what was found outdoes its own filler, so the scores are worked out for one branch of the plan alone
-    both = found.drop("rank").withColumn("own", F.lit(1)).unionByName(filler.withColumn("own", F.lit(0)))
+    both = found.select("query_id", key, "score").withColumn("own", F.lit(1)).unionByName(filler.withColumn("own", F.lit(0)))
     both = both.groupBy("query_id", key).agg(F.max(F.struct("own", "score"))["score"].alias("score"))
     return both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
 

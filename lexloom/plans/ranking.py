@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
-from lexloom.operators import encoding, retrieval, tables, vectors
+from lexloom.operators import bm25_index, encoding, retrieval, tables, vectors
 from lexloom.plans import aggregates, joins
 from lexloom.plans import sql as S
 from lexloom.plans.fixtures import base, fx
@@ -88,6 +88,17 @@ def t03(spark, d):
     return retrieval.retrieve(fx(spark, d, "query_vecs"), fx(spark, d, "segments"), 20)
 
 
+@query("t02_bm25_stored", f"WITH {S.BM25} SELECT query_id, doc_id, score, rank FROM bm")
+def t02s(spark, d):
+    """The same ranking out of an index that is written first."""
+    from lexloom.session import scratch
+
+    path = scratch(spark, "bm25")
+    bm25_index.build(base(spark, d, "documents"), path)
+    asked = base(spark, d, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query_text"))
+    return bm25_index.ranking(spark, path, asked).withColumnRenamed("key", "doc_id")
+
+
 @query("t04_batch_top_k", f"WITH s AS (SELECT query_id, faiss_id, {S.dot('q', 'embedding')} AS score FROM fx_query_vecs CROSS JOIN fx_segments) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, faiss_id) AS rank FROM s) WHERE rank <= 100")
 def t04(spark, d):
     return joins.vector_hits(spark, d, 100).select("query_id", "faiss_id", "score", "rank")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
-from lexloom.operators import bm25, citations, encoding, evaluation, retrieval, segments, structure, tables, vectors, wordseg
+from lexloom.operators import bm25, bm25_index, citations, encoding, evaluation, retrieval, segments, structure, tables, vectors, wordseg
 from lexloom.sources import files
 from lexloom.streaming import rate_limit
 
@@ -417,3 +417,39 @@ def test_words_are_learnt_and_joined(spark):
     plain = {r["id"]: r["text"] for r in wordseg.cleaned(sample, lexicon, stopwords=["nghị_định", "của"], keep_underscore=False).collect()}
     assert "Nghị" not in plain[1] and "của" not in plain[1] and "_" not in plain[1] and "cơ quan nhà nước" in plain[1]
     assert wordseg.learnt(df.limit(0)).words == []
+
+
+# ---------------------------------------------------------------- stored BM25 index
+
+
+def test_blocks_below_the_best_are_skipped():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 3), (200, 5), (5000, 10)):
+        blocks = -(-n // bm25_index.BLOCK)
+        asked, whole, shares = [], np.zeros(n), np.zeros(n, bool)
+        for weight, chance in ((0.2, 0.9), (3.0, 0.1), (7.0, 0.004), (-0.1, 0.5)):
+            places = np.flatnonzero(rng.random(n) < chance)
+            impacts = rng.random(len(places)) ** 6
+            own = {}
+            for b in np.unique(places // bm25_index.BLOCK):
+                some = places // bm25_index.BLOCK == b
+                own[int(b)] = places[some], impacts[some], impacts[some].max()
+            asked.append((weight, own))
+            whole[places] += weight * impacts
+            shares[places] = True
+        places, scores, scored = bm25_index.best_blocks(asked, blocks, top)
+        want = np.round(whole[shares], 6)
+        edge = np.sort(want)[-top] if len(want) >= top else -np.inf
+        assert sorted(places) == [i for i in np.flatnonzero(shares) if round(whole[i], 6) >= edge]
+        assert np.allclose(scores, np.round(whole[places], 6)) and (n < 1000 or scored < blocks)
+
+
+def test_stored_index_ranks_as_the_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25_index, "SHARD", 40)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(90001, None), (90002, ""), (90003, "...")], "doc_id long, text string"))
+    queries = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS query_id", "text AS query_text").unionByName(spark.createDataFrame([(900, "zzzunknown"), (901, None)], "query_id long, query_text string"))
+    path = f"file://{tmp_path}/index"
+    bm25_index.build(docs, path)
+    got = bm25_index.ranking(spark, path, queries, 20).selectExpr("query_id", "key AS doc_id", "score", "rank").collect()
+    assert sorted(got) == sorted(bm25.ranking(queries, bm25.tokenised(docs), 20).select("query_id", "doc_id", "score", "rank").collect())
+    assert spark.read.parquet(f"{path}/documents").select("shard").distinct().count() > 3
