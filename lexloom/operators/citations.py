@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import citation_patterns as P
 from lexloom.functions import legal_text as L
+from lexloom.operators import names as name_index
 from lexloom.schemas import CITATIONS
 
 _EDGE = r"(?<![\p{L}\p{N}_])"
@@ -132,8 +133,9 @@ def name_matches(mentions: DataFrame, acts: DataFrame) -> DataFrame:
 
     A name that holds the mention's own words, or is held by them, scores its length, also where the one begins or
     ends inside a word of the other; else the shared words count.  A year that differs from the mention's costs one.
-    Ties go to the later year, then to the smaller code.  Only acts of the mention's kind meet that share a word or
-    hold the other's first characters, so keys are joined, not all pairs.
+    Ties go to the later year, then to the smaller code.  A registry of a checked size goes to the workers as one index
+    of its names; a larger one is joined by keys: acts of the mention's kind meet it that share a word or hold the
+    other's first characters.
     """
     kind = F.coalesce(*[F.when(F.col("w").rlike(rf"\b{k}\b"), k) for k in P.KINDS])
     own = mentions.select("mention_id", "year_hint", L.name_form(F.col("window")).alias("w"))
@@ -142,6 +144,9 @@ def name_matches(mentions: DataFrame, acts: DataFrame) -> DataFrame:
     names = acts.select("act_code", "year", L.name_form(F.coalesce(F.nullif(F.col("act_name"), F.lit("")), "official_title")).alias("name")).where("name <> ''")
     named_kind = F.coalesce(*[F.when(F.col("name").startswith(k), k) for k in P.KINDS], F.lit("other"))
     names = names.withColumn("name_kind", named_kind)
+    rows = name_index.held(names)
+    if rows is not None:
+        return name_index.resolved(own, rows)
     words = lambda c: F.array_distinct(F.split(c, " "))
     # keys: words; of one text the first characters, of the other all runs as long, once each way round
     word = lambda c: F.transform(words(c), lambda x: F.concat(F.lit("w"), x))

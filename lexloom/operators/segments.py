@@ -111,25 +111,29 @@ def _last(places: list[int], low: int, high: int) -> int:
     return places[i - 1] - low if i and places[i - 1] >= low else -1
 
 
-def _pieces(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of each paragraph, from the places of all its sentence and line ends.
+def _spans(paragraph: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Where the pieces of a paragraph begin and end, from the places of all its sentence and line ends.
 
     A piece is cut behind a sentence end within size + 1 characters: kind by kind, the last end of a kind counts if
     it begins behind the cut so far.  Without one, behind the last line end, else after size characters.
     """
-    out = []
-    for paragraph in re.split(r"\n\n+", text.strip()):
-        ends = [[m.start() for m in re.finditer(re.escape(e), paragraph)] for e in _ENDS]
-        lines = [m.start() for m in re.finditer("\n", paragraph)]
-        begin, whole = 0, len(paragraph)
-        while begin < whole:
-            upto = min(begin + size + 1, whole)
-            cut = reduce(lambda far, at: at + 2 if at > far else far, (_last(places, begin, upto - 1) for places in ends), -1)  # noqa: B023
-            line = _last(lines, begin, upto)
-            end = begin + (cut if cut > 0 else line + 1 if line > 0 else min(size, upto - begin))
-            out.append(paragraph[begin:end].strip())
-            begin = whole if end >= whole else max(end - overlap, begin + 1)
-    return [p for p in out if len(p.split()) >= 20]
+    ends = [[m.start() for m in re.finditer(re.escape(e), paragraph)] for e in _ENDS]
+    lines = [m.start() for m in re.finditer("\n", paragraph)]
+    out, begin, whole = [], 0, len(paragraph)
+    while begin < whole:
+        upto = min(begin + size + 1, whole)
+        cut = reduce(lambda far, at: at + 2 if at > far else far, (_last(places, begin, upto - 1) for places in ends), -1)  # noqa: B023
+        line = _last(lines, begin, upto)
+        end = begin + (cut if cut > 0 else line + 1 if line > 0 else min(size, upto - begin))
+        out.append((begin, end))
+        begin = whole if end >= whole else max(end - overlap, begin + 1)
+    return out
+
+
+def _pieces(text: str, size: int, overlap: int) -> list[str]:
+    """Pieces of twenty words or more of each paragraph."""
+    pieces = (p[a:b].strip() for p in re.split(r"\n\n+", text.strip()) for a, b in _spans(p, size, overlap))
+    return [p for p in pieces if len(p.split()) >= 20]
 
 
 def split_pieces(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 128) -> DataFrame:

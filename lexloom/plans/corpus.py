@@ -191,10 +191,12 @@ def p15(spark, d):
     return own(base(spark, d, "documents").withColumn("t", L.tokens(C("text"))), "doc_id", n=F.size("t"), n_distinct=F.size(F.array_distinct("t")), tokens=F.array_join("t", " "))
 
 
-@query("p16_repaired_text", "SELECT doc_id, nfc_normalize(text) AS text, nfc_normalize(text) <> text OR (doc_id % 2 = 0 AND regexp_matches(text, '[^\\x00-\\x7f]')) AS changed FROM documents")
+@query("p16_repaired_text", "SELECT doc_id, nfc_normalize(t) AS text, nfc_normalize(t) <> t OR (doc_id % 4 <> 3 AND regexp_matches(text, '[^\\x00-\\x7f]')) AS changed FROM (SELECT doc_id, text, CASE WHEN doc_id % 4 = 1 THEN '日本 ' || text || ' 日本' ELSE text END AS t FROM documents)")
 def p16(spark, d):
-    broken = base(spark, d, "documents").select("doc_id", F.when(C("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(C("text")).alias("text"))
-    return repair.repaired(broken, "text")
+    """Texts that were wrongly read as a whole, in part (between signs that no one-byte encoding has), or not at all."""
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    parted = F.concat(F.lit("日本 "), broken, F.lit(" 日本"))
+    return repair.repaired(base(spark, d, "documents").select("doc_id", F.when(C("doc_id") % 4 == 1, parted).when(C("doc_id") % 4 == 3, C("text")).otherwise(broken).alias("text")), "text")
 
 
 @query("p17_shown", f"SELECT doc_id, {S.shown('replace(text, chr(32), chr(95))')} AS text FROM documents")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,9 +12,32 @@ from lexloom.functions import legal_text as L
 from lexloom.operators import tables
 
 
+def read_lines(spark: SparkSession, path: str, to: str = "pos") -> DataFrame:
+    """file, line (from 1), value, and a number that is dense over all files in the order of their names.
+
+    Lines are numbered inside each part of a file that a task reads; the parts' counts are added up in the order of
+    where they begin, so that no task meets a whole file, and only a row a part meets in one.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"), "value")
+    inside = F.row_number().over(Window.partitionBy("file", "begin").orderBy("at"))
+    counts = rows.groupBy("file", "begin").agg(F.count("*").alias("n"))
+    before = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("file", "begin", before("file").alias("in_file"), before(F.lit(0)).alias("in_all"))
+    numbered = rows.withColumn("i", inside).join(counts, ["file", "begin"])
+    return numbered.select("file", (F.col("in_file") + F.col("i")).alias("line"), "value", (F.col("in_all") + F.col("i") - 1).alias(to))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
-    """Rows of a JSON Lines file; malformed lines are skipped, or end the run where strict."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """Rows of a JSON Lines file; malformed lines are skipped, or end the run with their file and line where strict."""
+    if not strict:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    bad = "malformed line"
+    lines = read_lines(spark, path).where(L.strip(F.col("value")) != "")
+    whole = T.StructType([*schema, T.StructField(bad, T.StringType())])
+    rows = lines.select("file", "line", F.from_json("value", whole, {"columnNameOfCorruptRecord": bad}).alias("r"))
+    told = F.raise_error(F.concat(F.lit("malformed JSON in "), "file", F.lit(", line "), F.col("line").cast("string")))
+    checked = F.when(F.col("r").isNull() | F.col(f"r.`{bad}`").isNotNull(), told).otherwise(F.lit(True))
+    return rows.where(checked).select(*[F.col(f"r.`{c}`") for c in schema.names])
 
 
 def read_jsonl_repaired(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -32,9 +55,10 @@ def with_position(df: DataFrame, to: str = "pos") -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, key: str = "_id", text: str = "text") -> DataFrame:
-    """Raw corpus as the chunk table."""
+    """Raw corpus as the chunk table, numbered in the order of files and lines; malformed lines are skipped."""
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(text, T.StringType())])
-    return tables.chunk_table(with_position(read_jsonl(spark, path, schema)), "pos", key, text)
+    rows = read_lines(spark, path).select("pos", F.from_json("value", schema).alias("r")).select("pos", "r.*")
+    return tables.chunk_table(rows, "pos", key, text)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import statistics
+import unicodedata
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
-from lexloom.operators import bm25, bm25_index, citations, encoding, evaluation, retrieval, segments, structure, tables, vectors, wordseg
+from lexloom.operators import bm25, bm25_index, citations, encoding, evaluation, names, retrieval, segments, structure, tables, vectors, wordseg
 from lexloom.sources import files
 from lexloom.streaming import rate_limit
 
@@ -453,3 +454,59 @@ def test_stored_index_ranks_as_the_scan(spark, tmp_path, monkeypatch):
     got = bm25_index.ranking(spark, path, queries, 20).selectExpr("query_id", "key AS doc_id", "score", "rank").collect()
     assert sorted(got) == sorted(bm25.ranking(queries, bm25.tokenised(docs), 20).select("query_id", "doc_id", "score", "rank").collect())
     assert spark.read.parquet(f"{path}/documents").select("shard").distinct().count() > 3
+
+
+# ---------------------------------------------------------------- repairs in places, lines, names
+
+
+def test_repair_in_places():
+    wrong = lambda t, e="latin-1": t.encode().decode(e, "replace")
+    assert _repair("日本 " + wrong("Nghị định số") + " 日本") == "日本 Nghị định số 日本"
+    assert _repair("Điều 1: " + wrong("café – crème", "cp1252") + " Điều 2") == "Điều 1: café – crème Điều 2"
+    assert _repair("日 " + wrong(wrong("é"))) == "日 é"
+    assert _repair("Điều " + wrong("Привет мир")) == "Điều Привет мир"
+    for clean in ("«CAFÉ» 日本", "Điều Â. À la carte", "naïve – Ô… 日", "ÉÈÊ ‘À’ Điều", "", "日本 " * 50):
+        assert _repair(clean) == clean
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aé ñüÂÃ»–ệđ日", max_size=12), st.text(alphabet="ab éèñüçäößệđ", max_size=12))
+def test_repair_leaves_what_stands_around(clean, text):
+    assert _repair(f"日{clean}日") == unicodedata.normalize("NFC", f"日{clean}日") or any(x in clean for x in "ÃÂ")
+    assert _repair(f"日 {text.encode().decode('latin-1')} 日") == unicodedata.normalize("NFC", f"日 {text} 日")
+
+
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    for name, n in (("b.jsonl", 500), ("a.jsonl", 300)):
+        (tmp_path / name).write_text("".join(json.dumps({"_id": f"{name}{i}", "text": "x" * (i % 50)}) + "\n" + "\n" * (i % 3 == 0) for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = files.read_lines(spark, str(tmp_path)).orderBy("pos").collect()
+        assert len({r["pos"] for r in rows}) == len(rows) == rows[-1]["pos"] + 1
+        for name in ("a.jsonl", "b.jsonl"):
+            lines = (tmp_path / name).read_text().splitlines()
+            assert [(r["line"], r["value"]) for r in rows if r["file"].endswith(name)] == list(enumerate(lines, 1))
+        chunks = files.read_corpus(spark, str(tmp_path)).orderBy("chunk_id").collect()
+        want = [f"{name}{i}" for name, n in (("a.jsonl", 300), ("b.jsonl", 500)) for i in range(n) if i % 50]
+        assert [(c["chunk_id"], c["corpus_id"]) for c in chunks] == list(enumerate(want))
+        assert files.read_jsonl(spark, str(tmp_path), schemas.RAW_CORPUS, strict=True).count() == 800
+        with open(tmp_path / "a.jsonl", "a") as f:
+            f.write('{"_id": "z", \n')
+        with pytest.raises(Exception, match=r"malformed JSON in file:.*a\.jsonl, line 401"):
+            files.read_jsonl(spark, str(tmp_path), schemas.RAW_CORPUS, strict=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_index_of_names_finds_what_the_join_finds(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["luật", "bộ luật", "nghị định", "dân sự", "hình", "sự", "đất đai", "đất", "a", "thuế", "mới"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    acts = spark.createDataFrame([(f"c{i}", text(rng.randrange(1, 5)), "", rng.choice([None, 2000, 2001])) for i in range(150)] + [("x", None, None, 1)], "act_code string, act_name string, official_title string, year int")
+    mentions = spark.createDataFrame([(i, text(rng.randrange(1, 5)) + rng.choice(["", " x", "mới"]), rng.choice([None, 2000, 2001])) for i in range(300)] + [(900, None, None), (901, "", 2000), (902, "zzz", None)], "mention_id int, window string, year_hint int")
+    got = sorted(citations.name_matches(mentions, acts).collect())
+    monkeypatch.setattr(names, "NAMES", 10)
+    assert len(got) > 200 and got == sorted(citations.name_matches(mentions, acts).collect())
+    monkeypatch.undo()
+    assert citations.name_matches(mentions, acts.limit(0)).count() == 0
