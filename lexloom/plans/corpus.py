@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
 from lexloom.functions import repair
-from lexloom.operators import retrieval, segments, tables, wordseg
+from lexloom.operators import calls, retrieval, segments, tables, wordseg
 from lexloom.plans import sql as S
 from lexloom.plans.fixtures import base, fx
 from lexloom.plans.named import query
@@ -83,6 +83,31 @@ def s14b(spark, d):
     return own(base(spark, d, "pages"), "page_id", title=L.strip(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)))
 
 
+_TITLE = S.strip("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")
+
+
+@query("s15_fetched_pages", f"SELECT page_id, CASE WHEN page_id % 31 <> 30 THEN {_TITLE} END AS title, (CASE WHEN page_id % 31 = 30 THEN 4 WHEN page_id % 7 = 3 THEN 3 ELSE 1 END)::BIGINT AS tries FROM pages")
+def s15f(spark, d):
+    """Pages served through calls that may fail: what failed in a first run is called again in a second."""
+    from lexloom.session import scratch
+
+    pages = base(spark, d, "pages").select("page_id", F.concat_ws("|", "page_id", "html").alias("served"))
+
+    def site(closed):
+        def fetch(served):
+            number, _, html = served.partition("|")
+            if int(number) % 31 == 30 or closed and int(number) % 7 == 3:
+                raise ConnectionError("closed")
+            return html
+
+        return fetch
+
+    path, policy = scratch(spark, "fetched"), calls.Policy(tries=2, wait=0.0, slices=2)
+    calls.run_pending(pages, path, site(True), "page_id", "served", policy)
+    found = calls.run_pending(pages, path, site(False), "page_id", "served", policy)
+    return found.select("page_id", L.strip(F.regexp_extract("value", "(?is)<title>(.*?)</title>", 1)).alias("title"), "tries")
+
+
 _SLUG = S.mapped("regexp_extract(upper(split_part(c, '/', -1)), '^([A-Z]+)', 1)", {k: v for k, v in L.SLUGS.items() if k.isascii()}, "NULL")
 
 

@@ -161,6 +161,19 @@ def llm1(spark, d):
 _SIMILAR = "likeness AS (SELECT query_id, act_code, article, round(greatest(0.0, least((score + 1) / 2, 1.0)), 9) AS score FROM entries)"
 
 
+@query("llm1_answers", f"WITH {_CONTEXT} SELECT query_id, upper(md5({S.lit(retrieval.INSTRUCTION)} || 'Ngữ cảnh:' || chr(10) || context || chr(10) || chr(10) || 'Câu hỏi: q' || query_id)) AS answer, 1::BIGINT AS tries FROM ctx")
+def llm1a(spark, d):
+    """Prompts that a plugged generator answers, here with a digest of what it was asked."""
+    import hashlib
+
+    from lexloom.operators import calls
+    from lexloom.session import scratch
+
+    generate = lambda prompt: hashlib.md5(prompt.encode()).hexdigest().upper()
+    found = calls.run_pending(tables.written(llm1(spark, d), "prompts"), scratch(spark, "answers"), generate, "query_id", "prompt", calls.Policy(slices=2))
+    return found.select("query_id", C("value").alias("answer"), "tries")
+
+
 @query("f06_above_threshold", f"WITH {S.entries(30)}, {_SIMILAR}, {aggregates.threshold_sql('likeness', *retrieval.LEVELS['moderate'])} SELECT s.query_id, s.act_code, s.article FROM likeness s JOIN (SELECT DISTINCT query_id, threshold_used FROM passed) p ON p.query_id = s.query_id AND s.score >= p.threshold_used")
 def f06(spark, d):
     """Articles that reach the threshold at which the query's own search for it ended."""

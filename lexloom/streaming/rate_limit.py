@@ -76,3 +76,53 @@ def limit(requests: DataFrame, key: str = "user_id", ts: str = "ts", tie: str =
 
     watched = requests.select(key, tie, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, late)
     return watched.groupBy(key).applyInPandasWithState(run, kinds, "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: How often idle clients are swept, in seconds of the clock.
+SWEEP_SECONDS = 60.0
+
+
+def swept_limit(requests: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id", window: float = WINDOW_SECONDS, most: int = MOST, sweep: float = SWEEP_SECONDS) -> DataFrame:
+    """The same over a stream by the clock: every `sweep` seconds a client's log is brought up to date, and a client whose
+    log is empty is forgotten, whether or not further requests come.
+
+    A client that is forgotten gives a row without event and answer.  Needs a state store that keeps timers (RocksDB).
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    kinds = f"{key} {requests.schema[key].dataType.simpleString()}, {tie} {requests.schema[tie].dataType.simpleString()}, accepted boolean, retry_after double"
+    columns = [key, tie, "accepted", "retry_after"]
+
+    class Limiter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.log = handle.getValueState("log", "log array<double>")
+
+        def _held(self) -> deque:
+            return deque(self.log.get()[0]) if self.log.exists() else deque()
+
+        def handleInputRows(self, key, rows, timerValues):
+            known = self.log.exists()
+            log = self._held()
+            frame = pd.concat(list(rows)).assign(at=lambda d: d[ts].astype("datetime64[us]").astype("int64") / 1e6).sort_values(["at", tie])
+            results = [admit(log, at, window, most) for at in frame["at"]]
+            self.log.update((list(log),))
+            if not known:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(sweep * 1000))
+            yield pd.DataFrame({columns[0]: key[0], tie: frame[tie], "accepted": [r[0] for r in results], "retry_after": [round(r[1], 6) for r in results]}, columns=columns)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = timerValues.getCurrentProcessingTimeInMs()
+            log = deque(x for x in self._held() if now / 1000 - x <= window)
+            if log:
+                self.log.update((list(log),))
+                self.handle.registerTimer(now + int(sweep * 1000))
+            else:
+                self.log.clear()
+                yield pd.DataFrame([(key[0], None, None, None)], columns=columns)
+
+        def close(self) -> None:
+            pass
+
+    rows = requests.select(key, tie, F.col(ts).cast("timestamp").alias(ts))
+    return rows.groupBy(key).transformWithStateInPandas(Limiter(), kinds, "append", "processingTime")

@@ -2,9 +2,12 @@
 
 import json
 import math
+import os
 import random
 import statistics
+import time
 import unicodedata
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
-from lexloom.operators import bm25, bm25_index, citations, encoding, evaluation, names, retrieval, segments, structure, tables, vectors, wordseg
+from lexloom.operators import bm25, bm25_index, calls, citations, encoding, evaluation, names, retrieval, segments, structure, tables, vectors, wordseg
 from lexloom.sources import files
 from lexloom.streaming import rate_limit
 
@@ -510,3 +513,74 @@ def test_index_of_names_finds_what_the_join_finds(spark, monkeypatch):
     assert len(got) > 200 and got == sorted(citations.name_matches(mentions, acts).collect())
     monkeypatch.undo()
     assert citations.name_matches(mentions, acts.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- calls outside, sweeping
+
+
+def test_calls_resume_where_they_were_killed(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(60)] + [(60, None)], "id long, prompt string")
+    log, path = str(tmp_path / "log"), f"file://{tmp_path}/answers"
+    fatal, busy = (df.where(f"id < 60 AND pmod(xxhash64(id), 5) = {part}").first() for part in (2, 0))
+
+    def service(kill):
+        fatal_prompt, busy_prompt = fatal["prompt"], busy["prompt"]
+
+        def call(text):
+            with open(log, "a") as f:
+                f.write(text + "\n")
+            if kill and text == fatal_prompt:
+                os._exit(1)  # the worker is gone in the middle of its work
+            if text == busy_prompt and kill:
+                raise ConnectionError("busy")
+            return text.upper()
+
+        return call
+
+    policy = calls.Policy(tries=2, wait=0.01, tasks=2, slices=5)
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        calls.run_pending(df, path, service(True), "id", "prompt", policy)
+    done = {r["id"] for r in calls.answers(spark, path, "id").where("error IS NULL").collect()}
+    before = Counter(open(log).read().split())
+    assert before[busy["prompt"]] == 2 and not {fatal["id"], busy["id"]} & done and 10 < len(done) < 50
+    got = {r["id"]: r for r in calls.run_pending(df, path, service(False), "id", "prompt", policy).collect()}
+    after = Counter(open(log).read().split()) - before
+    assert after == Counter(f"p{i}" for i in range(60) if i not in done)
+    assert all(got[i]["value"] == f"P{i}" and got[i]["error"] is None for i in range(60)) and got[60]["error"] == "no payload" and got[60]["tries"] == 0
+
+
+def test_calls_back_off_and_keep_their_rate(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(8)], "id long, prompt string")
+    began = time.perf_counter()
+    rows = calls.called(df, lambda text: text, "id", "prompt", calls.Policy(rate=8.0, tasks=1)).collect()
+    assert time.perf_counter() - began > 7 / 8 and {r["tries"] for r in rows} == {1}
+
+    def never(text):
+        raise ValueError(text)
+
+    began = time.perf_counter()
+    rows = calls.called(df.limit(1), never, "id", "prompt", calls.Policy(tries=3, wait=0.2, tasks=1)).collect()
+    assert time.perf_counter() - began > 0.6 and [(r["value"], r["error"], r["tries"]) for r in rows] == [(None, "ValueError: 0", 3)]
+
+
+def test_idle_clients_are_swept_by_the_clock(spark, tmp_path):
+    """No request comes after the first ones, and yet the client goes once its log has run out."""
+    now = datetime.now()
+    spark.createDataFrame([(1, i, now) for i in range(3)], "user_id int, event_id int, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        source = spark.readStream.schema("user_id int, event_id int, ts timestamp").parquet(str(tmp_path / "in"))
+        query = rate_limit.swept_limit(source, window=2.0, most=2, sweep=1.0).writeStream.format("memory").queryName("swept").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+        until, rows = time.time() + 90, []
+        while time.time() < until and not any(r["event_id"] is None for r in rows):
+            time.sleep(1)
+            rows = spark.table("swept").collect()
+        query.stop()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r["accepted"] for r in rows if r["event_id"] is not None] == [True, True, False]
+    assert [(r["user_id"], r["accepted"]) for r in rows if r["event_id"] is None] == [(1, None)]
