@@ -6,7 +6,7 @@ kept one is nearer to it by the factor ALPHA; links go both ways, and full lists
 searches run side by side as array operations.
 
 Queries meet every shard in blocks; a beam search over the shard's graph gives its best, distances are then taken
-from the original vectors in double precision, and the best of all shards are kept.  Queries are a stated set, a
+from the original vectors, of either precision, in double precision, and the best of all shards are kept.  Queries are a stated set, a
 fixed share of the rows.
 
 Vectors that are null or zero or hold null or non-finite components take no part, neither as queries nor as
@@ -130,13 +130,18 @@ def _tame(x: np.ndarray) -> bool:
     return not len(size) or (size.max() < TAME[1] and size.max() > TAME[0])
 
 
+def raw_type(df: DataFrame, vector: str):
+    """Numpy's type of the components of a column of vectors."""
+    return np.float32 if df.schema[vector].dataType.elementType.simpleString() == "float" else np.float64
+
+
 def index_shards(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """A row a shard: dim, shard, x (raw float32), links (raw int32), entry, ids and id_counts.  nodes: v, ids."""
-    many = max(1, -(-nodes.count() // shard))
+    """A row a shard: dim, shard, x (raw, in the vectors' own type), links (raw int32), entry, ids and id_counts.  nodes: v, ids."""
+    many, raw = max(1, -(-nodes.count() // shard)), raw_type(nodes, "v")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-        links, entry = build_graph(x if _tame(x) else x.astype(np.float64))
+        x = np.stack(pdf["v"].to_numpy()).astype(raw)
+        links, entry = build_graph(x.astype(np.float32 if _tame(x) else np.float64))
         counts = pdf["ids"].map(len).to_numpy(np.int32)
         row = {"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "entry": entry, "x": x.tobytes(), "links": links.tobytes()}
         return pd.DataFrame([row | {"ids": np.concatenate(pdf["ids"].to_numpy()).astype(np.int64).tobytes(), "id_counts": counts.tobytes()}])
@@ -165,15 +170,17 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
     tasks = min(MOST_TASKS, max(1, 4 * shards.count()))
     pairs = pairs.join(asked, ["dim", "block"]).join(shards.repartition(tasks, "dim", "shard").hint("merge"), ["dim", "shard"])
 
+    raw = raw_type(nodes, "v")
+
     def search(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                x = np.frombuffer(r.x, np.float32).reshape(-1, r.dim)
+                x = np.frombuffer(r.x, raw).reshape(-1, r.dim)
                 links = np.frombuffer(r.links, np.int32).reshape(len(x), -1)
                 counts, ids = np.frombuffer(r.id_counts, np.int32), np.frombuffer(r.ids, np.int64)
                 begin = np.cumsum(counts) - counts
                 query = np.array([a["id"] for a in r.asked], np.int64)
-                q = np.array([a["v"] for a in r.asked], np.float32)
+                q = np.array([a["v"] for a in r.asked], np.float64)  # what single precision held stays as it was
                 kind = np.float32 if _tame(x) and _tame(q) else np.float64
                 found, _ = beam_search(x.astype(kind), links, r.entry, q.astype(kind), max(SEARCH_BEAM, 2 * k))
                 rows = []

@@ -2,8 +2,11 @@
 
 Reference points (pivots) are chosen far from each other out of a bounded sample, the more of them the more vectors
 there are.  Each vector is described by its nearest pivots, nearest first.  Two vectors are compared if they share at
-least two of these PREFIX pivots: the inverted lists are those of pairs of pivots, so that what stands in a list
-shares two, and a list's length stays about LIST on average while the number of pivots can grow.  In a list, the
+least two of these: the inverted lists are those of pairs of pivots, so that what stands in a list shares two, and a
+list's length stays about LIST on average while the number of pivots can grow.  How many pivots describe a vector is
+measured: vectors of the sample are moved in random directions until they just link with themselves, and the least of
+PREFIXES counts with which at most LOSS of these pairs would be missed (the more pivots there are, and the more all
+vectors point one way, the more it takes).  With exact=True, all vectors of a label and length are compared.  In a list, the
 shared pivots of two vectors are counted, and the list of their two smallest answers for the pair, so each pair counts
 once.  Short lists are dealt out together; long ones as pairs of blocks, which tasks take one by one.
 
@@ -24,8 +27,10 @@ from lexloom.llm.common import cut, dropped, give_back, lean
 from lexloom.llm.links import components
 
 THRESHOLD = 0.98
-#: Pivots that describe a vector, and the bounds of the number of all pivots.
-PREFIX, PIVOTS = 6, (32, 4096)
+#: How many pivots may describe a vector, the share of pairs that may be missed, and pairs that are tried.
+PREFIXES, LOSS, TRIED = (6, 8, 10, 12, 16, 20), 0.001, 4000
+#: Bounds of the number of all pivots.
+PIVOTS = (32, 4096)
 #: Largest cosine of two pivots.
 APART = 0.9
 #: The pivots come from a sample of so many vectors a pivot.
@@ -74,10 +79,34 @@ def _within(hits: np.ndarray) -> np.ndarray:
 
 def pivots_for(members: int) -> int:
     """A power of two of pivots with which the pairs of pivots have lists of about LIST, of so many vectors of a label."""
-    pairs = PREFIX * (PREFIX - 1) / 2
+    pairs = PREFIXES[0] * (PREFIXES[0] - 1) / 2
     return int(min(max(PIVOTS[0], 2 ** np.ceil(np.log2(max(1.0, 2 * pairs * members / LIST) ** 0.5))), PIVOTS[1]))
 
 
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, many: int) -> np.ndarray:
+    """The numbers of each unit vector's nearest pivots, nearest first."""
+    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :many].astype(np.int32)
+
+
+def prefix_for(vectors: np.ndarray, pivots: np.ndarray, threshold: float) -> int:
+    """The least of PREFIXES with which pairs at the threshold share two pivots, but for a share of LOSS."""
+    if len(pivots) <= PREFIXES[0] or threshold >= 1:
+        return min(PREFIXES[0], len(pivots))
+    rng = np.random.default_rng(len(pivots))
+    a = vectors[np.arange(TRIED) % len(vectors)]
+    off = rng.standard_normal(a.shape)
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    off /= np.maximum(np.sqrt((off * off).sum(axis=1, keepdims=True)), 1e-12)
+    most = min(PREFIXES[-1], len(pivots))
+    one, two = (nearest_pivots(x, pivots, most) for x in (a, threshold * a + np.sqrt(1 - threshold**2) * off))
+    # where in the other's order each of a vector's pivots stands
+    place = np.full((TRIED, len(pivots)), most, np.int32)
+    np.put_along_axis(place, two, np.arange(most, dtype=np.int32)[None, :].repeat(TRIED, 0), axis=1)
+    meets = np.maximum(np.take_along_axis(place, one, axis=1), np.arange(most))
+    second = np.sort(meets, axis=1)[:, 1] if most > 1 else meets[:, 0]  # from which length on two are shared
+    return next((k for k in PREFIXES if k >= most or np.mean(second >= k) <= LOSS), most)
+
+
 def pair_keys(prefix: np.ndarray) -> np.ndarray:
     """For each row of pivots (distinct) a number for each pair of them; one pivot alone is paired with itself."""
     ordered = np.sort(prefix.astype(np.int64), axis=1)
@@ -111,25 +140,30 @@ def _linked(own: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     return pd.DataFrame({"node": node[found], "links": (hits @ copies[found].astype(np.float64)).astype(np.int64), "other": node[found][_within(hits)]})
 
 
-def near_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, members: int | None = None) -> DataFrame:
+def near_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, members: int | None = None, exact: bool = False) -> DataFrame:
     """node, links, other: how many copies of other vectors a block pair found near node, and a node it is linked with.
 
     vectors: node, label, v (usable, no two equal with the same label), copies.  members: the largest label's vectors.
+    exact: no pivots, all vectors of a label and length stand in one list.
     """
     if members is None:
         members = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     many = pivots_for(members)
     # a bounded sample in hash order, the same whatever the partitions
     drawn = vectors.select("v", F.size("v").alias("dim"), F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE * many).toPandas()
-    pivots = vectors.sparkSession.sparkContext.broadcast({int(d): choose_pivots(unit(own["v"]), many) for d, own in drawn.groupby("dim")})  # PIVOTS at most
+    chosen = {}
+    for d, own in drawn.groupby("dim") if not exact else ():
+        sample = unit(own["v"])
+        picked = choose_pivots(sample, many)
+        chosen[int(d)] = picked, prefix_for(sample, picked, threshold)
+    pivots = vectors.sparkSession.sparkContext.broadcast(chosen)  # PIVOTS at most
 
     def describe(batches):
         for pdf in batches:
             for d, own in pdf.groupby("dim"):
                 if int(d) in pivots.value:
-                    k = min(PREFIX, len(pivots.value[int(d)]))
-                    order = np.argsort(-(unit(own["v"]) @ pivots.value[int(d)].T), axis=1, kind="stable")[:, :k].astype(np.int32)
-                else:  # a length that the sample lacks: one list for all of it
+                    order = nearest_pivots(unit(own["v"]), *pivots.value[int(d)])
+                else:  # exact, or a length that the sample lacks: one list for all of it
                     order = np.zeros((len(own), 1), np.int32)
                 yield own.assign(prefix=list(order), keys=list(pair_keys(order)))
 
@@ -158,8 +192,8 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
     return post.select("g", "l", *columns).groupBy("g", "l", "i", "j").applyInPandas(lambda pdf: compare(pdf[columns]), "node bigint, links bigint, other bigint")
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept, a row a vector."""
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept, a row a vector; exact: without pivots, every pair is compared."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     rows = rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
     linkable = F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v"))
@@ -168,7 +202,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     rows = rows.withColumn("v", F.when(linkable, v)).withColumns({"h": F.when(linkable, F.xxhash64("v")), "g": F.when(linkable, F.xxhash64("v", F.lit(1)))})
     distinct = rows.where("v IS NOT NULL").groupBy("label", "h", "g").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.min_by("v", "id").alias("v"))
     distinct = cut(distinct)
-    found = cut(near_links(distinct.select("node", "label", "v", "copies"), threshold))
+    found = cut(near_links(distinct.select("node", "label", "v", "copies"), threshold, exact=exact))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = distinct.select("label", "h", "g", "node", "copies").join(linked, "node", "left").join(named, "node", "left")

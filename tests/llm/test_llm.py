@@ -115,21 +115,42 @@ def test_blocks_of_long_lists_count_each_pair_once(spark):
     assert len(got) == 90 and all(r["n"] == 89 for r in got)
 
 
-@pytest.mark.parametrize(("dim", "many"), [(64, 32), (64, 512), (384, 128), (768, 1024)])
-def test_near_vectors_share_two_pivots(dim, many):
-    """Recall of pairs that link only just, at real lengths and with many pivots."""
+@pytest.mark.parametrize(("dim", "many", "common"), [(64, 32, 0.0), (64, 512, 0.0), (384, 128, 0.7), (128, 1024, 0.85), (768, 1024, 0.7), (128, 4096, 0.85)])
+def test_near_vectors_share_two_pivots(dim, many, common):
+    """Recall of pairs that link only just, with many pivots and with vectors of which any two have a common cosine."""
     rng = np.random.default_rng(dim + many)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    middle = unit(rng.normal(size=(1, dim)))
     centre = unit(rng.normal(size=(100, dim)))
-    x = unit(centre[rng.integers(0, 100, 4 * many + 1000)] + rng.normal(size=(4 * many + 1000, dim)) * 0.6 / dim**0.5)
-    pivots, a = near_vectors.choose_pivots(x[: 4 * many], many), x[-1000:]
+    x = unit(centre[rng.integers(0, 100, 4 * many + 1000)] + rng.normal(size=(4 * many + 1000, dim)) * 0.6 / dim**0.5) if not common else unit(rng.normal(size=(4 * many + 1000, dim)))
+    x = unit(np.sqrt(1 - common) * unit(x - common * (x @ middle.T) * middle) + np.sqrt(common) * middle)
+    sample, a = x[: 4 * many], x[-1000:]
+    pivots = near_vectors.choose_pivots(sample, many)
+    prefix = near_vectors.prefix_for(sample, pivots, 0.98)
     off = rng.normal(size=a.shape)
     off = unit(off - (off * a).sum(axis=1, keepdims=True) * a)
     b = 0.9801 * a + np.sqrt(1 - 0.9801**2) * off
-    keys = [near_vectors.pair_keys(np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, : near_vectors.PREFIX]) for v in (a, b)]
+    keys = [near_vectors.pair_keys(near_vectors.nearest_pivots(v, pivots, prefix)) for v in (a, b)]
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(*(k.tolist() for k in keys), strict=True)]) >= 0.995
 
 
+def test_exact_near_vectors(spark):
+    """Without pivots the same links are found, blocks against blocks."""
+    rows = vector_rows(seed=9, n=60)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    shown = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert shown(near_vectors.near_vectors(df, exact=True)) == shown(near_vectors.near_vectors(df))
+
+
+def test_distances_of_doubles(spark):
+    """Vectors in double precision that differ by less than single precision tells."""
+    rng = np.random.default_rng(12)
+    x = 1000 + rng.random((40, 8)) * 1e-3
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    for r in graph_search.nearest(df, df.where("vec_id < 4"), 39).collect():
+        assert abs(r["score"] - np.sqrt(((x[r["query_id"]] - x[r["vec_id"]]) ** 2).sum())) < 1e-12
+
+
 def test_near_vectors_of_the_table_equal_brute_force(spark):
     df = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/embeddings.parquet")
     rows = df.collect()
