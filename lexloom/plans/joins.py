@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
-from lexloom.operators import bm25, citations, evaluation, retrieval, tables, vectors
+from lexloom.operators import bm25, citations, containment, evaluation, retrieval, tables, vectors
 from lexloom.plans import corpus
 from lexloom.plans import sql as S
 from lexloom.plans.fixtures import base, fx
@@ -54,7 +54,8 @@ def ranked(spark, d):
 
 
 def positives(spark, d):
-    return fx(spark, d, "qrels").select("query_id", C("corpus_doc").alias("doc_id")).distinct()
+    held = containment.holding(base(spark, d, "documents"), base(spark, d, "benchmark"))
+    return held.select(C("item_id").alias("query_id"), "doc_id").distinct()
 
 
 @query("j04_triplets", f"WITH {NEG} SELECT query_id, q.query_text, pos.doc_id AS positive_id, d.text AS positive_text, l.ids AS negative_ids, md5(l.texts) AS negatives FROM pos JOIN q USING (query_id) JOIN documents d USING (doc_id) JOIN (SELECT query_id, string_agg(cast(doc_id AS string), ',' ORDER BY rank) AS ids, string_agg(text, '|' ORDER BY rank) AS texts FROM neg JOIN documents USING (doc_id) GROUP BY 1) l USING (query_id)")

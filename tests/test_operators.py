@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom import schemas
 from lexloom.functions import legal_text as L
 from lexloom.functions.repair import _repair
-from lexloom.operators import bm25, bm25_index, calls, citations, encoding, evaluation, names, retrieval, segments, structure, tables, vectors, wordseg
+from lexloom.operators import bm25, bm25_index, calls, citations, containment, encoding, evaluation, names, retrieval, segments, structure, tables, vectors, wordseg
 from lexloom.sources import files
 from lexloom.streaming import rate_limit
 
@@ -584,3 +584,16 @@ def test_idle_clients_are_swept_by_the_clock(spark, tmp_path):
             spark.conf.set(k, v)
     assert [r["accepted"] for r in rows if r["event_id"] is not None] == [True, True, False]
     assert [(r["user_id"], r["accepted"]) for r in rows if r["event_id"] is None] == [(1, None)]
+
+
+def test_documents_that_hold_passages(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(30))) for i in range(60)] + [(60, None), (None, "ab"), (7, "ab")], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(f"i{i}", text(rng.randrange(4))) for i in range(30)] + [("none", None), ("x", "")], "item_id string, text string")
+    got = sorted(containment.holding(docs, items).collect(), key=repr)
+    assert got == sorted(((i["item_id"], r["doc_id"]) for i in items.collect() for r in docs.collect() if i["text"] is not None and r["text"] is not None and i["text"] in r["text"]), key=repr)
+    monkeypatch.setattr(containment, "PASSAGES", 3)
+    assert sorted(containment.holding(docs, items).collect(), key=repr) == got
+    monkeypatch.undo()
+    assert containment.holding(docs, items.limit(0)).count() == 0
