@@ -170,7 +170,7 @@ def _apart(spans: Column, found: Column) -> Column:
         return let(reach, lambda far: F.filter(found, lambda c: F.element_at(far, before(c["upto"]) + 1) <= c["at"]))
 
     one_by_one = F.filter(found, lambda c: ~F.exists(spans, lambda s: (s["at"] < c["upto"]) & (c["at"] < s["upto"])))
-    return F.when(F.size(spans) <= STRETCH, one_by_one).otherwise(let(F.transform(spans, lambda s: s["at"]), by_halves))
+    return F.when((F.size(spans) <= STRETCH) | (F.size(found) == 0), one_by_one).otherwise(let(F.transform(spans, lambda s: s["at"]), by_halves))
 
 
 def _candidates(kind: str, text: Column, taken: Column) -> Column:
