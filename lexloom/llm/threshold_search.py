@@ -130,7 +130,9 @@ def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
             yield row(shard)
 
     rows = small_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    rows.mapInArrow(lean(run), schema).write.option("compression", "zstd").parquet(f"{path}/shards")
+    # a row group a shard: a group is written and read as a whole, and a shard has some 20 MB
+    one = rows.mapInArrow(lean(run), schema).write.option("compression", "zstd").option("parquet.block.row.count.limit", 1)
+    one.parquet(f"{path}/shards")
     spark.createDataFrame([(n_docs, n_terms)], "docs long, terms long").write.parquet(f"{path}/totals")
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,16 @@ def test_search_equals_brute_force(spark, tmp_path, monkeypatch):
     assert threshold_search.rank_documents(table, queries.limit(0)).count() == 0
 
 
+def test_a_shard_is_a_row_group(spark, tmp_path, monkeypatch):
+    """Readers hold a row group, so its size must not grow with the shards that a task writes."""
+    monkeypatch.setattr(threshold_search, "SHARD_POSTINGS", 10)
+    docs = spark.createDataFrame([(i, f"harbour lamp w{i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    threshold_search.build_index(docs, str(tmp_path / "lists"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "lists/shards").glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(groups) == 15 and set(groups) == {1}
+
+
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(1)
     for n in (0, 1, 30, 20_000):
