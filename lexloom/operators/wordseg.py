@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
-from lexloom.operators import encoding
+from lexloom.operators import encoding, tables
 
 #: Syllables of a word at most; how often a stretch must stand; words of one and of several syllables that are kept.
 MOST, LEAST, LEXICON = 4, 5, 50_000
 #: How many times as often as by chance the parts of a word must stand together, wherever it is parted.
 COHESION = 5.0
+#: Different stretches that a task counts before it passes them on.
+LOT = 100_000
+#: Texts that are segmented before they are passed on.
+TEXTS = 256
 _RUN = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)*")
 
 
@@ -125,24 +129,34 @@ def _both(a: float, b: float) -> float:
 def _stretches(df: DataFrame, text: str) -> DataFrame:
     """word, n: how often each stretch of up to MOST syllables stands."""
 
+    def rows(counts):
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
     def run(batches):
+        # counts go on to the next step in lots, whatever a batch or a text holds
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
-            for one in batch.column(0).to_pylist():
-                for syllables in runs_of(one):
-                    for n in range(1, MOST + 1):
-                        counts.update(" ".join(syllables[i : i + n]) for i in range(len(syllables) - n + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+            for one in batch.column(0):
+                for syllables in runs_of(one.as_py()):
+                    for at in range(0, len(syllables), LOT):
+                        upto = min(len(syllables), at + LOT)
+                        for n in range(1, MOST + 1):
+                            counts.update(" ".join(syllables[i : i + n]) for i in range(at, min(upto, len(syllables) - n + 1)))
+                        if len(counts) >= LOT:
+                            yield rows(counts)
+                            counts = Counter()
+        yield rows(counts)
 
     return df.select(F.col(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def learnt(df: DataFrame, text: str = "text", rounds: int = 4, least: int = LEAST, size: int = LEXICON) -> Lexicon:
     """The lexicon of a corpus: at most `size` syllables and `size` words of several, each standing `least` times."""
-    stretches = _stretches(df, text).where((F.col("n") >= least) | ~F.contains("word", F.lit(" ")))
+    stretches = tables.written(_stretches(df, text).where((F.col("n") >= least) | ~F.contains("word", F.lit(" "))), "stretches")
     rows = []
     for several in (F.contains("word", F.lit(" ")), ~F.contains("word", F.lit(" "))):
         rows += stretches.where(several).orderBy(F.desc("n"), "word").limit(size).collect()
+    tables.forgotten(stretches)
     counts = {r["word"]: float(r["n"]) for r in rows}
     total = sum(n for w, n in counts.items() if " " not in w)
     counts = {w: n for w, n in counts.items() if all(n * total >= COHESION * counts.get(a, 0) * counts.get(b, 0) for a, b in _parted(w))}
@@ -150,8 +164,8 @@ def learnt(df: DataFrame, text: str = "text", rounds: int = 4, least: int = LEAS
         lexicon = _of(counts)
 
         def add(batch, into, lexicon=lexicon):
-            for one in batch.column(0).to_pylist():
-                for syllables in runs_of(one):
+            for one in batch.column(0):
+                for syllables in runs_of(one.as_py()):
                     for number, n in lexicon.expected(syllables).items():
                         into[number, 0] += n
 
@@ -177,7 +191,7 @@ def segmented(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     at = df.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
             own = pa.array([lexicon.segmented(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([own if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 

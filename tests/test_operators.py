@@ -423,6 +423,15 @@ def test_words_are_learnt_and_joined(spark):
     assert wordseg.learnt(df.limit(0)).words == []
 
 
+def test_stretches_are_counted_in_lots(spark, monkeypatch):
+    """What a task holds is bounded by the lot, not by a batch or a text."""
+    texts = ["a b c d e", "b c d, a b", " ".join("xyz"[i % 3] for i in range(50)), None, ""]
+    want = Counter(" ".join(run[i : i + n]) for t in texts for run in wordseg.runs_of(t) for n in range(1, wordseg.MOST + 1) for i in range(len(run) - n + 1))
+    monkeypatch.setattr(wordseg, "LOT", 7)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert {r["word"]: r["n"] for r in wordseg._stretches(df, "text").collect() if r["word"]} == {w: n for w, n in want.items() if w}
+
+
 # ---------------------------------------------------------------- stored BM25 index
 
 
