@@ -141,27 +141,34 @@ def name_matches(mentions: DataFrame, acts: DataFrame) -> DataFrame:
     own = mentions.select("mention_id", "year_hint", L.name_form(F.col("window")).alias("w"))
     core = L.squeeze(F.regexp_replace("w", r"\b(" + "|".join(P.GENERIC) + r")\b", " "))
     own = own.select("mention_id", "year_hint", kind.alias("kind"), core.alias("core")).where("core <> ''")
-    names = acts.select("act_code", "year", L.name_form(F.coalesce(F.nullif(F.col("act_name"), F.lit("")), "official_title")).alias("name")).where("name <> ''")
+    # of acts with one name and year the smallest code always wins, so it stands for them all
+    titles = acts.groupBy(F.coalesce(F.nullif(F.col("act_name"), F.lit("")), "official_title").alias("title"), "year").agg(F.min("act_code").alias("act_code"))
+    names = titles.select("act_code", "year", L.name_form(F.col("title")).alias("name")).where("name <> ''")
     named_kind = F.coalesce(*[F.when(F.col("name").startswith(k), k) for k in P.KINDS], F.lit("other"))
-    names = names.withColumn("name_kind", named_kind)
+    names = names.groupBy("name", "year").agg(F.min("act_code").alias("act_code")).withColumn("name_kind", named_kind)
     rows = name_index.held(names)
     if rows is not None:
         return name_index.resolved(own, rows)
+    # mentions worded alike mean the same act, so each wording is resolved once
+    asked = own.select("year_hint", "kind", "core").distinct()
     words = lambda c: F.array_distinct(F.split(c, " "))
     # keys: words; of one text the first characters, of the other all runs as long, once each way round
     word = lambda c: F.transform(words(c), lambda x: F.concat(F.lit("w"), x))
     first = lambda c, mark: F.array(F.concat(F.lit(mark), F.substring(c, 1, GRAM)))
     runs = lambda c, mark: F.transform(F.array_distinct(F.flatten(F.array(*[_grams(c, n) for n in range(1, GRAM + 1)]))), lambda x: F.concat(F.lit(mark), x))
-    keyed_own = own.withColumn("key", F.explode(F.concat(word(F.col("core")), first(F.col("core"), "<"), runs(F.col("core"), ">"))))
+    keyed_own = asked.withColumn("key", F.explode(F.concat(word(F.col("core")), first(F.col("core"), "<"), runs(F.col("core"), ">"))))
     keyed_names = names.withColumn("key", F.explode(F.concat(word(F.col("name")), runs(F.col("name"), "<"), first(F.col("name"), ">"))))
     fits = F.col("kind").isNull() | (F.col("kind") == F.col("name_kind")) | ((F.col("kind") == "luat") & (F.col("name_kind") == "bo luat"))
     is_word = F.col("key").startswith("w")
     whole = is_word | F.contains("name", "core") | F.contains("core", "name")
-    pairs = keyed_own.join(keyed_names, "key").where(fits & whole).groupBy("mention_id", "year_hint", "core", "act_code", "year", "name").agg(F.count_if(is_word).alias("common"))
+    pairs = keyed_own.join(keyed_names, "key").where(fits & whole).groupBy("year_hint", "kind", "core", "act_code", "year", "name").agg(F.count_if(is_word).alias("common"))
     score = F.when(F.contains("name", "core"), F.length("core")).when(F.contains("core", "name"), F.length("name")).otherwise(F.col("common"))
     score = score - F.when(F.col("year_hint").isNotNull() & (F.coalesce("year", F.lit(-1)) != F.col("year_hint")), 1).otherwise(0)
-    place = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.coalesce("year", F.lit(-1)).desc(), "act_code")
-    return pairs.withColumn("score", score).withColumn("n", F.row_number().over(place)).where("n = 1").select("mention_id", "act_code", "score")
+    place = Window.partitionBy("year_hint", "kind", "core").orderBy(F.col("score").desc(), F.coalesce("year", F.lit(-1)).desc(), "act_code")
+    best = pairs.withColumn("score", score).withColumn("n", F.row_number().over(place)).where("n = 1")
+    best = best.select(F.col("year_hint").alias("__hint"), F.col("kind").alias("__kind"), F.col("core").alias("__core"), "act_code", "score")
+    same = (F.col("core") == F.col("__core")) & F.col("kind").eqNullSafe(F.col("__kind")) & F.col("year_hint").eqNullSafe(F.col("__hint"))
+    return own.join(best, same).select("mention_id", "act_code", "score")
 
 
 # ---------------------------------------------------------------- the whole extraction

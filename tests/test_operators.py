@@ -527,6 +527,18 @@ def test_index_of_names_finds_what_the_join_finds(spark, monkeypatch):
 # ---------------------------------------------------------------- calls outside, sweeping
 
 
+@pytest.mark.parametrize("most", [4, 0])
+def test_acts_of_one_name_and_year_are_one(spark, monkeypatch, most):
+    """A registry is held by its different names, however many acts repeat them; mentions worded alike are resolved once."""
+    monkeypatch.setattr(names, "NAMES", most)
+    acts = spark.createDataFrame([(f"act{i:03}", 2000 + i % 2, "Luật LARGE 1" if i % 4 < 2 else "Nghị định SMALL 2", "") for i in range(40)], "act_code string, year int, act_name string, official_title string")
+    mentions = spark.createDataFrame([(i, "Luật large 1" if i % 2 else "small 2", 2001 if i % 3 else None) for i in range(60)], "mention_id long, window string, year_hint int")
+    held = []
+    monkeypatch.setattr(citations.name_index, "resolved", lambda own, rows, f=names.resolved: held.append(len(rows)) or f(own, rows))
+    got = {r["mention_id"]: (r["act_code"], r["score"]) for r in citations.name_matches(mentions, acts).collect()}
+    assert got == {i: ("act001", 7) if i % 2 else ("act003", 7) for i in range(60)} and held == ([4] if most else [])
+
+
 def test_calls_resume_where_they_were_killed(spark, tmp_path):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(60)] + [(60, None)], "id long, prompt string")
     log, path = str(tmp_path / "log"), f"file://{tmp_path}/answers"
