@@ -11,6 +11,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -154,6 +155,19 @@ def test_top_k_in_blocks_equals_one_block(spark, monkeypatch):
     assert vectors.top_k(asked.limit(0), rows, 5).count() == 0
 
 
+def test_products_are_held_a_tile_at_a_time(monkeypatch):
+    """The k best of tiles are those of all products, ties included; vectors of other sizes and with gaps stay out."""
+    monkeypatch.setattr(vectors, "TILE", 7)
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-2, 3, (60, 4)).astype(float), rng.integers(-2, 3, (9, 4)).astype(float)
+    ids, asked = pa.array([*range(60), 98, 99]), pa.array([*range(9), 50])
+    vs, qs = pa.array([*x.tolist(), [1.0, 2.0], [None, 1.0, 1.0, 1.0]], pa.list_(pa.float32())), pa.array([*q.tolist(), [1.0]], pa.list_(pa.float64()))
+    for k in (1, 5, 100):
+        got = sorted((r["query_id"], r["id"], r["score"]) for b in vectors.nearest(ids, vs, asked, qs, k, "id", 6) for r in b.to_pylist())
+        s = q @ x.T
+        assert got == [(i, j, s[i, j]) for i in range(9) for j in range(60) if s[i, j] >= np.sort(s[i])[-min(k, 60)]]
+
+
 def test_bm25_fills_short_rankings(spark):
     docs = spark.createDataFrame([(i, "alpha beta" if i == 7 else f"word{i}") for i in range(10)], "doc_id int, text string")
     queries = spark.createDataFrame([("q", "alpha")], "query_id string, query_text string")
