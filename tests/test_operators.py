@@ -168,6 +168,19 @@ def test_products_are_held_a_tile_at_a_time(monkeypatch):
         assert got == [(i, j, s[i, j]) for i in range(9) for j in range(60) if s[i, j] >= np.sort(s[i])[-min(k, 60)]]
 
 
+def test_judging_by_label_equals_judging_by_pairs(spark):
+    queries = spark.createDataFrame([(i, i % 4 if i % 5 else None) for i in range(20)], "query_id long, label int")
+    items = spark.createDataFrame([(i, i % 3 if i % 7 else None) for i in range(90)], "faiss_id long, label int")
+    hits = spark.createDataFrame([(q, (q * 7 + r * 5) % 90, r) for q in range(20) for r in range(1, 13)], "query_id long, faiss_id long, rank int")
+    pairs = queries.join(items, "label").select("query_id", "faiss_id")
+    marked = evaluation.judged_by_label(hits, queries, items, "faiss_id")
+    want = evaluation.judged(hits, pairs, "faiss_id")
+    assert sorted(marked.collect()) == sorted(want.select(marked.columns).collect()) and marked.where("rel = 1").count()
+    got = evaluation.scored(marked, evaluation.positives_by_label(queries, items, "faiss_id"))
+    rows = lambda df: sorted(df.withColumn("ndcg", F.round("ndcg", 9)).collect(), key=repr)
+    assert rows(got) == rows(evaluation.per_query(hits, pairs, "faiss_id"))
+
+
 def test_bm25_fills_short_rankings(spark):
     docs = spark.createDataFrame([(i, "alpha beta" if i == 7 else f"word{i}") for i in range(10)], "doc_id int, text string")
     queries = spark.createDataFrame([("q", "alpha")], "query_id string, query_text string")
