@@ -63,12 +63,14 @@ def _capped(rows: DataFrame, keys: list[str], order: list[str], quota: int | Non
 def article_texts(chunks: DataFrame, quota: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """key, article, text: the chunks of an article in order, an empty line between.  chunks: chunk_id, corpus_id, content.
 
-    With a quota, chunks behind it are left out; who cuts texts to the quota misses nothing.  With asked (key, article),
-    chunks of other articles are left out before any are sorted or gathered.
+    With a quota, chunks behind it are left out and each is cut to it before it moves; who cuts texts to the quota misses
+    nothing.  With asked (key, article), chunks of other articles are left out before any are sorted or gathered.
     """
     suffix = L.parse_corpus_id(F.col("corpus_id"))["suffix"]
     rows = chunks.select(L.lookup_key(L.code_of(F.col("corpus_id"))).alias("key"), suffix.alias("suffix"), "chunk_id", L.shown(F.col("content")).alias("t")).where(L.is_number(F.col("suffix")) & (F.col("t") != ""))
     rows = rows.withColumn("article", F.col("suffix").cast("int"))
+    if quota is not None:
+        rows = rows.withColumn("t", F.substring("t", 1, quota))
     if asked is not None:
         rows = rows.join(asked.select("key", "article").distinct(), ["key", "article"], "left_semi")
     rows = _capped(rows, ["key", "suffix"], ["chunk_id"], quota)

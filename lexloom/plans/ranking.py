@@ -134,18 +134,24 @@ blocks AS (SELECT query_id, act_rank, header || chr(10) || string_agg('Điều '
 ctx AS (SELECT query_id, substring(string_agg(b, chr(10) || chr(10) ORDER BY act_rank), 1, 20000) AS context FROM blocks GROUP BY 1)"""
 
 
+#: Characters of an act in a context.
+ACT_CHARS = 4000
+
+
 def contexts(spark, d):
     from pyspark.sql import Window
 
     from lexloom.operators import citations
 
-    entries = retrieval.articles(aggregates.chunk_hits(spark, d, 30))
+    # read three times
+    entries = tables.written(retrieval.articles(aggregates.chunk_hits(spark, d, 30)), "entries")
     ranks = retrieval.acts(entries).select("query_id", "act_code", C("rank").alias("act_rank"))
     place = F.row_number().over(Window.partitionBy("query_id", "act_code").orderBy(C("score").desc(), "article"))
     rows = entries.join(ranks, ["query_id", "act_code"]).withColumn("article_rank", place).withColumn("key", L.lookup_key(C("act_code")))
-    texts = citations.article_texts(fx(spark, d, "chunks"), asked=rows)
+    # an act's articles share ACT_CHARS, so no more of a text goes to the queries that found it
+    texts = citations.article_texts(fx(spark, d, "chunks"), ACT_CHARS, rows).withColumn("text", F.substring("text", 1, ACT_CHARS))
     pieces = rows.join(texts, ["key", "article"]).select("query_id", "act_rank", F.concat(F.lit("Văn bản: "), "act_code").alias("header"), "article_rank", "article", "text")
-    return retrieval.contexts(pieces, 4000, 20_000)
+    return retrieval.contexts(pieces, ACT_CHARS, 20_000)
 
 
 @query("x15_contexts", f"WITH {_CONTEXT} SELECT * FROM ctx")
