@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal_text as L
+from lexloom.operators import vectors
 from lexloom.operators.tables import numbered
 
 # The policy of segment lengths.
@@ -52,6 +53,23 @@ def char_windows(text: Column, length: int = LENGTH, overlap: int = OVERLAP) ->
     return F.filter(parts, lambda p: p["text"] != "")
 
 
+#: Characters of texts that are tokenised at a time; a longer text stands alone.
+LOT_CHARS = 1_000_000
+
+
+def _lots(batch: pa.RecordBatch, texts: list[str]):
+    """Slices of a batch and of its texts with about LOT_CHARS characters each: a token's record takes many times its bytes."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > LOT_CHARS:
+            yield batch.slice(begin, i - begin), texts[begin:i]
+            begin = i
+            size = 0
+        size += len(t)
+    if begin < len(texts):
+        yield batch.slice(begin), texts[begin:]
+
+
 def model_windows(df: DataFrame, key: str, text: str, tokenizer_file: str, length: int = LENGTH, overlap: int = OVERLAP) -> DataFrame:
     """key, part, span_token_start, span_token_end, text: windows over the ids of a model's tokenizer, decoded.
 
@@ -60,24 +78,23 @@ def model_windows(df: DataFrame, key: str, text: str, tokenizer_file: str, lengt
     """
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        stride = max(1, length - overlap)
-        for batch in batches:
-            out = {"place": [], "part": [], "begin": [], "end": [], "text": []}
-            texts = [(t or "").strip(L.BLANKS) for t in batch.column(1).to_pylist()]
-            for i, (t, own) in enumerate(zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)):
-                ids, n = own.ids, len(own.ids)
-                many = 1 if n <= length else 1 + -(-(n - length) // stride)
-                spans = [(k * stride, min(n, k * stride + length)) for k in range(many)] if t else []
-                shown = [t] if many == 1 else [x.strip(L.BLANKS) for x in tokenizer.decode_batch([ids[a:b] for a, b in spans], skip_special_tokens=True)]
-                kept = [(a, b, x) for (a, b), x in zip(spans, shown, strict=False) if x]
-                for part, (a, b, x) in enumerate(kept, 1):
-                    for name, value in zip(out, (i, part, a, b, x), strict=True):
-                        out[name].append(value)
-            keys = batch.column(0).take(pa.array(out.pop("place"), pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(v, pa.string() if n == "text" else pa.int32()) for n, v in out.items())], names=[key, "part", "span_token_start", "span_token_end", "text"])
+        tokenizer, stride = vectors.tokenizer_at(tokenizer_file), max(1, length - overlap)
+        for whole in batches:
+            texts = [(t or "").strip(L.BLANKS) for t in whole.column(1).to_pylist()]
+            for batch, own_texts in _lots(whole, texts):
+                out = {"place": [], "part": [], "begin": [], "end": [], "text": []}
+                for i, (t, own) in enumerate(zip(own_texts, tokenizer.encode_batch_fast(own_texts, add_special_tokens=False), strict=True)):
+                    ids = own.ids
+                    n = len(ids)
+                    many = 1 if n <= length else 1 + -(-(n - length) // stride)
+                    spans = [(k * stride, min(n, k * stride + length)) for k in range(many)] if t else []
+                    shown = [t] if many == 1 else [x.strip(L.BLANKS) for x in tokenizer.decode_batch([ids[a:b] for a, b in spans], skip_special_tokens=True)]
+                    kept = [(a, b, x) for (a, b), x in zip(spans, shown, strict=False) if x]
+                    for part, (a, b, x) in enumerate(kept, 1):
+                        for name, value in zip(out, (i, part, a, b, x), strict=True):
+                            out[name].append(value)
+                keys = batch.column(0).take(pa.array(out.pop("place"), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(v, pa.string() if n == "text" else pa.int32()) for n, v in out.items())], names=[key, "part", "span_token_start", "span_token_end", "text"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, part int, span_token_start int, span_token_end int, text string")
