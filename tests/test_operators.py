@@ -1,5 +1,6 @@
 """Cases that pin single operators."""
 
+import itertools
 import json
 import math
 import os
@@ -459,6 +460,39 @@ def test_stretches_are_counted_in_lots(spark, monkeypatch):
     assert {r["word"]: r["n"] for r in wordseg._stretches(df, "text").collect() if r["word"]} == {w: n for w, n in want.items() if w}
 
 
+# ---------------------------------------------------------------- inner products
+
+
+def test_products_round_as_sums_in_order():
+    rng = np.random.default_rng(4)
+    for scale, size in ((1, 64), (1e-3, 7), (1e4, 33), (1e300, 2), (1, 0)):
+        q, x = (scale * rng.integers(-9, 9, (n, size)) / 64 for n in (30, 40))  # many products are halves of the last digit
+        q[0, :1], x[1, :1] = np.nan, np.inf
+        with np.errstate(all="ignore"):
+            got = vectors._scores(q, x.T.copy(), 6)
+            for i, j in itertools.product(range(30), range(40)):
+                total = 0.0
+                for a, b in zip(q[i], x[j], strict=True):
+                    total += a * b
+                want = total if not np.isfinite(total * 1e6) else math.copysign(math.floor(abs(total * 1e6) + 0.5), total) / 1e6
+                assert got[i, j] == want or np.isnan(got[i, j]) and np.isnan(want)
+
+
+def test_inner_products_meet_as_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8 if i % 5 else 3).tolist()) for i in range(70)] + [(70, None), (71, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "faiss_id int, embedding array<float>")
+    asked = df.where("faiss_id % 2 = 1").select(C("faiss_id").cast("string").alias("query_id"), C("embedding").alias("q"))
+    pairs = asked.crossJoin(df).select("query_id", "faiss_id", F.round(vectors.dot(C("q"), C("embedding")), 6).alias("score"))
+    want = sorted(tuple(r) for r in pairs.collect())
+    for block in (2048, 5):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        found = vectors.inner_products(asked, df)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr) and found.schema == pairs.schema
+        # no plan makes a row of vectors for each pair
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # ---------------------------------------------------------------- stored BM25 index
 
 
