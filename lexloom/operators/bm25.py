@@ -49,10 +49,15 @@ def statistics(documents: DataFrame) -> tuple[int, float, DataFrame]:
     """
     n, mean_length = documents.agg(F.count("*"), F.avg("dl")).first()
     terms = documents.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return n, mean_length or 1.0, with_idf(terms, n)
+
+
+def with_idf(terms: DataFrame, n: int) -> DataFrame:
+    """token, df, idf of the tokens (token, df) of n documents."""
     raw = terms.withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return n, mean_length or 1.0, raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))  # mean is one row
+    return raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))  # mean is one row
 
 
 def scores(queries: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +21,66 @@ from lexloom.functions import legal_text as L
 from lexloom.operators import bm25
 
 #: Documents of a block and, about, of a shard.
-BLOCK, SHARD = 256, 32_768
+BLOCK, SHARD = 256, 8192
+#: Tokens of blocks of queries that are sent to all tasks; more join with the postings by token.
+WANTED = 100_000
+
+
+def block_postings(shard: int, first: int, lists: pa.Array, mean_length: float) -> pa.RecordBatch:
+    """The postings of the tokens of at most BLOCK documents, placed from `first` on: a row a token."""
+    sizes = pc.list_value_length(lists).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    cell, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * BLOCK + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+    token, own = np.divmod(cell, BLOCK)
+    impact = tf * (bm25.K1 + 1) / (tf + (bm25.K1 * (1 - bm25.B) + bm25.K1 * bm25.B / mean_length * sizes[own]))
+    many = len(coded.dictionary)
+    ends = np.searchsorted(token, np.arange(many + 1))
+    listed = lambda values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+    same = lambda value: pa.array(np.full(many, value, np.int32))
+    columns = [same(shard), coded.dictionary, same(first // BLOCK), listed((own + first).astype(np.int32)), listed(impact), pa.array(np.maximum.reduceat(impact, ends[:-1]))]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "token", "block", "place", "impact", "most"])
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Write the index of docs under path: documents, postings, terms."""
-    documents = bm25.tokenised(docs, key, text)
-    many, mean_length, terms = bm25.statistics(documents)
-    shards = max(1, -(-many // SHARD))
+    """Write the index of docs under path: documents, postings, terms.
+
+    Texts move once, to the task of their shard, in the order of their places; a block's tokens are counted there, so no
+    token of a document is a row and postings do not move.
+    """
+    spark, documents = docs.sparkSession, bm25.tokenised(docs, key, text)
+    shards = max(1, -(-docs.count() // SHARD))
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
     own = documents.select(F.col(key).alias("key"), "dl", shard)
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.asc_nulls_first("key"))) - 1
     own.withColumn("place", place).write.parquet(f"{path}/documents")
-    terms.write.parquet(f"{path}/terms")
-    placed = docs.sparkSession.read.parquet(f"{path}/documents").select("key", "shard", "place")
-    length = F.lit(bm25.K1 * (1 - bm25.B)) + F.lit(bm25.K1 * bm25.B / mean_length) * F.col("dl")
-    impact = F.col("tf") * (bm25.K1 + 1) / (F.col("tf") + length)
-    rows = bm25.postings(documents, key=key).withColumnRenamed(key, "key").join(placed, "key")
-    block = F.floor(F.col("place") / BLOCK).cast("int").alias("block")
-    blocks = rows.withColumn("impact", impact).groupBy("shard", "token", block).agg(F.array_sort(F.collect_list(F.struct("place", "impact"))).alias("own"), F.max("impact").alias("most"))
-    blocks = blocks.select("shard", "token", "block", "own.place", "own.impact", "most")
+    many, mean_length = spark.read.parquet(f"{path}/documents").agg(F.count("*"), F.avg("dl")).first()
+
+    def blocks(batches):
+        shard, place, waiting = None, 0, []
+        for batch in batches:
+            shards, at = batch.column(0).to_numpy(), 0
+            while at < len(shards):
+                if waiting and shards[at] != shard:
+                    yield block_postings(shard, place - sum(map(len, waiting)), pa.concat_arrays(waiting), mean_length)
+                    waiting = []
+                if shards[at] != shard:
+                    shard, place = int(shards[at]), 0
+                upto = min(int(np.searchsorted(shards, shard, "right")), at + BLOCK - place % BLOCK)
+                waiting.append(batch.column(1).slice(at, upto - at))
+                at, place = upto, place + upto - at
+                if place % BLOCK == 0:
+                    yield block_postings(shard, place - BLOCK, pa.concat_arrays(waiting), mean_length)
+                    waiting = []
+        if waiting:
+            yield block_postings(shard, place - sum(map(len, waiting)), pa.concat_arrays(waiting), mean_length)
+
+    # the documents and the order that places were given for
+    dealt = docs.where(F.col(text).rlike(L.WORD)).select(F.col(key).alias("key"), text, shard).repartitionById(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
+    postings = dealt.select("shard", L.tokens(F.col(text)).alias("tokens")).mapInArrow(blocks, "shard int, token string, block int, place array<int>, impact array<double>, most double")
     # sorted by token, so that a scan reads the row groups of the tokens asked for
-    blocks.repartitionByRange("shard", "token").sortWithinPartitions("shard", "token", "block").write.parquet(f"{path}/postings")
+    postings.sortWithinPartitions("shard", "token", "block").write.parquet(f"{path}/postings")
+    terms = spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.sum(F.size("place")).alias("df"))
+    bm25.with_idf(terms, many).write.parquet(f"{path}/terms")
 
 
 def best_blocks(asked: list[tuple[float, dict]], blocks: int, top: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -89,6 +129,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int = bm25.T
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // bm25.QUERY_BLOCK)))).cast("int")
     weights = weights.withColumn("queries", block)
     wanted = weights.select("queries", "token").distinct()
+    if wanted.limit(WANTED + 1).count() <= WANTED:  # else the whole index would be dealt out by token
+        wanted = F.broadcast(wanted)
     found = postings.join(wanted, "token").select("queries", "shard", "token", "block", "place", "impact", "most")
     id_type = queries.schema["query_id"].dataType.simpleString()
     # every shard is asked all queries

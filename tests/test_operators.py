@@ -529,6 +529,30 @@ def test_stored_index_ranks_as_the_scan(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{path}/documents").select("shard").distinct().count() > 3
 
 
+def test_index_moves_texts_once_and_no_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25_index, "SHARD", 600)
+    rows = [(None if i == 5 else i - i % 50 if 100 < i < 200 else i, f"a b{i % 7} {'c ' * (i % 4)}") for i in range(1500)]  # some keys repeat, one is null
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"file://{tmp_path}/index"
+    bm25_index.build(docs, path)
+    documents = {(r["shard"], r["place"]): r for r in spark.read.parquet(f"{path}/documents").collect()}
+    of, seen = Counter(), Counter((k, t, n) for k, x in rows for t, n in Counter(x.split()).items())
+    length = statistics.mean(len(x.split()) for _, x in rows)
+    lengths = {(k, len(x.split())) for k, x in rows}
+    for r in spark.read.parquet(f"{path}/postings").collect():
+        assert {p // bm25_index.BLOCK for p in r["place"]} == {r["block"]} and r["place"] == sorted(set(r["place"])) and r["most"] == max(r["impact"])
+        for place, impact in zip(r["place"], r["impact"], strict=True):
+            k = documents[r["shard"], place]["key"]
+            fit = [n for a, t, n in seen if (a, t) == (k, r["token"]) and any(math.isclose(impact, n * 2.5 / (n + 1.5 * (0.25 + 0.75 * m / length))) for a, m in lengths if a == k)]
+            assert fit
+            of[k, r["token"]] += 1
+    assert of == Counter((k, t) for k, x in rows for t in set(x.split()))
+    assert {r["token"]: r["df"] for r in spark.read.parquet(f"{path}/terms").collect()} == Counter(t for _, x in rows for t in set(x.split()))
+    # what moved by shard and place was texts: no file has postings of two shards, and a shard's are in one
+    files = spark.read.parquet(f"{path}/postings").select("shard", F.input_file_name().alias("f")).distinct().collect()
+    assert len(files) == len({r["shard"] for r in files}) == len({r["f"] for r in files}) == 3
+
+
 # ---------------------------------------------------------------- repairs in places, lines, names
 
 
