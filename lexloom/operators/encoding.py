@@ -260,14 +260,22 @@ class Plan:
         return self.rate * ((step + 1) / (warm + 1) if step < warm else (total - step) / max(1, total - warm))
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """query, positive, negatives, once each; negatives, an array of texts, may be missing."""
+    if "negatives" not in pairs.columns:
+        pairs = pairs.withColumn("negatives", F.array().cast("array<string>"))
+    return pairs.select("query", "positive", "negatives").where("query IS NOT NULL AND positive IS NOT NULL").dropDuplicates(["query", "positive"])
+
+
 def batches_of(pairs: DataFrame, encoder: Encoder, plan: Plan) -> DataFrame:
     """batch, and the sparse rows of its queries, positives and negatives (pairs: query, positive, negatives).
 
     Pairs are dealt to batches by a hash; pairs that repeat count once.  negatives, an array of texts, may be missing.
     """
-    if "negatives" not in pairs.columns:
-        pairs = pairs.withColumn("negatives", F.array().cast("array<string>"))
-    pairs = pairs.select("query", "positive", "negatives").where("query IS NOT NULL AND positive IS NOT NULL").dropDuplicates(["query", "positive"])
+    return _dealt(distinct_pairs(pairs), encoder, plan)
+
+
+def _dealt(pairs: DataFrame, encoder: Encoder, plan: Plan) -> DataFrame:
     many = max(1, -(-pairs.count() // plan.batch))
     dealt = pairs.groupBy(F.pmod(F.xxhash64("query", "positive"), F.lit(many)).cast("int").alias("batch"))
     grouped = dealt.agg(F.array_sort(F.collect_list(F.struct("query", "positive", F.coalesce("negatives", F.array().cast("array<string>")).alias("negatives")))).alias("own"))
@@ -310,7 +318,9 @@ def train(pairs: DataFrame, start: Encoder, plan: Plan, recall: Callable[[Encode
     lie, the mean is cut to a norm of plan.clip, and the matrix moves by decoupled-decay moments (0.9 and 0.999).
     Training ends early after plan.patience epochs without a better recall (0: never).
     """
-    batches = tables.written(batches_of(pairs, start, plan), "batches")
+    pairs = tables.written(distinct_pairs(pairs), "pairs")  # counted, then dealt out
+    batches = tables.written(_dealt(pairs, start, plan), "batches")
+    tables.forgotten(pairs)
     matrix = start.matrix.copy()
     first, second = np.zeros_like(matrix), np.zeros_like(matrix)
     best, top, idle, step = start, recall(start), 0, 0
@@ -342,16 +352,33 @@ def train(pairs: DataFrame, start: Encoder, plan: Plan, recall: Callable[[Encode
     return best, history
 
 
+def multiplied(rows: DataFrame, encoder: Encoder, name: str, to: str) -> DataFrame:
+    """The sparse rows of weighed(), with the vectors of unit length that the encoder's matrix makes of them."""
+    kept = [c for c in rows.columns if c not in (f"{name}_ids", f"{name}_weights")]
+    schema = rows.select(*kept).schema.add(to, T.ArrayType(T.FloatType()))
+    sent = rows.sparkSession.sparkContext.broadcast(encoder.matrix)  # of a size that the parameters fix
+
+    def run(batches):
+        for batch in batches:
+            x = _entries(batch, f"{name}_ids", f"{name}_weights").times(sent.value).astype(np.float32)
+            ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumn(to, vectors.normalised(F.col(to)))
+
+
 def recall_of(encoder: Encoder, queries: DataFrame, docs: DataFrame, relevant: DataFrame, k: int = 10) -> float:
     """Mean share of a query's relevant documents among its k nearest by cosine.
 
     queries (query_id, text), docs (doc_id, text), relevant (query_id, doc_id); queries without a relevant one count
-    for nothing.
+    for nothing.  In place of its text a document may have its sparse row, as weighed(docs, encoder, x="text") gives it:
+    training changes the matrix alone, so texts need no second look.
     """
-    vector = lambda df, to: vectors.encoded(df, encoder, to=to).withColumn(to, vectors.normalised(F.col(to)))
     wanted = relevant.join(queries.select("query_id"), "query_id", "left_semi").distinct()
     asked = queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
-    found = vectors.top_k(vector(asked, "q").select("query_id", "q"), vector(docs, "embedding").select("doc_id", "embedding"), k, key="doc_id")
+    rows = docs if "x_ids" in docs.columns else weighed(docs.select("doc_id", "text"), encoder, x="text")
+    q = multiplied(weighed(asked.select("query_id", "text"), encoder, x="text"), encoder, "x", "q")
+    found = vectors.top_k(q, multiplied(rows, encoder, "x", "embedding"), k, key="doc_id")
     hits = wanted.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
     share = hits.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("share"))
     return share.agg(F.avg("share")).first()[0] or 0.0

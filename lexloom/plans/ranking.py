@@ -60,7 +60,9 @@ def ml01(spark, d):
     pairs = begun.unionByName(known.select("query", C("text").alias("positive")))
     asked = named.join(dev.where("dev").select(C("item_id").alias("query_id")), "query_id", "left_semi")
     start = encoding.unlearnt(docs, size=32, bits=14)
-    _, history = encoding.train(pairs, start, encoding.Plan(epochs=3, steps=3), lambda e: encoding.recall_of(e, asked, docs, relevant))
+    rows = tables.written(encoding.weighed(docs, start, x="text"), "rows")
+    _, history = encoding.train(pairs, start, encoding.Plan(epochs=3, steps=3), lambda e: encoding.recall_of(e, asked, rows, relevant))
+    tables.forgotten(rows)
     return spark.createDataFrame(history, "epoch int, loss double, recall double, best boolean")
 
 

@@ -460,6 +460,25 @@ def test_stretches_are_counted_in_lots(spark, monkeypatch):
     assert {r["word"]: r["n"] for r in wordseg._stretches(df, "text").collect() if r["word"]} == {w: n for w, n in want.items() if w}
 
 
+def test_recall_of_rows_is_that_of_texts(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 9} v{i % 4} x{i} {'y ' * (i % 5)}") for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i} x{i + 1}") for i in range(6)], "query_id long, text string")
+    relevant = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(0, 9)], "query_id long, doc_id long")
+    encoder = encoding.unlearnt(docs, size=6, bits=8)
+    rows = encoding.weighed(docs, encoder, x="text").localCheckpoint()
+    assert rows.columns == ["doc_id", "x_ids", "x_weights"]
+    texts = docs.fillna("").collect()
+    x = encoder([r["text"] for r in texts]).astype(float)
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    shares = []
+    for i, text in queries.collect():
+        q = encoder([text])[0].astype(float)
+        best = sorted(range(len(x)), key=lambda j: (-round(float(x[j] @ q / np.sqrt(q @ q)), 6), texts[j]["doc_id"]))[:3]
+        wanted = [r["doc_id"] for r in relevant.where(C("query_id") == i).collect()]
+        shares.append(sum(texts[j]["doc_id"] in wanted for j in best) / len(wanted))
+    assert encoding.recall_of(encoder, queries, rows, relevant, 3) == encoding.recall_of(encoder, queries, docs, relevant, 3) == pytest.approx(statistics.mean(shares))
+
+
 # ---------------------------------------------------------------- inner products
 
 
