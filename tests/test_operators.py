@@ -512,6 +512,27 @@ def test_inner_products_meet_as_blocks(spark, monkeypatch):
         assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_products_leave_python_as_lists_from_even_parts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    ids, vs = pa.array([f"v{i}" for i in range(2500)]), pa.array([*rng.standard_normal((2498, 4)).tolist(), None, [1.0]])
+    rows = pa.Table.from_batches(vectors.products(ids, vs, pa.array(range(70)), vs.slice(0, 70), 6))
+    # a row for each query and TILE vectors, beside those of which the sizes differ
+    assert rows.num_rows == 70 * (3 + 1)
+    singles = {(q, k): s for q, ks, ss in zip(*(rows.column(n).to_pylist() for n in ("query_id", "keys", "scores")), strict=True) for k, s in zip(ks, ss, strict=True)}
+    assert len(singles) == 70 * 2500
+    for q, k in ((0, 0), (3, 2497), (69, 1024), (64, 1023)):
+        assert singles[q, f"v{k}"] == pytest.approx(sum(a * b for a, b in zip(vs[q].as_py(), vs[k].as_py(), strict=True)), abs=1e-6)
+    assert singles[5, "v2498"] is None and singles[5, "v2499"] is None
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    df = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(300)], "faiss_id int, embedding array<float>")
+    asked = df.where("faiss_id % 20 = 0").select(C("faiss_id").alias("query_id"), C("embedding").alias("q"))
+    blocks = df.groupBy(F.pmod(F.xxhash64("faiss_id"), F.lit(60))).count().agg(F.max("count")).first()[0]
+    found = vectors.inner_products(asked, df)
+    part = found.groupBy(F.spark_partition_id()).agg(F.countDistinct("faiss_id").alias("n"))
+    assert found.count() == 15 * 300 and part.agg(F.max("n")).first()[0] <= blocks  # no part has two blocks
+
+
 # ---------------------------------------------------------------- stored BM25 index
 
 
