@@ -13,6 +13,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -533,6 +534,26 @@ def test_products_leave_python_as_lists_from_even_parts(spark, monkeypatch):
     assert found.count() == 15 * 300 and part.agg(F.max("n")).first()[0] <= blocks  # no part has two blocks
 
 
+def test_written_products_keep_a_dictionary_of_scores(spark, tmp_path):
+    """Plain doubles would take 8 bytes a row, more than a disk holds of all pairs; settings of the cluster's own stay."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4096, 256))
+    df = spark.createDataFrame(list(enumerate((x / np.linalg.norm(x, axis=1)[:, None]).tolist())), "faiss_id int, embedding array<float>")
+    asked = df.where("faiss_id % 4 = 0").select(C("faiss_id").alias("query_id"), C("embedding").alias("q"))
+    vectors.inner_products(asked, df).write.parquet(str(tmp_path / "pairs"))
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 6 * 1024 * 4096
+    chunks = [m.row_group(g).column(2) for f in files for m in [pq.read_metadata(f)] for g in range(m.num_row_groups)]
+    assert chunks and all("PLAIN" not in c.encodings for c in chunks)
+    key = "parquet.page.size"
+    try:
+        spark.conf.set(key, "1000000")
+        vectors.compact(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
 # ---------------------------------------------------------------- stored BM25 index
 
 
