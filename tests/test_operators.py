@@ -461,6 +461,46 @@ def test_stretches_are_counted_in_lots(spark, monkeypatch):
     assert {r["word"]: r["n"] for r in wordseg._stretches(df, "text").collect() if r["word"]} == {w: n for w, n in want.items() if w}
 
 
+def test_texts_are_segmented_and_expected_many_at_a_time(monkeypatch):
+    """As one by one; no run of a lot is gone through by itself."""
+    rng = random.Random(3)
+    letters = ["a", "b", "C", "c", "d", "İ", " ", " ", " ", "  ", "\u3000", ".", "đ", "1", "_", "ΑΣ", "𐐀"]
+    for trial in range(60):
+        lexicon = wordseg._of({" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))): rng.uniform(0.5, 50) for _ in range(rng.randint(0, 14))})
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(8)]
+        want, got = Counter(), np.zeros(len(lexicon.words))
+        for text in texts:
+            for run in wordseg.runs_of(text):
+                want.update(lexicon.expected(run))
+        one_by_one = [lexicon.segmented(t) for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(wordseg, "LONG", 3 if trial % 2 else 256)
+            if trial % 2 == 0:
+                m.delattr(wordseg.Lexicon, "cut")
+                m.delattr(wordseg.Lexicon, "expected")
+            assert lexicon.all_segmented(texts) == one_by_one
+            lexicon.add_expected(wordseg.Syllables.of("\n".join((t or "").lower() for t in texts)), got)
+        assert np.allclose(got, [want[i] for i in range(len(got))], rtol=1e-9)
+
+
+def test_long_stretches_are_counted_only_if_their_parts_may_be_kept(spark, monkeypatch):
+    """The lexicon is that of all stretches' counts, whatever ties with the last kept."""
+    rng, rows, taken = random.Random(4), [], wordseg._stretches
+    texts = [(" ".join(rng.choice("aaabbcde") for _ in range(rng.randint(0, 12))),) for _ in range(60)]
+    df = spark.createDataFrame(texts, "text string").repartition(2)
+    counts = Counter(" ".join(run[i : i + n]) for (t,) in texts for run in wordseg.runs_of(t) for n in range(1, wordseg.MOST + 1) for i in range(len(run) - n + 1))
+    monkeypatch.setattr(wordseg, "COHESION", 0.0)
+    monkeypatch.setattr(wordseg, "_stretches", lambda *a: rows.append(taken(*a)) or rows[-1])
+    for size, held in ((5, 1 << 20), (12, 1 << 20), (40, 1 << 20), (12, 3), (10_000, 1 << 20)):
+        monkeypatch.setattr(wordseg, "HELD", held)
+        rows.clear()
+        best = lambda words, size=size: sorted(words, key=lambda w: (-counts[w], w))[:size]
+        want = {*best(w for w in counts if " " not in w), *best(w for w in counts if " " in w and counts[w] >= 2)}
+        assert set(wordseg.learnt(df, rounds=0, least=2, size=size).words) == want
+        if size == 5:
+            assert sum(r.count() for r in rows) < len(counts) / 2
+
+
 def test_recall_of_rows_is_that_of_texts(spark):
     docs = spark.createDataFrame([(i, f"w{i % 9} v{i % 4} x{i} {'y ' * (i % 5)}") for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
     queries = spark.createDataFrame([(i, f"w{i} x{i + 1}") for i in range(6)], "query_id long, text string")
